@@ -1,0 +1,73 @@
+"""Evaluation plans composed from the operators (M6-M8, M16 building blocks).
+
+Every plan is lazy and returns DataFrames; several result families are
+computed from one shared long frame so Spark can reuse exchanges.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorum.config import EvalConfig
+from quorum.operators import evaluation as E
+from quorum.operators.folds import stratified_kfold
+from quorum.operators.prep import encode_decision, encode_target
+
+
+def long_scores(df: DataFrame, id_col: str, score_cols: Sequence[str], keep: Sequence[str] = ("label", "fold"),
+                model_col: str = "model_name", score_col: str = "score") -> DataFrame:
+    """Unpivot score columns into (id, keep..., model_name, score); missing columns are skipped."""
+    present = [c for c in score_cols if c in df.columns]
+    if not present:
+        raise ValueError(f"None of the score columns {list(score_cols)} exist")
+    wide = df.select(id_col, *keep, *[F.col(c).cast("double").alias(c) for c in present])
+    return wide.unpivot([id_col, *keep], present, model_col, score_col)
+
+
+def folded(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataFrame:
+    """P2 then W1: add integer ``label`` and ``fold``."""
+    labelled = encode_target(df, target, cfg.good_tag, cfg.bad_tag)
+    return stratified_kfold(labelled, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex)
+
+
+def score_column_sweeps(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
+                        score_cols: Sequence[str]) -> DataFrame:
+    """A3 per (score column, fold)."""
+    long = long_scores(folded(df, cfg, id_col, target), id_col, score_cols)
+    return E.threshold_sweep(long, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
+
+
+def score_column_eval(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
+                      score_cols: Sequence[str]) -> dict[str, DataFrame]:
+    """M7: fold sweeps -> per-fold best -> k-fold average, for score columns already in the table."""
+    sweep = score_column_sweeps(df, cfg, id_col, target, score_cols)
+    best = E.best_thresholds(sweep, ["model_name", "fold"])
+    return {
+        "sweep": sweep,
+        "fold_results": E.fold_results(best),
+        "results": E.average_fold_results(best, cfg.costs),
+        "sweep_avg": E.average_fold_sweep(sweep),
+    }
+
+
+def decision_long(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
+                  decision_cols: Sequence[str]) -> DataFrame:
+    """P2 + P3 + P4 + unpivot: (id, label, model_name, pred)."""
+    labelled = encode_target(df, target, cfg.good_tag, cfg.bad_tag)
+    enc = labelled.select(id_col, "label", *[encode_decision(c, cfg.good_tag, cfg.bad_tag).alias(c)
+                                              for c in decision_cols])
+    return enc.unpivot([id_col, "label"], list(decision_cols), "model_name", "pred")
+
+
+def decision_column_eval(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
+                         decision_cols: Sequence[str]) -> DataFrame:
+    """M8: one aggregate over all decision columns; split 'Full', type 'base', cost / n_splits."""
+    for c in decision_cols:
+        if c not in df.columns:
+            raise ValueError(f"Column '{c}' not found in dataframe.")
+    long = decision_long(df, cfg, id_col, target, decision_cols)
+    counts = E.confusion_counts(long, ["model_name"], "label", "pred")
+    return E.decision_results(counts, cfg.costs, cfg.n_splits, "base")

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The evaluated workload has no stream sources, watermarks, windows or state;
+results are refreshed by re-running the batch plans. Nothing is registered here.
+"""
