@@ -37,3 +37,247 @@ def register(name: str, sql: str | None = None):
 @register("m7_score_column_eval", S.score_eval_sql(CFG, V.SCORE_COLUMNS))
 def m7_score_column_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_column_eval(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, V.SCORE_COLUMNS)["results"]
+
+
+# --- A1-A8, M8: evaluation ------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quorum.functions import metrics as M  # noqa: E402
+from quorum.functions.rules import sql_combine  # noqa: E402
+from quorum.operators import evaluation as E  # noqa: E402
+from quorum.operators import rules as R  # noqa: E402
+from quorum.operators.folds import stratified_kfold, stratified_split  # noqa: E402
+from quorum.operators.prep import encode_decision, encode_target, invalid_decisions  # noqa: E402
+from quorum.plans.pipeline import (  # noqa: E402
+    base_predictions, decision_column_eval, decision_long, folded, labels_of, long_scores,
+    score_column_sweeps)
+
+_SC = V.SCORE_COLUMNS
+_DC = V.DECISION_COLUMNS
+_SCORED_FOLDS = S.with_(V.SCORED_SQL, S.folds_cte(CFG))
+_M7_CTES = [V.SCORED_SQL, S.folds_cte(CFG), S.long_cte(_SC), S.sweep_cte(CFG)]
+_DEC_CTES = [V.SCORED_SQL, S.decision_long_cte(CFG, _DC), S.counts_cte("dlong")]
+
+
+def _dlong(spark, sf_dir):
+    return decision_long(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, _DC)
+
+
+@register("a1_confusion_counts", S.with_(*_DEC_CTES) + "SELECT model_name, tp, fp, tn, fn FROM counts")
+def a1_confusion_counts(spark, sf_dir):
+    return E.confusion_counts(_dlong(spark, sf_dir), ["model_name"], "label", "pred")
+
+
+@register("a2_classification_metrics", S.with_(*_DEC_CTES) + f"""
+SELECT model_name, tp, fp, tn, fn, {S.metrics(CFG)}, {S.cost(CFG)} AS cost, {S.cost(CFG)} AS cost_total FROM counts""")
+def a2_classification_metrics(spark, sf_dir):
+    return E.with_metrics(a1_confusion_counts(spark, sf_dir), CFG.costs)
+
+
+@register("a3_threshold_sweep", S.with_(*_M7_CTES) + "SELECT * FROM sweep")
+def a3_threshold_sweep(spark, sf_dir):
+    return score_column_sweeps(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, _SC)
+
+
+@register("a4_best_threshold", S.with_(*_M7_CTES, S.best_cte()) + """
+SELECT model_name, 'Fold' || fold AS split, threshold_type, threshold, precision, recall, f1_score, accuracy,
+       cost, tp, fp, tn, fn, false AS is_base_model, cost AS cost_total FROM best""")
+def a4_best_threshold(spark, sf_dir):
+    return E.fold_results(E.best_thresholds(a3_threshold_sweep(spark, sf_dir), ["model_name", "fold"]))
+
+
+@register("a5_average_fold_results", S.score_eval_sql(CFG, _SC))
+def a5_average_fold_results(spark, sf_dir):
+    best = E.best_thresholds(a3_threshold_sweep(spark, sf_dir), ["model_name", "fold"])
+    return E.average_fold_results(best, CFG.costs)
+
+
+@register("a6_average_fold_sweep", S.with_(*_M7_CTES) + f"""
+SELECT 'kfold_avg_' || model_name AS model_name, 'Full' AS split, threshold, tp, fp, tn, fn, cost,
+       {S.metrics(CFG)}
+FROM (SELECT model_name, threshold, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(fp) AS DOUBLE) AS fp,
+             CAST(sum(tn) AS DOUBLE) AS tn, CAST(sum(fn) AS DOUBLE) AS fn, CAST(sum(cost) AS DOUBLE) AS cost
+      FROM sweep GROUP BY model_name, threshold) s""")
+def a6_average_fold_sweep(spark, sf_dir):
+    return E.average_fold_sweep(a3_threshold_sweep(spark, sf_dir))
+
+
+@register("a7_positional_mean", S.with_(V.SCORED_SQL, S.folds_cte(CFG), S.long_cte(_SC)) + f"""
+, ranked AS (
+  SELECT model_name, fold, score,
+         row_number() OVER (PARTITION BY model_name, fold ORDER BY md5(concat_ws(':', id, '{CFG.seed}')), id) AS position,
+         count(*) OVER (PARTITION BY model_name, fold) AS fold_n
+  FROM long),
+shortest AS (SELECT model_name, min(fold_n) AS min_n FROM ranked GROUP BY model_name)
+SELECT r.model_name, r.position,
+       list_reduce(list(CASE WHEN isnan(score) THEN NULL ELSE score END ORDER BY fold), lambda a, x: a + x)
+         / count(*) AS mean_score
+FROM ranked r JOIN shortest s ON r.model_name = s.model_name AND r.position <= s.min_n
+GROUP BY r.model_name, r.position""")
+def a7_positional_mean(spark, sf_dir):
+    long = long_scores(folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET), V.ID, _SC)
+    return E.positional_mean(long, V.ID, CFG.seed, bucket_hex=CFG.fold_bucket_hex)
+
+
+@register("m8_decision_column_eval", S.with_(*_DEC_CTES) + S.decision_results_select(CFG, "base"))
+def m8_decision_column_eval(spark, sf_dir):
+    return decision_column_eval(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, _DC)
+
+
+@register("a8_normalised_cost", S.with_(*_DEC_CTES) + f"""
+SELECT model_name, {S.cost(CFG)} / {CFG.n_splits} AS cost, {S.cost(CFG)} AS cost_total FROM counts""")
+def a8_normalised_cost(spark, sf_dir):
+    return m8_decision_column_eval(spark, sf_dir).select("model_name", "cost", "cost_total")
+
+
+# --- W1, W2, P2-P4, P7 ---------------------------------------------------------------------------
+
+@register("w1_stratified_kfold", _SCORED_FOLDS + "SELECT id, label, fold FROM folds")
+def w1_stratified_kfold(spark, sf_dir):
+    return folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET).select(V.ID, "label", "fold")
+
+
+@register("w2_stratified_split", S.with_(V.SCORED_SQL) + f"""
+SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', id, '{CFG.seed}')), id)
+                        <= ceil({CFG.test_size!r}::DOUBLE * count(*) OVER (PARTITION BY label))
+                   THEN 'Test' ELSE 'Train' END AS split
+FROM scored""")
+def w2_stratified_split(spark, sf_dir):
+    lab = encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
+    return stratified_split(lab, V.ID, "label", CFG.test_size, CFG.seed, CFG.fold_bucket_hex).select(
+        V.ID, "label", "split")
+
+
+@register("p2_encode_target", S.with_(V.SCORED_SQL) + "SELECT id, label FROM scored")
+def p2_encode_target(spark, sf_dir):
+    return encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag).select(V.ID, "label")
+
+
+@register("p3_validate_decisions", """
+SELECT column_name, value, count(*) AS n FROM (
+  SELECT 'l_returnflag' AS column_name, l_returnflag AS value FROM lineitem
+  UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem) t
+WHERE value IS NULL OR value NOT IN ('N', 'R')
+GROUP BY column_name, value""")
+def p3_validate_decisions(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return invalid_decisions(li, ["l_returnflag", "l_linestatus"], "N", "R")
+
+
+@register("p4_encode_decision", S.with_(V.SCORED_SQL) + "SELECT id, " + ", ".join(
+    f"CASE WHEN {c} = 'Bad' THEN 1 ELSE 0 END AS {c}" for c in _DC) + " FROM scored")
+def p4_encode_decision(spark, sf_dir):
+    return V.scored(spark, sf_dir).select(V.ID, *[encode_decision(c, CFG.good_tag, CFG.bad_tag).alias(c)
+                                                  for c in _DC])
+
+
+@register("p7_apply_threshold", S.with_(V.SCORED_SQL) + "SELECT id, " + ", ".join(
+    f"{S.threshold_decision(c, 0.5)} AS {c}" for c in _SC) + " FROM scored")
+def p7_apply_threshold(spark, sf_dir):
+    return V.scored(spark, sf_dir).select(V.ID, *[M.apply_threshold(c, 0.5).alias(c) for c in _SC])
+
+
+# --- B1-B10, J3, J4, P19, P20, U1 ----------------------------------------------------------------
+
+RULES = [
+    R.Rule("or_status_qty", ["d_status", "d_bigqty"], "OR"),
+    R.Rule("and_discount_status", ["s_discount", "d_status"], "AND"),
+    R.Rule("xor_three", ["d_status", "d_bigqty", "s_qty"], "XOR"),
+    R.Rule("nor_three", ["kfold_avg_s_tax", "d_status", "d_bigqty"], "NOR"),
+    R.Rule("nand_two", ["s_tax", "s_qty"], "NAND"),
+    R.Rule("nxor_four", ["s_discount", "s_tax", "s_qty", "d_bigqty"], "NXOR"),
+]
+RULE_THRESHOLDS = {"s_tax": 0.35, "kfold_avg_s_tax": 0.35, "s_qty": 0.6}
+_OP_RULES = {
+    op: [R.Rule(f"{op.lower()}_two", ["d_status", "s_qty"], op),
+         R.Rule(f"{op.lower()}_three", ["d_status", "d_bigqty", "s_discount"], op)]
+    for op in ["OR", "AND", "XOR", "NOR", "NAND", "NXOR"]
+}
+
+
+def _rule_col_sql(c: str, thresholds: dict[str, float]) -> str:
+    base = c.replace("kfold_avg_", "")
+    if base in _DC:
+        return f"(CASE WHEN {base} = 'Bad' THEN 1 ELSE 0 END)"
+    return f"({S.threshold_decision(base, thresholds.get(c, 0.5))})"
+
+
+def _rules_sql(rules, thresholds) -> str:
+    exprs = ", ".join(f"{sql_combine(r.logic, [_rule_col_sql(c, thresholds) for c in r.columns])} AS {r.name}"
+                      for r in rules)
+    longs = " UNION ALL ".join(f"SELECT id, label, '{r.name}' AS model_name, {r.name} AS pred FROM ruled"
+                               for r in rules)
+    return S.with_(V.SCORED_SQL, f"ruled AS (SELECT id, label, {exprs} FROM scored)", f"rlong AS ({longs})",
+                   S.counts_cte("rlong")) + S.decision_results_select(CFG, "combined")
+
+
+def _combined(spark, sf_dir, rules, thresholds):
+    df = V.scored(spark, sf_dir)
+    preds = base_predictions(df, CFG, V.ID, _SC, _DC)
+    return R.combined_runs(preds, labels_of(df, CFG, V.ID, V.TARGET), rules, CFG.costs, CFG.n_splits,
+                           thresholds)
+
+
+for _i, (_op, _rules) in enumerate(_OP_RULES.items(), start=1):
+    def _make(rules):
+        return lambda spark, sf_dir: _combined(spark, sf_dir, rules, {})[0]
+    register(f"b{_i}_rule_{_op.lower()}", _rules_sql(_rules, {}))(_make(_rules))
+
+
+@register("b7_rule_thresholds", S.with_(V.SCORED_SQL) + "SELECT id, " + ", ".join(
+    [f"{_rule_col_sql(c, RULE_THRESHOLDS)} AS \"{c}\"" for c in ["kfold_avg_s_discount", "kfold_avg_s_tax",
+                                                                 "kfold_avg_s_qty"]]
+    + [f"{_rule_col_sql(c, {})} AS {c}" for c in _DC]) + " FROM scored")
+def b7_rule_thresholds(spark, sf_dir):
+    df = V.scored(spark, sf_dir)
+    models = [f"kfold_avg_{c}" for c in _SC] + _DC
+    wide = R.rule_inputs(base_predictions(df, CFG, V.ID, _SC, _DC), models)
+    return wide.select(F.col("id"), *[R.decision_of(m, RULE_THRESHOLDS.get(m, 0.5)).alias(m) for m in models])
+
+
+@register("b9_combined_runs", _rules_sql(RULES, RULE_THRESHOLDS))
+def b9_combined_runs(spark, sf_dir):
+    return _combined(spark, sf_dir, RULES, RULE_THRESHOLDS)[0]
+
+
+@register("j3_assemble_predictions", S.with_(V.SCORED_SQL) + "SELECT id, label AS GT, " + ", ".join(
+    [f"{c} AS kfold_avg_{c}" for c in _SC] + [f"CAST(CASE WHEN {c} = 'Bad' THEN 1 ELSE 0 END AS DOUBLE) AS {c}"
+                                             for c in _DC]) + " FROM scored")
+def j3_assemble_predictions(spark, sf_dir):
+    df = V.scored(spark, sf_dir)
+    preds = base_predictions(df, CFG, V.ID, _SC, _DC)
+    models = [f"kfold_avg_{c}" for c in _SC] + _DC
+    wide = preds.groupBy("id").pivot("model_name", models).agg(F.first("score"))
+    return labels_of(df, CFG, V.ID, V.TARGET).withColumnRenamed("label", "GT").join(wide, "id", "left")
+
+
+def _rule_columns_frame(spark):
+    rows = [(r.name, c) for r in RULES for c in r.columns] + [("broken", "no_such_model")]
+    return spark.createDataFrame(rows, "rule_name string, column_name string")
+
+
+@register("j4_unresolved_rule_columns", None)
+def j4_unresolved_rule_columns(spark, sf_dir):
+    preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
+    return R.unresolved_columns(_rule_columns_frame(spark), preds)
+
+
+@register("p19_pick_scores", S.with_(V.SCORED_SQL) + """
+SELECT model_name, kind, n FROM (
+  SELECT 'kfold_avg_' || m AS model_name, 'oof' AS kind, count(*) AS n FROM scored, (VALUES ('s_discount'), ('s_tax'), ('s_qty')) v(m) GROUP BY m
+  UNION ALL
+  SELECT m AS model_name, 'Full' AS kind, count(*) AS n FROM scored, (VALUES ('d_status'), ('d_bigqty')) v(m) GROUP BY m)""")
+def p19_pick_scores(spark, sf_dir):
+    return R.pick_scores(base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC))
+
+
+@register("p20_classify_model_kind", S.with_(V.SCORED_SQL) + """
+SELECT model_name, CASE WHEN count(s) > 0 AND bool_and(coalesce(s IN (0.0, 1.0), true)) THEN 'decision' ELSE 'meta' END
+       AS model_kind
+FROM (""" + " UNION ALL ".join(
+    [f"SELECT 'kfold_avg_{c}' AS model_name, CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS s FROM scored" for c in _SC]
+    + [f"SELECT '{c}', CASE WHEN {c} = 'Bad' THEN 1.0 ELSE 0.0 END FROM scored" for c in _DC]) + """) t
+GROUP BY model_name""")
+def p20_classify_model_kind(spark, sf_dir):
+    return R.classify_models(base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.config import EvalConfig
+from quorum.config import KFOLD_PREFIX, EvalConfig
 from quorum.operators import evaluation as E
 from quorum.operators.folds import stratified_kfold
 from quorum.operators.prep import encode_decision, encode_target
@@ -71,3 +71,33 @@ def decision_column_eval(df: DataFrame, cfg: EvalConfig, id_col: str, target: st
     long = decision_long(df, cfg, id_col, target, decision_cols)
     counts = E.confusion_counts(long, ["model_name"], "label", "pred")
     return E.decision_results(counts, cfg.costs, cfg.n_splits, "base")
+
+
+def base_predictions(df: DataFrame, cfg: EvalConfig, id_col: str, score_cols: Sequence[str],
+                     decision_cols: Sequence[str]) -> DataFrame:
+    """predictions(model_name, kind, id, score) for the table's own columns.
+
+    Score columns are evaluated out of fold; since every row sits in exactly
+    one test fold, the scattered out-of-fold series (J2) is the column itself,
+    named ``kfold_avg_{col}`` with kind 'oof'. Decision columns become 0/1
+    series of kind 'Full'.
+    """
+    parts = []
+    present = [c for c in score_cols if c in df.columns]
+    if present:
+        oof = df.select(id_col, *[F.col(c).cast("double").alias(f"{KFOLD_PREFIX}{c}") for c in present]) \
+            .unpivot([id_col], [f"{KFOLD_PREFIX}{c}" for c in present], "model_name", "score")
+        parts.append(oof.select("model_name", F.lit("oof").alias("kind"), F.col(id_col).alias("id"), "score"))
+    if decision_cols:
+        dec = df.select(id_col, *[encode_decision(c, cfg.good_tag, cfg.bad_tag).cast("double").alias(c)
+                                  for c in decision_cols]) \
+            .unpivot([id_col], list(decision_cols), "model_name", "score")
+        parts.append(dec.select("model_name", F.lit("Full").alias("kind"), F.col(id_col).alias("id"), "score"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def labels_of(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataFrame:
+    return encode_target(df, target, cfg.good_tag, cfg.bad_tag).select(F.col(id_col).alias("id"), "label")

@@ -91,18 +91,6 @@ def best_cte(source: str = "sweep", name: str = "best", keys: Sequence[str] = ("
   SELECT *, 'accuracy' AS threshold_type FROM {name}_ranked WHERE ra = 1)"""
 
 
-def avg_results_select(cfg: EvalConfig, source: str = "best") -> str:
-    return f"""SELECT 'kfold_avg_' || model_name AS model_name, 'Full' AS split, threshold_type,
-       list_reduce(list(threshold ORDER BY fold), lambda a, x: a + x) / count(*) AS threshold,
-       {precision()} AS precision, {recall()} AS recall, {f1()} AS f1_score, {accuracy()} AS accuracy,
-       cost, tp, fp, tn, fn, false AS is_base_model, cost AS cost_total
-FROM (SELECT model_name, threshold_type, list(threshold ORDER BY fold) AS _l,
-             CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
-             CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fn) AS BIGINT) AS fn,
-             sum(cost) AS cost, count(*) AS k
-      FROM {source} GROUP BY model_name, threshold_type) s"""
-
-
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -119,3 +107,33 @@ FROM (SELECT model_name, threshold_type, list(threshold ORDER BY fold) AS _l,
              sum(cost) AS cost, count(*) AS k
       FROM best GROUP BY model_name, threshold_type) s"""
     return with_(SCORED_SQL, folds_cte(cfg), long_cte(score_cols), sweep_cte(cfg), best_cte()) + body
+
+
+def decision_long_cte(cfg: EvalConfig, decision_cols: Sequence[str], source: str = "scored",
+                      name: str = "dlong") -> str:
+    parts = [f"SELECT id, label, '{c}' AS model_name, CASE WHEN {c} = '{cfg.bad_tag}' THEN 1 ELSE 0 END AS pred "
+             f"FROM {source}" for c in decision_cols]
+    return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + ")"
+
+
+def counts_cte(source: str, name: str = "counts", keys: Sequence[str] = ("model_name",)) -> str:
+    kk = ", ".join(keys)
+    return f"""{name} AS (
+  SELECT {kk},
+         CAST(count(*) FILTER (WHERE label = 1 AND pred = 1) AS BIGINT) AS tp,
+         CAST(count(*) FILTER (WHERE label = 0 AND pred = 1) AS BIGINT) AS fp,
+         CAST(count(*) FILTER (WHERE label = 0 AND pred = 0) AS BIGINT) AS tn,
+         CAST(count(*) FILTER (WHERE label = 1 AND pred = 0) AS BIGINT) AS fn
+  FROM {source} GROUP BY {kk})"""
+
+
+def decision_results_select(cfg: EvalConfig, threshold_type: str, source: str = "counts") -> str:
+    return f"""SELECT model_name, 'Full' AS split, '{threshold_type}' AS threshold_type, CAST(NULL AS DOUBLE) AS threshold,
+       {metrics(cfg)}, {cost(cfg)} / {int(cfg.n_splits)} AS cost, tp, fp, tn, fn,
+       true AS is_base_model, {cost(cfg)} AS cost_total
+FROM {source}"""
+
+
+def threshold_decision(expr: str, threshold: float) -> str:
+    s = f"(CASE WHEN isnan({expr}) THEN NULL ELSE {expr} END)"
+    return f"CASE WHEN coalesce({s} >= {float(threshold)!r}::DOUBLE, false) THEN 1 ELSE 0 END"
