@@ -195,9 +195,9 @@ def coerce_numeric(df: DataFrame, count_cols: Sequence[str] = ("tp", "fp", "tn",
     out = []
     for c in df.columns:
         if c in count_cols:
-            out.append(F.try_cast(F.col(c).cast("string"), "double").cast("long").alias(c))
+            out.append(F.col(c).cast("string").try_cast("double").cast("long").alias(c))
         elif c in metric_cols:
-            out.append(F.try_cast(F.col(c).cast("string"), "double").alias(c))
+            out.append(F.col(c).cast("string").try_cast("double").alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

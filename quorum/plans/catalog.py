@@ -281,3 +281,127 @@ FROM (""" + " UNION ALL ".join(
 GROUP BY model_name""")
 def p20_classify_model_kind(spark, sf_dir):
     return R.classify_models(base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC))
+
+
+# --- A9-A16, A25, P9-P11, M18: profiling --------------------------------------------------------
+
+from quorum.operators import profile as P  # noqa: E402
+
+_UC = V.UNTYPED_COLUMNS
+
+
+@register("a9_class_balance", S.with_(V.SCORED_SQL, """c AS (
+  SELECT count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM scored)""") + """
+SELECT 0 AS class_value, 'Good (0)' AS class_label, n0 AS count,
+       CASE WHEN n0 + n1 > 0 THEN n0 / (n0 + n1) * 100 ELSE 0.0::DOUBLE END AS percentage, n0 + n1 AS total FROM c
+UNION ALL
+SELECT 1, 'Bad (1)', n1, CASE WHEN n0 + n1 > 0 THEN n1 / (n0 + n1) * 100 ELSE 0.0::DOUBLE END, n0 + n1 FROM c""")
+def a9_class_balance(spark, sf_dir):
+    return P.class_balance(p2_encode_target(spark, sf_dir))
+
+
+@register("a10_value_distribution", """
+SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1""")
+def a10_value_distribution(spark, sf_dir):
+    return P.value_distribution(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority")
+
+
+@register("a11_missing_values", S.with_(V.UNTYPED_ORDERS_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM untyped" for c in _UC))
+def a11_missing_values(spark, sf_dir):
+    return P.missing_values(V.untyped_orders(spark, sf_dir))
+
+
+@register("a12_duplicate_rows", """
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity) g""")
+def a12_duplicate_rows(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return P.duplicate_rows(li.select("l_returnflag", "l_linestatus", "l_quantity"))
+
+
+@register("a13_constant_columns", S.with_(V.UNTYPED_ORDERS_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, min({c}) IS NOT DISTINCT FROM max({c}) AS is_constant FROM untyped" for c in _UC))
+def a13_constant_columns(spark, sf_dir):
+    return P.constant_columns(V.untyped_orders(spark, sf_dir))
+
+
+_A14_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey", "status_np"]
+
+
+@register("a14_distinct_values", S.with_(V.UNTYPED_ORDERS_SQL) + """
+SELECT column_name, count(*) AS n_distinct,
+       CASE WHEN count(*) <= 50 THEN list(value ORDER BY value)[1:50] ELSE list(value ORDER BY value)[1:10] END AS values
+FROM (""" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS column_name, {c} AS value FROM untyped WHERE {c} IS NOT NULL" for c in _A14_COLS)
+    + ") d GROUP BY column_name")
+def a14_distinct_values(spark, sf_dir):
+    return P.distinct_values(V.untyped_orders(spark, sf_dir), _A14_COLS)
+
+
+_ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+                "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+@register("a15_column_info", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null, "
+    + (f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value"
+       if t in ("bigint", "double") else "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value")
+    + " FROM orders" for c, t in _ORDER_TYPES.items()))
+def a15_column_info(spark, sf_dir):
+    return P.column_info(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDER_TYPES))
+
+
+_A16_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("a16_describe", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, "
+    f"quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, "
+    f"max({c}) AS max FROM lineitem" for c in _A16_COLS))
+def a16_describe(spark, sf_dir):
+    return P.describe(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _A16_COLS)
+
+
+@register("a25_table_shape", "SELECT count(*) AS rows, 11 AS columns FROM lineitem")
+def a25_table_shape(spark, sf_dir):
+    return P.table_shape(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+_P9_CANDS = ["id", "s_discount", "s_tax", "s_qty", "d_status", "d_bigqty"]
+
+
+@register("p9_detect_decision_columns", S.with_(V.SCORED_SQL) + "SELECT column_name, 'few_values' AS reason FROM ("
+          + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT CAST({c} AS VARCHAR)) AS n FROM scored"
+                               for c in _P9_CANDS) + ") t WHERE n <= 10")
+def p9_detect_decision_columns(spark, sf_dir):
+    return P.detect_decision_columns(V.scored(spark, sf_dir), V.TARGET)
+
+
+@register("p10_detect_score_columns", S.with_(V.UNTYPED_ORDERS_SQL) + "SELECT column_name, 'numeric' AS reason FROM ("
+          + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NOT NULL AND "
+                               f"TRY_CAST({c} AS DOUBLE) IS NULL) AS bad FROM untyped"
+                               for c in _UC if c != "o_orderstatus") + ") t WHERE bad = 0")
+def p10_detect_score_columns(spark, sf_dir):
+    return P.detect_score_columns(V.untyped_orders(spark, sf_dir), "o_orderstatus")
+
+
+@register("p11_infer_column_types", S.with_(V.UNTYPED_ORDERS_SQL) + """
+SELECT column_name,
+       CASE WHEN n > 0 AND n_num = n THEN 'numeric' WHEN n > 0 AND n_ts = n THEN 'datetime'
+            WHEN n_distinct > 0 AND n_distinct <= 50 THEN 'categorical' ELSE 'problematic' END AS inferred_type,
+       n_distinct
+FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n, count(TRY_CAST({c} AS DOUBLE)) AS n_num, "
+    f"count(TRY_CAST({c} AS TIMESTAMP)) AS n_ts, count(DISTINCT {c}) AS n_distinct FROM untyped" for c in _UC)
+    + ") t")
+def p11_infer_column_types(spark, sf_dir):
+    return P.infer_column_types(V.untyped_orders(spark, sf_dir))
+
+
+@register("m18_dataset_profile", "SELECT rows, 6 AS columns, column_name, dtype, non_null, rows - non_null AS missing, "
+          "column_name = 'o_orderstatus' AS is_target FROM (" + " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null, count(*) AS rows FROM orders"
+              for c, t in _ORDER_TYPES.items()) + ") t")
+def m18_dataset_profile(spark, sf_dir):
+    return P.dataset_profile(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDER_TYPES), "o_orderstatus")

@@ -92,3 +92,24 @@ def docs_x(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").cast("double").alias("n_chars"),
         "lang", "source", F.col("toxic").cast("double").alias("toxic"),
     )
+
+
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def untyped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders read as text (the shape of an untyped CSV scan), plus a column with
+    missing values and a constant column, for profiling."""
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        *[F.col(c).cast("string").alias(c) for c in ORDERS_COLUMNS],
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status_np"),
+        F.lit("orders").alias("source_table"),
+    )
+
+
+UNTYPED_ORDERS_SQL = "untyped AS (SELECT " + ", ".join(
+    [f"CAST({c} AS VARCHAR) AS {c}" for c in ORDERS_COLUMNS]
+    + ["CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status_np", "'orders' AS source_table"]
+) + " FROM orders)"
+UNTYPED_COLUMNS = ORDERS_COLUMNS + ["status_np", "source_table"]
