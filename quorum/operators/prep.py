@@ -206,3 +206,24 @@ def coerce_numeric(df: DataFrame, count_cols: Sequence[str] = ("tp", "fp", "tn",
 def stringify(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Cast the given columns to string, keeping NULL (not the text 'nan')."""
     return df.select(*[F.col(c).cast("string").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def feature_selection_report(df: DataFrame, target: str, excludes: Sequence[str] = (),
+                             decisions: Sequence[str] = (), variance_threshold: float = 0.01,
+                             correlation_threshold: float = 0.95) -> DataFrame:
+    """P1 -> P6 -> A17 -> A18 as a one-row report (counts and final feature names).
+
+    Each step is one aggregate; only per-feature results reach the driver.
+    """
+    base = project_features(df, target, excludes, decisions)
+    encoded, dummies = one_hot_drop_first(base)
+    numeric = [c for c in encoded.columns
+               if isinstance(encoded.schema[c].dataType, NUMERIC_TYPES)]
+    after_var = kept_features(variance_filter(encoded, numeric, variance_threshold), numeric)
+    corr = correlation_filter(encoded, after_var, correlation_threshold)
+    final = [r["feature"] for r in corr.filter("kept").orderBy("position").select("feature").collect()]
+    spark = df.sparkSession
+    row = (len(base.columns), len(encoded.columns), len(numeric) - len(after_var), len(after_var) - len(final),
+           len(final), final)
+    return spark.createDataFrame([row], "original_features int, after_one_hot int, removed_by_variance int, "
+                                        "removed_by_correlation int, final_features int, final_names array<string>")

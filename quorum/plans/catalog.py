@@ -405,3 +405,156 @@ def p11_infer_column_types(spark, sf_dir):
               for c, t in _ORDER_TYPES.items()) + ") t")
 def m18_dataset_profile(spark, sf_dir):
     return P.dataset_profile(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDER_TYPES), "o_orderstatus")
+
+
+# --- P1, P6, P6b, A17, A17b, A18, M17, P12, P13: preparation --------------------------------------
+
+from quorum.operators import prep as PR  # noqa: E402
+
+_EV_NUM = ["value", "k", "hour", "value_lin"]
+_EV_LEVELS = [str(i) for i in range(7)]
+
+
+@register("p1_project_features", S.with_(V.EVENTS_X_SQL) + "SELECT value, k, hour, user_group, value_lin FROM events_x")
+def p1_project_features(spark, sf_dir):
+    return PR.project_features(V.events_x(spark, sf_dir), V.TARGET, excludes=[V.ID, "not_a_column"])
+
+
+@register("p6_one_hot_drop_first", S.with_(V.EVENTS_X_SQL) + "SELECT value, k, hour, value_lin, " + ", ".join(
+    f"CASE WHEN user_group = '{v}' THEN 1 ELSE 0 END AS user_group_{v}" for v in _EV_LEVELS[1:]) + " FROM events_x")
+def p6_one_hot_drop_first(spark, sf_dir):
+    feats = PR.project_features(V.events_x(spark, sf_dir), V.TARGET, excludes=[V.ID])
+    return PR.one_hot_drop_first(feats)[0]
+
+
+@register("p6b_one_hot_preview", """
+SELECT CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(l.toxic AS DOUBLE) AS toxic, """
+          + ", ".join(f"CASE WHEN d.lang = '{v}' THEN 1 ELSE 0 END AS lang_{v}" for v in ["en", "es", "fr"]) + """
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def p6b_one_hot_preview(spark, sf_dir):
+    docs = V.docs_x(spark, sf_dir).drop("source")
+    return PR.one_hot_preview(docs, V.TARGET, excludes=[V.ID])[0]
+
+
+def _variance_sql(fn: str, threshold: float) -> str:
+    return S.with_(V.EVENTS_X_SQL) + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {fn}({c}) AS variance, coalesce({fn}({c}) > {threshold!r}::DOUBLE, false) AS kept "
+        f"FROM events_x" for c in _EV_NUM)
+
+
+@register("a17_variance_filter", _variance_sql("var_pop", 0.01))
+def a17_variance_filter(spark, sf_dir):
+    return PR.variance_filter(V.events_x(spark, sf_dir), _EV_NUM, 0.01, population=True)
+
+
+@register("a17b_variance_filter_preview", _variance_sql("var_samp", 0.01))
+def a17b_variance_filter_preview(spark, sf_dir):
+    return PR.variance_filter(V.events_x(spark, sf_dir), _EV_NUM, 0.01, population=False)
+
+
+def _corr_sql(a: str, b: str) -> str:
+    return (f"abs(covar_pop({a}, {b}) / CASE WHEN stddev_pop({a}) * stddev_pop({b}) <> 0 "
+            f"THEN stddev_pop({a}) * stddev_pop({b}) END)")
+
+
+@register("a18_correlation_filter", S.with_(V.EVENTS_X_SQL, "pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{_EV_NUM[j]}' AS feature_j, {_corr_sql(_EV_NUM[i], _EV_NUM[j])} AS r FROM events_x"
+    for j in range(len(_EV_NUM)) for i in range(j)) + ")") + """
+SELECT f.feature, f.position, max(p.r) AS max_abs_corr_earlier, coalesce(count(*) FILTER (WHERE p.r > 0.95), 0) = 0 AS kept
+FROM (VALUES """ + ", ".join(f"('{c}', {k})" for k, c in enumerate(_EV_NUM)) + """) f(feature, position)
+LEFT JOIN pairs p ON p.feature_j = f.feature
+GROUP BY f.feature, f.position""")
+def a18_correlation_filter(spark, sf_dir):
+    return PR.correlation_filter(V.events_x(spark, sf_dir), _EV_NUM, 0.95)
+
+
+@register("m17_feature_selection_report", None)
+def m17_feature_selection_report(spark, sf_dir):
+    return PR.feature_selection_report(V.events_x(spark, sf_dir), V.TARGET, [V.ID], [], 0.01, 0.95)
+
+
+@register("p12_coerce_numeric", S.with_(*_DEC_CTES) + """
+SELECT model_name, split, threshold_type, threshold, precision, recall, f1_score, accuracy, cost,
+       tp, fp, tn, fn, 'true' AS is_base_model, cost_total FROM (""" + S.decision_results_select(CFG, "base") + ") r")
+def p12_coerce_numeric(spark, sf_dir):
+    res = m8_decision_column_eval(spark, sf_dir)
+    as_text = PR.stringify(res, res.columns)
+    return PR.coerce_numeric(as_text, metric_cols=("threshold", "precision", "recall", "f1_score", "accuracy",
+                                                   "cost", "cost_total"))
+
+
+@register("p13_stringify", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS "
+          "o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderstatus FROM orders")
+def p13_stringify(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate",
+                                                               "o_orderstatus")
+    return PR.stringify(o, ["o_orderkey", "o_totalprice", "o_orderdate"])
+
+
+# --- A19-A21: curves ----------------------------------------------------------------------------
+
+from quorum.operators import curves as C  # noqa: E402
+
+
+def _score_long(spark, sf_dir):
+    lab = encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
+    return long_scores(lab, V.ID, _SC, keep=("label",))
+
+
+_CURVE_CTES = [V.SCORED_SQL, "long AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS model_name, CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS score, label FROM scored"
+    for c in _SC) + ")", """c AS (
+  SELECT model_name, score, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg
+  FROM long WHERE score IS NOT NULL GROUP BY model_name, score)""", """cum AS (
+  SELECT *, CAST(sum(pos) OVER (PARTITION BY model_name ORDER BY score DESC) AS BIGINT) AS cum_pos,
+            CAST(sum(neg) OVER (PARTITION BY model_name ORDER BY score DESC) AS BIGINT) AS cum_neg,
+            CAST(sum(pos) OVER (PARTITION BY model_name) AS BIGINT) AS P,
+            CAST(sum(neg) OVER (PARTITION BY model_name) AS BIGINT) AS N
+  FROM c)"""]
+
+
+@register("a19_roc_curve", S.with_(*_CURVE_CTES) + """
+SELECT model_name, score, CASE WHEN N > 0 THEN cum_neg / N ELSE 0.0::DOUBLE END AS fpr,
+       CASE WHEN P > 0 THEN cum_pos / P ELSE 0.0::DOUBLE END AS tpr FROM cum
+UNION ALL SELECT DISTINCT model_name, CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE FROM cum""")
+def a19_roc_curve(spark, sf_dir):
+    return C.roc_curve(_score_long(spark, sf_dir))
+
+
+@register("a19b_roc_auc", S.with_(*_CURVE_CTES) + """
+SELECT model_name, CASE WHEN 2.0::DOUBLE * P * N > 0 THEN
+         CAST(sum(CAST(neg AS HUGEINT) * (2 * cum_pos - pos)) AS DOUBLE) / (2.0::DOUBLE * P * N) END AS roc_auc
+FROM cum GROUP BY model_name, P, N""")
+def a19b_roc_auc(spark, sf_dir):
+    return C.roc_auc(_score_long(spark, sf_dir))
+
+
+_PR_POINTS = """pr AS (
+  SELECT model_name, score, pos, P,
+         CASE WHEN cum_pos + cum_neg > 0 THEN cum_pos / (cum_pos + cum_neg) ELSE 0.0::DOUBLE END AS precision,
+         CASE WHEN P > 0 THEN cum_pos / P ELSE 1.0::DOUBLE END AS recall,
+         CASE WHEN (cum_pos - pos) + cum_neg - neg > 0 THEN (cum_pos - pos) / ((cum_pos - pos) + cum_neg - neg)
+              ELSE 1.0::DOUBLE END AS prev_precision
+  FROM cum)"""
+
+
+@register("a20_pr_curve", S.with_(*_CURVE_CTES, _PR_POINTS) + """
+SELECT model_name, score, precision, recall FROM pr
+UNION ALL SELECT DISTINCT model_name, CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE FROM pr""")
+def a20_pr_curve(spark, sf_dir):
+    return C.pr_curve(_score_long(spark, sf_dir))
+
+
+@register("a20b_pr_auc", S.with_(*_CURVE_CTES, _PR_POINTS) + """
+SELECT model_name, sum(CASE WHEN P > 0 THEN pos / P ELSE 0.0::DOUBLE END * (precision + prev_precision) / 2) AS pr_auc
+FROM pr GROUP BY model_name""")
+def a20b_pr_auc(spark, sf_dir):
+    return C.pr_auc(_score_long(spark, sf_dir))
+
+
+@register("a21_score_histogram", S.with_(*_CURVE_CTES[:2]) + """
+SELECT model_name, CAST(least(greatest(floor(score * 50), 0), 49) AS INTEGER) AS bin, count(*) AS count,
+       CAST(least(greatest(floor(score * 50), 0), 49) AS INTEGER) / 50.0::DOUBLE AS bin_start
+FROM long WHERE score IS NOT NULL GROUP BY 1, 2""")
+def a21_score_histogram(spark, sf_dir):
+    return C.score_histogram(_score_long(spark, sf_dir))
