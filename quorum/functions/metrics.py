@@ -114,3 +114,13 @@ def encode_tag(c, good_tag: str, bad_tag: str) -> Column:
     """Good -> 0, Bad -> 1, anything else (incl. NULL) -> NULL."""
     c = col(c)
     return F.when(c == F.lit(bad_tag), F.lit(1)).when(c == F.lit(good_tag), F.lit(0))
+
+
+LOG_LOSS_EPS = 1e-15
+
+
+def log_loss_expr(label, prob, eps: float = LOG_LOSS_EPS) -> Column:
+    """Per-row negative log likelihood with p clipped to [eps, 1 - eps]."""
+    y = col(label)
+    p = F.greatest(F.least(col(prob), F.lit(1 - eps)), F.lit(eps))
+    return -(y * F.log(p) + (F.lit(1) - y) * F.log(F.lit(1) - p))

@@ -558,3 +558,236 @@ SELECT model_name, CAST(least(greatest(floor(score * 50), 0), 49) AS INTEGER) AS
 FROM long WHERE score IS NOT NULL GROUP BY 1, 2""")
 def a21_score_histogram(spark, sf_dir):
     return C.score_histogram(_score_long(spark, sf_dir))
+
+
+# --- U1-U4, P8, P14-P18, P21-P23, M12-M15, W4, O4, O5, A22-A24, J7, J9: results and reports ------
+
+from quorum.functions.labels import normalise_model_name  # noqa: E402
+from quorum.functions.metrics import RESULT_COLUMNS  # noqa: E402
+from quorum.operators import report as RP  # noqa: E402
+
+_RCOLS = RESULT_COLUMNS + ["cost_total"]
+_RSEL = ", ".join(_RCOLS)
+_META_MODELS = list(_SC)
+RESULTS_SQL = "results AS (" + " UNION ALL ".join(
+    f"SELECT {_RSEL} FROM ({q}) q{i}" for i, q in enumerate([
+        S.score_eval_sql(CFG, _SC),
+        ORACLES["a4_best_threshold"],
+        ORACLES["m8_decision_column_eval"],
+        ORACLES["b9_combined_runs"]])) + ")"
+SWEEP_AVG_SQL = "sweep_avg AS (" + ORACLES["a6_average_fold_sweep"] + ")"
+
+
+def results_table(spark, sf_dir) -> DataFrame:
+    """U1 over this build's result families: k-fold averages, fold bests, decisions, combined rules."""
+    return RP.union_runs(m7_score_column_eval(spark, sf_dir), a4_best_threshold(spark, sf_dir),
+                         m8_decision_column_eval(spark, sf_dir), b9_combined_runs(spark, sf_dir)).select(*_RCOLS)
+
+
+@register("u1_union_runs", S.with_(RESULTS_SQL) + "SELECT * FROM results")
+def u1_union_runs(spark, sf_dir):
+    return results_table(spark, sf_dir)
+
+
+@register("p8_filter_results", S.with_(RESULTS_SQL) + "SELECT * FROM results WHERE split = 'Full' AND "
+          "threshold_type = 'cost' AND model_name IN ('kfold_avg_s_tax', 'kfold_avg_s_qty')")
+def p8_filter_results(spark, sf_dir):
+    return RP.filter_results(results_table(spark, sf_dir), "Full", "cost", ["kfold_avg_s_tax", "kfold_avg_s_qty"])
+
+
+@register("p14_normalise_model_name", S.with_(RESULTS_SQL) +
+          "SELECT DISTINCT model_name, replace(model_name, 'kfold_avg_', '') AS base_name FROM results")
+def p14_normalise_model_name(spark, sf_dir):
+    return results_table(spark, sf_dir).select("model_name", normalise_model_name("model_name").alias("base_name")) \
+        .distinct()
+
+
+@register("p15_display_label", S.with_(RESULTS_SQL) + "SELECT model_name, split, threshold_type, threshold, "
+          "CASE WHEN threshold IS NULL THEN model_name ELSE printf('%s (τ=%.2f)', model_name, threshold) END AS label "
+          "FROM results")
+def p15_display_label(spark, sf_dir):
+    return RP.with_display_label(results_table(spark, sf_dir)).select(
+        "model_name", "split", "threshold_type", "threshold", "label")
+
+
+@register("p16_melt_metrics", S.with_(RESULTS_SQL) + " UNION ALL ".join(
+    f"SELECT model_name, split, threshold_type, '{m}' AS metric, {m} AS score FROM results" for m in RP.METRICS))
+def p16_melt_metrics(spark, sf_dir):
+    return RP.melt_metrics(results_table(spark, sf_dir))
+
+
+@register("p17_round_threshold", S.with_(RESULTS_SQL) +
+          "SELECT model_name, threshold_type, round(threshold, 4) AS threshold FROM results")
+def p17_round_threshold(spark, sf_dir):
+    return results_table(spark, sf_dir).select("model_name", "threshold_type", F.round("threshold", 4).alias("threshold"))
+
+
+@register("p17b_cost_view", S.with_(RESULTS_SQL) + "SELECT threshold_type, model_name, cost FROM results "
+          "WHERE split = 'Full'")
+def p17b_cost_view(spark, sf_dir):
+    return RP.filter_results(results_table(spark, sf_dir), "Full").select("threshold_type", "model_name", "cost")
+
+
+@register("p18_confusion_view", S.with_(RESULTS_SQL) +
+          "SELECT model_name, split, threshold_type, tp, fp, tn, fn, tp + fp + tn + fn AS total_samples FROM results")
+def p18_confusion_view(spark, sf_dir):
+    return RP.confusion_view(results_table(spark, sf_dir))
+
+
+@register("p21_sweep_projection", S.with_(SWEEP_AVG_SQL) + "SELECT model_name, 'costs' AS data_type, "
+          "list(threshold ORDER BY threshold) AS thresholds, list(cost ORDER BY threshold) AS values "
+          "FROM sweep_avg GROUP BY model_name")
+def p21_sweep_projection(spark, sf_dir):
+    return RP.sweep_projection(a6_average_fold_sweep(spark, sf_dir), "costs")
+
+
+@register("p22_radar_projection", S.with_(RESULTS_SQL) +
+          "SELECT model_name, split, threshold_type, [accuracy, precision, recall, f1_score] AS metrics FROM results")
+def p22_radar_projection(spark, sf_dir):
+    return RP.radar_projection(results_table(spark, sf_dir))
+
+
+@register("p23_confusion_layout", S.with_(RESULTS_SQL) + " UNION ALL ".join(
+    f"SELECT model_name, split, threshold_type, {a} AS actual, {p} AS predicted, {c} AS n FROM results"
+    for a, p, c in [(0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp")]))
+def p23_confusion_layout(spark, sf_dir):
+    return RP.confusion_layout(results_table(spark, sf_dir))
+
+
+def _first_match_sql(split: str, ttype: str) -> str:
+    return f"""fm AS (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY
+              CASE WHEN threshold_type = '{ttype}' THEN 0 ELSE 1 END, threshold_type) AS r
+  FROM results WHERE split = '{split}' AND (threshold_type = '{ttype}' OR is_base_model))"""
+
+
+@register("w4_first_match", S.with_(RESULTS_SQL, _first_match_sql("Full", "accuracy")) +
+          f"SELECT {_RSEL} FROM fm WHERE r = 1")
+def w4_first_match(spark, sf_dir):
+    return RP.first_match(results_table(spark, sf_dir), "Full", "accuracy").select(*_RCOLS)
+
+
+@register("m12_model_comparison", S.with_(RESULTS_SQL, _first_match_sql("Full", "cost")) + """
+SELECT model_name, coalesce(precision, 0.0::DOUBLE) AS precision, coalesce(recall, 0.0::DOUBLE) AS recall,
+       coalesce(f1_score, 0.0::DOUBLE) AS f1_score, coalesce(accuracy, 0.0::DOUBLE) AS accuracy,
+       coalesce(cost, 0.0::DOUBLE) AS cost, threshold, 'Full' AS split_name, 'cost' AS threshold_type
+FROM fm WHERE r = 1""")
+def m12_model_comparison(spark, sf_dir):
+    return RP.model_comparison(results_table(spark, sf_dir), "cost", "full")
+
+
+_SERIES = ["threshold", "precision", "recall", "f1_score", "accuracy", "cost"]
+
+
+@register("m13_sweep_series", S.with_(SWEEP_AVG_SQL, """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY cost, threshold) AS rc,
+            row_number() OVER (PARTITION BY model_name ORDER BY tp + tn DESC, threshold) AS ra FROM sweep_avg)""") +
+          "SELECT model_name, " + ", ".join(f"list({f} ORDER BY threshold) AS {f}" for f in _SERIES) +
+          ", max(threshold) FILTER (WHERE rc = 1) AS cost_optimal_threshold, "
+          "max(threshold) FILTER (WHERE ra = 1) AS accuracy_optimal_threshold FROM ranked GROUP BY model_name")
+def m13_sweep_series(spark, sf_dir):
+    return RP.sweep_series(a6_average_fold_sweep(spark, sf_dir))
+
+
+def _report_sql() -> str:
+    metas = ", ".join(f"'{m}'" for m in _META_MODELS)
+    cols = ("model_name, split, threshold_type, round(accuracy, 1) AS accuracy, round(precision, 1) AS precision, "
+            "round(recall, 1) AS recall, round(threshold, 3) AS threshold, cost, tp, fp, tn, fn")
+    norm = "replace(model_name, 'kfold_avg_', '')"
+    return S.with_(RESULTS_SQL) + f"""
+SELECT 'meta' AS section, {cols} FROM results WHERE {norm} IN ({metas}) AND split IN ('Train', 'Test', 'Full')
+  AND threshold_type IN ('cost', 'accuracy')
+UNION ALL SELECT 'base', {cols} FROM results WHERE {norm} NOT IN ({metas}) AND split IN ('Train', 'Test', 'Full')
+  AND threshold_type = 'base'
+UNION ALL SELECT 'kfold', {cols} FROM results WHERE starts_with(model_name, 'kfold_avg_')"""
+
+
+@register("m14_performance_report", _report_sql())
+def m14_performance_report(spark, sf_dir):
+    return RP.performance_report(results_table(spark, sf_dir), _META_MODELS)
+
+
+@register("m15_sweep_compare", S.with_(SWEEP_AVG_SQL) + " UNION ALL ".join(
+    f"SELECT model_name, threshold, '{m}' AS metric, {m} AS value FROM sweep_avg "
+    f"WHERE model_name IN ('kfold_avg_s_discount', 'kfold_avg_s_qty')" for m in ["cost", "accuracy", "f1_score"]))
+def m15_sweep_compare(spark, sf_dir):
+    return RP.sweep_compare(a6_average_fold_sweep(spark, sf_dir), ["kfold_avg_s_discount", "kfold_avg_s_qty"])
+
+
+@register("o4_head", S.with_(V.SCORED_SQL) + "SELECT id, gt_label, s_discount, s_tax, s_qty, d_status, d_bigqty "
+          "FROM scored ORDER BY id LIMIT 5")
+def o4_head(spark, sf_dir):
+    return V.scored(spark, sf_dir).orderBy(V.ID).limit(5)
+
+
+@register("o5_sorted_thresholds", S.with_(*_M7_CTES) + "SELECT DISTINCT threshold FROM sweep")
+def o5_sorted_thresholds(spark, sf_dir):
+    return a3_threshold_sweep(spark, sf_dir).select("threshold").distinct().orderBy("threshold")
+
+
+@register("u2_except_models", S.with_(RESULTS_SQL) + "SELECT DISTINCT model_name FROM results WHERE "
+          "replace(model_name, 'kfold_avg_', '') NOT IN (" + ", ".join(f"'{m}'" for m in _META_MODELS) + ")")
+def u2_except_models(spark, sf_dir):
+    return RP.except_models(results_table(spark, sf_dir), _META_MODELS)
+
+
+@register("u3_union_keys", S.with_(*_M7_CTES) + "SELECT DISTINCT model_name, threshold FROM sweep")
+def u3_union_keys(spark, sf_dir):
+    sweep = a3_threshold_sweep(spark, sf_dir)
+    folds = [sweep.filter(F.col("fold") == k).select("model_name", "threshold") for k in range(1, CFG.n_splits + 1)]
+    return RP.union_runs(*folds).distinct()
+
+
+@register("u4_subset_test", ORACLES["p20_classify_model_kind"].replace(
+    "CASE WHEN count(s) > 0 AND bool_and(coalesce(s IN (0.0, 1.0), true)) THEN 'decision' ELSE 'meta' END\n       AS model_kind",
+    "coalesce(bool_and(s IN (0.0, 1.0)), true) AS is_subset"))
+def u4_subset_test(spark, sf_dir):
+    preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
+    s = M.nan_to_null("score")
+    return preds.groupBy("model_name").agg(F.coalesce(F.bool_and(s.isin(0.0, 1.0)), F.lit(True)).alias("is_subset"))
+
+
+@register("a22_group_by_model", S.with_(RESULTS_SQL) + "SELECT model_name, count(*) AS n_records, " + ", ".join(
+    f"list({f} ORDER BY split, threshold_type, threshold NULLS FIRST) AS {f}s"
+    for f in ["split", "threshold_type", "threshold", "accuracy", "cost", "tp", "fp", "tn", "fn"])
+    + " FROM results GROUP BY model_name")
+def a22_group_by_model(spark, sf_dir):
+    return RP.group_by_model(results_table(spark, sf_dir))
+
+
+@register("a23_log_loss", S.with_(V.SCORED_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS model_name, avg(-(label * ln(greatest(least({c}, 1 - 1e-15), 1e-15)) + (1 - label) * "
+    f"ln(1 - greatest(least({c}, 1 - 1e-15), 1e-15)))) AS log_loss FROM scored" for c in _SC))
+def a23_log_loss(spark, sf_dir):
+    lab = encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
+    return RP.union_runs(*[lab.select(F.lit(c).alias("model_name"), M.log_loss_expr("label", c).alias("log_loss"))
+                           .agg(F.first("model_name").alias("model_name"), F.avg("log_loss").alias("log_loss"))
+                           for c in _SC])
+
+
+@register("a24_store_summary", S.with_(RESULTS_SQL, V.SCORED_SQL) + """
+SELECT 'results' AS dataset, count(*) AS rows, list(DISTINCT model_name ORDER BY model_name) AS models FROM results
+UNION ALL
+SELECT 'predictions', count(*) * 5, ['d_bigqty', 'd_status', 'kfold_avg_s_discount', 'kfold_avg_s_qty', 'kfold_avg_s_tax']
+FROM scored""")
+def a24_store_summary(spark, sf_dir):
+    preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
+    return RP.store_summary({"results": results_table(spark, sf_dir), "predictions": preds})
+
+
+@register("j7_metrics_scores_join", S.with_(RESULTS_SQL, V.SCORED_SQL) + f"""
+SELECT r.*, p.n_predictions, p.n_kinds FROM results r LEFT JOIN (
+  SELECT m AS model_name, count(*) AS n_predictions, CAST(1 AS BIGINT) AS n_kinds FROM scored,
+  (VALUES ('d_bigqty'), ('d_status'), ('kfold_avg_s_discount'), ('kfold_avg_s_qty'), ('kfold_avg_s_tax')) v(m)
+  GROUP BY m) p ON r.model_name = p.model_name""")
+def j7_metrics_scores_join(spark, sf_dir):
+    preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
+    return RP.metrics_scores_join(results_table(spark, sf_dir), preds)
+
+
+@register("j9_tag_membership", S.with_(RESULTS_SQL, V.SCORED_SQL) + """
+SELECT * FROM results WHERE model_name IN (SELECT 'kfold_avg_' || m FROM (VALUES ('s_discount'), ('s_tax'), ('s_qty')) v(m)
+                                           UNION ALL SELECT 'd_status' UNION ALL SELECT 'd_bigqty')""")
+def j9_tag_membership(spark, sf_dir):
+    preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
+    return results_table(spark, sf_dir).join(preds.select("model_name").distinct(), "model_name", "left_semi")
