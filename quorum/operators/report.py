@@ -162,7 +162,7 @@ def group_by_model(results: DataFrame) -> DataFrame:
     fields = ["split", "threshold_type", "threshold", "accuracy", "cost", "tp", "fp", "tn", "fn"]
     recs = F.array_sort(F.collect_list(F.struct(*fields)))
     return results.groupBy("model_name").agg(recs.alias("_r")).select(
-        "model_name", F.size("_r").alias("n_records"), *[F.col(f"_r.{f}").alias(f"{f}s") for f in fields])
+        "model_name", F.size("_r").cast("long").alias("n_records"), *[F.col(f"_r.{f}").alias(f"{f}s") for f in fields])
 
 
 def store_summary(datasets: dict[str, DataFrame]) -> DataFrame:
@@ -185,7 +185,7 @@ def metrics_scores_join(results: DataFrame, predictions: DataFrame) -> DataFrame
 def importance_rank(imp: DataFrame) -> DataFrame:
     """W3 + O1: 1-based rank by importance descending (ties by position, then name)."""
     order = [F.desc("importance")] + ([F.asc("position")] if "position" in imp.columns else []) + [F.asc("feature")]
-    return imp.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return imp.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def importance_outer(tables: dict[str, DataFrame]) -> DataFrame:
@@ -208,6 +208,6 @@ def topk_features(tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
     """O3: top-k features per model side by side ('N/A' when a model has fewer)."""
     ranked = [importance_rank(t).filter(F.col("rank") <= k).select("rank", F.col("feature").alias(name))
               for name, t in tables.items()]
-    spine = ranked[0].sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("rank"))
+    spine = ranked[0].sparkSession.range(1, k + 1).select(F.col("id").alias("rank"))
     out = reduce(lambda acc, r: acc.join(r, "rank", "left"), ranked, spine)
     return out.select("rank", *[F.coalesce(F.col(n), F.lit("N/A")).alias(n) for n in tables])

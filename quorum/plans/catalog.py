@@ -791,3 +791,70 @@ SELECT * FROM results WHERE model_name IN (SELECT 'kfold_avg_' || m FROM (VALUES
 def j9_tag_membership(spark, sf_dir):
     preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
     return results_table(spark, sf_dir).join(preds.select("model_name").distinct(), "model_name", "left_semi")
+
+
+# --- W3, O1-O3, J6: importance tables -------------------------------------------------------------
+
+from quorum.operators.importance import univariate_importance  # noqa: E402
+
+_IMP_NUM = ["value", "k", "hour"]
+_IMP_FEATS = _IMP_NUM + [f"user_group_{v}" for v in _EV_LEVELS[1:]]
+
+
+def _encoded_events(spark, sf_dir):
+    ev = encode_target(V.events_x(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
+    return PR.one_hot_drop_first(ev.drop("value_lin"), ["user_group"])[0]
+
+
+def _importances(spark, sf_dir):
+    enc = _encoded_events(spark, sf_dir)
+    return {"corr": univariate_importance(enc, _IMP_FEATS, "label", "corr"),
+            "covar": univariate_importance(enc, _IMP_NUM, "label", "covar")}
+
+
+_ENC_EVENTS_SQL = ("enc AS (SELECT *, CASE WHEN gt_label = 'Bad' THEN 1 ELSE 0 END AS label, " + ", ".join(
+    f"CASE WHEN user_group = '{v}' THEN 1 ELSE 0 END AS user_group_{v}" for v in _EV_LEVELS[1:]) + " FROM events_x)")
+_IMP_SQL = [V.EVENTS_X_SQL, _ENC_EVENTS_SQL, "imp_corr AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {_corr_sql(c, 'label')} AS importance, {i} AS position FROM enc"
+    for i, c in enumerate(_IMP_FEATS)) + ")", "imp_covar AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(covar_pop({c}, label)) AS importance, {i} AS position FROM enc"
+    for i, c in enumerate(_IMP_NUM)) + ")"]
+
+
+@register("w3_importance_rank", S.with_(*_IMP_SQL) + "SELECT feature, importance, position, "
+          "row_number() OVER (ORDER BY importance DESC, position, feature) AS rank FROM imp_corr")
+def w3_importance_rank(spark, sf_dir):
+    return RP.importance_rank(_importances(spark, sf_dir)["corr"])
+
+
+@register("o1_sort_importance", S.with_(*_IMP_SQL) + "SELECT feature, importance FROM imp_corr "
+          "ORDER BY importance DESC")
+def o1_sort_importance(spark, sf_dir):
+    return _importances(spark, sf_dir)["corr"].select("feature", "importance").orderBy(F.desc("importance"))
+
+
+_OUTER_SQL = ("SELECT coalesce(a.feature, b.feature) AS feature, coalesce(a.importance, 0.0::DOUBLE) AS corr, "
+              "coalesce(b.importance, 0.0::DOUBLE) AS covar FROM imp_corr a FULL OUTER JOIN imp_covar b "
+              "ON a.feature = b.feature")
+
+
+@register("j6_importance_outer", S.with_(*_IMP_SQL) + _OUTER_SQL)
+def j6_importance_outer(spark, sf_dir):
+    return RP.importance_outer(_importances(spark, sf_dir))
+
+
+@register("o2_importance_diff", S.with_(*_IMP_SQL) + "SELECT feature, corr, covar, corr - covar AS difference FROM ("
+          + _OUTER_SQL + ") j")
+def o2_importance_diff(spark, sf_dir):
+    return RP.importance_diff(_importances(spark, sf_dir))
+
+
+@register("o3_topk_features", S.with_(*_IMP_SQL, """rk AS (
+  SELECT 'corr' AS m, feature, row_number() OVER (ORDER BY importance DESC, position, feature) AS rank FROM imp_corr
+  UNION ALL
+  SELECT 'covar', feature, row_number() OVER (ORDER BY importance DESC, position, feature) FROM imp_covar)""") + """
+SELECT r.rank, coalesce(a.feature, 'N/A') AS corr, coalesce(b.feature, 'N/A') AS covar
+FROM range(1, 6) r(rank) LEFT JOIN rk a ON a.m = 'corr' AND a.rank = r.rank
+LEFT JOIN rk b ON b.m = 'covar' AND b.rank = r.rank""")
+def o3_topk_features(spark, sf_dir):
+    return RP.topk_features(_importances(spark, sf_dir), 5)
