@@ -858,3 +858,26 @@ FROM range(1, 6) r(rank) LEFT JOIN rk a ON a.m = 'corr' AND a.rank = r.rank
 LEFT JOIN rk b ON b.m = 'covar' AND b.rank = r.rank""")
 def o3_topk_features(spark, sf_dir):
     return RP.topk_features(_importances(spark, sf_dir), 5)
+
+
+# --- J8, M3: neighbours and oversampling -----------------------------------------------------------
+
+from quorum.operators.neighbours import knn_join, smote  # noqa: E402
+
+
+@register("j8_knn_join", """
+SELECT qid, rid, distance, rank FROM (
+  SELECT CAST(a.vec_id AS VARCHAR) AS qid, CAST(b.vec_id AS VARCHAR) AS rid,
+         list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]),
+                            CAST(b.embedding AS DOUBLE[])), CAST(b.vec_id AS VARCHAR)) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) t
+WHERE rank <= 5""")
+def j8_knn_join(spark, sf_dir):
+    vec = V.vectors(spark, sf_dir)
+    return knn_join(vec, vec, 5, V.ID, "embedding", exclude_self=True)
+
+
+@register("m3_smote", None)
+def m3_smote(spark, sf_dir):
+    return smote(V.vectors(spark, sf_dir), V.ID, "label", "embedding", ratio=0.5, k=5, seed=CFG.seed)
