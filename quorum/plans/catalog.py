@@ -50,8 +50,8 @@ from quorum.operators import rules as R  # noqa: E402
 from quorum.operators.folds import stratified_kfold, stratified_split  # noqa: E402
 from quorum.operators.prep import encode_decision, encode_target, invalid_decisions  # noqa: E402
 from quorum.plans.pipeline import (  # noqa: E402
-    base_predictions, decision_column_eval, decision_long, folded, labels_of, long_scores,
-    score_column_sweeps)
+    apply_rules, base_predictions, decision_column_eval, decision_long, folded, labels_of, long_scores,
+    run_pipeline, score_column_sweeps)
 
 _SC = V.SCORE_COLUMNS
 _DC = V.DECISION_COLUMNS
@@ -881,3 +881,170 @@ def j8_knn_join(spark, sf_dir):
 @register("m3_smote", None)
 def m3_smote(spark, sf_dir):
     return smote(V.vectors(spark, sf_dir), V.ID, "label", "embedding", ratio=0.5, k=5, seed=CFG.seed)
+
+
+# --- M2, M4-M6, M9-M11, M16, S9, S10: models -----------------------------------------------------
+
+import uuid  # noqa: E402
+
+from quorum.operators import models as ML  # noqa: E402
+from quorum.operators.importance import model_importance  # noqa: E402
+from quorum.session import ensure_checkpoint_dir  # noqa: E402
+from quorum.sources import tables as IO  # noqa: E402
+
+_LR = ML.ModelSpec("LogisticRegression", {"max_iter": 50, "C": 10.0}, CFG.seed)
+_RF = ML.ModelSpec("RandomForest", {"n_estimators": 20, "max_depth": 5, "min_samples_leaf": 5}, CFG.seed)
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's (shared) checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quorum-io/{name}-{uuid.uuid4().hex}"
+
+
+def _events_folded(spark, sf_dir):
+    return stratified_kfold(_encoded_events(spark, sf_dir), V.ID, "label", CFG.n_splits, CFG.seed)
+
+
+@register("m2_train_and_score", None)
+def m2_train_and_score(spark, sf_dir):
+    enc = stratified_split(_encoded_events(spark, sf_dir), V.ID, "label", CFG.test_size, CFG.seed)
+    out = ML.train_and_score(_LR, enc.filter("split = 'Train'"), {"Test": enc.filter("split = 'Test'")}, _IMP_FEATS,
+                             V.ID)
+    return out["Test"]
+
+
+@register("m4_class_weights", S.with_(*_IMP_SQL[:2]) + "SELECT label, CAST(count(*) OVER () AS DOUBLE) / "
+          "(2 * count(*) OVER (PARTITION BY label)) AS weight, id FROM enc")
+def m4_class_weights(spark, sf_dir):
+    return ML.class_weights(_encoded_events(spark, sf_dir)).select("label", "weight", V.ID)
+
+
+@register("m5_hyperparam_search", None)
+def m5_hyperparam_search(spark, sf_dir):
+    space = {"C": [0.1, 1.0, 10.0], "max_iter": [20, 50]}
+    return ML.hyperparam_search(_LR, _events_folded(spark, sf_dir), _IMP_FEATS, space, n_trials=3,
+                                seed=CFG.seed)[1]
+
+
+@register("m6_cv_evaluate", None)
+def m6_cv_evaluate(spark, sf_dir):
+    cv = ML.cv_evaluate(_events_folded(spark, sf_dir), {"LogisticRegression": _LR, "RandomForest": _RF},
+                        _IMP_FEATS, CFG, V.ID, cache=False)
+    return cv["results"]
+
+
+@register("m9_final_model", None)
+def m9_final_model(spark, sf_dir):
+    return ML.final_model(_RF, _encoded_events(spark, sf_dir), _IMP_FEATS, CFG, V.ID)[1]
+
+
+@register("m10_batch_predict", None)
+def m10_batch_predict(spark, sf_dir):
+    enc = _encoded_events(spark, sf_dir)
+    path = _scratch(spark, "model")
+    model = ML.fit(_LR, enc, _IMP_FEATS)
+    IO.save_model(model, path)
+    contract = IO.feature_contract(enc, _IMP_FEATS, [f for f in _IMP_FEATS if f.startswith("user_group_")], V.ID)
+    return ML.batch_predict(path, enc.select(V.ID, *_IMP_FEATS), contract)
+
+
+@register("m11_feature_importance", None)
+def m11_feature_importance(spark, sf_dir):
+    model = ML.fit(_RF, _encoded_events(spark, sf_dir), _IMP_FEATS)
+    return RP.importance_rank(model_importance(model.stages[-1], _IMP_FEATS, spark))
+
+
+@register("s10_feature_contract", S.with_(*_IMP_SQL[:2], "first AS (SELECT * FROM enc ORDER BY id LIMIT 1)") +
+          " UNION ALL ".join(
+              f"SELECT {i} AS position, '{c}' AS name, 'f{i}' AS alias, "
+              f"'{'double' if c in _IMP_NUM else 'int'}' AS dtype, {str(c.startswith('user_group_')).lower()} AS "
+              f"is_encoded, CAST({c} AS VARCHAR) AS sample, '[]' AS filters FROM first"
+              for i, c in enumerate(_IMP_FEATS)))
+def s10_feature_contract(spark, sf_dir):
+    enc = _encoded_events(spark, sf_dir)
+    return IO.feature_contract(enc, _IMP_FEATS, [f for f in _IMP_FEATS if f.startswith("user_group_")], V.ID)
+
+
+@register("m16_run_pipeline", None)
+def m16_run_pipeline(spark, sf_dir):
+    out = run_pipeline(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, {"LogisticRegression": _LR},
+                       score_cols=_SC, decision_cols=_DC, rules=RULES[:3], cache=False)
+    return out["results"]
+
+
+# --- S1-S8, B10: scans, sinks and stores ------------------------------------------------------------
+
+@register("s1_scan_table", "SELECT * FROM lineitem")
+def s1_scan_table(spark, sf_dir):
+    return IO.scan_table(spark, f"{sf_dir}/lineitem.parquet")
+
+
+@register("s2_scan_sample", None)
+def s2_scan_sample(spark, sf_dir):
+    return IO.scan_sample(IO.scan_table(spark, f"{sf_dir}/orders.parquet"), 5)
+
+
+@register("s3_scan_untyped", ORACLES["p11_infer_column_types"])
+def s3_scan_untyped(spark, sf_dir):
+    path = _scratch(spark, "untyped")
+    IO.sink_csv(V.untyped_orders(spark, sf_dir), path)
+    return P.infer_column_types(IO.scan_untyped(spark, path))
+
+
+_SCORED_SCHEMA = ("id string, gt_label string, s_discount double, s_tax double, s_qty double, d_status string, "
+                  "d_bigqty string")
+
+
+@register("s4_sink_csv", S.with_(V.SCORED_SQL) + "SELECT id, gt_label, s_discount, s_tax, s_qty, d_status, d_bigqty "
+          "FROM scored")
+def s4_sink_csv(spark, sf_dir):
+    path = _scratch(spark, "scored-csv")
+    IO.sink_csv(V.scored(spark, sf_dir), path)
+    return IO.scan_table(spark, path, "csv", _SCORED_SCHEMA)
+
+
+@register("s5_scan_result_csvs", S.with_(RESULTS_SQL) + "SELECT * FROM results")
+def s5_scan_result_csvs(spark, sf_dir):
+    base = _scratch(spark, "result-csvs")
+    res = results_table(spark, sf_dir)
+    IO.sink_csv(res, f"{base}/model_metrics")
+    IO.sink_csv(RP.confusion_view(res), f"{base}/confusion_matrices")
+    return IO.scan_result_csvs(spark, base)["model_metrics"]
+
+
+@register("s6_scan_sweep_json", S.with_(SWEEP_AVG_SQL) + "SELECT model_name, threshold, cost, accuracy, f1_score "
+          "FROM sweep_avg")
+def s6_scan_sweep_json(spark, sf_dir):
+    path = _scratch(spark, "sweep-json")
+    IO.write_sweep_json(a6_average_fold_sweep(spark, sf_dir), path)
+    return IO.scan_sweep_json(spark, path)
+
+
+@register("s7_scan_metrics_json", S.with_(RESULTS_SQL) + "SELECT * FROM results")
+def s7_scan_metrics_json(spark, sf_dir):
+    path = _scratch(spark, "metrics-json")
+    IO.write_metrics_json(results_table(spark, sf_dir), path)
+    return IO.scan_metrics_json(spark, path).select(*_RCOLS)
+
+
+def _stored_run(spark, sf_dir):
+    store = IO.ResultsStore(spark, _scratch(spark, "store"))
+    df = V.scored(spark, sf_dir)
+    base = RP.union_runs(m7_score_column_eval(spark, sf_dir), m8_decision_column_eval(spark, sf_dir))
+    store.save("run1", {"model_metrics": base.select(*_RCOLS),
+                        "predictions": base_predictions(df, CFG, V.ID, _SC, _DC),
+                        "labels": labels_of(df, CFG, V.ID, V.TARGET)})
+    return store
+
+
+@register("s8_results_store", S.with_(RESULTS_SQL) + "SELECT *, 'run1' AS run_id FROM results WHERE "
+          "split = 'Full' AND threshold_type IN ('cost', 'accuracy', 'base')")
+def s8_results_store(spark, sf_dir):
+    store = _stored_run(spark, sf_dir)
+    return store.load("model_metrics", "run1")
+
+
+@register("b10_apply_rules", ORACLES["b9_combined_runs"])
+def b10_apply_rules(spark, sf_dir):
+    store = _stored_run(spark, sf_dir)
+    return apply_rules(store, "run1", RULES, CFG, RULE_THRESHOLDS).select(*_RCOLS)

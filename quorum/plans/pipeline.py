@@ -101,3 +101,68 @@ def base_predictions(df: DataFrame, cfg: EvalConfig, id_col: str, score_cols: Se
 
 def labels_of(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataFrame:
     return encode_target(df, target, cfg.good_tag, cfg.bad_tag).select(F.col(id_col).alias("id"), "label")
+
+
+def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: dict | None = None) -> DataFrame:
+    """Read stored predictions and labels, evaluate the enabled rules, append the
+    combined results and predictions to the store, return the combined results.
+    Rules in one call see only runs stored before the call."""
+    from quorum.operators.rules import combined_runs
+
+    preds = store.load("predictions", run_id).drop("run_id")
+    labels = store.load("labels", run_id).drop("run_id")
+    enabled = [r for r in rules if r.enabled and r.columns]
+    if not enabled:
+        return store.load("model_metrics", run_id).limit(0).drop("run_id")
+    results, combined = combined_runs(preds, labels, enabled, cfg.costs, cfg.n_splits, model_thresholds)
+    store.append(run_id, "model_metrics", results)
+    store.append(run_id, "predictions", combined)
+    names = [r.name for r in enabled]
+    return store.load("model_metrics", run_id).filter(F.col("model_name").isin(names)).drop("run_id")
+
+
+def run_pipeline(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, specs: dict,
+                 score_cols=(), decision_cols=(), rules=(), excludes=(), variance_threshold: float | None = None,
+                 correlation_threshold: float | None = None, use_smote: bool = False,
+                 cache: bool = True) -> dict[str, DataFrame]:
+    """Prepare -> folds -> model CV (M6) -> score columns (M7) -> decisions (M8)
+    -> rules (B9) -> one results table (U1) plus predictions and labels."""
+    from quorum.operators import prep as PR
+    from quorum.operators.models import cv_evaluate
+    from quorum.operators.report import union_runs
+    from quorum.operators.rules import combined_runs
+
+    labelled = encode_target(df, target, cfg.good_tag, cfg.bad_tag)
+    feats = PR.project_features(labelled, target, [id_col, "label", *excludes], list(decision_cols))
+    cats = PR.split_dtypes(feats)[1]
+    frame = PR.one_hot_drop_first(labelled, cats)[0] if cats else labelled
+    numeric = set(PR.split_dtypes(frame)[0])
+    skip = {id_col, "label", target, *excludes, *decision_cols}
+    features = [c for c in frame.columns if c in numeric and c not in skip]
+    if variance_threshold is not None:
+        features = PR.kept_features(PR.variance_filter(frame, features, variance_threshold), features)
+    if correlation_threshold is not None:
+        rep = PR.correlation_filter(frame, features, correlation_threshold)
+        kept = {r["feature"] for r in rep.filter("kept").collect()}
+        features = [c for c in features if c in kept]
+    folded_df = stratified_kfold(frame, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex)
+    parts, preds = [], []
+    if specs:
+        cv = cv_evaluate(folded_df, specs, features, cfg, id_col, use_smote, cache=cache)
+        parts.append(cv["results"])
+        preds.append(cv["predictions"])
+    if score_cols:
+        parts.append(score_column_eval(df, cfg, id_col, target, score_cols)["results"])
+    if decision_cols:
+        parts.append(decision_column_eval(df, cfg, id_col, target, decision_cols))
+    if score_cols or decision_cols:
+        preds.append(base_predictions(df, cfg, id_col, score_cols, decision_cols))
+    predictions = preds[0]
+    for p in preds[1:]:
+        predictions = predictions.unionByName(p)
+    labels = labels_of(df, cfg, id_col, target)
+    if rules:
+        res, comb = combined_runs(predictions, labels, rules, cfg.costs, cfg.n_splits)
+        parts.append(res)
+        predictions = predictions.unionByName(comb)
+    return {"results": union_runs(*parts), "predictions": predictions, "labels": labels, "features": features}
