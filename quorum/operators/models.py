@@ -193,7 +193,8 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
 
 
 def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str], space: dict,
-                      n_trials: int = 25, seed: int = 42, parallelism: int = 4) -> tuple[ModelSpec, DataFrame]:
+                      n_trials: int = 25, seed: int = 42, parallelism: int = 4,
+                      n_folds: int = 5) -> tuple[ModelSpec, DataFrame]:
     """M5: seeded random sample of the parameter grid, scored by mean log loss over the
     W1 folds (``foldCol``); a combination that fails to fit scores -10. Returns
     (best spec, trials frame)."""
@@ -210,7 +211,7 @@ def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str
         try:
             est = build_estimator(cand, len(features))
             cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
-                                foldCol="fold", parallelism=parallelism, seed=seed)
+                                foldCol="fold", numFolds=n_folds, parallelism=parallelism, seed=seed)
             # foldCol holds 0-based fold ids
             model = cv.fit(data.withColumn("fold", F.col("fold") - 1))
             value = -float(model.avgMetrics[0])

@@ -923,7 +923,7 @@ def m4_class_weights(spark, sf_dir):
 def m5_hyperparam_search(spark, sf_dir):
     space = {"C": [0.1, 1.0, 10.0], "max_iter": [20, 50]}
     return ML.hyperparam_search(_LR, _events_folded(spark, sf_dir), _IMP_FEATS, space, n_trials=3,
-                                seed=CFG.seed)[1]
+                                seed=CFG.seed, n_folds=CFG.n_splits)[1]
 
 
 @register("m6_cv_evaluate", None)
