@@ -19,7 +19,7 @@ from quorum.functions.metrics import encode_tag
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 # Pair expressions per aggregate: keeps generated code under the JVM method limit.
-_PAIR_CHUNK = 200
+_PAIR_CHUNK = 30
 
 
 def encode_target(df: DataFrame, target: str, good_tag: str, bad_tag: str, label_col: str = "label") -> DataFrame:
@@ -150,21 +150,72 @@ def _pair_corr(a: str, b: str) -> Column:
     return F.abs(F.covar_pop(x, y) / F.when(den != 0, den))
 
 
+def _moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict]:
+    """Pass 1: row count and per-column (non-null count, mean, min, max) — p small numbers."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[
+        F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"),
+                 F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")).alias(c)
+        for c in cols]).collect()[0]
+    return row["_n"], {c: row[c] for c in cols}
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_i, feature_j, abs_corr, i, j) for i < j, computed in chunked aggregates."""
+    """(feature_i, feature_j, abs_corr, i, j) for i < j.
+
+    Two passes: per-column moments, then ONE aggregate of centred sums. When
+    every column is complete the pair terms reduce to sum(x_i x_j) (p(p-1)/2
+    sums plus 2p); otherwise each pair sums over its pairwise-complete rows.
+    Pair expressions are chunked to keep generated code small. Constant
+    columns give NULL (undefined correlation).
+    """
     cols = list(cols)
     pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
     if not pairs:
         return df.sparkSession.createDataFrame(
             [], "feature_i string, feature_j string, abs_corr double, i int, j int")
+    n, mom = _moments(df, cols)
+    const = {c for c in cols if mom[c]["n"] == 0 or mom[c]["lo"] == mom[c]["hi"]}
+    complete = all(mom[c]["n"] == n for c in cols)
+
+    def centred(c):
+        return F.col(c).cast("double") - F.lit(float(mom[c]["mean"] or 0.0))
+
+    def r_expr(nn, sx, sy, sxx, syy, sxy):
+        vx = sxx - sx * sx / nn
+        vy = syy - sy * sy / nn
+        den = F.sqrt(vx * vy)
+        return F.abs((sxy - sx * sy / nn) / F.when(den > 0, den))
+
     parts = []
-    for s in range(0, len(pairs), _PAIR_CHUNK):
-        chunk = pairs[s:s + _PAIR_CHUNK]
-        row = df.agg(*[_pair_corr(cols[i], cols[j]).alias(f"p{i}_{j}") for i, j in chunk])
-        arr = F.array(*[F.struct(F.lit(cols[i]).alias("feature_i"), F.lit(cols[j]).alias("feature_j"),
-                                 F.col(f"p{i}_{j}").alias("abs_corr"), F.lit(i).alias("i"), F.lit(j).alias("j"))
-                        for i, j in chunk])
+    if complete:
+        aggs = [F.sum(centred(c)).alias(f"s{k}") for k, c in enumerate(cols)]
+        aggs += [F.sum(centred(c) * centred(c)).alias(f"q{k}") for k, c in enumerate(cols)]
+        aggs += [F.sum(centred(cols[i]) * centred(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]
+        row = df.agg(*aggs)
+        nn = F.lit(float(n))
+        arr = F.array(*[F.struct(
+            F.lit(cols[i]).alias("feature_i"), F.lit(cols[j]).alias("feature_j"),
+            (F.lit(None).cast("double") if cols[i] in const or cols[j] in const else
+             r_expr(nn, F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}"), F.col(f"p{i}_{j}")))
+            .alias("abs_corr"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
         parts.append(row.select(F.inline(arr)))
+    else:
+        for s0 in range(0, len(pairs), _PAIR_CHUNK):
+            chunk = pairs[s0:s0 + _PAIR_CHUNK]
+            aggs = []
+            for i, j in chunk:
+                both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
+                x, y = F.when(both, centred(cols[i])), F.when(both, centred(cols[j]))
+                aggs += [F.count_if(both).cast("double").alias(f"n{i}_{j}"), F.sum(x).alias(f"sx{i}_{j}"),
+                         F.sum(y).alias(f"sy{i}_{j}"), F.sum(x * x).alias(f"sxx{i}_{j}"),
+                         F.sum(y * y).alias(f"syy{i}_{j}"), F.sum(x * y).alias(f"sxy{i}_{j}")]
+            row = df.agg(*aggs)
+            arr = F.array(*[F.struct(
+                F.lit(cols[i]).alias("feature_i"), F.lit(cols[j]).alias("feature_j"),
+                (F.lit(None).cast("double") if cols[i] in const or cols[j] in const else
+                 r_expr(F.col(f"n{i}_{j}"), *[F.col(f"{t}{i}_{j}") for t in ("sx", "sy", "sxx", "syy", "sxy")]))
+                .alias("abs_corr"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in chunk])
+            parts.append(row.select(F.inline(arr)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

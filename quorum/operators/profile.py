@@ -131,15 +131,15 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy:
     distinct values); ``approx=True`` switches to ``percentile_approx`` for
     high-cardinality columns at scale.
     """
-    def q(c, p):
-        x = F.col(c).cast("double")
-        return F.percentile_approx(x, p, accuracy).cast("double") if approx else F.percentile(x, p)
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
 
     def stats(c):
         x = F.col(c).cast("double")
+        # one quantile aggregate per column computes all three quartiles
+        qs = F.percentile_approx(x, probs, accuracy).cast("array<double>") if approx else F.percentile(x, probs)
         return F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                        F.min(x).alias("min"), q(c, 0.25).alias("q25"), q(c, 0.5).alias("q50"),
-                        q(c, 0.75).alias("q75"), F.max(x).alias("max")).alias(c)
+                        F.min(x).alias("min"), qs[0].alias("q25"), qs[1].alias("q50"),
+                        qs[2].alias("q75"), F.max(x).alias("max")).alias(c)
 
     agg = df.agg(*[stats(c) for c in cols])
     fields = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]

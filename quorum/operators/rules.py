@@ -149,3 +149,40 @@ def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rul
     results = decision_results(counts, costs, n_splits, "combined")
     preds = long.select("model_name", F.lit("Full").alias("kind"), "id", F.col("pred").cast("double").alias("score"))
     return results, preds
+
+
+def combined_runs_wide(wide: DataFrame, label_col: str, model_cols: dict[str, str], rules: Sequence[Rule],
+                       costs: Costs, n_splits: int, model_thresholds: dict[str, float] | None = None,
+                       id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """B9 over a wide frame (one column per model, e.g. the scored table itself).
+
+    Same semantics as ``combined_runs`` without the long -> wide pivot: the
+    model-kind test (P20) is one small aggregate, then all rules are one
+    projection, one unpivot and one count — no shuffle of rows at all.
+    ``model_cols`` maps run name -> column of ``wide`` holding its 0/1 or score series.
+    """
+    run_names = list(model_cols)
+    rules = validate_rules(rules, run_names)
+    mapping = resolve_columns(rules, run_names)
+    models = list(dict.fromkeys(mapping[c] for r in rules for c in r.columns))
+    kinds_row = wide.agg(*[
+        (F.count(M.nan_to_null(model_cols[m])) > 0)
+        & F.coalesce(F.bool_and(F.coalesce(M.nan_to_null(model_cols[m]).isin(0.0, 1.0), F.lit(True))), F.lit(True))
+        for m in models]).collect()[0]
+    is_dec = {m: bool(kinds_row[i]) for i, m in enumerate(models)}
+    thresholds = model_thresholds or {}
+
+    def decision(c: str) -> Column:
+        m = mapping[c]
+        s = M.nan_to_null(model_cols[m])
+        if is_dec[m]:
+            return F.coalesce(s.cast("int"), F.lit(0))
+        return M.apply_threshold(s, thresholds.get(c, DEFAULT_RULE_THRESHOLD))
+
+    combos = [combine(r.logic, [decision(c) for c in r.columns]).alias(r.name) for r in rules]
+    ruled = wide.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), *combos)
+    long = ruled.unpivot(["id", "label"], [r.name for r in rules], "model_name", "pred")
+    counts = confusion_counts(long, ["model_name"], "label", "pred")
+    results = decision_results(counts, costs, n_splits, "combined")
+    preds = long.select("model_name", F.lit("Full").alias("kind"), "id", F.col("pred").cast("double").alias("score"))
+    return results, preds

@@ -213,10 +213,12 @@ def _rules_sql(rules, thresholds) -> str:
 
 
 def _combined(spark, sf_dir, rules, thresholds):
-    df = V.scored(spark, sf_dir)
-    preds = base_predictions(df, CFG, V.ID, _SC, _DC)
-    return R.combined_runs(preds, labels_of(df, CFG, V.ID, V.TARGET), rules, CFG.costs, CFG.n_splits,
-                           thresholds)
+    """B9 on the scored table itself (wide path: no pivot); B10 exercises the stored long path."""
+    df = encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
+    wide = df.select(V.ID, "label", *[F.col(c).alias(f"kfold_avg_{c}") for c in _SC],
+                     *[encode_decision(c, CFG.good_tag, CFG.bad_tag).cast("double").alias(c) for c in _DC])
+    cols = {**{f"kfold_avg_{c}": f"kfold_avg_{c}" for c in _SC}, **{c: c for c in _DC}}
+    return R.combined_runs_wide(wide, "label", cols, rules, CFG.costs, CFG.n_splits, thresholds, V.ID)
 
 
 for _i, (_op, _rules) in enumerate(_OP_RULES.items(), start=1):
