@@ -40,17 +40,40 @@ def score_column_sweeps(df: DataFrame, cfg: EvalConfig, id_col: str, target: str
     return E.threshold_sweep(long, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
 
 
+class ScoreColumnEval:
+    """M7 result families, built lazily on first access (each is one DataFrame plan)."""
+
+    def __init__(self, df: DataFrame, cfg: EvalConfig, id_col: str, target: str, score_cols: Sequence[str]):
+        self.cfg = cfg
+        self.sweep = score_column_sweeps(df, cfg, id_col, target, score_cols)
+        self._best = None
+
+    @property
+    def best(self) -> DataFrame:
+        if self._best is None:
+            self._best = E.best_thresholds(self.sweep, ["model_name", "fold"])
+        return self._best
+
+    @property
+    def results(self) -> DataFrame:
+        return E.average_fold_results(self.best, self.cfg.costs)
+
+    @property
+    def fold_results(self) -> DataFrame:
+        return E.fold_results(self.best)
+
+    @property
+    def sweep_avg(self) -> DataFrame:
+        return E.average_fold_sweep(self.sweep)
+
+    def __getitem__(self, key: str) -> DataFrame:
+        return getattr(self, key)
+
+
 def score_column_eval(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
-                      score_cols: Sequence[str]) -> dict[str, DataFrame]:
+                      score_cols: Sequence[str]) -> ScoreColumnEval:
     """M7: fold sweeps -> per-fold best -> k-fold average, for score columns already in the table."""
-    sweep = score_column_sweeps(df, cfg, id_col, target, score_cols)
-    best = E.best_thresholds(sweep, ["model_name", "fold"])
-    return {
-        "sweep": sweep,
-        "fold_results": E.fold_results(best),
-        "results": E.average_fold_results(best, cfg.costs),
-        "sweep_avg": E.average_fold_sweep(sweep),
-    }
+    return ScoreColumnEval(df, cfg, id_col, target, score_cols)
 
 
 def decision_long(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,

@@ -61,3 +61,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster's cores when it yields fewer input splits than cores.
+
+    A large table arrives in many splits and is returned unchanged (no extra
+    shuffle); a small file with one row group would otherwise run every
+    per-row expression in a single task. Column pruning and filters still
+    reach the scan (Catalyst pushes both through the repartition).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
