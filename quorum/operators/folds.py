@@ -32,8 +32,13 @@ def hash_key(id_col: str, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int = DEFAULT_SEED,
-              bucket_hex: int = 4, rank_col: str = "_rank", size_col: str | None = None) -> DataFrame:
-    """Exact 1-based rank of each row within ``group_cols`` ordered by (md5(id:seed), id)."""
+              bucket_hex: int = 4, rank_col: str = "_rank", size_col: str | None = None,
+              tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Exact 1-based rank of each row within ``group_cols`` ordered by (md5(id:seed), id, *tiebreak).
+
+    Ids are expected to be unique; ``tiebreak`` columns make the order total
+    when they are not (rows equal in every ordering column are interchangeable).
+    """
     group_cols = list(group_cols)
     d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, bucket_hex))
     counts = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -45,7 +50,7 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int =
     )
     if bucket_hex <= _MAX_BROADCAST_HEX:
         offs = F.broadcast(offs)
-    local = Window.partitionBy(*group_cols, "_b").orderBy("_h", id_col)
+    local = Window.partitionBy(*group_cols, "_b").orderBy("_h", id_col, *tiebreak)
     out = (d.join(offs, group_cols + ["_b"])
            .withColumn(rank_col, F.col("_off") + F.row_number().over(local)))
     keep = [c for c in df.columns] + [rank_col]

@@ -1,7 +1,9 @@
 """Evaluation views over the driver tables, plus their SQL twins.
 
 ``scored``   lineitem: one row per line item; Bad = returned ('R');
-             score columns and two string decision columns.
+             score columns and two string decision columns. The id joins the
+             four keys and the ship date: the four keys alone repeat in the
+             smallest table, and every operator requires a unique row id.
 ``events_x`` events: Bad = event_type 'error'; features for prep / training.
 ``vectors``  embeddings: Bad = label 0; 64 floats.
 ``docs_x``   documents joined to labels: Bad = quality 0.
@@ -28,7 +30,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     tag = lambda cond: F.when(cond, F.lit("Bad")).otherwise(F.lit("Good"))
     return li.select(
-        F.concat_ws("-", *[F.col(k).cast("string") for k in keys]).alias(ID),
+        F.concat_ws("-", *[F.col(k).cast("string") for k in keys],
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias(ID),
         tag(F.col("l_returnflag") == "R").alias(TARGET),
         (F.col("l_discount") * 10).alias("s_discount"),
         (F.col("l_tax") / F.lit(0.08)).alias("s_tax"),
@@ -39,7 +42,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_SQL = """scored AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id,
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, strftime(l_shipdate, '%Y%m%d')) AS id,
          CASE WHEN l_returnflag = 'R' THEN 'Bad' ELSE 'Good' END AS gt_label,
          CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
          l_discount * 10 AS s_discount,
