@@ -127,22 +127,27 @@ def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column.
 
-    ``percentile`` keeps a value -> frequency map per column (memory grows with
-    distinct values); ``approx=True`` switches to ``percentile_approx`` for
-    high-cardinality columns at scale.
+    Moments come from one aggregate. Exact quartiles use ``order_statistics``
+    (iteratively narrowed brackets; only a bounded slice of values ever reaches
+    the driver), so no task holds a whole column; ``approx=True`` returns
+    ``percentile_approx`` values in a single pass instead.
     """
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    probs = [0.25, 0.5, 0.75]
+    fields = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    exact = {} if approx else exact_quantiles(df, list(cols), probs)
 
     def stats(c):
         x = F.col(c).cast("double")
-        # one quantile aggregate per column computes all three quartiles
-        qs = F.percentile_approx(x, probs, accuracy).cast("array<double>") if approx else F.percentile(x, probs)
+        if approx:
+            qs = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).cast("array<double>")
+            q = [qs[i] for i in range(3)]
+        else:
+            q = [F.lit(exact[c][p]).cast("double") for p in probs]
         return F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                        F.min(x).alias("min"), qs[0].alias("q25"), qs[1].alias("q50"),
-                        qs[2].alias("q75"), F.max(x).alias("max")).alias(c)
+                        F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
+                        F.max(x).alias("max")).alias(c)
 
     agg = df.agg(*[stats(c) for c in cols])
-    fields = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}`.{f}").alias(f) for f in fields])
                      for c in cols])
     return agg.select(F.inline(rows))
@@ -214,3 +219,129 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
                               F.col(f"`{c}`").alias("non_null"), (F.col("_rows") - F.col(f"`{c}`")).alias("missing"),
                               F.lit(c == target).alias("is_target")) for c in cols])
     return agg.select(F.col("_rows").alias("rows"), F.lit(len(cols)).alias("columns"), F.inline(rows))
+
+
+def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes: dict[str, int],
+                     limit: int = 10_000, accuracy: int = 10_000, max_rounds: int = 12) -> dict[tuple, float]:
+    """Exact k-th smallest values (0-based ranks) per column of a long frame (c, x), bounded memory.
+
+    Each target keeps a value bracket [lo, hi] known to contain it. A round
+    asks ``percentile_approx`` (restricted to the bracket) for a narrower
+    bracket around the target's relative rank and verifies it with exact
+    counts; brackets shrink by about ``accuracy / 4`` per round. Once a
+    bracket holds at most ``limit`` rows, those rows (sorted) are the only ones
+    brought to the driver; a bracket whose ends are equal is resolved at once
+    (heavy ties). All columns and targets share the jobs of a round: one
+    sketch aggregate, one count aggregate and one bounded collect.
+    """
+    x, c = F.col("x"), F.col("c")
+    state = {(col, r): (None, None, 0, sizes[col], 2.0 / accuracy) for col, rs in targets.items() for r in rs}
+    out: dict[tuple, float] = {}
+
+    def in_bracket(col, lo, hi):
+        cond = c == F.lit(col)
+        if lo is not None:
+            cond = cond & (x >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (x <= F.lit(hi))
+        return cond
+
+    for _ in range(max_rounds):
+        open_ = {k: v for k, v in state.items() if k not in out}
+        if not open_:
+            break
+        groups: dict[tuple, list] = {}
+        for (col, r), (lo, hi, below, size, _m) in open_.items():
+            groups.setdefault((col, lo, hi, below, size), []).append(r)
+        small, refine = [], []
+        for key, rs in groups.items():
+            col, lo, hi, below, size = key
+            if lo is not None and lo == hi:
+                for r in rs:
+                    out[(col, r)] = lo
+            elif size <= limit:
+                small.append((key, rs))
+            else:
+                refine.append((key, rs))
+        if small:
+            cond = None
+            for (col, lo, hi, _b, _s), _rs in small:
+                cnd = in_bracket(col, lo, hi)
+                cond = cnd if cond is None else cond | cnd
+            got: dict[tuple, list] = {}
+            rows = values.filter(cond).orderBy("c", "x").collect()
+            for (col, lo, hi, below, size), rs in small:
+                vals = [row["x"] for row in rows if row["c"] == col and (lo is None or row["x"] >= lo)
+                        and (hi is None or row["x"] <= hi)]
+                got[(col, lo, hi)] = vals
+                for r in rs:
+                    out[(col, r)] = vals[r - below]
+        if not refine:
+            continue
+        sketches, plan = [], []
+        for g, ((col, lo, hi, below, size), rs) in enumerate(refine):
+            probs = []
+            for r in rs:
+                q, m = (r - below) / max(size - 1, 1), state[(col, r)][4]
+                probs += [max(0.0, q - m), min(1.0, q + m)]
+            sketches.append(F.percentile_approx(F.when(in_bracket(col, lo, hi), x),
+                                                F.array(*[F.lit(p) for p in probs]), accuracy).alias(f"g{g}"))
+            plan.append(((col, lo, hi, below, size), rs))
+        approx = values.agg(*sketches).collect()[0]
+        checks, bounds = [], {}
+        for g, ((col, lo, hi, below, size), rs) in enumerate(plan):
+            for i, r in enumerate(rs):
+                nlo, nhi = approx[f"g{g}"][2 * i], approx[f"g{g}"][2 * i + 1]
+                bounds[(col, r)] = (nlo, nhi)
+                inside = in_bracket(col, lo, hi)
+                checks += [F.count_if(inside & (x < F.lit(nlo))).alias(f"lt_{g}_{i}"),
+                           F.count_if(inside & (x <= F.lit(nhi))).alias(f"le_{g}_{i}")]
+        counts = values.agg(*checks).collect()[0]
+        for g, ((col, lo, hi, below, size), rs) in enumerate(plan):
+            for i, r in enumerate(rs):
+                nlo, nhi = bounds[(col, r)]
+                nb, upto = below + counts[f"lt_{g}_{i}"], below + counts[f"le_{g}_{i}"]
+                if nb <= r < upto:
+                    state[(col, r)] = (nlo, nhi, nb, upto - nb, state[(col, r)][4])
+                else:  # the sketch missed by more than the margin: widen and retry
+                    state[(col, r)] = (lo, hi, below, size, min(1.0, state[(col, r)][4] * 4))
+    missing = [k for k in state if k not in out]
+    if missing:
+        raise RuntimeError(f"order statistics did not converge for {missing}")
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float],
+                    **kw) -> dict:
+    """Linear-interpolated quantiles (pandas / SQL ``quantile_cont``) of each column,
+    without any task or the driver holding a whole column. Returns {col: {p: value}}
+    (or {p: value} when ``cols`` is one name)."""
+    from quorum.functions.metrics import nan_to_null
+
+    single = isinstance(cols, str)
+    cols = [cols] if single else list(cols)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), nan_to_null(c).alias("x"))
+                                         for c in cols])).alias("_p")).select("_p.*").filter(F.col("x").isNotNull())
+    n_row = df.agg(*[F.count(nan_to_null(c)).alias(c) for c in cols]).collect()[0]
+    sizes = {c: n_row[c] for c in cols}
+    pos, targets = {}, {}
+    for c in cols:
+        n = sizes[c]
+        if n == 0:
+            continue
+        for p in probs:
+            at = p * (n - 1)
+            lo = int(at // 1)
+            pos[(c, p)] = (lo, min(lo + 1, n - 1), at - lo)
+            targets.setdefault(c, set()).update(pos[(c, p)][:2])
+    v = order_statistics(long, {c: sorted(t) for c, t in targets.items()}, sizes, **kw) if targets else {}
+    out = {}
+    for c in cols:
+        out[c] = {}
+        for p in probs:
+            if (c, p) not in pos:
+                out[c][p] = None
+                continue
+            lo, hi, f = pos[(c, p)]
+            out[c][p] = v[(c, lo)] if hi == lo else v[(c, lo)] + (v[(c, hi)] - v[(c, lo)]) * f
+    return out[cols[0]] if single else out

@@ -138,3 +138,17 @@ def test_distinct_values_and_detection(spark):
     assert dec == ["decision_col"]
     scores = {r["column_name"] for r in P.detect_score_columns(df, "id", [], ["decision_col"]).collect()}
     assert scores == {"prob_text"}
+
+
+def test_order_statistics_small_limit(spark):
+    import random
+    rng = random.Random(5)
+    xs = [rng.choice([1.0, 2.0, 2.0, 2.0]) if i % 3 == 0 else rng.random() * 100 for i in range(5000)]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = P.exact_quantiles(df, "v", [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0], limit=50, accuracy=100)
+    s = sorted(xs)
+    for p, val in got.items():
+        at = p * (len(s) - 1)
+        lo = int(at)
+        hi = min(lo + 1, len(s) - 1)
+        assert val == pytest.approx(s[lo] + (s[hi] - s[lo]) * (at - lo), rel=1e-12)
