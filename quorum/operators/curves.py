@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions import metrics as M
+from quorum.session import cut_lineage
 
 HIST_BINS = 50
 
@@ -72,6 +73,9 @@ def score_label_counts(long: DataFrame, model_col: str = "model_name", score_col
         .filter(F.col("score").isNotNull())
     counts = base.groupBy("model_name", "score").agg(F.sum("_y").alias("pos"),
                                                       (F.count(F.lit(1)) - F.sum("_y")).alias("neg"))
+    # the per-score table feeds four branches (bounds, offsets, running sums, totals); write it
+    # once to the shared checkpoint folder instead of re-scanning the input for each branch
+    counts = cut_lineage(counts)
     cum = suffix_totals(counts, ["model_name"], "score", ["pos", "neg"])
     totals = counts.groupBy("model_name").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return cum.join(F.broadcast(totals), "model_name")
