@@ -42,9 +42,9 @@ class EvalConfig:
     good_tag: str = DEFAULT_GOOD_TAG
     bad_tag: str = DEFAULT_BAD_TAG
     grid: list[float] = field(default_factory=default_grid)
-    # Hex digits of the md5 prefix used to split fold ranking into
-    # independent groups (see operators.folds); 4 -> at most 2 * 65536 groups.
-    fold_bucket_hex: int = 4
+    # Hex digits of the md5 prefix that splits fold ranking into independent
+    # slices (see operators.folds); None = chosen from the row count.
+    fold_bucket_hex: int | None = None
 
     def sorted_grid(self) -> list[float]:
         return sorted(set(float(t) for t in self.grid))

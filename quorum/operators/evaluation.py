@@ -192,7 +192,7 @@ def decision_results(counts: DataFrame, costs: Costs, n_splits: int, threshold_t
 
 
 def positional_mean(scores: DataFrame, id_col: str, seed: int, model_col: str = "model_name",
-                    fold_col: str = "fold", score_col: str = "score", bucket_hex: int = 4) -> DataFrame:
+                    fold_col: str = "fold", score_col: str = "score", bucket_hex: int | None = None) -> DataFrame:
     """Mean of the i-th score across folds, truncated to the shortest fold.
 
     Position i is the row's rank inside its fold in the canonical (md5) order;

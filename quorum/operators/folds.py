@@ -11,8 +11,10 @@ whole class (a third of the table or more) into one task. ``hash_rank``
 instead ranks in two phases: (1) count rows per (group, md5 prefix) — at most
 ``groups * 16**bucket_hex`` rows, partially aggregated map-side; (2) rank
 inside each (group, prefix) slice and add the slice's running offset. The
-offset table has a proven size bound and is broadcast; the slices are
-uniform because md5 is.
+offset table has a proven size bound (<= 2 * 16**5 rows) and is broadcast; the
+slices are uniform because md5 is. The prefix length is chosen from the row
+count so a slice holds about 50 000 rows (1 hex digit for small tables, 5
+for ~10^11 rows and more).
 """
 
 from __future__ import annotations
@@ -25,6 +27,16 @@ from pyspark.sql import functions as F
 from quorum.config import DEFAULT_N_SPLITS, DEFAULT_SEED, DEFAULT_TEST_SIZE
 
 _MAX_BROADCAST_HEX = 5  # 2 * 16**5 offset rows ~ 2M rows: still a safe broadcast
+_SLICE_ROWS = 50_000    # target rows per (group, prefix) slice when the prefix length is automatic
+
+
+def auto_bucket_hex(n_rows: int, n_groups: int = 2, slice_rows: int = _SLICE_ROWS) -> int:
+    """Shortest md5 prefix (1..5 hex digits) giving slices of about ``slice_rows`` rows."""
+    need = max(1.0, n_rows / max(1, n_groups) / slice_rows)
+    hexd = 1
+    while 16 ** hexd < need and hexd < _MAX_BROADCAST_HEX:
+        hexd += 1
+    return hexd
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -32,7 +44,7 @@ def hash_key(id_col: str, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int = DEFAULT_SEED,
-              bucket_hex: int = 4, rank_col: str = "_rank", size_col: str | None = None,
+              bucket_hex: int | None = None, rank_col: str = "_rank", size_col: str | None = None,
               tiebreak: Sequence[str] = ()) -> DataFrame:
     """Exact 1-based rank of each row within ``group_cols`` ordered by (md5(id:seed), id, *tiebreak).
 
@@ -40,6 +52,8 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int =
     when they are not (rows equal in every ordering column are interchangeable).
     """
     group_cols = list(group_cols)
+    if bucket_hex is None:  # one cheap count sizes the slices (5 hex digits for ~10^11+ rows)
+        bucket_hex = auto_bucket_hex(df.count(), 2 if group_cols else 1)
     d = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, bucket_hex))
     counts = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +76,7 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int =
 
 def stratified_kfold(df: DataFrame, id_col: str, label_col: str = "label",
                      k: int = DEFAULT_N_SPLITS, seed: int = DEFAULT_SEED,
-                     bucket_hex: int = 4, fold_col: str = "fold") -> DataFrame:
+                     bucket_hex: int | None = None, fold_col: str = "fold") -> DataFrame:
     """Add ``fold`` (1..k): test folds are disjoint, complete and class-balanced."""
     if k < 2:
         raise ValueError("n_splits must be at least 2")
@@ -82,7 +96,7 @@ def check_fold_sizes(df: DataFrame, label_col: str, k: int) -> dict:
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str = "label",
                      test_size: float = DEFAULT_TEST_SIZE, seed: int = DEFAULT_SEED,
-                     bucket_hex: int = 4, split_col: str = "split") -> DataFrame:
+                     bucket_hex: int | None = None, split_col: str = "split") -> DataFrame:
     """Add ``split`` = 'Test' for the first ceil(test_size * n_class) rows of each class, else 'Train'."""
     ranked = hash_rank(df, [label_col], id_col, seed, bucket_hex, size_col="_class_n")
     is_test = F.col("_rank") <= F.ceil(F.lit(float(test_size)) * F.col("_class_n"))
