@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,14 +297,21 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
                 bounds[(col, r)] = (nlo, nhi)
                 inside = in_bracket(col, lo, hi)
                 checks += [F.count_if(inside & (x < F.lit(nlo))).alias(f"lt_{g}_{i}"),
+                           F.count_if(inside & (x <= F.lit(nlo))).alias(f"lo_{g}_{i}"),
                            F.count_if(inside & (x <= F.lit(nhi))).alias(f"le_{g}_{i}")]
         counts = values.agg(*checks).collect()[0]
         for g, ((col, lo, hi, below, size), rs) in enumerate(plan):
             for i, r in enumerate(rs):
                 nlo, nhi = bounds[(col, r)]
                 nb, upto = below + counts[f"lt_{g}_{i}"], below + counts[f"le_{g}_{i}"]
-                if nb <= r < upto:
+                at_lo = below + counts[f"lo_{g}_{i}"]
+                if nb <= r < at_lo:  # the target sits in the run of values equal to nlo
+                    out[(col, r)] = nlo
+                elif nb <= r < upto and upto - nb < size:
                     state[(col, r)] = (nlo, nhi, nb, upto - nb, state[(col, r)][4])
+                elif nb <= r < upto:  # no progress (heavy ties at the ends): step past nlo exactly
+                    state[(col, r)] = (float(np.nextafter(nlo, np.inf)), nhi, at_lo, upto - at_lo,
+                                       state[(col, r)][4])
                 else:  # the sketch missed by more than the margin: widen and retry
                     state[(col, r)] = (lo, hi, below, size, min(1.0, state[(col, r)][4] * 4))
     missing = [k for k in state if k not in out]

@@ -152,3 +152,15 @@ def test_order_statistics_small_limit(spark):
         lo = int(at)
         hi = min(lo + 1, len(s) - 1)
         assert val == pytest.approx(s[lo] + (s[hi] - s[lo]) * (at - lo), rel=1e-12)
+
+
+def test_order_statistics_heavy_ties(spark):
+    xs = [1.0] * 3000 + [2.0] * 3000 + [float(i) for i in range(3, 40)]
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = P.exact_quantiles(df, "v", [0.1, 0.4999, 0.5, 0.52, 0.99], limit=20, accuracy=50)
+    s = sorted(xs)
+    for p, val in got.items():
+        at = p * (len(s) - 1)
+        lo = int(at)
+        hi = min(lo + 1, len(s) - 1)
+        assert val == pytest.approx(s[lo] + (s[hi] - s[lo]) * (at - lo), rel=1e-12)
