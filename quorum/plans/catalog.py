@@ -259,7 +259,18 @@ def _rule_columns_frame(spark):
     return spark.createDataFrame(rows, "rule_name string, column_name string")
 
 
-@register("j4_unresolved_rule_columns", None)
+def _j4_sql() -> str:
+    rc = ", ".join(f"('{r}', '{c}')" for r, c in [(r.name, c) for r in RULES for c in r.columns]
+                   + [("broken", "no_such_model")])
+    runs = ", ".join(f"('{m}')" for m in [f"kfold_avg_{c}" for c in _SC] + _DC)
+    return S.with_(V.SCORED_SQL, f"rc(rule_name, column_name) AS (VALUES {rc})",
+                   f"runs AS (SELECT r.m AS run FROM (VALUES {runs}) r(m) WHERE EXISTS (SELECT 1 FROM scored))",
+                   "keys AS (SELECT run AS key FROM runs UNION SELECT replace(run, 'kfold_avg_', '') FROM runs)") + \
+        "SELECT rule_name, column_name FROM rc WHERE column_name NOT IN (SELECT key FROM keys) " \
+        "AND 'kfold_avg_' || column_name NOT IN (SELECT key FROM keys)"
+
+
+@register("j4_unresolved_rule_columns", _j4_sql())
 def j4_unresolved_rule_columns(spark, sf_dir):
     preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
     return R.unresolved_columns(_rule_columns_frame(spark), preds)
@@ -1050,3 +1061,40 @@ def s8_results_store(spark, sf_dir):
 def b10_apply_rules(spark, sf_dir):
     store = _stored_run(spark, sf_dir)
     return apply_rules(store, "run1", RULES, CFG, RULE_THRESHOLDS).select(*_RCOLS)
+
+
+# --- J1, J2, S9 ---------------------------------------------------------------------------------
+
+@register("j1_align_labels", S.with_(V.SCORED_SQL) + " UNION ALL ".join(
+    f"SELECT id, label, '{c}' AS model_name, CAST(CASE WHEN {c} = 'Bad' THEN 1 ELSE 0 END AS DOUBLE) AS score "
+    f"FROM scored" for c in _DC))
+def j1_align_labels(spark, sf_dir):
+    df = V.scored(spark, sf_dir)
+    preds = base_predictions(df, CFG, V.ID, [], _DC)
+    return labels_of(df, CFG, V.ID, V.TARGET).join(preds.drop("kind"), "id", "inner")
+
+
+@register("j2_scatter_oof", S.with_(V.SCORED_SQL) + " UNION ALL ".join(
+    f"SELECT id, 'kfold_avg_{c}' AS model_name, {c} AS score FROM scored" for c in _SC))
+def j2_scatter_oof(spark, sf_dir):
+    """Every row gets its score from the one test fold that holds it (left join of the fold union)."""
+    folded_df = folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET)
+    long = long_scores(folded_df, V.ID, _SC)
+    per_fold = [long.filter(F.col("fold") == k).select(V.ID, "model_name", "score") for k in range(1, CFG.n_splits + 1)]
+    oof = RP.union_runs(*per_fold)
+    rows = long.select(V.ID, "model_name")
+    return rows.join(oof, [V.ID, "model_name"], "left").select(
+        V.ID, F.concat(F.lit("kfold_avg_"), F.col("model_name")).alias("model_name"), "score")
+
+
+@register("s9_model_store", None)
+def s9_model_store(spark, sf_dir):
+    """Save a fitted pipeline, load it back, and score with both: the two score columns must agree."""
+    enc = _encoded_events(spark, sf_dir)
+    model = ML.fit(_LR, enc, _IMP_FEATS)
+    path = _scratch(spark, "model-store")
+    IO.save_model(model, path)
+    loaded = IO.load_model(path)
+    a = ML.score(model, enc).select(V.ID, F.col("score").alias("score_fitted"))
+    b = ML.score(loaded, enc).select(V.ID, F.col("score").alias("score_loaded"))
+    return a.join(b, V.ID)
