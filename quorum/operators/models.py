@@ -9,6 +9,7 @@ come from W1 and the per-fold sweep of every model is ONE A3 job.
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 import json
 import random
 from collections.abc import Sequence
@@ -167,20 +168,25 @@ def train_and_score(spec: ModelSpec, train: DataFrame, splits: dict[str, DataFra
 
 def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequence[str], cfg: EvalConfig,
                 id_col: str = "id", use_smote: bool = False, smote_ratio: float = 0.5,
-                cache: bool = True) -> dict[str, DataFrame]:
+                cache: bool = True, parallelism: int = 4) -> dict[str, DataFrame]:
     """M6: per model and fold fit on the other folds, score the held-out fold; then ONE
     sweep over all (model, fold), best thresholds, exact fold merge. Returns results,
     fold_results, sweep_avg and out-of-fold predictions (model_name, kind, id, score)."""
     data = folded.select(id_col, "label", "fold", *features)
     if cache:
         data = data.persist()
-    scored = []
-    for name, spec in specs.items():
-        for k in range(1, cfg.n_splits + 1):
-            tr = data.filter(F.col("fold") != k)
-            te = data.filter(F.col("fold") == k)
-            s = train_and_score(spec, tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed)["test"]
-            scored.append(s.select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), id_col, "label", "score"))
+
+    def one(task):
+        name, k = task
+        tr = data.filter(F.col("fold") != k)
+        te = data.filter(F.col("fold") == k)
+        s = train_and_score(specs[name], tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed)["test"]
+        return s.select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), id_col, "label", "score")
+
+    tasks = [(name, k) for name in specs for k in range(1, cfg.n_splits + 1)]
+    # (model, fold) fits are independent Spark jobs: submit them concurrently from the driver
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        scored = list(pool.map(one, tasks))
     oof = scored[0]
     for s in scored[1:]:
         oof = oof.unionByName(s)
