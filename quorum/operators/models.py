@@ -211,8 +211,7 @@ def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str
     spark = folded.sparkSession
     data = assemble(folded, features).select("features", "label", F.col("fold").cast("int").alias("fold"))
     evaluator = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
-    rows = []
-    for t in trials:
+    def trial(t):
         cand = ModelSpec(spec.name, {**spec.params, **t}, spec.seed)
         try:
             est = build_estimator(cand, len(features))
@@ -223,7 +222,11 @@ def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str
             value = -float(model.avgMetrics[0])
         except Exception:  # noqa: BLE001 — an invalid combination is scored, not raised
             value = -10.0
-        rows.append((json.dumps(t, sort_keys=True), value))
+        return (json.dumps(t, sort_keys=True), value)
+
+    # trials are independent: run them as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(trial, trials))
     out = spark.createDataFrame(rows, "params string, neg_log_loss double")
     best = max(rows, key=lambda r: r[1])
     return ModelSpec(spec.name, {**spec.params, **json.loads(best[0])}, spec.seed), out
