@@ -31,8 +31,23 @@ def union_runs(*frames: DataFrame) -> DataFrame:
 
 
 def filter_results(results: DataFrame, split: str | None = None, threshold_type: str = "All",
-                   models: Sequence[str] = ()) -> DataFrame:
-    """Filter by split, threshold type ('All' = no filter) and model list (empty = no filter)."""
+                   models: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """Filter by split, threshold type ('All' = no filter) and model list (empty = no filter).
+
+    ``strict=True`` raises when nothing matches, listing the available values
+    (one small distinct query over the result table).
+    """
+    out = _filter(results, split, threshold_type, models)
+    if strict and out.isEmpty():
+        avail = results.agg(F.array_sort(F.collect_set("split")).alias("splits"),
+                            F.array_sort(F.collect_set("threshold_type")).alias("types"),
+                            F.array_sort(F.collect_set("model_name")).alias("models")).collect()[0]
+        raise ValueError(f"No results for split={split}, threshold_type={threshold_type}, models={list(models)}. "
+                         f"Available splits: {avail['splits']}, types: {avail['types']}, models: {avail['models']}")
+    return out
+
+
+def _filter(results: DataFrame, split, threshold_type, models) -> DataFrame:
     out = results
     if split is not None:
         out = out.filter(F.col("split") == split)
@@ -115,15 +130,19 @@ def first_match(results: DataFrame, split: str, threshold_type: str) -> DataFram
     return cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_pref")
 
 
-def model_comparison(results: DataFrame, threshold_type: str, split: str = "Test") -> DataFrame:
+def model_comparison(results: DataFrame, threshold_type: str, split: str = "Test",
+                     strict: bool = False) -> DataFrame:
     """One row per model at (threshold_type, split) with fallback; NULL metric -> 0.0.
 
-    Raises for a type other than 'cost' / 'accuracy'; an empty result is the
-    caller's "no results" case (checked with ``isEmpty`` only when asked).
+    Raises for a type other than 'cost' / 'accuracy'; with ``strict=True`` an
+    empty comparison raises "No results for split=..., threshold_type=...".
     """
     if threshold_type not in THRESHOLD_TYPES:
         raise ValueError("threshold_type must be 'cost' or 'accuracy'")
     m = first_match(results, split, threshold_type)
+    if strict and m.isEmpty():
+        raise RuntimeError(f"No results for split={split[:1].upper() + split[1:].lower()}, "
+                           f"threshold_type={threshold_type}")
     return m.select("model_name", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
                                     for c in ["precision", "recall", "f1_score", "accuracy", "cost"]],
                     "threshold", F.lit(split[:1].upper() + split[1:].lower()).alias("split_name"),

@@ -25,6 +25,11 @@ def test_model_comparison_F8_E14(spark):
     with pytest.raises(ValueError):
         RP.model_comparison(_f8(spark), "invalid", "Test")
     assert RP.model_comparison(_f8(spark), "cost", "NonExistent").count() == 0
+    with pytest.raises(RuntimeError, match="No results"):
+        RP.model_comparison(_f8(spark), "cost", "NonExistent", strict=True)
+    with pytest.raises(ValueError, match="Available splits"):
+        RP.filter_results(_f8(spark), "Train", strict=True)
+    assert RP.filter_results(_f8(spark), "Test", "cost", ["Model1"], strict=True).count() == 1
 
 
 def test_sweep_series_F7(spark):
