@@ -14,7 +14,7 @@ Layout:
   operators/  DataFrame -> DataFrame operators (folds, sweep, rules, prep,
               profiling, curves, neighbours, models, reports)
   sources/    scans, sinks, result / model / feature-contract stores
-  plans/      compositions (pipeline, views over the driver tables, the
+  plans/      compositions (end-to-end flows, views over the driver tables, the
               query catalogue used by ``__spark_entry__``)
   streaming/  intentionally empty: the evaluated workload has no streams
 """

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quorum.config import EvalConfig
 from quorum.plans import sql as S
 from quorum.plans import views as V
-from quorum.plans.pipeline import score_column_eval
+from quorum.plans.flows import score_column_eval
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -49,9 +49,9 @@ from quorum.operators import evaluation as E  # noqa: E402
 from quorum.operators import rules as R  # noqa: E402
 from quorum.operators.folds import stratified_kfold, stratified_split  # noqa: E402
 from quorum.operators.prep import encode_decision, encode_target, invalid_decisions  # noqa: E402
-from quorum.plans.pipeline import (  # noqa: E402
+from quorum.plans.flows import (  # noqa: E402
     apply_rules, base_predictions, decision_column_eval, decision_long, folded, labels_of, long_scores,
-    run_pipeline, score_column_sweeps)
+    run_end_to_end, score_column_sweeps)
 
 _SC = V.SCORE_COLUMNS
 _DC = V.DECISION_COLUMNS
@@ -978,9 +978,9 @@ def s10_feature_contract(spark, sf_dir):
     return IO.feature_contract(enc, _IMP_FEATS, [f for f in _IMP_FEATS if f.startswith("user_group_")], V.ID)
 
 
-@register("m16_run_pipeline", None)
-def m16_run_pipeline(spark, sf_dir):
-    out = run_pipeline(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, {"LogisticRegression": _LR},
+@register("m16_end_to_end", None)
+def m16_end_to_end(spark, sf_dir):
+    out = run_end_to_end(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, {"LogisticRegression": _LR},
                        score_cols=_SC, decision_cols=_DC, rules=RULES[:3], cache=False)
     return out["results"]
 

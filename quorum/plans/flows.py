@@ -144,7 +144,7 @@ def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: di
     return store.load("model_metrics", run_id).filter(F.col("model_name").isin(names)).drop("run_id")
 
 
-def run_pipeline(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, specs: dict,
+def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, specs: dict,
                  score_cols=(), decision_cols=(), rules=(), excludes=(), variance_threshold: float | None = None,
                  correlation_threshold: float | None = None, use_smote: bool = False,
                  cache: bool = True) -> dict[str, DataFrame]:
