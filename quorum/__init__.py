@@ -7,7 +7,8 @@ cross-validation folds exactly from confusion counts, combines decisions of
 several models with n-ary boolean rules and builds report tables.
 
 Everything is expressed with DataFrames and native column functions; the
-only Python that runs inside tasks is Spark ML's own code.
+only Python inside tasks is the NumPy distance kernel of the tiled kNN join
+(co-grouped Arrow batches).
 
 Layout:
   functions/  column expressions (metrics, thresholds, rules, labels)
