@@ -198,16 +198,54 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
             "sweep_avg": E.average_fold_sweep(sweep), "predictions": preds, "_cached": data}
 
 
+def resolve_space(spaces: dict, model_name: str) -> dict:
+    """M5 search space of one model: the 'shared' entries overlaid by the model's own entries."""
+    return {**spaces.get("shared", {}), **spaces.get(model_name, {})}
+
+
+def sample_trials(space: dict, n_trials: int, seed: int) -> list[dict]:
+    """Seeded random trials: lists are categorical choices, (lo, hi) tuples are int / float ranges.
+
+    With only categorical entries and a grid no larger than ``n_trials`` every
+    combination is tried once.
+    """
+    for k, v in space.items():
+        if isinstance(v, tuple) and len(v) != 2:
+            raise ValueError(f"Parameter space for {k} must be a tuple of (min, max)")
+        if not isinstance(v, (list, tuple)):
+            raise ValueError(f"Invalid parameter space type for {k}. Must be list or tuple.")
+    rng = random.Random(seed)
+    keys = sorted(space)
+    if all(isinstance(space[k], list) for k in keys):
+        grid = [dict(zip(keys, vals)) for vals in itertools.product(*[space[k] for k in keys])]
+        return grid if len(grid) <= n_trials else rng.sample(grid, n_trials)
+    out = []
+    for _ in range(n_trials):
+        t = {}
+        for k in keys:
+            v = space[k]
+            if isinstance(v, list):
+                t[k] = rng.choice(v)
+            elif isinstance(v[0], int) and isinstance(v[1], int):
+                t[k] = rng.randint(v[0], v[1])
+            else:
+                t[k] = rng.uniform(float(v[0]), float(v[1]))
+        out.append(t)
+    return out
+
+
 def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str], space: dict,
                       n_trials: int = 25, seed: int = 42, parallelism: int = 4,
                       n_folds: int = 5) -> tuple[ModelSpec, DataFrame]:
-    """M5: seeded random sample of the parameter grid, scored by mean log loss over the
-    W1 folds (``foldCol``); a combination that fails to fit scores -10. Returns
-    (best spec, trials frame)."""
-    keys = sorted(space)
-    grid = [dict(zip(keys, vals)) for vals in itertools.product(*[space[k] for k in keys])]
-    rng = random.Random(seed)
-    trials = grid if len(grid) <= n_trials else rng.sample(grid, n_trials)
+    """M5: seeded random trials over the parameter space, each scored by mean log loss over the
+    W1 folds (``foldCol``); a combination that fails to fit scores -10. An empty space
+    keeps the defaults. ``space`` may be a per-model dict or hold 'shared' / model keys.
+    Returns (best spec, trials frame)."""
+    if "shared" in space or spec.name in space:
+        space = resolve_space(space, spec.name)
+    if not space:
+        return spec, folded.sparkSession.createDataFrame([], "params string, neg_log_loss double")
+    trials = sample_trials(space, n_trials, seed)
     spark = folded.sparkSession
     data = assemble(folded, features).select("features", "label", F.col("fold").cast("int").alias("fold"))
     evaluator = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
@@ -233,10 +271,12 @@ def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str
 
 
 def final_model(spec: ModelSpec, df: DataFrame, features: Sequence[str], cfg: EvalConfig, id_col: str = "id",
-                path: str | None = None) -> tuple[object, DataFrame]:
-    """M9: fit on all rows without oversampling, sweep on the training rows, optional save
-    (S9); returns (model, result rows for both optimal thresholds)."""
-    model = fit(spec, df, features)
+                path: str | None = None, use_smote: bool = False, smote_ratio: float = 0.5) -> tuple[object, DataFrame]:
+    """M9: fit on all rows (no oversampling by default, as for production models; the
+    k-fold final-model variant sets ``use_smote``), sweep on the training rows, optional
+    save (S9); returns (model, result rows for both optimal thresholds)."""
+    train = oversample(df, features, id_col, smote_ratio, cfg.seed) if use_smote else df
+    model = fit(spec, train, features)
     scored = score(model, df).select(F.lit(spec.name).alias("model_name"), F.lit(0).alias("fold"), "label", "score")
     sweep = E.threshold_sweep(scored, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
     best = E.best_thresholds(sweep, ["model_name", "fold"])

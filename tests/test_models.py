@@ -70,3 +70,26 @@ def test_cv_final_and_batch_predict(spark, data, tmp_path):
     assert pred.count() == 400 and set(pred.columns) >= {"prediction", "score"}
     with pytest.raises(ValueError):
         ML.batch_predict(str(tmp_path / "missing"), data)
+
+
+def test_search_space_M5():
+    spaces = {"shared": {"max_iter": [10, 20]}, "LogisticRegression": {"C": (0.1, 10.0), "max_iter": [30]}}
+    sp = ML.resolve_space(spaces, "LogisticRegression")
+    assert sp == {"max_iter": [30], "C": (0.1, 10.0)}
+    t1 = ML.sample_trials(sp, 5, 42)
+    assert t1 == ML.sample_trials(sp, 5, 42) and len(t1) == 5
+    assert all(0.1 <= t["C"] <= 10.0 and t["max_iter"] == 30 for t in t1)
+    grid = ML.sample_trials({"a": [1, 2], "b": [3]}, 10, 1)
+    assert sorted(g["a"] for g in grid) == [1, 2]
+    with pytest.raises(ValueError):
+        ML.sample_trials({"a": (1, 2, 3)}, 2, 1)
+
+
+def test_average_fold_sweep_fallback_A6(spark):
+    from quorum.operators.evaluation import average_fold_sweep
+    sweep = spark.createDataFrame(
+        [("m", 0.5, 1, 2, 3, 4, 10.0, 50.0, 40.0, 30.0, 20.0), ("m", 0.5, None, 2, 3, 4, 20.0, 60.0, 50.0, 40.0, 30.0)],
+        "model_name string, threshold double, tp long, fp long, tn long, fn long, cost double, accuracy double, "
+        "precision double, recall double, f1_score double")
+    r = average_fold_sweep(sweep).collect()[0]
+    assert r["cost"] == 15.0 and r["accuracy"] == 55.0 and r["tp"] == 1.0  # averaged, not summed
