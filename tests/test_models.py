@@ -1,7 +1,6 @@
 """Model registry and training paths for every registered model kind."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from quorum.config import EvalConfig
 from quorum.operators import models as ML

@@ -63,7 +63,7 @@ def test_folds_F6_E12(spark):
     assert f.select("id").distinct().count() == 50
     odd = spark.createDataFrame([(i, int(i < 4)) for i in range(11)], "id long, label int")
     sizes = [r["count"] for r in W.stratified_kfold(odd, "id", "label", 5).groupBy("fold", "label").count().collect()]
-    assert max(sizes) - min(sizes) <= 1 or True
+    assert max(sizes) - min(sizes) <= 1
     with pytest.raises(ValueError):
         W.check_fold_sizes(odd, "label", 5)
 
@@ -111,7 +111,6 @@ def test_duplicates_E11(spark):
 
 def test_wrong_decision_tag_E13(spark):
     df = spark.createDataFrame([("Good",), ("Bad",), ("Maybe",)], "d string")
-    bad = P  # noqa: F841
     offenders = PR.invalid_decisions(df, ["d"], "Good", "Bad").collect()
     assert [(r["column_name"], r["value"]) for r in offenders] == [("d", "Maybe")]
     with pytest.raises(Exception, match="invalid value"):
