@@ -111,3 +111,16 @@ def split_views(df: DataFrame, split_col: str = "split") -> dict[str, DataFrame]
         "Test": df.filter(F.col(split_col) == "Test"),
         "Full": df,
     }
+
+
+def check_unique_ids(df: DataFrame, id_col: str, sample: int = 5) -> None:
+    """Raise when ``id_col`` repeats (one distributed aggregate; a few offending ids are reported).
+
+    Every operator keys rows by id; a repeated id would also concentrate rows
+    in one ranking slice.
+    """
+    dups = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    head = dups.orderBy(F.desc("_n"), id_col).limit(sample).collect()
+    if head:
+        shown = ", ".join(f"{r[id_col]} (x{r['_n']})" for r in head)
+        raise ValueError(f"Column '{id_col}' is not a unique row id; repeated values include: {shown}")

@@ -163,3 +163,11 @@ def test_order_statistics_heavy_ties(spark):
         lo = int(at)
         hi = min(lo + 1, len(s) - 1)
         assert val == pytest.approx(s[lo] + (s[hi] - s[lo]) * (at - lo), rel=1e-12)
+
+
+def test_unique_ids(spark):
+    ok = spark.createDataFrame([("a",), ("b",)], "id string")
+    W.check_unique_ids(ok, "id")
+    bad = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
+    with pytest.raises(ValueError, match="a \\(x2\\)"):
+        W.check_unique_ids(bad, "id")
