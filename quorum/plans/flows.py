@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorum.config import KFOLD_PREFIX, EvalConfig
 from quorum.operators import evaluation as E
-from quorum.operators.folds import stratified_kfold
+from quorum.operators.folds import check_unique_ids, stratified_kfold
 from quorum.operators.prep import encode_decision, encode_target
 
 
@@ -147,7 +147,7 @@ def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: di
 def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, specs: dict,
                  score_cols=(), decision_cols=(), rules=(), excludes=(), variance_threshold: float | None = None,
                  correlation_threshold: float | None = None, use_smote: bool = False,
-                 cache: bool = True) -> dict[str, DataFrame]:
+                 cache: bool = True, validate_ids: bool = True) -> dict[str, DataFrame]:
     """Prepare -> folds -> model CV (M6) -> score columns (M7) -> decisions (M8)
     -> rules (B9) -> one results table (U1) plus predictions and labels."""
     from quorum.operators import prep as PR
@@ -155,6 +155,8 @@ def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, spe
     from quorum.operators.report import union_runs
     from quorum.operators.rules import combined_runs
 
+    if validate_ids:
+        check_unique_ids(df, id_col)
     labelled = encode_target(df, target, cfg.good_tag, cfg.bad_tag)
     feats = PR.project_features(labelled, target, [id_col, "label", *excludes], list(decision_cols))
     cats = PR.split_dtypes(feats)[1]
