@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,15 +122,34 @@ def decision_of(model: str, threshold: float) -> Column:
         .otherwise(M.apply_threshold(s, threshold))
 
 
+def model_facts(predictions: DataFrame) -> dict[str, dict]:
+    """P19 + P20 in one small aggregate over the predictions: per model the picked kind
+    ('oof', else 'Full', else the longest series) and whether it is a decision model.
+    The result has one entry per (model, kind) — bounded by the number of models."""
+    s = M.nan_to_null("score")
+    rows = predictions.groupBy("model_name", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count(s).alias("n_scored"),
+        F.coalesce(F.bool_and(F.coalesce(s.isin(0.0, 1.0), F.lit(True))), F.lit(True)).alias("all01")).collect()
+    pref = {"oof": 0, "Full": 1}
+    out: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda r: (r["model_name"], pref.get(r["kind"], 2), -r["n"], r["kind"])):
+        if r["model_name"] not in out:
+            out[r["model_name"]] = {"kind": r["kind"], "decision": r["n_scored"] > 0 and r["all01"]}
+    return out
+
+
 def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rule], costs: Costs,
                   n_splits: int, model_thresholds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results rows, combined predictions) for every enabled rule.
+    """B9 on long predictions: (results rows, combined predictions) for every enabled rule.
 
+    Two passes over the predictions: one small aggregate for the per-model facts
+    (P19/P20, also the list of runs), then one pivot by id with explicit model
+    names feeding a single projection of all rules, an unpivot and one count.
     Results: split 'Full', threshold_type 'combined', threshold NULL,
     cost / n_splits, is_base_model True. Predictions: (model_name, kind='Full', id, score).
     """
-    run_names = [r["model_name"] for r in predictions.select("model_name").distinct().collect()]
-    rules = validate_rules(rules, run_names)
+    facts = model_facts(predictions)
+    rules = validate_rules(rules, list(facts))
     if not rules:
         empty_schema = ("model_name string, split string, threshold_type string, threshold double, "
                         "precision double, recall double, f1_score double, accuracy double, cost double, "
@@ -137,12 +157,21 @@ def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rul
         spark = predictions.sparkSession
         return (spark.createDataFrame([], empty_schema),
                 spark.createDataFrame([], "model_name string, kind string, id string, score double"))
-    mapping = resolve_columns(rules, run_names)
+    mapping = resolve_columns(rules, list(facts))
     models = list(dict.fromkeys(mapping[c] for r in rules for c in r.columns))
     thresholds = model_thresholds or {}
-    wide = rule_inputs(predictions, models)
-    combos = [combine(r.logic, [decision_of(mapping[c], thresholds.get(c, DEFAULT_RULE_THRESHOLD))
-                                for c in r.columns]).alias(r.name) for r in rules]
+    picked = reduce(lambda a, b: a | b, [(F.col("model_name") == m) & (F.col("kind") == facts[m]["kind"])
+                                         for m in models])
+    wide = (predictions.filter(picked).select("id", "model_name", M.nan_to_null("score").alias("score"))
+            .groupBy("id").pivot("model_name", models).agg(F.first("score")))
+
+    def decision(c: str) -> Column:
+        m = mapping[c]
+        if facts[m]["decision"]:
+            return F.coalesce(F.col(m).cast("int"), F.lit(0))
+        return M.apply_threshold(F.col(m), thresholds.get(c, DEFAULT_RULE_THRESHOLD))
+
+    combos = [combine(r.logic, [decision(c) for c in r.columns]).alias(r.name) for r in rules]
     ruled = wide.join(labels.select("id", "label"), "id").select("id", "label", *combos)
     long = ruled.unpivot(["id", "label"], [r.name for r in rules], "model_name", "pred")
     counts = confusion_counts(long, ["model_name"], "label", "pred")
