@@ -168,10 +168,15 @@ def train_and_score(spec: ModelSpec, train: DataFrame, splits: dict[str, DataFra
 
 def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequence[str], cfg: EvalConfig,
                 id_col: str = "id", use_smote: bool = False, smote_ratio: float = 0.5,
-                cache: bool = True, parallelism: int = 4) -> dict[str, DataFrame]:
-    """M6: per model and fold fit on the other folds, score the held-out fold; then ONE
-    sweep over all (model, fold), best thresholds, exact fold merge. Returns results,
-    fold_results, sweep_avg and out-of-fold predictions (model_name, kind, id, score)."""
+                cache: bool = True, parallelism: int = 4, search: dict | None = None) -> dict[str, DataFrame]:
+    """M6: per model and fold (optionally tune on the training folds), fit on the other
+    folds, score the held-out fold; then ONE sweep over all (model, fold), best
+    thresholds, exact fold merge. Returns results, fold_results, sweep_avg and
+    out-of-fold predictions (model_name, kind, id, score).
+
+    ``search`` = {"spaces": {...}, "n_trials": int, "inner_folds": int} enables M5 inside
+    each fold; the model's own name selects its space (the name, not the fold).
+    """
     data = folded.select(id_col, "label", "fold", *features)
     if cache:
         data = data.persist()
@@ -180,7 +185,14 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
         name, k = task
         tr = data.filter(F.col("fold") != k)
         te = data.filter(F.col("fold") == k)
-        s = train_and_score(specs[name], tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed)["test"]
+        spec = specs[name]
+        if search and name != "KNN":
+            from quorum.operators.folds import stratified_kfold
+            inner_k = int(search.get("inner_folds", 3))
+            inner = stratified_kfold(tr.drop("fold"), id_col, "label", inner_k, cfg.seed)
+            spec, _ = hyperparam_search(spec, inner, features, search.get("spaces", {}),
+                                        int(search.get("n_trials", 25)), cfg.seed, n_folds=inner_k)
+        s = train_and_score(spec, tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed)["test"]
         return s.select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), id_col, "label", "score")
 
     tasks = [(name, k) for name in specs for k in range(1, cfg.n_splits + 1)]

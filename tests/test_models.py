@@ -92,3 +92,12 @@ def test_average_fold_sweep_fallback_A6(spark):
         "precision double, recall double, f1_score double")
     r = average_fold_sweep(sweep).collect()[0]
     assert r["cost"] == 15.0 and r["accuracy"] == 55.0 and r["tp"] == 1.0  # averaged, not summed
+
+
+def test_cv_with_per_fold_search(spark, data):
+    cfg = EvalConfig(n_splits=2)
+    folded = stratified_kfold(data, "id", "label", 2, 42)
+    spec = ML.ModelSpec("LogisticRegression", {"max_iter": 10}, 1)
+    cv = ML.cv_evaluate(folded, {"LogisticRegression": spec}, ["a", "b"], cfg, "id", cache=False,
+                        search={"spaces": {"LogisticRegression": {"C": [1.0, 10.0]}}, "n_trials": 2, "inner_folds": 2})
+    assert cv["results"].count() == 2
