@@ -48,7 +48,7 @@ def test_results_store_round_trip(spark, tmp_path):
 
 def test_metrics_json_coercion_F16(spark, tmp_path):
     from quorum.sources.tables import scan_metrics_json
-    p = tmp_path / "metrics.json"
+    p = tmp_path / "stored_run.json"
     p.write_text('{"model_metrics": [{"model_name": "AD_Decision", "split": "Full", "threshold_type": "base", '
                  '"threshold": null, "tp": "35", "fp": "1648", "tn": 726, "fn": "3", "cost": 347.6}]}')
     r = scan_metrics_json(spark, str(p)).collect()[0]
