@@ -481,7 +481,29 @@ def a18_correlation_filter(spark, sf_dir):
     return PR.correlation_filter(V.events_x(spark, sf_dir), _EV_NUM, 0.95)
 
 
-@register("m17_feature_selection_report", None)
+def _m17_sql(var_threshold: float = 0.01, corr_threshold: float = 0.95) -> str:
+    feats = _EV_NUM + [f"user_group_{v}" for v in _EV_LEVELS[1:]]
+    enc = ("enc AS (SELECT value, k, hour, value_lin, " + ", ".join(
+        f"CASE WHEN user_group = '{v}' THEN 1 ELSE 0 END AS user_group_{v}" for v in _EV_LEVELS[1:])
+        + " FROM events_x)")
+    var = "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {i} AS pos, var_pop({c}) AS var FROM enc"
+                                        for i, c in enumerate(feats)) + ")"
+    pairs = "pairs AS (" + " UNION ALL ".join(
+        f"SELECT '{feats[i]}' AS fi, '{feats[j]}' AS fj, {_corr_sql(feats[i], feats[j])} AS r FROM enc"
+        for j in range(len(feats)) for i in range(j)) + ")"
+    return S.with_(V.EVENTS_X_SQL, enc, var, pairs,
+                   f"kept AS (SELECT * FROM v WHERE coalesce(var > {var_threshold!r}::DOUBLE, false))",
+                   f"dropped AS (SELECT DISTINCT p.fj AS f FROM pairs p JOIN kept a ON p.fi = a.f "
+                   f"JOIN kept b ON p.fj = b.f WHERE p.r > {corr_threshold!r}::DOUBLE)",
+                   "final AS (SELECT * FROM kept WHERE f NOT IN (SELECT f FROM dropped))") + f"""
+SELECT 5 AS original_features, {len(feats)} AS after_one_hot,
+       CAST({len(feats)} - (SELECT count(*) FROM kept) AS INTEGER) AS removed_by_variance,
+       CAST((SELECT count(*) FROM kept) - (SELECT count(*) FROM final) AS INTEGER) AS removed_by_correlation,
+       CAST((SELECT count(*) FROM final) AS INTEGER) AS final_features,
+       (SELECT list(f ORDER BY pos) FROM final) AS final_names"""
+
+
+@register("m17_feature_selection_report", _m17_sql())
 def m17_feature_selection_report(spark, sf_dir):
     return PR.feature_selection_report(V.events_x(spark, sf_dir), V.TARGET, [V.ID], [], 0.01, 0.95)
 
