@@ -926,7 +926,7 @@ import uuid  # noqa: E402
 
 from quorum.operators import models as ML  # noqa: E402
 from quorum.operators.importance import model_importance  # noqa: E402
-from quorum.session import ensure_checkpoint_dir  # noqa: E402
+from quorum.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from quorum.sources import tables as IO  # noqa: E402
 
 _LR = ML.ModelSpec("LogisticRegression", {"max_iter": 50, "C": 10.0}, CFG.seed)
@@ -1043,7 +1043,7 @@ def s4_sink_csv(spark, sf_dir):
 @register("s5_scan_result_csvs", S.with_(RESULTS_SQL) + "SELECT * FROM results")
 def s5_scan_result_csvs(spark, sf_dir):
     base = _scratch(spark, "result-csvs")
-    res = results_table(spark, sf_dir)
+    res = cut_lineage(results_table(spark, sf_dir))  # written twice below: compute once
     IO.sink_csv(res, f"{base}/model_metrics")
     IO.sink_csv(RP.confusion_view(res), f"{base}/confusion_matrices")
     return IO.scan_result_csvs(spark, base)["model_metrics"]
