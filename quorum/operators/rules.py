@@ -215,3 +215,30 @@ def combined_runs_wide(wide: DataFrame, label_col: str, model_cols: dict[str, st
     results = decision_results(counts, costs, n_splits, "combined")
     preds = long.select("model_name", F.lit("Full").alias("kind"), "id", F.col("pred").cast("double").alias("score"))
     return results, preds
+
+
+def rule_problems(predictions: DataFrame, rule_columns: DataFrame) -> DataFrame:
+    """B8 as data: (rule_name, problem, detail) for rules that cannot be evaluated.
+
+    'unknown_model': a rule column resolves to no run (J4 anti join);
+    'unequal_lengths': the resolved runs of a rule score different numbers of rows.
+    Config-level errors (empty columns, unknown logic, duplicate names) are raised
+    by ``validate_rules`` before any job runs.
+    """
+    unknown = unresolved_columns(rule_columns, predictions).select(
+        "rule_name", F.lit("unknown_model").alias("problem"), F.col("column_name").alias("detail"))
+    facts = model_facts(predictions)
+    sizes = predictions.join(
+        F.broadcast(predictions.sparkSession.createDataFrame(
+            [(m, f["kind"]) for m, f in facts.items()], "model_name string, kind string")),
+        ["model_name", "kind"]).groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
+    names = sizes.select(F.col("model_name").alias("run"))
+    keys = names.select(F.col("run").alias("key"), "run").unionByName(
+        names.select(F.regexp_replace("run", KFOLD_PREFIX, "").alias("key"), "run")).distinct()
+    resolved = rule_columns.join(F.broadcast(keys), rule_columns["column_name"] == keys["key"]) \
+        .join(sizes, F.col("run") == sizes["model_name"])
+    uneven = resolved.groupBy("rule_name").agg(F.min("n").alias("lo"), F.max("n").alias("hi")) \
+        .filter(F.col("lo") != F.col("hi")).select(
+            "rule_name", F.lit("unequal_lengths").alias("problem"),
+            F.concat_ws("..", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("detail"))
+    return unknown.unionByName(uneven)

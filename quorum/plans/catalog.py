@@ -1122,3 +1122,46 @@ def s9_model_store(spark, sf_dir):
     a = ML.score(model, enc).select(V.ID, F.col("score").alias("score_fitted"))
     b = ML.score(loaded, enc).select(V.ID, F.col("score").alias("score_loaded"))
     return a.join(b, V.ID)
+
+
+# --- W5, O6, B8 ---------------------------------------------------------------------------------
+
+@register("w5_cumulative_counts", S.with_(*_CURVE_CTES) + "SELECT model_name, score, pos, neg, cum_pos, cum_neg FROM cum")
+def w5_cumulative_counts(spark, sf_dir):
+    """Descending cumulative positives / negatives per distinct score (the suffix sums behind A19/A20)."""
+    return C.score_label_counts(_score_long(spark, sf_dir)).select(
+        "model_name", "score", "pos", "neg", "cum_pos", "cum_neg")
+
+
+@register("o6_argmin_argmax", S.with_(SWEEP_AVG_SQL, """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY cost, threshold) AS rc,
+            row_number() OVER (PARTITION BY model_name ORDER BY accuracy DESC, threshold) AS ra FROM sweep_avg)""") +
+          "SELECT model_name, max(threshold) FILTER (WHERE rc = 1) AS argmin_cost, "
+          "max(threshold) FILTER (WHERE ra = 1) AS argmax_accuracy FROM ranked GROUP BY model_name")
+def o6_argmin_argmax(spark, sf_dir):
+    sweep = a6_average_fold_sweep(spark, sf_dir)
+    return sweep.groupBy("model_name").agg(
+        F.min_by("threshold", F.struct("cost", "threshold")).alias("argmin_cost"),
+        F.max_by("threshold", F.struct(F.col("accuracy"), -F.col("threshold"))).alias("argmax_accuracy"))
+
+
+def _b8_sql() -> str:
+    rc = ", ".join(f"('{r}', '{c}')" for r, c in [(r.name, c) for r in RULES for c in r.columns]
+                   + [("broken", "no_such_model")])
+    sizes = " UNION ALL ".join([f"SELECT 'kfold_avg_{c}' AS run, count(*) AS n FROM scored" for c in _SC]
+                               + [f"SELECT '{c}', count(*) FROM scored" for c in _DC])
+    return S.with_(V.SCORED_SQL, f"rc(rule_name, column_name) AS (VALUES {rc})", f"sizes AS ({sizes})",
+                   "keys AS (SELECT run AS key, run FROM sizes UNION SELECT replace(run, 'kfold_avg_', ''), run "
+                   "FROM sizes)") + """
+SELECT rule_name, 'unknown_model' AS problem, column_name AS detail FROM rc
+WHERE column_name NOT IN (SELECT key FROM keys) AND 'kfold_avg_' || column_name NOT IN (SELECT key FROM keys)
+UNION ALL
+SELECT rule_name, 'unequal_lengths', CAST(min(n) AS VARCHAR) || '..' || CAST(max(n) AS VARCHAR)
+FROM rc JOIN keys ON rc.column_name = keys.key JOIN sizes ON keys.run = sizes.run
+GROUP BY rule_name HAVING min(n) <> max(n)"""
+
+
+@register("b8_rule_validation", _b8_sql())
+def b8_rule_validation(spark, sf_dir):
+    preds = base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC)
+    return R.rule_problems(preds, _rule_columns_frame(spark))

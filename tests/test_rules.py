@@ -83,3 +83,10 @@ def test_combined_runs_long_and_wide_agree(spark):
     tp = sum(1 for i in range(8) if i / 8 >= 0.4 and i % 2 == 1 and i >= 4)
     assert long_res["a"]["tp"] == tp and long_res["a"]["threshold_type"] == "combined"
     assert long_res["a"]["is_base_model"] is True and long_res["a"]["threshold"] is None
+
+
+def test_rule_problems_B8(spark):
+    preds = _preds(spark).filter("not (model_name = 'D' and cast(id as int) >= 6)")
+    rc = spark.createDataFrame([("r", "S"), ("r", "D"), ("bad", "Nope")], "rule_name string, column_name string")
+    got = {(r["rule_name"], r["problem"], r["detail"]) for r in R.rule_problems(preds, rc).collect()}
+    assert got == {("r", "unequal_lengths", "6..8"), ("bad", "unknown_model", "Nope")}
