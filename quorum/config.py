@@ -45,6 +45,8 @@ class EvalConfig:
     # Hex digits of the md5 prefix that splits fold ranking into independent
     # slices (see operators.folds); None = chosen from the row count.
     fold_bucket_hex: int | None = None
+    # 'exact' (per-class sizes within one, one sort) or 'hash' (no shuffle, balance in expectation)
+    fold_mode: str = "exact"
 
     def sorted_grid(self) -> list[float]:
         return sorted(set(float(t) for t in self.grid))

@@ -76,10 +76,21 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int =
 
 def stratified_kfold(df: DataFrame, id_col: str, label_col: str = "label",
                      k: int = DEFAULT_N_SPLITS, seed: int = DEFAULT_SEED,
-                     bucket_hex: int | None = None, fold_col: str = "fold") -> DataFrame:
-    """Add ``fold`` (1..k): test folds are disjoint, complete and class-balanced."""
+                     bucket_hex: int | None = None, fold_col: str = "fold", mode: str = "exact") -> DataFrame:
+    """Add ``fold`` (1..k): test folds are disjoint and complete.
+
+    ``mode='exact'`` (default): per-class fold sizes differ by at most one (two-phase
+    ranking, one sort of the rows). ``mode='hash'``: fold = md5-derived hash mod k — no
+    shuffle or sort at all, class balance only in expectation; for tables where a
+    full sort is not worth exact balance.
+    """
     if k < 2:
         raise ValueError("n_splits must be at least 2")
+    if mode == "hash":
+        h = F.conv(F.substring(hash_key(id_col, seed), 1, 15), 16, 10).cast("long")
+        return df.withColumn(fold_col, (F.pmod(h, F.lit(k)) + 1).cast("int"))
+    if mode != "exact":
+        raise ValueError("mode must be 'exact' or 'hash'")
     ranked = hash_rank(df, [label_col], id_col, seed, bucket_hex)
     return (ranked.withColumn(fold_col, (((F.col("_rank") - 1) % k) + 1).cast("int"))
             .drop("_rank"))

@@ -30,7 +30,8 @@ def long_scores(df: DataFrame, id_col: str, score_cols: Sequence[str], keep: Seq
 def folded(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataFrame:
     """P2 then W1: add integer ``label`` and ``fold``."""
     labelled = encode_target(df, target, cfg.good_tag, cfg.bad_tag)
-    return stratified_kfold(labelled, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex)
+    return stratified_kfold(labelled, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex,
+                            mode=cfg.fold_mode)
 
 
 def score_column_sweeps(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
@@ -170,7 +171,8 @@ def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, spe
         rep = PR.correlation_filter(frame, features, correlation_threshold)
         kept = {r["feature"] for r in rep.filter("kept").collect()}
         features = [c for c in features if c in kept]
-    folded_df = stratified_kfold(frame, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex)
+    folded_df = stratified_kfold(frame, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex,
+                                 mode=cfg.fold_mode)
     parts, preds = [], []
     if specs:
         cv = cv_evaluate(folded_df, specs, features, cfg, id_col, use_smote, cache=cache)

@@ -171,3 +171,12 @@ def test_unique_ids(spark):
     bad = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
     with pytest.raises(ValueError, match="a \\(x2\\)"):
         W.check_unique_ids(bad, "id")
+
+
+def test_hash_folds_mode(spark):
+    df = spark.createDataFrame([(str(i), i % 2) for i in range(2000)], "id string, label int")
+    f = W.stratified_kfold(df, "id", "label", 5, 42, mode="hash")
+    sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 2000 and min(sizes) > 300
+    with pytest.raises(ValueError):
+        W.stratified_kfold(df, "id", "label", 5, 42, mode="nope")
