@@ -180,6 +180,32 @@ def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rul
     return results, preds
 
 
+def wide_model_kinds(wide: DataFrame, model_cols: dict[str, str]) -> dict[str, bool]:
+    """P20 on a wide frame: one 1-row aggregate telling, per model column, whether every
+    non-null value is 0 or 1 (a decision model)."""
+    row = wide.agg(*[
+        (F.count(M.nan_to_null(c)) > 0)
+        & F.coalesce(F.bool_and(F.coalesce(M.nan_to_null(c).isin(0.0, 1.0), F.lit(True))), F.lit(True))
+        for c in model_cols.values()]).collect()[0]
+    return {m: bool(row[i]) for i, m in enumerate(model_cols)}
+
+
+def decisions_wide(wide: DataFrame, model_cols: dict[str, str], thresholds: dict[str, float] | None = None,
+                   id_col: str = "id") -> DataFrame:
+    """B7 on a wide frame: decision models pass through, score models become
+    ``score >= threshold`` (default 0.5), missing -> 0; one projection, no shuffle."""
+    is_dec = wide_model_kinds(wide, model_cols)
+    thresholds = thresholds or {}
+
+    def decision(m: str) -> Column:
+        s = M.nan_to_null(model_cols[m])
+        if is_dec[m]:
+            return F.coalesce(s.cast("int"), F.lit(0))
+        return M.apply_threshold(s, thresholds.get(m, DEFAULT_RULE_THRESHOLD))
+
+    return wide.select(F.col(id_col).alias("id"), *[decision(m).alias(m) for m in model_cols])
+
+
 def combined_runs_wide(wide: DataFrame, label_col: str, model_cols: dict[str, str], rules: Sequence[Rule],
                        costs: Costs, n_splits: int, model_thresholds: dict[str, float] | None = None,
                        id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -194,11 +220,7 @@ def combined_runs_wide(wide: DataFrame, label_col: str, model_cols: dict[str, st
     rules = validate_rules(rules, run_names)
     mapping = resolve_columns(rules, run_names)
     models = list(dict.fromkeys(mapping[c] for r in rules for c in r.columns))
-    kinds_row = wide.agg(*[
-        (F.count(M.nan_to_null(model_cols[m])) > 0)
-        & F.coalesce(F.bool_and(F.coalesce(M.nan_to_null(model_cols[m]).isin(0.0, 1.0), F.lit(True))), F.lit(True))
-        for m in models]).collect()[0]
-    is_dec = {m: bool(kinds_row[i]) for i, m in enumerate(models)}
+    is_dec = wide_model_kinds(wide, {m: model_cols[m] for m in models})
     thresholds = model_thresholds or {}
 
     def decision(c: str) -> Column:

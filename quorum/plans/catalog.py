@@ -212,12 +212,18 @@ def _rules_sql(rules, thresholds) -> str:
                    S.counts_cte("rlong")) + S.decision_results_select(CFG, "combined")
 
 
-def _combined(spark, sf_dir, rules, thresholds):
-    """B9 on the scored table itself (wide path: no pivot); B10 exercises the stored long path."""
+def _wide_scored(spark, sf_dir):
+    """The scored table as a wide prediction frame: one 0/1-or-score column per run, plus label."""
     df = encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
     wide = df.select(V.ID, "label", *[F.col(c).alias(f"kfold_avg_{c}") for c in _SC],
                      *[encode_decision(c, CFG.good_tag, CFG.bad_tag).cast("double").alias(c) for c in _DC])
     cols = {**{f"kfold_avg_{c}": f"kfold_avg_{c}" for c in _SC}, **{c: c for c in _DC}}
+    return wide, cols
+
+
+def _combined(spark, sf_dir, rules, thresholds):
+    """B9 on the scored table itself (wide path: no pivot); B10 exercises the stored long path."""
+    wide, cols = _wide_scored(spark, sf_dir)
     return R.combined_runs_wide(wide, "label", cols, rules, CFG.costs, CFG.n_splits, thresholds, V.ID)
 
 
@@ -232,6 +238,13 @@ for _i, (_op, _rules) in enumerate(_OP_RULES.items(), start=1):
                                                                  "kfold_avg_s_qty"]]
     + [f"{_rule_col_sql(c, {})} AS {c}" for c in _DC]) + " FROM scored")
 def b7_rule_thresholds(spark, sf_dir):
+    wide, cols = _wide_scored(spark, sf_dir)
+    return R.decisions_wide(wide, cols, RULE_THRESHOLDS, V.ID)
+
+
+@register("b7b_rule_thresholds_long", ORACLES["b7_rule_thresholds"])
+def b7b_rule_thresholds_long(spark, sf_dir):
+    """B7 over stored long predictions (J3 pivot + P19 + P20), the form used for stored runs."""
     df = V.scored(spark, sf_dir)
     models = [f"kfold_avg_{c}" for c in _SC] + _DC
     wide = R.rule_inputs(base_predictions(df, CFG, V.ID, _SC, _DC), models)
