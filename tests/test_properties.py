@@ -52,3 +52,20 @@ def test_rule_identities(spark, rows):
     for r in out:
         assert r["NOR"] == 1 - r["OR"] and r["NAND"] == 1 - r["AND"] and r["NXOR"] == 1 - r["XOR"]
         assert r["AND"] <= r["OR"]
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.floats(min_value=-1e6, max_value=1e6), st.sampled_from([0.0, 1.0, 2.5])),
+                min_size=1, max_size=300),
+       st.lists(st.floats(min_value=0, max_value=1), min_size=1, max_size=4))
+def test_exact_quantiles_match_sorted(spark, xs, probs):
+    from quorum.operators.profile import exact_quantiles
+    df = spark.createDataFrame([(x,) for x in xs], "v double")
+    got = exact_quantiles(df, "v", probs, limit=7, accuracy=20)
+    s = sorted(xs)
+    for p in probs:
+        at = p * (len(s) - 1)
+        lo = int(at // 1)
+        hi = min(lo + 1, len(s) - 1)
+        want = s[lo] if hi == lo else s[lo] + (s[hi] - s[lo]) * (at - lo)
+        assert got[p] == want
