@@ -90,3 +90,24 @@ def test_rule_problems_B8(spark):
     rc = spark.createDataFrame([("r", "S"), ("r", "D"), ("bad", "Nope")], "rule_name string, column_name string")
     got = {(r["rule_name"], r["problem"], r["detail"]) for r in R.rule_problems(preds, rc).collect()}
     assert got == {("r", "unequal_lengths", "6..8"), ("bad", "unknown_model", "Nope")}
+
+
+def test_apply_rules_chain_B10(spark, tmp_path):
+    from quorum.config import EvalConfig
+    from quorum.plans.flows import apply_rules
+    from quorum.sources.tables import ResultsStore
+    store = ResultsStore(spark, str(tmp_path / "store"))
+    labels = spark.createDataFrame([(str(i), int(i >= 4)) for i in range(8)], "id string, label int")
+    base = spark.createDataFrame([("m", 1.0)], "model_name string, cost double").limit(0)
+    store.save("run", {"predictions": _preds(spark), "labels": labels, "model_metrics": base})
+    cfg = EvalConfig()
+    first = apply_rules(store, "run", [R.Rule("r1", ["S", "D"], "AND")], cfg, {"S": 0.4})
+    assert [r["model_name"] for r in first.collect()] == ["r1"]
+    # a later call can build on the stored combined model
+    second = apply_rules(store, "run", [R.Rule("r2", ["r1", "D"], "OR")], cfg)
+    row = second.collect()[0]
+    assert row["model_name"] == "r2" and row["tp"] + row["fn"] == 4
+    # within one call a rule cannot see another rule of the same call
+    with pytest.raises(ValueError, match="not found"):
+        apply_rules(store, "run", [R.Rule("r3", ["D"], "OR"), R.Rule("r4", ["r3"], "OR")], cfg)
+    assert apply_rules(store, "run", [R.Rule("off", [], "OR", enabled=False)], cfg).count() == 0
