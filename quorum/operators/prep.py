@@ -159,14 +159,24 @@ def _moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict]:
     return row["_n"], {c: row[c] for c in cols}
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature_i, feature_j, abs_corr, i, j) for i < j.
 
     Two passes: per-column moments, then ONE aggregate of centred sums. When
     every column is complete the pair terms reduce to sum(x_i x_j) (p(p-1)/2
-    sums plus 2p); otherwise each pair sums over its pairwise-complete rows.
-    Pair expressions are chunked to keep generated code small. Constant
-    columns give NULL (undefined correlation).
+    sums plus 2p); otherwise each pair sums over its pairwise-complete rows
+    (chunked to keep generated code small). The per-pair sums are turned into
+    rows with one ``stack`` and r is one expression over those rows, so the
+    plan stays small however many pairs there are. Constant columns give NULL
+    (undefined correlation).
     """
     cols = list(cols)
     pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
@@ -174,52 +184,52 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "feature_i string, feature_j string, abs_corr double, i int, j int")
     n, mom = _moments(df, cols)
-    const = {c for c in cols if mom[c]["n"] == 0 or mom[c]["lo"] == mom[c]["hi"]}
+    const = {k for k, c in enumerate(cols) if mom[c]["n"] == 0 or mom[c]["lo"] == mom[c]["hi"]}
     complete = all(mom[c]["n"] == n for c in cols)
 
-    def centred(c):
-        return F.col(c).cast("double") - F.lit(float(mom[c]["mean"] or 0.0))
+    def centred(k: int) -> str:
+        return f"(CAST({_q(cols[k])} AS DOUBLE) - {float(mom[cols[k]]['mean'] or 0.0)!r})"
 
-    def r_expr(nn, sx, sy, sxx, syy, sxy):
-        vx = sxx - sx * sx / nn
-        vy = syy - sy * sy / nn
-        den = F.sqrt(vx * vy)
-        return F.abs((sxy - sx * sy / nn) / F.when(den > 0, den))
+    def stacked(row: DataFrame, items: list[tuple], fields: str) -> DataFrame:
+        body = ", ".join(items)
+        return row.selectExpr(f"stack({len(items)}, {body}) AS (feature_i, feature_j, i, j, nn, sx, sy, sxx, syy, sxy)")
 
     parts = []
     if complete:
-        aggs = [F.sum(centred(c)).alias(f"s{k}") for k, c in enumerate(cols)]
-        aggs += [F.sum(centred(c) * centred(c)).alias(f"q{k}") for k, c in enumerate(cols)]
-        aggs += [F.sum(centred(cols[i]) * centred(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]
+        aggs = [F.expr(f"sum({centred(k)})").alias(f"s{k}") for k in range(len(cols))]
+        aggs += [F.expr(f"sum({centred(k)} * {centred(k)})").alias(f"q{k}") for k in range(len(cols))]
+        aggs += [F.expr(f"sum({centred(i)} * {centred(j)})").alias(f"p{i}_{j}") for i, j in pairs]
         row = df.agg(*aggs)
-        nn = F.lit(float(n))
-        arr = F.array(*[F.struct(
-            F.lit(cols[i]).alias("feature_i"), F.lit(cols[j]).alias("feature_j"),
-            (F.lit(None).cast("double") if cols[i] in const or cols[j] in const else
-             r_expr(nn, F.col(f"s{i}"), F.col(f"s{j}"), F.col(f"q{i}"), F.col(f"q{j}"), F.col(f"p{i}_{j}")))
-            .alias("abs_corr"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-        parts.append(row.select(F.inline(arr)))
+        items = [f"{_lit_str(cols[i])}, {_lit_str(cols[j])}, {i}, {j}, CAST({n} AS DOUBLE), s{i}, s{j}, q{i}, q{j}, "
+                 f"p{i}_{j}" for i, j in pairs]
+        parts.append(stacked(row, items, ""))
     else:
         for s0 in range(0, len(pairs), _PAIR_CHUNK):
             chunk = pairs[s0:s0 + _PAIR_CHUNK]
             aggs = []
             for i, j in chunk:
-                both = F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull()
-                x, y = F.when(both, centred(cols[i])), F.when(both, centred(cols[j]))
-                aggs += [F.count_if(both).cast("double").alias(f"n{i}_{j}"), F.sum(x).alias(f"sx{i}_{j}"),
-                         F.sum(y).alias(f"sy{i}_{j}"), F.sum(x * x).alias(f"sxx{i}_{j}"),
-                         F.sum(y * y).alias(f"syy{i}_{j}"), F.sum(x * y).alias(f"sxy{i}_{j}")]
+                both = f"({_q(cols[i])} IS NOT NULL AND {_q(cols[j])} IS NOT NULL)"
+                x = f"CASE WHEN {both} THEN {centred(i)} END"
+                y = f"CASE WHEN {both} THEN {centred(j)} END"
+                aggs += [F.expr(f"CAST(count_if({both}) AS DOUBLE)").alias(f"n{i}_{j}"),
+                         F.expr(f"sum({x})").alias(f"sx{i}_{j}"), F.expr(f"sum({y})").alias(f"sy{i}_{j}"),
+                         F.expr(f"sum({x} * {x})").alias(f"sxx{i}_{j}"), F.expr(f"sum({y} * {y})").alias(f"syy{i}_{j}"),
+                         F.expr(f"sum({x} * {y})").alias(f"sxy{i}_{j}")]
             row = df.agg(*aggs)
-            arr = F.array(*[F.struct(
-                F.lit(cols[i]).alias("feature_i"), F.lit(cols[j]).alias("feature_j"),
-                (F.lit(None).cast("double") if cols[i] in const or cols[j] in const else
-                 r_expr(F.col(f"n{i}_{j}"), *[F.col(f"{t}{i}_{j}") for t in ("sx", "sy", "sxx", "syy", "sxy")]))
-                .alias("abs_corr"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in chunk])
-            parts.append(row.select(F.inline(arr)))
+            items = [f"{_lit_str(cols[i])}, {_lit_str(cols[j])}, {i}, {j}, n{i}_{j}, sx{i}_{j}, sy{i}_{j}, "
+                     f"sxx{i}_{j}, syy{i}_{j}, sxy{i}_{j}" for i, j in chunk]
+            parts.append(stacked(row, items, ""))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    nn, sx, sy = F.col("nn"), F.col("sx"), F.col("sy")
+    vx = F.col("sxx") - sx * sx / nn
+    vy = F.col("syy") - sy * sy / nn
+    den = F.sqrt(vx * vy)
+    r = F.abs((F.col("sxy") - sx * sy / nn) / F.when(den > 0, den))
+    is_const = F.col("i").isin(list(const)) | F.col("j").isin(list(const)) if const else F.lit(False)
+    return out.select("feature_i", "feature_j", F.when(~is_const, r).cast("double").alias("abs_corr"),
+                      F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
 
 
 def correlation_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> DataFrame:
