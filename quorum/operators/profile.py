@@ -224,7 +224,8 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes: dict[str, int],
-                     limit: int = 10_000, accuracy: int = 10_000, max_rounds: int = 12) -> dict[tuple, float]:
+                     limit: int = 10_000, accuracy: int = 10_000, max_rounds: int = 12,
+                     proposals: dict[tuple, tuple] | None = None) -> dict[tuple, float]:
     """Exact k-th smallest values (0-based ranks) per column of a long frame (c, x), bounded memory.
 
     Each target keeps a value bracket [lo, hi] known to contain it. A round
@@ -281,7 +282,11 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
         if not refine:
             continue
         sketches, plan = [], []
+        proposals = proposals or {}
         for g, ((col, lo, hi, below, size), rs) in enumerate(refine):
+            if all((col, r) in proposals for r in rs):
+                plan.append(((col, lo, hi, below, size), rs))  # bracket guessed by the caller's sketch
+                continue
             probs = []
             for r in rs:
                 q, m = (r - below) / max(size - 1, 1), state[(col, r)][4]
@@ -289,11 +294,14 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
             sketches.append(F.percentile_approx(F.when(in_bracket(col, lo, hi), x),
                                                 F.array(*[F.lit(p) for p in probs]), accuracy).alias(f"g{g}"))
             plan.append(((col, lo, hi, below, size), rs))
-        approx = values.agg(*sketches).collect()[0]
+        approx = values.agg(*sketches).collect()[0] if sketches else {}
         checks, bounds = [], {}
         for g, ((col, lo, hi, below, size), rs) in enumerate(plan):
             for i, r in enumerate(rs):
-                nlo, nhi = approx[f"g{g}"][2 * i], approx[f"g{g}"][2 * i + 1]
+                if (col, r) in proposals:
+                    nlo, nhi = proposals.pop((col, r))
+                else:
+                    nlo, nhi = approx[f"g{g}"][2 * i], approx[f"g{g}"][2 * i + 1]
                 bounds[(col, r)] = (nlo, nhi)
                 inside = in_bracket(col, lo, hi)
                 checks += [F.count_if(inside & (x < F.lit(nlo))).alias(f"lt_{g}_{i}"),
@@ -331,7 +339,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[fl
     cols = [cols] if single else list(cols)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), nan_to_null(c).alias("x"))
                                          for c in cols])).alias("_p")).select("_p.*").filter(F.col("x").isNotNull())
-    n_row = df.agg(*[F.count(nan_to_null(c)).alias(c) for c in cols]).collect()[0]
+    accuracy = kw.get("accuracy", 10_000)
+    limit = kw.get("limit", 10_000)
+    margin = 2.0 / accuracy
+    sketch_p = {p: (max(0.0, p - margin), min(1.0, p + margin)) for p in probs}
+    # one job: row counts and a first sketch around every requested quantile
+    n_row = df.agg(*[F.count(nan_to_null(c)).alias(c) for c in cols],
+                   *[F.percentile_approx(nan_to_null(c), F.array(*[F.lit(v) for p in probs for v in sketch_p[p]]),
+                                         accuracy).alias(f"_q_{k}") for k, c in enumerate(cols)]).collect()[0]
     sizes = {c: n_row[c] for c in cols}
     pos, targets = {}, {}
     for c in cols:
@@ -343,7 +358,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[fl
             lo = int(at // 1)
             pos[(c, p)] = (lo, min(lo + 1, n - 1), at - lo)
             targets.setdefault(c, set()).update(pos[(c, p)][:2])
-    v = order_statistics(long, {c: sorted(t) for c, t in targets.items()}, sizes, **kw) if targets else {}
+    proposals = {}
+    for k, c in enumerate(cols):
+        # the rank of p * (n - 1) is within 1 / (n - 1) <= margin of p once n exceeds the collect limit
+        if sizes[c] > limit and sizes[c] - 1 >= accuracy / 2:
+            qs = n_row[f"_q_{k}"]
+            for i, p in enumerate(probs):
+                for r in pos[(c, p)][:2]:
+                    proposals[(c, r)] = (qs[2 * i], qs[2 * i + 1])
+    v = order_statistics(long, {c: sorted(t) for c, t in targets.items()}, sizes, proposals=proposals,
+                         **kw) if targets else {}
     out = {}
     for c in cols:
         out[c] = {}
