@@ -102,8 +102,20 @@ def sweep_projection(sweep: DataFrame, data_type: str = "costs") -> DataFrame:
         F.col("_p.threshold").alias("thresholds"), F.col("_p.v").alias("values"))
 
 
+def pick_sweep_split(sweep: DataFrame, split_col: str = "split") -> DataFrame:
+    """M13 store form: per model keep the 'Full' sweep, else the 'oof' one, else the first split by name."""
+    pref = F.when(F.col(split_col) == "Full", 0).when(F.col(split_col) == "oof", 1).otherwise(2)
+    splits = sweep.select("model_name", split_col).distinct()
+    w = Window.partitionBy("model_name").orderBy(pref, F.col(split_col))
+    chosen = splits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return sweep.join(F.broadcast(chosen), ["model_name", split_col])  # one row per model: bounded
+
+
 def sweep_series(sweep: DataFrame) -> DataFrame:
-    """Aligned ordered series per metric + the cost- and accuracy-optimal thresholds."""
+    """Aligned ordered series per metric + the cost- and accuracy-optimal thresholds
+    (when the sweep holds several splits, the store form picks one per model first)."""
+    if "split" in sweep.columns:
+        sweep = pick_sweep_split(sweep)
     pts = F.array_sort(F.collect_list(F.struct("threshold", "precision", "recall", "f1_score", "accuracy", "cost")))
     best_cost = F.min_by("threshold", F.struct("cost", "threshold"))
     best_acc = F.max_by("threshold", F.struct(F.col("tp") + F.col("tn"), -F.col("threshold")))

@@ -72,3 +72,11 @@ def test_importance_tables(spark):
     assert [r["b"] for r in top] == ["f2", "f4", "N/A"]
     diff = RP.importance_diff({"a": a, "b": b}).collect()
     assert diff[0]["feature"] == "f1"
+
+
+def test_pick_sweep_split(spark):
+    sweep = spark.createDataFrame(
+        [("a", "oof", .5, 1.0), ("a", "Full", .5, 2.0), ("b", "oof", .5, 3.0), ("c", "Train", .5, 4.0),
+         ("c", "Test", .5, 5.0)], "model_name string, split string, threshold double, cost double")
+    got = {r["model_name"]: r["split"] for r in RP.pick_sweep_split(sweep).collect()}
+    assert got == {"a": "Full", "b": "oof", "c": "Test"}
