@@ -116,22 +116,34 @@ class ResultsStore:
         self.spark, self.base = spark, base.rstrip("/")
 
     def save(self, run_id: str, datasets: dict[str, DataFrame]) -> None:
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        """Replace this run's partition of each dataset; other runs stay (dynamic overwrite)."""
         for name, df in datasets.items():
-            (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+            out = df.withColumn("run_id", F.lit(run_id))
+            out.limit(0).write.mode("overwrite").parquet(f"{self.base}/_schemas/{name}")  # schema of the dataset
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("run_id").parquet(f"{self.base}/{name}"))
 
     def load(self, name: str, run_id: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.base}/{name}")
+        try:
+            df = self.spark.read.parquet(f"{self.base}/{name}")
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            # every run was cleared: an empty frame with the dataset's schema
+            df = self.spark.read.parquet(f"{self.base}/_schemas/{name}")
         return df.filter(F.col("run_id") == run_id) if run_id is not None else df
 
     def append(self, run_id: str, name: str, df: DataFrame) -> None:
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(
-            f"{self.base}/{name}")
+        out = df.withColumn("run_id", F.lit(run_id))
+        out.limit(0).write.mode("ignore").parquet(f"{self.base}/_schemas/{name}")
+        out.write.mode("append").partitionBy("run_id").parquet(f"{self.base}/{name}")
 
     def clear(self, name: str) -> None:
-        empty = self.load(name).limit(0)
-        empty.write.mode("overwrite").partitionBy("run_id").parquet(f"{self.base}/{name}")
+        """Drop every run of a dataset (a static overwrite with an empty frame of the same schema)."""
+        schema = self.spark.read.parquet(f"{self.base}/_schemas/{name}").schema
+        empty = self.spark.createDataFrame([], schema)
+        (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("run_id").parquet(f"{self.base}/{name}"))
 
 
 def save_model(model, path: str) -> None:

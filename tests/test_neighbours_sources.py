@@ -44,6 +44,8 @@ def test_results_store_round_trip(spark, tmp_path):
     store.save("r1", {"model_metrics": a.withColumn("cost", F.lit(3.0))})
     got = {r["run_id"]: r["cost"] for r in store.load("model_metrics").collect()}
     assert got == {"r1": 3.0, "r2": 2.0}
+    store.clear("model_metrics")
+    assert store.load("model_metrics").count() == 0
 
 
 def test_metrics_json_coercion_F16(spark, tmp_path):
