@@ -47,7 +47,7 @@ from quorum.functions import metrics as M  # noqa: E402
 from quorum.functions.rules import sql_combine  # noqa: E402
 from quorum.operators import evaluation as E  # noqa: E402
 from quorum.operators import rules as R  # noqa: E402
-from quorum.operators.folds import stratified_kfold, stratified_split  # noqa: E402
+from quorum.operators.folds import auto_bucket_hex, stratified_kfold, stratified_split  # noqa: E402
 from quorum.operators.prep import encode_decision, encode_target, invalid_decisions  # noqa: E402
 from quorum.plans.flows import (  # noqa: E402
     apply_rules, base_predictions, decision_column_eval, decision_long, folded, labels_of, long_scores,
@@ -116,8 +116,11 @@ SELECT r.model_name, r.position,
 FROM ranked r JOIN shortest s ON r.model_name = s.model_name AND r.position <= s.min_n
 GROUP BY r.model_name, r.position""")
 def a7_positional_mean(spark, sf_dir):
-    long = long_scores(folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET), V.ID, _SC)
-    return E.positional_mean(long, V.ID, CFG.seed, bucket_hex=CFG.fold_bucket_hex)
+    scored = V.scored(spark, sf_dir)
+    long = long_scores(folded(scored, CFG, V.ID, V.TARGET), V.ID, _SC)
+    # size the ranking slices from the base table (a metadata count), not from the folded frame
+    hexd = CFG.fold_bucket_hex or auto_bucket_hex(scored.count() * len(_SC), len(_SC) * CFG.n_splits)
+    return E.positional_mean(long, V.ID, CFG.seed, bucket_hex=hexd)
 
 
 @register("m8_decision_column_eval", S.with_(*_DEC_CTES) + S.decision_results_select(CFG, "base"))
