@@ -73,6 +73,12 @@ def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000)
     """
     if not cols:
         return {}
+    # cheap guard first: one HyperLogLog pass (no shuffle of values) rejects columns that are
+    # clearly too wide before any exact distinct is computed (rsd 1 %; borderline columns fall through)
+    approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).collect()[0]
+    clearly_wide = {c: approx[c] for c in cols if approx[c] > max_levels * 1.05}
+    if clearly_wide:
+        raise ValueError(f"Too many categories to one-hot encode (limit {max_levels}): {clearly_wide}")
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("_p")
     ).select("_p.*").filter(F.col("v").isNotNull()).distinct()

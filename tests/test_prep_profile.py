@@ -180,3 +180,11 @@ def test_hash_folds_mode(spark):
     assert len(sizes) == 5 and sum(sizes) == 2000 and min(sizes) > 300
     with pytest.raises(ValueError):
         W.stratified_kfold(df, "id", "label", 5, 42, mode="nope")
+
+
+def test_one_hot_level_cap(spark):
+    df = spark.createDataFrame([(f"v{i}",) for i in range(300)], "c string")
+    with pytest.raises(ValueError, match="Too many categories"):
+        PR.one_hot_drop_first(df, max_levels=100)
+    enc, names = PR.one_hot_drop_first(df, max_levels=300)
+    assert len(names) == 299
