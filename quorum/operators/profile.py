@@ -192,7 +192,13 @@ def detect_decision_columns(df: DataFrame, target: str, excludes: Sequence[str]
     spark = df.sparkSession
     if named:
         return spark.createDataFrame([(c, "name") for c in named], "column_name string, reason string")
-    counts = distinct_counts(df, cands)
+    # HyperLogLog first (one pass, no shuffle of values): only columns that may have few
+    # values get an exact distinct count, so wide columns (ids) are never shuffled value by value
+    approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cands]).collect()[0]
+    narrow = [c for c in cands if approx[c] <= max(2 * max_distinct, max_distinct + 10)]
+    if not narrow:
+        return spark.createDataFrame([], "column_name string, reason string")
+    counts = distinct_counts(df, narrow)
     return (counts.filter(F.col("n_distinct") <= max_distinct)
             .select("column_name", F.lit("few_values").alias("reason")))
 
