@@ -55,3 +55,18 @@ def test_query(spark, con, name):
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, recs) == _rows(dcols, cur.fetchall())
+
+
+def test_entry_loads_by_path_from_any_cwd(tmp_path, monkeypatch):
+    import importlib.util
+    import os
+    import sys
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(sys, "path", [p for p in sys.path if os.path.abspath(p or ".") != here])
+    for mod in [m for m in sys.modules if m == "quorum" or m.startswith("quorum.")]:
+        monkeypatch.delitem(sys.modules, mod)
+    spec = importlib.util.spec_from_file_location("entry_by_path", os.path.join(here, "__spark_entry__.py"))
+    m = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(m)
+    assert len(m.queries()) == len(QUERIES) and set(m.oracle_sql()) == set(ORACLES)
