@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import bpe
-from quorum.llm.common import read
+from quorum.llm import bpe, language_id, quality
+from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,19 @@ def op2_exact_dedup(spark, sf_dir):
     """Exact copies of every document."""
     return exact_dedup(read(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_register("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    """Quality scores of every document, learned from the labels that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id", held_out().alias("held_out")])
+
+
+@_register("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    """Predicted language of every document, learned from the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train_on_learnable(docs)
+    return language_id.predict(docs, model, keep=["doc_id", held_out().alias("held_out")])
