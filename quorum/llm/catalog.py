@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quorum.llm import bpe, language_id, quality
 from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
+from quorum.llm.quality_rules import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,9 @@ def op10_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     model = language_id.train_on_learnable(docs)
     return language_id.predict(docs, model, keep=["doc_id", held_out().alias("held_out")])
+
+
+@_register("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    """Base counts and risk-controlled verdict of every document."""
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
