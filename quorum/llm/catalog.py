@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import bpe, language_id, quality
+from quorum.llm import bpe, html_text, language_id, quality, url_filter
 from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.quality_rules import quality_rules
@@ -73,3 +73,20 @@ def op10_language_id(spark, sf_dir):
 def op8_quality_rules(spark, sf_dir):
     """Base counts and risk-controlled verdict of every document."""
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_register("op3_html_text")
+def op3_html_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+#: (host, path, verdict) rules that come before the mined ones.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+@_register("op5_url_filter")
+def op5_url_filter(spark, sf_dir):
+    """Verdict on every page's url."""
+    return url_filter.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
