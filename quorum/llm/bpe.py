@@ -1,14 +1,14 @@
 """BPE encoding and decoding of whole texts, and what a word-level BPE file needs around it.
 
 The merge loop keeps the symbols of a word in a doubly linked list and the
-possible merges in a priority queue of (rank, position); entries whose symbols
-have changed since they were queued are stale and skipped. Decoding joins the
+possible merges in a priority queue by (rank, position); entries whose pair has
+changed since they were queued are stale and skipped. Decoding joins the
 vocabulary strings of the ids.
 
 The tokenizer file is read on the driver and broadcast (its size is fixed by
 the file, about 2 MB), so executors need no copy of it. Words repeat, so every
-worker keeps the ids of at most ``CACHE_WORDS`` words; beyond that the cache
-starts anew.
+worker keeps the ids of a bounded number of words and of pieces between white
+space (about 200 MB at most).
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -29,9 +31,13 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import ship
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CACHE_WORD_CHARS = 64  # longer words are encoded each time
 
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BITS = 24  # ids and ranks are smaller than 1 << _BITS
+_MADE = (1 << _BITS) - 1
+
 
 def byte_symbols() -> list[str]:
     """The printable character of each byte value: itself where printable, else the next free one from U+0100."""
@@ -50,99 +56,132 @@ class WordBpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.specials = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair of symbols -> rank and what the merge makes
         for rank, (left, right) in enumerate(model["merges"]):
-            self.merges[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.merges[self.vocab[left] << _BITS | self.vocab[right]] = rank << _BITS | self.vocab[left + right]
         split = next(p for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = split["pattern"]["Regex"]
-        self.bytes = byte_symbols()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        shown = byte_symbols()
+        self.first = [self.vocab.get(c, -1) for c in shown]  # of a word's bytes but the last
+        self.last = [self.vocab.get(c + self.suffix, -1) for c in shown]
         self._compile()
 
     def _compile(self) -> None:
+        self.word_cache, self.cache = Cache(self._word_ids), Cache(self._chunk_ids)
         self._find = regex.compile(self.words).findall
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "_find", "_special")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "word_cache", "_find", "_special")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, cache={})
+        self.__dict__.update(state)
         self._compile()
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Apply the merges to a word's symbols, lowest rank first, leftmost first among equals."""
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        alive, queue, merges = [True] * n, [], self.merges
-        for i in range(n - 1):
-            if found := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+        """Apply the merges to a word's symbols, lowest rank first, leftmost first among equals.
+
+        A queue entry is one integer: the merge (rank, then what it makes) above
+        the position of its left symbol. ``due`` holds the merge that the pair
+        at a position stands for now; entries that differ from it are stale.
+        """
+        find, n = self.merges.get, len(symbols)
+        due = [find(a << _BITS | b, -1) for a, b in pairwise(symbols)]
+        place = n.bit_length()
+        queue = [v << place | i for i, v in enumerate(due) if v >= 0]
+        if not queue:
+            return symbols
+        due.append(-1)
+        before, after, mask = list(range(-1, n - 1)), list(range(1, n + 1)), (1 << place) - 1
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right, made = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & mask
+            v = entry >> place
+            if due[i] != v:
+                continue
             j = after[i]
-            if not alive[i] or j < 0 or symbols[i] != left or symbols[j] != right:
-                continue  # stale
-            symbols[i], alive[j] = made, False
+            symbols[i] = made = v & _MADE
+            symbols[j] = due[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if found := merges.get((made, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, made, symbols[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((symbols[h], made))):
-                heapq.heappush(queue, (found[0], h, symbols[h], made, found[1]))
-        return [s for s, keep in zip(symbols, alive) if keep]
-
-    def _word(self, word: str) -> list[int]:
-        chars = [self.bytes[b] for b in word.encode("utf-8")]
-        chars[-1] += self.suffix
-        return self.merge([self.vocab[c] for c in chars if c in self.vocab])
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+                due[i] = v = find(made << _BITS | symbols[k], -1)
+                if v >= 0:
+                    push(queue, v << place | i)
+            else:
+                due[i] = -1
+            h = before[i]
+            if h >= 0:
+                due[h] = v = find(symbols[h] << _BITS | made, -1)
+                if v >= 0:
+                    push(queue, v << place | h)
+        return [s for s in symbols if s >= 0]
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of one word of the pattern."""
+        data = word.encode("utf-8")
+        symbols = [self.first[b] for b in data[:-1]]
+        symbols.append(self.last[data[-1]])
+        return tuple(self.merge([s for s in symbols if s >= 0] if -1 in symbols else symbols))
+
+    def _word_ids(self, word: str) -> bytes:
+        return little_endian(array("I", self._word(word)))
+
+    def _chunk_ids(self, chunk: str) -> bytes:
         """Ids of a piece without white space."""
-        ids = tuple(i for word in self._find(chunk) for i in self._word(word))
-        if len(chunk) <= CACHE_WORD_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[chunk] = ids
-        return ids
-
-    def _plain(self, text: str, out: array) -> None:
+        return b"".join(map(self.word_cache.__getitem__, self._find(chunk)))
+
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower-casing here knows no final sigma
         text = text.lower()
         # str.split() also splits at U+001C to U+001F, which aren't white space to the pattern
-        chunks = regex.split(r"\s+", text) if re.search("[\x1c-\x1f]", text) else text.split()
-        get, extend = self.cache.get, out.extend
-        for chunk in chunks:
-            ids = get(chunk)
-            extend(ids if ids is not None else self._chunk(chunk))
-
-    def encode(self, text: str) -> array:
-        """Ids of a whole text as unsigned 32-bit integers; no special tokens are added, those written out count."""
-        out = array("I")
+        chunks = regex.split(r"\s+", text) if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.cache.__getitem__, chunks))
+
+    def encode_bytes(self, text: str) -> bytes:
+        """``encode`` as little-endian unsigned 32-bit integers."""
         if self._special is None or "<|" not in text:
-            self._plain(text, out)
-        else:
-            for part in self._special.split(text):
-                if part in self.specials:
-                    out.append(self.specials[part])
-                else:
-                    self._plain(part, out)
-        return out
+            return self._plain(text)
+        return b"".join(little_endian(array("I", [self.specials[part]])) if part in self.specials else self._plain(part)
+                        for part in self._special.split(text))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text; no special tokens are added, those written out count."""
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
     def decode(self, ids) -> str:
         """Vocabulary strings joined by a space, as for a file without a decoder; unknown ids are left out."""
         strings = self.strings
         try:
-            return " ".join([strings[i] for i in ids])
+            return " ".join(map(strings.__getitem__, ids))
         except KeyError:
             return " ".join([strings[i] for i in ids if i in strings])
 
 
+class Cache(dict):
+    """Values of ``make`` by string, the latest ``CACHE_WORDS`` to twice as many of them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_WORD_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def little_endian(ids: array) -> bytes:
     if sys.byteorder == "big":
         ids = array("I", ids)
@@ -167,7 +206,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = shared.value
         for pdf in batches:
-            yield pd.DataFrame({name: pdf["id"], "ids": [bpe.encode(t or "").tolist() for t in pdf["text"]]})
+            yield pd.DataFrame({name: pdf["id"], "ids": [bpe.encode(t or "") for t in pdf["text"]]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"`{name}` {kind}, ids array<int>")
@@ -195,9 +234,9 @@ def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                ids = bpe.encode(text or "")
-                decoded = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(little_endian(ids)).hexdigest(),
+                ids = bpe.encode_bytes(text or "")
+                decoded = bpe.decode(np.frombuffer(ids, dtype="<u4").tolist())
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                              hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             yield out.assign(**{name: pdf["id"].to_numpy()})[[name, *out.columns]]
