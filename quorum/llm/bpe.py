@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import ship
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 CACHE_WORD_CHARS = 64  # longer words are encoded each time
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -49,7 +49,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder of a ``tokenizers`` file of the word-BPE kind: NFC, lower case, white space dropped, word ends marked."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, queue_from: int = 0):
+        self.queue_from = queue_from  # words of fewer symbols are merged by scanning
         parts = json.loads(spec)
         model = parts["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -67,12 +68,12 @@ class WordBpe:
         self._compile()
 
     def _compile(self) -> None:
-        self.word_cache, self.cache = Cache(self._word_ids), Cache(self._chunk_ids)
+        self.cache = Cache(self.piece_ids)
         self._find = regex.compile(self.words).findall
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "word_cache", "_find", "_special")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "_find", "_special")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -119,19 +120,38 @@ class WordBpe:
                     push(queue, v << place | h)
         return [s for s in symbols if s >= 0]
 
+    def scan(self, symbols: list[int]) -> list[int]:
+        """``merge`` without a queue, by looking for the lowest rank each time: quicker for short words."""
+        find, none = self.merges.get, 1 << 62
+        due = [find(a << _BITS | b, none) for a, b in pairwise(symbols)]
+        while due and (v := min(due)) != none:
+            i = due.index(v)
+            symbols[i] = made = v & _MADE
+            del symbols[i + 1], due[i]
+            if i < len(due):
+                due[i] = find(made << _BITS | symbols[i + 1], none)
+            if i:
+                due[i - 1] = find(symbols[i - 1] << _BITS | made, none)
+        return symbols
+
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of one word of the pattern."""
         data = word.encode("utf-8")
         symbols = [self.first[b] for b in data[:-1]]
         symbols.append(self.last[data[-1]])
-        return tuple(self.merge([s for s in symbols if s >= 0] if -1 in symbols else symbols))
-
-    def _word_ids(self, word: str) -> bytes:
-        return little_endian(array("I", self._word(word)))
-
-    def _chunk_ids(self, chunk: str) -> bytes:
-        """Ids of a piece without white space."""
-        return b"".join(map(self.word_cache.__getitem__, self._find(chunk)))
+        symbols = [s for s in symbols if s >= 0] if -1 in symbols else symbols
+        return tuple(self.merge(symbols) if len(symbols) >= self.queue_from else self.scan(symbols))
+
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids of a piece without white space, by way of the cache for the words in it."""
+        if piece.isalpha():
+            return little_endian(array("I", self._word(piece)))
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return self.cache[piece[:-1]] + self.cache[piece[-1]]
+        words = self._find(piece)
+        if words == [piece]:
+            return little_endian(array("I", self._word(piece)))
+        return b"".join(map(self.cache.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
@@ -140,7 +160,7 @@ class WordBpe:
             text = text.replace("Σ", "σ")  # lower-casing here knows no final sigma
         text = text.lower()
         # str.split() also splits at U+001C to U+001F, which aren't white space to the pattern
-        chunks = regex.split(r"\s+", text) if _SEPARATORS.search(text) else text.split()
+        chunks = list(filter(None, regex.split(r"\s+", text))) if _SEPARATORS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, chunks))
 
     def encode_bytes(self, text: str) -> bytes:
@@ -189,10 +209,10 @@ def little_endian(ids: array) -> bytes:
     return ids.tobytes()
 
 
-def load(spark, path: str):
+def load(spark, path: str, queue_from: int = 0):
     """The encoder of a tokenizer file, as a broadcast value."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(WordBpe(f.read()))
+        return spark.sparkContext.broadcast(WordBpe(f.read(), queue_from))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import bpe, html_text, language_id, quality, url_filter
+from quorum.llm import bpe, html_text, language_id, packing, quality, url_filter
 from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.quality_rules import quality_rules
+from quorum.llm.span_dedup import span_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,15 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 def op5_url_filter(spark, sf_dir):
     """Verdict on every page's url."""
     return url_filter.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES)
+
+
+@_register("op6_packing")
+def op6_packing(spark, sf_dir):
+    """Sequences of at most 2048 tokens that hold every document."""
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_register("op9_span_dedup")
+def op9_span_dedup(spark, sf_dir):
+    """Every document without the sentences that an earlier document or place holds in the same run."""
+    return span_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
