@@ -50,8 +50,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
 FROM n""")
 def op2_exact_dedup(spark, sf_dir):
     """Exact copies of every document."""
-    return exact_dedup(read(spark, sf_dir, "documents")).select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(read(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 @_register("op4_quality_classifier")

@@ -51,21 +51,27 @@ def _in_filter(rows: DataFrame, slots: DataFrame, slot: Column, flag: str) -> Da
     return joined.withColumn(flag, test).drop("bucket", "bits", "_slot")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256 (columns of those names are replaced).
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (default: all) of every row with keep_id, group_size, kept and text_sha256, which replace any such.
+
+    The hashes are computed once and written to the shared folder with the ids;
+    filters and groups are made from that table, as is the result if no other
+    column is asked for.
 
     Of equal texts the row with the largest id stays. Defined cases: a null
     text counts as empty; a null id is smaller than every other and stays only
     if its whole group has none; of rows that repeat both id and text exactly
     one stays; an empty table gives an empty result.
     """
-    carried = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(*carried).withColumn(
-        "_sha", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
-    total = docs.count()
+    carried = [c for c in columns or docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("_sha")
+    table = scratch(docs.select(sha, F.col(id_col)), "dedup-hashes")
+    rows = table if set(carried) == {id_col} else docs.select(sha, *carried)
+    total = table.count()
     n_slots = 1 << min(MAX_SLOTS.bit_length() - 1, max(15, (SLOTS_PER_ROW * max(total, 1)).bit_length()))
 
-    keys = rows.select("_sha")
+    keys = table.select("_sha")
     first = scratch(_repeated_slots(keys, _slot(1, n_slots)), "dedup-pass1")
     once = _in_filter(keys, first, _slot(1, n_slots), "_again").filter("_again").select("_sha")
     second = scratch(_repeated_slots(once, _slot(2, n_slots)), "dedup-pass2")
@@ -75,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         frame = _in_filter(frame, second, _slot(2, n_slots), "_f2")
         return frame.withColumn("_repeat", F.expr("_f1 and _f2")).drop("_f1", "_f2")
 
-    per_id = flagged(rows.select("_sha", F.col(id_col).alias("_id"))).filter("_repeat") \
+    per_id = flagged(table.select("_sha", F.col(id_col).alias("_id"))).filter("_repeat") \
         .groupBy("_sha", "_id").agg(F.count(F.lit(1)).alias("n"))
     groups = scratch(per_id.groupBy("_sha").agg(
         F.max("_id").alias("keep_id"), F.sum("n").alias("group_size"),
