@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quorum.llm import bpe, html_text, language_id, packing, quality, url_filter
 from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
+from quorum.llm.near_dedup import near_dedup
 from quorum.llm.quality_rules import quality_rules
 from quorum.llm.span_dedup import span_dedup
 
@@ -102,3 +103,9 @@ def op6_packing(spark, sf_dir):
 def op9_span_dedup(spark, sf_dir):
     """Every document without the sentences that an earlier document or place holds in the same run."""
     return span_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register("op7_minhash")
+def op7_minhash(spark, sf_dir):
+    """Components of near-duplicate documents."""
+    return near_dedup(read(spark, sf_dir, "documents"))

@@ -78,3 +78,22 @@ def in_bits(rows: DataFrame, bits: DataFrame, id_col: str, flag: str) -> DataFra
         .withColumn("_bucket", F.expr(f"_slot div {_BUCKET_BITS}"))
     return tagged.join(small, "_bucket", "left").withColumn(flag, F.expr(bit_is_set("_bits", "_slot"))) \
         .drop("_bucket", "_bits", "_slot")
+
+
+#: A group with more than one in HOT_SHARE of the rows is hot; there can be at most HOT_SHARE of them.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int,
+                how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with one row per key of ``groups``, whose ``size_col`` counts the key's rows.
+
+    Rows of hot keys take the groups by broadcast (at most ``HOT_SHARE`` rows)
+    and never shuffle, so no task gets more than one in ``HOT_SHARE`` of all
+    rows for one key. ``total`` is the number of rows.
+    """
+    hot_rule = F.col(size_col) * HOT_SHARE > total
+    hot = F.broadcast(groups.filter(hot_rule))
+    cold = groups.filter(~hot_rule)
+    settled = rows.join(hot, keys)
+    return settled.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
