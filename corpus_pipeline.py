@@ -11,8 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorum.llm.catalog import tokenizer_path
 from quorum.llm.common import read, scratch
 from quorum.llm.exact_dedup import exact_dedup
+from quorum.llm.language_id import UNKNOWN, predict, train
+from quorum.llm.near_dedup import near_dedup
+from quorum.llm.packing import pack
+from quorum.llm.span_dedup import span_dedup
+
+#: A document stays if its best language is at least this likely.
+MIN_LANGUAGE_SCORE = 0.5
+#: Words of a shingle of the near-duplicate stage; the similarity is 80 % as in the operator.
+SHINGLE_WORDS = 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those that fit no learned language, go.
+
+    The classifier learns from the documents that come with a language; if none
+    does, there is nothing to judge by, and only those without a letter go.
+    """
+    model = train(docs)
+    if not model["langs"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = predict(docs, model)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +43,31 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
+    dropped = near_dedup(docs, shingle=SHINGLE_WORDS).filter("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences that stand in an earlier place in the same run go; documents of nothing else go with them."""
+    cut = span_dedup(docs)
+    left = cut.filter(~F.col("changed") | (F.col("text") != ""))
+    n_chars = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences that hold every document left."""
+    return pack(docs, tokenizer_path())
+
+
 STAGES = [
+    ("language_id", language),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("span_dedup", repeated_spans),
+    ("packing", packing),
 ]
 
 #: The stages hold a learned model and a search for packings, which SQL can't express.
@@ -29,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again; the last one's result."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
