@@ -55,27 +55,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Slots of a bitmap of ids: 16 MB. More ids than slots only let more rows through.
 ID_SLOTS = 1 << 27
-_BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
+BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
 
 
 def bit_is_set(bits: str, slot: str) -> str:
     """SQL text: bit ``slot`` of its bucket's bitmap is set."""
-    byte = f"conv(hex(substring({bits}, cast(({slot} % {_BUCKET_BITS}) div 8 + 1 as int), 1)), 16, 10)"
+    byte = f"conv(hex(substring({bits}, cast(({slot} % {BUCKET_BITS}) div 8 + 1 as int), 1)), 16, 10)"
     return f"{bits} is not null and (shiftright(cast({byte} as int), cast({slot} % 8 as int)) & 1) = 1"
 
 
 def id_bits(ids: DataFrame, id_col: str) -> DataFrame:
     """(bucket, bits): a bitmap of the hashes of ``ids``, at most ``ID_SLOTS / 8`` bytes."""
     slots = ids.select(F.pmod(F.xxhash64(id_col), F.lit(ID_SLOTS)).alias("slot"))
-    return slots.groupBy(F.expr(f"slot div {_BUCKET_BITS}").alias("bucket")).agg(
-        F.expr(f"bitmap_construct_agg(slot % {_BUCKET_BITS})").alias("bits"))
+    return slots.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(
+        F.expr(f"bitmap_construct_agg(slot % {BUCKET_BITS})").alias("bits"))
 
 
 def in_bits(rows: DataFrame, bits: DataFrame, id_col: str, flag: str) -> DataFrame:
     """``rows`` with the boolean ``flag``: the id may be among those of the broadcast bitmap (never wrongly false)."""
     small = F.broadcast(bits.withColumnRenamed("bucket", "_bucket").withColumnRenamed("bits", "_bits"))
     tagged = rows.withColumn("_slot", F.pmod(F.xxhash64(id_col), F.lit(ID_SLOTS))) \
-        .withColumn("_bucket", F.expr(f"_slot div {_BUCKET_BITS}"))
+        .withColumn("_bucket", F.expr(f"_slot div {BUCKET_BITS}"))
     return tagged.join(small, "_bucket", "left").withColumn(flag, F.expr(bit_is_set("_bits", "_slot"))) \
         .drop("_bucket", "_bits", "_slot")
 

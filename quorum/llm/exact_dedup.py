@@ -23,12 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import ascii_lower, scratch
+from quorum.llm.common import BUCKET_BITS, HOT_SHARE, ascii_lower, bit_is_set, scratch
 
 MAX_SLOTS = 1 << 27
 SLOTS_PER_ROW = 8
-HOT_SHARE = 1000
-_BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
 
 
 def _slot(seed: int, n_slots: int) -> Column:
@@ -38,17 +36,15 @@ def _slot(seed: int, n_slots: int) -> Column:
 def _repeated_slots(rows: DataFrame, slot: Column) -> DataFrame:
     """(bucket, bits): bitmaps of the slots that more than one row has."""
     often = rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return often.groupBy(F.expr(f"slot div {_BUCKET_BITS}").alias("bucket")).agg(
-        F.expr(f"bitmap_construct_agg(slot % {_BUCKET_BITS})").alias("bits"))
+    return often.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(
+        F.expr(f"bitmap_construct_agg(slot % {BUCKET_BITS})").alias("bits"))
 
 
 def _in_filter(rows: DataFrame, slots: DataFrame, slot: Column, flag: str) -> DataFrame:
     """``rows`` with the boolean ``flag``: the row's slot is set in the broadcast bitmaps."""
-    tagged = rows.withColumn("_slot", slot).withColumn("bucket", F.expr(f"_slot div {_BUCKET_BITS}"))
+    tagged = rows.withColumn("_slot", slot).withColumn("bucket", F.expr(f"_slot div {BUCKET_BITS}"))
     joined = tagged.join(F.broadcast(slots), "bucket", "left")
-    byte = f"conv(hex(substring(bits, cast((_slot % {_BUCKET_BITS}) div 8 + 1 as int), 1)), 16, 10)"
-    test = F.expr(f"bits is not null and (shiftright(cast({byte} as int), cast(_slot % 8 as int)) & 1) = 1")
-    return joined.withColumn(flag, test).drop("bucket", "bits", "_slot")
+    return joined.withColumn(flag, F.expr(bit_is_set("bits", "_slot"))).drop("bucket", "bits", "_slot")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -67,7 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carried = [c for c in columns or docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("_sha")
     table = scratch(docs.select(sha, F.col(id_col)), "dedup-hashes")
-    rows = table if set(carried) == {id_col} else docs.select(sha, *carried)
+    # the carried columns travel in a struct, so that none can clash with the names used here
+    whole = table if set(carried) == {id_col} else docs
+    rows = whole.select("_sha" if whole is table else sha, F.col(id_col).alias("_id"), F.struct(*carried).alias("_row"))
     total = table.count()
     n_slots = 1 << min(MAX_SLOTS.bit_length() - 1, max(15, (SLOTS_PER_ROW * max(total, 1)).bit_length()))
 
@@ -96,12 +94,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     settled = F.expr("not _repeat or group_size is not null")
     passed = base.filter(settled)
     rest = base.filter(~settled).drop("keep_id", "group_size").join(cold, "_sha", "left") \
-        .withColumn("_copy", F.row_number().over(Window.partitionBy("_sha", id_col).orderBy(F.lit(1))))
+        .withColumn("_copy", F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(1))))
     both = passed.withColumn("_copy", F.lit(1)).unionByName(rest)
     return both.select(
-        *carried,
-        F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),
+        "_row.*",
+        F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("group_size").isNull() | (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)))
+        (F.col("group_size").isNull() | (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)))
         .alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"))

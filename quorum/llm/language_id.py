@@ -45,8 +45,8 @@ def gram_hashes(codes: np.ndarray, sizes: tuple[int, ...], n_buckets: int) -> li
 def slices(texts: list[str], sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(code points, row of each) of the lower-cased texts, a bounded number at a time.
 
-    Each text is framed by spaces; slices of a long text overlap so that every
-    n-gram starts in exactly one slice.
+    Each text is framed by spaces and followed by NULs; slices of a long text
+    overlap so that every n-gram starts in exactly one slice.
     """
     codes, owners, size = [], [], 0
     for row, text in enumerate(texts):
@@ -154,21 +154,20 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
     score of the input are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*(keep if keep is not None else ["*"]), F.col(text_col).alias("_text"))
-    kept = kept.drop("lang_pred", "score")
+    kept = docs.select(*(keep if keep is not None else ["*"])).drop("lang_pred", "score")
     names = kept.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    picked = names if keep is None else [c for c in keep if not isinstance(c, str) or c in names]
+    rows = docs.select(F.col(text_col).alias("_whole_text"), *picked)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
-            langs, scores = score_texts(batch.column(names.index("_text")).to_pylist(), shared.value)
-            rest = [batch.column(i) for i, n in enumerate(names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*(n for n in names if n != "_text"), "lang_pred", "score"])
+            langs, scores = score_texts(batch.column(0).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             names=[*names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, (schema + ", " if schema else "") + "lang_pred string, score double")
+    return rows.mapInArrow(run, (schema + ", " if schema else "") + "lang_pred string, score double")
 
 
 def train_on_learnable(docs: DataFrame, id_col: str = "doc_id", **options) -> dict:
