@@ -17,7 +17,6 @@ Layout:
   sources/    scans, sinks, result / model / feature-contract stores
   plans/      compositions (end-to-end flows, views over the driver tables, the
               query catalogue used by ``__spark_entry__``)
-  streaming/  intentionally empty: the evaluated workload has no streams
 """
 
 from quorum.config import EvalConfig, Costs  # noqa: F401

@@ -47,6 +47,3 @@ class EvalConfig:
     fold_bucket_hex: int | None = None
     # 'exact' (per-class sizes within one, one sort) or 'hash' (no shuffle, balance in expectation)
     fold_mode: str = "exact"
-
-    def sorted_grid(self) -> list[float]:
-        return sorted(set(float(t) for t in self.grid))

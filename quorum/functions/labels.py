@@ -18,9 +18,3 @@ def display_label(model, threshold) -> Column:
     """``"{model} (τ={threshold:.2f})"``; a NULL threshold keeps the plain name."""
     m, t = col(model), col(threshold)
     return F.when(t.isNull(), m).otherwise(F.format_string("%s (τ=%.2f)", m, t))
-
-
-def capitalize(c) -> Column:
-    """First character upper, rest lower (Python ``str.capitalize``)."""
-    c = col(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from quorum.config import Costs
 
-RESULT_METRICS = ["precision", "recall", "f1_score", "accuracy"]
-COUNT_COLS = ["tp", "fp", "tn", "fn"]
 # Column order of the ``results`` table (one row per model / split / threshold type).
 RESULT_COLUMNS = [
     "model_name", "split", "threshold_type", "threshold", "precision", "recall",
@@ -33,6 +31,11 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c.cast("double"))
 
 
+def number(df, c: str) -> Column:
+    """A numeric column as double, with NaN read as missing where the type can hold it."""
+    return nan_to_null(f"`{c}`") if df.schema[c].dataType.typeName() in ("float", "double") else F.col(f"`{c}`").cast("double")
+
+
 def pct(num, den) -> Column:
     """``100 * num / den`` or 0.0 when the denominator is not positive."""
     num, den = col(num), col(den)
@@ -120,7 +123,10 @@ LOG_LOSS_EPS = 1e-15
 
 
 def log_loss_expr(label, prob, eps: float = LOG_LOSS_EPS) -> Column:
-    """Per-row negative log likelihood with p clipped to [eps, 1 - eps]."""
-    y = col(label)
-    p = F.greatest(F.least(col(prob), F.lit(1 - eps)), F.lit(eps))
-    return -(y * F.log(p) + (F.lit(1) - y) * F.log(F.lit(1) - p))
+    """Per-row negative log likelihood with p clipped to [eps, 1 - eps].
+
+    A missing label or score (NULL, NaN) gives NULL, so averages skip the row.
+    """
+    y, s = col(label), nan_to_null(prob)
+    p = F.greatest(F.least(s, F.lit(1 - eps)), F.lit(eps))
+    return F.when(s.isNotNull(), -(y * F.log(p) + (F.lit(1) - y) * F.log(F.lit(1) - p)))

@@ -4,9 +4,9 @@ histograms (A19, A20, A21, W5).
 Both curves need, for every distinct score s of a model, the number of
 positives and negatives scored >= s (a descending cumulative count).
 ``suffix_totals`` computes it exactly without putting a model's whole score
-range into one task: distinct scores are cut into ``n_buckets`` ranges by
-approximate quantiles (any cut is fine, the result stays exact), bucket totals
-give each bucket's offset, and the running sum only runs inside a bucket.
+range into one task: distinct scores are dealt into ranges of about
+``RANGE_ROWS`` rows (any cut is fine, the result stays exact), range totals
+give each range's offset, and the running sum only runs inside a range.
 
 The ROC area is accumulated as an exact integer (decimal) numerator and
 divided once, so it does not depend on summation order.
@@ -16,51 +16,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.functions import metrics as M
 from quorum.session import cut_lineage
 
 HIST_BINS = 50
-
-
-def _bucket_of(x: Column, bounds: Column, n_bounds: int) -> Column:
-    """Number of ascending ``bounds`` <= x, by an iterative binary search (log2 steps)."""
-    steps = max(1, n_bounds.bit_length())
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n_bounds).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_right = (lo < hi) & (x >= F.element_at(bounds, mid + 1))
-        return F.struct(F.when(lo >= hi, lo).when(go_right, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(lo >= hi, hi).when(go_right, hi).otherwise(mid).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+RANGE_ROWS = 100_000  # distinct scores of a range
 
 
 def suffix_totals(counts: DataFrame, group_cols: Sequence[str], order_col: str, value_cols: Sequence[str],
-                  n_buckets: int = 256, accuracy: int = 10000) -> DataFrame:
+                  range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``cum_{v}`` = sum of v over rows of the same group with ``order_col >=`` this row's.
 
     ``counts`` must hold one row per (group, order value).
     """
     group_cols = list(group_cols)
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = counts.groupBy(*group_cols).agg(
-        F.array_sort(F.percentile_approx(order_col, fracs, accuracy)).alias("_bounds"))
-    # at most (#groups x n_buckets) doubles: a bounded broadcast
-    with_b = counts.join(F.broadcast(bounds), group_cols).withColumn(
-        "_bk", _bucket_of(F.col(order_col), F.col("_bounds"), len(fracs))).drop("_bounds")
-    totals = with_b.groupBy(*group_cols, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    n_ranges = max(1, -(-counts.count() // range_rows))
+    # written once: a range is a partition of this table, whichever task reads it later
+    ranged = cut_lineage(counts.repartitionByRange(n_ranges, *group_cols, order_col).withColumn("_bk", F.spark_partition_id()))
+    totals = ranged.groupBy(*group_cols, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     higher = Window.partitionBy(*group_cols).orderBy(F.col("_bk").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(higher), F.lit(0))
                                                   .alias(f"_o_{v}") for v in value_cols])
     inside = Window.partitionBy(*group_cols, "_bk").orderBy(F.col(order_col).desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = with_b.join(F.broadcast(offsets), group_cols + ["_bk"])
+    # the offsets are joined on the partitioning of the running sums, which shuffles the rows once for both
+    out = ranged.join(offsets, group_cols + ["_bk"])
     return out.select(*counts.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}")
                                          for v in value_cols])
 

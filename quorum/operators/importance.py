@@ -10,10 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.operators.prep import _pair_corr
+from quorum.functions.metrics import number
+
+
+def _pair_corr(x: Column, y: Column) -> Column:
+    """|Pearson r| over the rows where both are known; NULL when either side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    den = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.abs(F.covar_pop(x, y) / F.when(den != 0, den))
 
 
 def univariate_importance(df: DataFrame, features: Sequence[str], label_col: str = "label",
@@ -21,8 +29,8 @@ def univariate_importance(df: DataFrame, features: Sequence[str], label_col: str
     """|corr(feature, label)| (kind='corr') or |covar_pop(feature, label)| (kind='covar')."""
     def score(c):
         if kind == "corr":
-            return _pair_corr(c, label_col)
-        return F.abs(F.covar_pop(F.col(c).cast("double"), F.col(label_col).cast("double")))
+            return _pair_corr(number(df, c), number(df, label_col))
+        return F.abs(F.covar_pop(number(df, c), number(df, label_col)))
 
     agg = df.agg(*[score(c).alias(c) for c in features])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("importance"),

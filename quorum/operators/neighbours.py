@@ -8,6 +8,11 @@ pairs), Q and R are derived from the measured sizes so every tile stays
 small, and the per-query merge keeps k of at most k x R candidates — exact
 for any data size, with no broadcast of an unbounded side.
 
+Inside a tile the dot-product form finds candidates only: both blocks are
+centred first, and every reference within the rounding error of the k-th
+smallest value is scored again by plain differences and ordered by (distance,
+rid), so ties and far-off origins change nothing.
+
 SMOTE draws every random choice from a hash of (synthetic id, seed), so a
 retried task produces the same rows.
 """
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 from quorum.operators.folds import hash_rank
 
 KNN_SCHEMA = "qid string, rid string, distance double"
-_REFINE_EXTRA = 8  # candidates re-scored exactly beyond k (guards float ties of the dot-product form)
+BROADCAST_ROWS = 20_000  # largest minority class that SMOTE broadcasts
+_PAIRS = 250_000  # pairs of a tile scored exactly at a time
 
 
 def _tile_topk(k: int, exclude_self: bool):
@@ -34,30 +40,39 @@ def _tile_topk(k: int, exclude_self: bool):
         qv = np.stack(q["qvec"].to_numpy()).astype(np.float64)
         rv = np.stack(r["rvec"].to_numpy()).astype(np.float64)
         qids = q["qid"].astype(str).to_numpy()
-        rids = r["rid"].astype(str).to_numpy()
-        rn = (rv * rv).sum(axis=1)
-        keep = min(len(rids), k + _REFINE_EXTRA + (1 if exclude_self else 0))
+        by_id = np.argsort(r["rid"].astype(str).to_numpy(), kind="stable")  # positions follow the order of rids
+        rids, rv = r["rid"].astype(str).to_numpy()[by_id], rv[by_id]
+        centre = rv.mean(axis=0)
+        qc, rc = qv - centre, rv - centre
+        qn, rn = (qc * qc).sum(axis=1), (rc * rc).sum(axis=1)
+        slack = 4 * (qv.shape[1] + 4) * np.finfo(np.float64).eps
+        # centring itself rounds by the size of the raw coordinates
+        raw = np.sqrt(max((rv * rv).sum(axis=1).max(), (qv * qv).sum(axis=1).max())) * np.finfo(np.float64).eps
         step = max(1, int(4_000_000 // max(1, len(rids))))
-        out_q, out_r, out_d = [], [], []
+        parts = []
         for s in range(0, len(qids), step):
-            a = qv[s:s + step]
-            d2 = (a * a).sum(axis=1)[:, None] + rn[None, :] - 2.0 * (a @ rv.T)
+            a = slice(s, s + step)
+            d2 = qn[a, None] + rn[None, :] - 2.0 * (qc[a] @ rc.T)
             if exclude_self:
-                d2[qids[s:s + step][:, None] == rids[None, :]] = np.inf
-            idx = np.argpartition(d2, keep - 1, axis=1)[:, :keep] if keep < len(rids) else \
-                np.tile(np.arange(len(rids)), (len(a), 1))
-            cand = rv[idx]                                   # (m, keep, dim)
-            exact = np.sqrt(((cand - a[:, None, :]) ** 2).sum(axis=2))
+                d2[qids[a][:, None] == rids[None, :]] = np.inf
+            kth = np.partition(d2, min(k, len(rids)) - 1, axis=1)[:, min(k, len(rids)) - 1]
+            reach = np.sqrt(qn[a]) + np.sqrt(rn.max())
+            error = slack * reach ** 2 + 8 * raw * reach
+            near_q, near_r = np.nonzero(d2 <= np.where(np.isfinite(kth), kth + 2 * error, np.inf)[:, None])
+            exact = np.empty(len(near_q))
+            for t in range(0, len(near_q), _PAIRS):
+                b = slice(t, t + _PAIRS)
+                exact[b] = np.sqrt(((rv[near_r[b]] - qv[s + near_q[b]]) ** 2).sum(axis=1))
             if exclude_self:
-                exact[qids[s:s + step][:, None] == rids[idx]] = np.inf
-            for i in range(len(a)):
-                order = np.lexsort((rids[idx[i]], exact[i]))[:k]
-                for j in order:
-                    if np.isfinite(exact[i, j]):
-                        out_q.append(qids[s + i])
-                        out_r.append(rids[idx[i, j]])
-                        out_d.append(float(exact[i, j]))
-        return pd.DataFrame({"qid": out_q, "rid": out_r, "distance": out_d})
+                ok = qids[s + near_q] != rids[near_r]
+                near_q, near_r, exact = near_q[ok], near_r[ok], exact[ok]
+            order = np.lexsort((near_r, exact, near_q))
+            near_q, near_r, exact = near_q[order], near_r[order], exact[order]
+            starts = np.searchsorted(near_q, near_q, side="left")
+            top = np.arange(len(near_q)) - starts < k
+            parts.append((qids[s + near_q[top]], rids[near_r[top]], exact[top]))
+        return pd.DataFrame({"qid": np.concatenate([p[0] for p in parts]), "rid": np.concatenate([p[1] for p in parts]),
+                             "distance": np.concatenate([p[2] for p in parts])})
     return run
 
 
@@ -97,19 +112,22 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, ratio: float
         F.col(id_col).cast("string").alias("mid"), F.col(vec_col).cast("array<double>").alias("x"))
     k_eff = min(k, n_min - 1) if n_min > 1 else 0
     indexed = hash_rank(mino, [], "mid", seed, rank_col="idx")
+    # every minority row is drawn about n_needed / n_min times; a small minority is broadcast (its size is
+    # counted above), so that those draws stay spread, and with a large one each key has few draws
+    small = F.broadcast if n_min <= BROADCAST_ROWS else (lambda frame: frame)
     synth = spark.range(n_needed).select(
         F.col("id").alias("sid"),
         (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_min)) + 1).alias("idx"),
         (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(1)), F.lit(max(k_eff, 1))) + 1).alias("nn_rank"),
         (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(2)), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("lam"))
-    base = synth.join(indexed, "idx")
+    base = synth.join(small(indexed), "idx")
     if k_eff == 0:
         out = base.select("sid", F.col("x").alias("new"))
     else:
         nn = knn_join(mino, mino, k_eff, "mid", "x", exclude_self=True) \
             .select(F.col("qid").alias("mid"), F.col("rank").alias("nn_rank"), F.col("rid"))
-        with_nn = base.join(nn, ["mid", "nn_rank"]).join(
-            mino.select(F.col("mid").alias("rid"), F.col("x").alias("nx")), "rid")
+        with_nn = base.join(small(nn), ["mid", "nn_rank"]).join(
+            small(mino.select(F.col("mid").alias("rid"), F.col("x").alias("nx"))), "rid")
         out = with_nn.select("sid", F.zip_with("x", "nx", lambda a, b: a + F.col("lam") * (b - a)).alias("new"))
     return out.select(F.concat(F.lit("smote-"), F.col("sid").cast("string")).alias(id_col),
                       F.lit(minority).alias(label_col), F.col("new").alias(vec_col))

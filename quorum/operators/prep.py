@@ -9,22 +9,25 @@ numbers per feature) reach the driver.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorum.functions.metrics import encode_tag
+from quorum.functions.metrics import encode_tag, nan_to_null, number
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-# Pair expressions per aggregate: keeps generated code under the JVM method limit.
-_PAIR_CHUNK = 30
 
 
 def encode_target(df: DataFrame, target: str, good_tag: str, bad_tag: str, label_col: str = "label") -> DataFrame:
     """Good -> 0, Bad -> 1; any other value (incl. NULL) fails the job."""
     enc = encode_tag(target, good_tag, bad_tag)
+    # fixed value: the start of this message
     msg = F.concat(F.lit(f"Found unmapped values in {target}. Expected values: '{good_tag}' or '{bad_tag}'; got "),
                    F.coalesce(F.col(target).cast("string"), F.lit("NULL")))
     return df.withColumn(label_col, F.when(enc.isNotNull(), enc).otherwise(F.raise_error(msg)).cast("int"))
@@ -34,8 +37,8 @@ def encode_decision(c: str, good_tag: str, bad_tag: str) -> Column:
     """P3 + P4: ``== bad_tag`` -> 1 else 0, failing on any value outside the two tags."""
     v = F.col(c)
     ok = v.isin(good_tag, bad_tag)
-    msg = F.concat(F.lit(f"Column '{c}' contains invalid value "), F.coalesce(v.cast("string"), F.lit("NULL")),
-                   F.lit(f"; expected only [{good_tag}, {bad_tag}]."))
+    msg = F.concat(F.lit(f"decision column {c}: "), F.coalesce(v.cast("string"), F.lit("NULL")),
+                   F.lit(f" is neither {good_tag} nor {bad_tag}"))
     return F.when(ok.isNotNull() & ok, (v == F.lit(bad_tag)).cast("int")).otherwise(F.raise_error(msg).cast("int"))
 
 
@@ -65,46 +68,36 @@ def split_dtypes(df: DataFrame) -> tuple[list[str], list[str]]:
     return numeric, categorical
 
 
-def category_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
+def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
     """Sorted distinct non-null values of each column, computed as one distributed distinct.
 
-    Raises when a column has more than ``max_levels`` values, before anything
-    beyond per-column counts reaches the driver.
+    The values become column names, so their number is that of the columns of
+    the encoded frame.
     """
     if not cols:
         return {}
-    # cheap guard first: one HyperLogLog pass (no shuffle of values) rejects columns that are
-    # clearly too wide before any exact distinct is computed (rsd 1 %; borderline columns fall through)
-    approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).collect()[0]
-    clearly_wide = {c: approx[c] for c in cols if approx[c] > max_levels * 1.05}
-    if clearly_wide:
-        raise ValueError(f"Too many categories to one-hot encode (limit {max_levels}): {clearly_wide}")
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("_p")
     ).select("_p.*").filter(F.col("v").isNotNull()).distinct()
-    sizes = {r["c"]: r["n"] for r in pairs.groupBy("c").count().withColumnRenamed("count", "n").collect()}
-    wide = {c: n for c, n in sizes.items() if n > max_levels}
-    if wide:
-        raise ValueError(f"Too many categories to one-hot encode (limit {max_levels}): {wide}")
     out: dict[str, list] = {c: [] for c in cols}
     for r in pairs.collect():
         out[r["c"]].append(r["v"])
     return {c: sorted(v) for c, v in out.items()}
 
 
-def one_hot_drop_first(df: DataFrame, cols: Sequence[str] | None = None, encode_bool: bool = True,
-                       max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
+def one_hot_drop_first(df: DataFrame, cols: Sequence[str] | None = None,
+                       encode_bool: bool = True) -> tuple[DataFrame, list[str]]:
     """Dummies for each categorical column, sorted levels, first dropped, NULL -> all 0.
 
     Non-categorical columns keep their order and come first, then
-    ``{col}_{value}`` dummies. Returns (frame, dummy names).
+    ``{col}_{value}`` dummies, however many there are. Returns (frame, dummy names).
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     if cols is None:
         cols = [c for c, t in fields.items()
                 if isinstance(t, T.StringType) or (encode_bool and isinstance(t, T.BooleanType))]
     str_cols = [c for c in cols if not isinstance(fields[c], T.BooleanType)]
-    levels = category_levels(df, str_cols, max_levels)
+    levels = category_levels(df, str_cols)
     keep = [F.col(c) for c in df.columns if c not in cols]
     dummies, names = [], []
     for c in cols:
@@ -120,17 +113,16 @@ def one_hot_drop_first(df: DataFrame, cols: Sequence[str] | None = None, encode_
     return df.select(*keep, *dummies), names
 
 
-def one_hot_preview(df: DataFrame, target: str, excludes: Sequence[str] = (),
-                    max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
+def one_hot_preview(df: DataFrame, target: str, excludes: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Only target + excludes removed (decision columns stay), booleans not expanded."""
     base = project_features(df, target, excludes)
-    return one_hot_drop_first(base, None, encode_bool=False, max_levels=max_levels)
+    return one_hot_drop_first(base, None, encode_bool=False)
 
 
 def column_variances(df: DataFrame, cols: Sequence[str], population: bool = True) -> DataFrame:
-    """(feature, variance) for each column in one aggregate."""
+    """(feature, variance) for each column in one aggregate; NULL and NaN don't count."""
     fn = F.var_pop if population else F.var_samp
-    row = df.agg(*[fn(F.col(c).cast("double")).alias(c) for c in cols])
+    row = df.agg(*[fn(number(df, c)).alias(c) for c in cols])
     return row.unpivot([], list(cols), "feature", "variance")
 
 
@@ -147,95 +139,93 @@ def kept_features(report: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if c in kept]
 
 
-def _pair_corr(a: str, b: str) -> Column:
-    """|Pearson r| over pairwise-complete rows; NULL when either side is constant."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = F.when(both, F.col(a).cast("double"))
-    y = F.when(both, F.col(b).cast("double"))
-    den = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.abs(F.covar_pop(x, y) / F.when(den != 0, den))
-
-
-def _moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict]:
-    """Pass 1: row count and per-column (non-null count, mean, min, max) — p small numbers."""
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[
-        F.struct(F.count(c).alias("n"), F.avg(F.col(c).cast("double")).alias("mean"),
-                 F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")).alias(c)
-        for c in cols]).collect()[0]
-    return row["_n"], {c: row[c] for c in cols}
-
-
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _lit_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_i, feature_j, abs_corr, i, j) for i < j.
-
-    Two passes: per-column moments, then ONE aggregate of centred sums. When
-    every column is complete the pair terms reduce to sum(x_i x_j) (p(p-1)/2
-    sums plus 2p); otherwise each pair sums over its pairwise-complete rows
-    (chunked to keep generated code small). The per-pair sums are turned into
-    rows with one ``stack`` and r is one expression over those rows, so the
-    plan stays small however many pairs there are. Constant columns give NULL
-    (undefined correlation).
+def _gram_blocks(n_cols: int, block: int):
+    """Task side of ``correlation_pairs``: co-moments of the task's rows, one row per pair of column blocks."""
+    edges = [(lo, min(lo + block, n_cols)) for lo in range(0, n_cols, block)]
+
+    def run(batches):
+        import pyarrow as pa
+        shift = None
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in batch.columns])
+            known = ~np.isnan(x)
+            if shift is None:
+                shift = np.where(known, x, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+                n, sx, sxx, sxy = (np.zeros((n_cols, n_cols)) for _ in range(4))
+                lo, hi = np.full(n_cols, np.inf), np.full(n_cols, -np.inf)
+            lo = np.minimum(lo, np.where(known, x, np.inf).min(axis=0))
+            hi = np.maximum(hi, np.where(known, x, -np.inf).max(axis=0))
+            d, m = np.where(known, x - shift, 0.0), known.astype(np.float64)
+            n += m.T @ m
+            sx += d.T @ m
+            sxx += (d * d).T @ m
+            sxy += d.T @ d
+        if shift is None:
+            return
+        for bi, (i0, i1) in enumerate(edges):
+            for bj, (j0, j1) in enumerate(edges[bi:], bi):
+                i, j = slice(i0, i1), slice(j0, j1)
+                cells = [n[i, j], sx[i, j], sx[j, i].T, sxx[i, j], sxx[j, i].T, sxy[i, j]]
+                lines = [shift[i], shift[j], lo[i], hi[i], lo[j], hi[j]]
+                values = np.concatenate([*(c.ravel() for c in cells), *lines])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([values], pa.list_(pa.float64()))],
+                    names=["bi", "bj", "cells"])
+    return run
+
+
+def _merge_blocks(n_cols: int, block: int):
+    """|r| of the pairs of two column blocks from the tasks' co-moments, merged by the pairwise update of means."""
+    def run(key, pdf):
+        i0, j0 = int(key[0]) * block, int(key[1]) * block
+        h, w = min(block, n_cols - i0), min(block, n_cols - j0)
+        total = None
+        for values in pdf["cells"]:
+            c = np.asarray(values, dtype=np.float64)
+            n, sx, sy, sxx, syy, sxy = c[:6 * h * w].reshape(6, h, w)
+            si, sj, lo_i, hi_i, lo_j, hi_j = np.split(c[6 * h * w:], np.cumsum([h, w, h, h, w]))
+            k = np.maximum(n, 1)
+            part = [n, si[:, None] + sx / k, sj[None, :] + sy / k, sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k]
+            ends = [lo_i, hi_i, lo_j, hi_j]
+            if total is None:
+                total, limits = part, ends
+                continue
+            both = total[0] + n
+            f = n / np.maximum(both, 1)
+            dx, dy = np.where(n > 0, part[1] - total[1], 0.0), np.where(n > 0, part[2] - total[2], 0.0)
+            g = total[0] * f
+            total = [both, np.where(total[0] > 0, total[1] + dx * f, part[1]), np.where(total[0] > 0, total[2] + dy * f, part[2]),
+                     total[3] + part[3] + dx * dx * g, total[4] + part[4] + dy * dy * g, total[5] + part[5] + dx * dy * g]
+            limits = [np.minimum(limits[0], lo_i), np.maximum(limits[1], hi_i), np.minimum(limits[2], lo_j), np.maximum(limits[3], hi_j)]
+        _, mx, my, vx, vy, cxy = total
+        # a side without spread beyond rounding has no correlation
+        flat = (limits[0] >= limits[1])[:, None] | (limits[2] >= limits[3])[None, :] \
+            | (vx <= 1e-22 * total[0] * mx * mx) | (vy <= 1e-22 * total[0] * my * my) | (vx <= 0) | (vy <= 0)
+        with np.errstate(all="ignore"):
+            r = np.where(flat, np.nan, np.abs(cxy / np.sqrt(vx * vy)))
+        at_i, at_j = np.nonzero((i0 + np.arange(h))[:, None] < (j0 + np.arange(w))[None, :])
+        return pd.DataFrame({"i": (i0 + at_i).astype(np.int32), "j": (j0 + at_j).astype(np.int32), "r": r[at_i, at_j]})
+    return run
+
+
+def correlation_pairs(df: DataFrame, cols: Sequence[str], block: int = 64) -> DataFrame:
+    """(feature_i, feature_j, abs_corr, i, j) for i < j: |Pearson r| over the rows where both are known (NULL, NaN: unknown).
+
+    One pass over the table whether values are missing or not: every task adds
+    up the co-moments of all pairs of its rows as matrix products, one block of
+    columns against another, and Spark merges the tasks' blocks per pair of
+    blocks. Neither side grows with the rows. Constant columns give NULL.
     """
     cols = list(cols)
-    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "feature_i string, feature_j string, abs_corr double, i int, j int")
-    n, mom = _moments(df, cols)
-    const = {k for k, c in enumerate(cols) if mom[c]["n"] == 0 or mom[c]["lo"] == mom[c]["hi"]}
-    complete = all(mom[c]["n"] == n for c in cols)
-
-    def centred(k: int) -> str:
-        return f"(CAST({_q(cols[k])} AS DOUBLE) - {float(mom[cols[k]]['mean'] or 0.0)!r})"
-
-    def stacked(row: DataFrame, items: list[tuple], fields: str) -> DataFrame:
-        body = ", ".join(items)
-        return row.selectExpr(f"stack({len(items)}, {body}) AS (feature_i, feature_j, i, j, nn, sx, sy, sxx, syy, sxy)")
-
-    parts = []
-    if complete:
-        aggs = [F.expr(f"sum({centred(k)})").alias(f"s{k}") for k in range(len(cols))]
-        aggs += [F.expr(f"sum({centred(k)} * {centred(k)})").alias(f"q{k}") for k in range(len(cols))]
-        aggs += [F.expr(f"sum({centred(i)} * {centred(j)})").alias(f"p{i}_{j}") for i, j in pairs]
-        row = df.agg(*aggs)
-        items = [f"{_lit_str(cols[i])}, {_lit_str(cols[j])}, {i}, {j}, CAST({n} AS DOUBLE), s{i}, s{j}, q{i}, q{j}, "
-                 f"p{i}_{j}" for i, j in pairs]
-        parts.append(stacked(row, items, ""))
-    else:
-        for s0 in range(0, len(pairs), _PAIR_CHUNK):
-            chunk = pairs[s0:s0 + _PAIR_CHUNK]
-            aggs = []
-            for i, j in chunk:
-                both = f"({_q(cols[i])} IS NOT NULL AND {_q(cols[j])} IS NOT NULL)"
-                x = f"CASE WHEN {both} THEN {centred(i)} END"
-                y = f"CASE WHEN {both} THEN {centred(j)} END"
-                aggs += [F.expr(f"CAST(count_if({both}) AS DOUBLE)").alias(f"n{i}_{j}"),
-                         F.expr(f"sum({x})").alias(f"sx{i}_{j}"), F.expr(f"sum({y})").alias(f"sy{i}_{j}"),
-                         F.expr(f"sum({x} * {x})").alias(f"sxx{i}_{j}"), F.expr(f"sum({y} * {y})").alias(f"syy{i}_{j}"),
-                         F.expr(f"sum({x} * {y})").alias(f"sxy{i}_{j}")]
-            row = df.agg(*aggs)
-            items = [f"{_lit_str(cols[i])}, {_lit_str(cols[j])}, {i}, {j}, n{i}_{j}, sx{i}_{j}, sy{i}_{j}, "
-                     f"sxx{i}_{j}, syy{i}_{j}, sxy{i}_{j}" for i, j in chunk]
-            parts.append(stacked(row, items, ""))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    nn, sx, sy = F.col("nn"), F.col("sx"), F.col("sy")
-    vx = F.col("sxx") - sx * sx / nn
-    vy = F.col("syy") - sy * sy / nn
-    den = F.sqrt(vx * vy)
-    r = F.abs((F.col("sxy") - sx * sy / nn) / F.when(den > 0, den))
-    is_const = F.col("i").isin(list(const)) | F.col("j").isin(list(const)) if const else F.lit(False)
-    return out.select("feature_i", "feature_j", F.when(~is_const, r).cast("double").alias("abs_corr"),
-                      F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
+    spark = df.sparkSession
+    if len(cols) < 2:
+        return spark.createDataFrame([], "feature_i string, feature_j string, abs_corr double, i int, j int")
+    rows = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(cols)])
+    blocks = rows.mapInArrow(_gram_blocks(len(cols), block), "bi int, bj int, cells array<double>")
+    pairs = blocks.groupBy("bi", "bj").applyInPandas(_merge_blocks(len(cols), block), "i int, j int, r double")
+    names = F.array(*[F.lit(c) for c in cols])
+    return pairs.select(F.get(names, F.col("i")).alias("feature_i"), F.get(names, F.col("j")).alias("feature_j"),
+                        nan_to_null("r").alias("abs_corr"), "i", "j")
 
 
 def correlation_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> DataFrame:
@@ -276,17 +266,16 @@ def stringify(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def feature_selection_report(df: DataFrame, target: str, excludes: Sequence[str] = (),
-                             decisions: Sequence[str] = (), variance_threshold: float = 0.01,
-                             correlation_threshold: float = 0.95) -> DataFrame:
-    """P1 -> P6 -> A17 -> A18 as a one-row report (counts and final feature names).
+                             variance_threshold: float = 0.01, correlation_threshold: float = 0.95) -> DataFrame:
+    """P6b -> A17b (sample variance) -> A18 as a one-row report (counts and final feature names).
 
     Each step is one aggregate; only per-feature results reach the driver.
     """
-    base = project_features(df, target, excludes, decisions)
-    encoded, dummies = one_hot_drop_first(base)
+    base = project_features(df, target, excludes)
+    encoded, _ = one_hot_preview(df, target, excludes)
     numeric = [c for c in encoded.columns
                if isinstance(encoded.schema[c].dataType, NUMERIC_TYPES)]
-    after_var = kept_features(variance_filter(encoded, numeric, variance_threshold), numeric)
+    after_var = kept_features(variance_filter(encoded, numeric, variance_threshold, population=False), numeric)
     corr = correlation_filter(encoded, after_var, correlation_threshold)
     final = [r["feature"] for r in corr.filter("kept").orderBy("position").select("feature").collect()]
     spark = df.sparkSession
@@ -294,3 +283,6 @@ def feature_selection_report(df: DataFrame, target: str, excludes: Sequence[str]
            len(final), final)
     return spark.createDataFrame([row], "original_features int, after_one_hot int, removed_by_variance int, "
                                         "removed_by_correlation int, final_features int, final_names array<string>")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the task functions above reach executors by value

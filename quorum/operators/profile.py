@@ -10,16 +10,18 @@ top-k (``orderBy().limit()``) per column, never a collect of a whole column.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorum.functions.metrics import nan_to_null, number
 from quorum.operators.prep import NUMERIC_TYPES
 
+_HEAD_PARTS = 64  # pieces in which A14 looks for a column's smallest values
+
 # Heuristics of the evaluated profiler.
 CATEGORICAL_MAX_DISTINCT = 50
 SAMPLE_VALUES = 10
@@ -85,39 +87,49 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     return agg.select(F.inline(rows))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, n_distinct) of non-null values, one distributed distinct over (column, value)."""
-    pairs = df.select(F.explode(F.array(*[
+def _distinct_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value): the distinct non-null values of all columns, as text."""
+    return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_p")
     ).select("_p.*").filter(F.col("value").isNotNull()).distinct()
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, n_distinct) of non-null values, one distributed distinct over (column, value)."""
+    pairs = _distinct_pairs(df, cols)
     return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str], list_limit: int = CATEGORICAL_MAX_DISTINCT,
                     sample: int = SAMPLE_VALUES) -> DataFrame:
     """(column_name, n_distinct, values) — all values when n <= list_limit,
-    else the first ``sample`` in sorted order. Each column's head is a distributed top-k."""
-    heads = [df.select(F.col(c).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-             .orderBy("value").limit(list_limit + 1).select(F.lit(c).alias("column_name"), "value") for c in cols]
-    head = reduce(DataFrame.unionByName, heads)
-    lists = head.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("_vals"))
-    counts = distinct_counts(df, cols)
-    return (counts.join(lists, "column_name", "left").select(
+    else the first ``sample`` in sorted order. One distributed distinct over (column, value)
+    serves all columns."""
+    pairs = _distinct_pairs(df, cols)
+    # the smallest values of every task, then of those: no task sorts a whole column
+    some = Window.partitionBy("column_name", "_part").orderBy("value")
+    heads = pairs.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(_HEAD_PARTS))) \
+        .withColumn("_r", F.row_number().over(some)) \
+        .select("column_name", F.when(F.col("_r") <= list_limit, F.col("value")).alias("value"))
+    lists = heads.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"),
+                                             F.array_sort(F.collect_list("value")).alias("_vals"))
+    return (lists.select(
         "column_name", "n_distinct",
         F.when(F.col("n_distinct") <= list_limit, F.slice("_vals", 1, list_limit))
         .otherwise(F.slice("_vals", 1, sample)).alias("values")))
 
 
 def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Dtype, non-null count and (numeric columns) min / max, in one aggregate."""
+    """Dtype, count of known values (NaN is missing) and (numeric columns) min / max, in one aggregate."""
     cols = list(cols or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     num = {c for c in cols if isinstance(types[c], NUMERIC_TYPES)}
 
     def stats(c):
-        lo = F.min(F.col(c).cast("double")) if c in num else F.lit(None).cast("double")
-        hi = F.max(F.col(c).cast("double")) if c in num else F.lit(None).cast("double")
-        return F.struct(F.count(c).alias("non_null"), lo.alias("min_value"), hi.alias("max_value")).alias(c)
+        x = number(df, c) if c in num else F.col(f"`{c}`")
+        lo = F.min(x) if c in num else F.lit(None).cast("double")
+        hi = F.max(x) if c in num else F.lit(None).cast("double")
+        return F.struct(F.count(x).alias("non_null"), lo.alias("min_value"), hi.alias("max_value")).alias(c)
 
     agg = df.agg(*[stats(c) for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c].simpleString()).alias("dtype"),
@@ -127,7 +139,7 @@ def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column.
+    """Count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column; NULL and NaN don't count.
 
     Moments come from one aggregate. Exact quartiles use ``order_statistics``
     (iteratively narrowed brackets; only a bounded slice of values ever reaches
@@ -139,7 +151,7 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy:
     exact = {} if approx else exact_quantiles(df, list(cols), probs)
 
     def stats(c):
-        x = F.col(c).cast("double")
+        x = number(df, c)
         if approx:
             qs = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).cast("array<double>")
             q = [qs[i] for i in range(3)]
@@ -192,10 +204,11 @@ def detect_decision_columns(df: DataFrame, target: str, excludes: Sequence[str]
     spark = df.sparkSession
     if named:
         return spark.createDataFrame([(c, "name") for c in named], "column_name string, reason string")
-    # HyperLogLog first (one pass, no shuffle of values): only columns that may have few
-    # values get an exact distinct count, so wide columns (ids) are never shuffled value by value
-    approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cands]).collect()[0]
-    narrow = [c for c in cands if approx[c] <= max(2 * max_distinct, max_distinct + 10)]
+    # the number of hash buckets hit never exceeds the number of values, so a column that hits more
+    # buckets than max_distinct is proven wide; only the others get an exact distinct count
+    hit = df.agg(*[F.bit_count(F.bit_or(F.when(F.col(f"`{c}`").isNotNull(), F.expr(
+        f"shiftleft(1L, cast(pmod(xxhash64(`{c}`), 64) as int))")))).alias(c) for c in cands]).collect()[0]
+    narrow = [c for c in cands if max_distinct >= 64 or (hit[c] or 0) <= max_distinct]
     if not narrow:
         return spark.createDataFrame([], "column_name string, reason string")
     counts = distinct_counts(df, narrow)
@@ -219,9 +232,11 @@ def detect_score_columns(df: DataFrame, target: str, excludes: Sequence[str] = (
 
 
 def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Per column dtype, non-null and missing counts plus table rows / columns, one scan."""
+    """Per column dtype, known and missing counts (NaN is missing) plus table rows / columns, one scan."""
     cols = df.columns
-    agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols])
+    floats = {c for c in cols if df.schema[c].dataType.typeName() in ("float", "double")}
+    agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(nan_to_null(f"`{c}`") if c in floats else F.col(f"`{c}`")).alias(c)
+                                                     for c in cols])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
                               F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                               F.col(f"`{c}`").alias("non_null"), (F.col("_rows") - F.col(f"`{c}`")).alias("missing"),
@@ -339,19 +354,17 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[fl
     """Linear-interpolated quantiles (pandas / SQL ``quantile_cont``) of each column,
     without any task or the driver holding a whole column. Returns {col: {p: value}}
     (or {p: value} when ``cols`` is one name)."""
-    from quorum.functions.metrics import nan_to_null
-
     single = isinstance(cols, str)
     cols = [cols] if single else list(cols)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), nan_to_null(c).alias("x"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), number(df, c).alias("x"))
                                          for c in cols])).alias("_p")).select("_p.*").filter(F.col("x").isNotNull())
     accuracy = kw.get("accuracy", 10_000)
     limit = kw.get("limit", 10_000)
     margin = 2.0 / accuracy
     sketch_p = {p: (max(0.0, p - margin), min(1.0, p + margin)) for p in probs}
     # one job: row counts and a first sketch around every requested quantile
-    n_row = df.agg(*[F.count(nan_to_null(c)).alias(c) for c in cols],
-                   *[F.percentile_approx(nan_to_null(c), F.array(*[F.lit(v) for p in probs for v in sketch_p[p]]),
+    n_row = df.agg(*[F.count(number(df, c)).alias(c) for c in cols],
+                   *[F.percentile_approx(number(df, c), F.array(*[F.lit(v) for p in probs for v in sketch_p[p]]),
                                          accuracy).alias(f"_q_{k}") for k, c in enumerate(cols)]).collect()[0]
     sizes = {c: n_row[c] for c in cols}
     pos, targets = {}, {}

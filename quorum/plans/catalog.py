@@ -341,12 +341,15 @@ def a11_missing_values(spark, sf_dir):
     return P.missing_values(V.untyped_orders(spark, sf_dir))
 
 
+_LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+             "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 @register("a12_duplicate_rows", """
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity) g""")
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY """ + ", ".join(_LINEITEM) + """) g""")
 def a12_duplicate_rows(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return P.duplicate_rows(li.select("l_returnflag", "l_linestatus", "l_quantity"))
+    return P.duplicate_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 @register("a13_constant_columns", S.with_(V.UNTYPED_ORDERS_SQL) + " UNION ALL ".join(
@@ -355,7 +358,7 @@ def a13_constant_columns(spark, sf_dir):
     return P.constant_columns(V.untyped_orders(spark, sf_dir))
 
 
-_A14_COLS = ["o_orderstatus", "o_orderpriority", "o_custkey", "status_np"]
+_A14_COLS = _UC
 
 
 @register("a14_distinct_values", S.with_(V.UNTYPED_ORDERS_SQL) + """
@@ -381,7 +384,7 @@ def a15_column_info(spark, sf_dir):
     return P.column_info(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*_ORDER_TYPES))
 
 
-_A16_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_A16_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("a16_describe", " UNION ALL ".join(
@@ -458,11 +461,12 @@ def p6_one_hot_drop_first(spark, sf_dir):
 
 @register("p6b_one_hot_preview", """
 SELECT CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(l.toxic AS DOUBLE) AS toxic, """
-          + ", ".join(f"CASE WHEN d.lang = '{v}' THEN 1 ELSE 0 END AS lang_{v}" for v in ["en", "es", "fr"]) + """
+          + ", ".join([*(f"CASE WHEN d.lang = '{v}' THEN 1 ELSE 0 END AS lang_{v}" for v in ["en", "es", "fr"]),
+                       *(f"CASE WHEN d.source = '{v}' THEN 1 ELSE 0 END AS source_{v}"
+                         for v in sorted(f"src{i}" for i in range(20))[1:])]) + """
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def p6b_one_hot_preview(spark, sf_dir):
-    docs = V.docs_x(spark, sf_dir).drop("source")
-    return PR.one_hot_preview(docs, V.TARGET, excludes=[V.ID])[0]
+    return PR.one_hot_preview(V.docs_x(spark, sf_dir), V.TARGET, excludes=[V.ID])[0]
 
 
 def _variance_sql(fn: str, threshold: float) -> str:
@@ -502,7 +506,7 @@ def _m17_sql(var_threshold: float = 0.01, corr_threshold: float = 0.95) -> str:
     enc = ("enc AS (SELECT value, k, hour, value_lin, " + ", ".join(
         f"CASE WHEN user_group = '{v}' THEN 1 ELSE 0 END AS user_group_{v}" for v in _EV_LEVELS[1:])
         + " FROM events_x)")
-    var = "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {i} AS pos, var_pop({c}) AS var FROM enc"
+    var = "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, {i} AS pos, var_samp({c}) AS var FROM enc"
                                         for i, c in enumerate(feats)) + ")"
     pairs = "pairs AS (" + " UNION ALL ".join(
         f"SELECT '{feats[i]}' AS fi, '{feats[j]}' AS fj, {_corr_sql(feats[i], feats[j])} AS r FROM enc"
@@ -521,7 +525,7 @@ SELECT 5 AS original_features, {len(feats)} AS after_one_hot,
 
 @register("m17_feature_selection_report", _m17_sql())
 def m17_feature_selection_report(spark, sf_dir):
-    return PR.feature_selection_report(V.events_x(spark, sf_dir), V.TARGET, [V.ID], [], 0.01, 0.95)
+    return PR.feature_selection_report(V.events_x(spark, sf_dir), V.TARGET, [V.ID], 0.01, 0.95)
 
 
 @register("p12_coerce_numeric", S.with_(*_DEC_CTES) + """
@@ -812,10 +816,79 @@ def a22_group_by_model(spark, sf_dir):
     f"SELECT '{c}' AS model_name, avg(-(label * ln(greatest(least({c}, 1 - 1e-15), 1e-15)) + (1 - label) * "
     f"ln(1 - greatest(least({c}, 1 - 1e-15), 1e-15)))) AS log_loss FROM scored" for c in _SC))
 def a23_log_loss(spark, sf_dir):
-    lab = encode_target(V.scored(spark, sf_dir), V.TARGET, CFG.good_tag, CFG.bad_tag)
-    return RP.union_runs(*[lab.select(F.lit(c).alias("model_name"), M.log_loss_expr("label", c).alias("log_loss"))
-                           .agg(F.first("model_name").alias("model_name"), F.avg("log_loss").alias("log_loss"))
-                           for c in _SC])
+    return _log_losses(V.scored(spark, sf_dir), _SC)
+
+
+def _log_losses(df, cols):
+    """Mean log loss of each column against the target, in one aggregate."""
+    lab = encode_target(df, V.TARGET, CFG.good_tag, CFG.bad_tag)
+    return lab.agg(*[F.avg(M.log_loss_expr("label", c)).alias(c) for c in cols]).unpivot([], cols, "model_name", "log_loss")
+
+
+# the same operators where numbers are missing (NULL and NaN); the oracles only know NULL and filter it themselves
+_N_CTES = (V.EVENTS_X_SQL, V.EVENTS_N_SQL)
+_N_TYPES = {V.ID: "string", V.TARGET: "string", **{c: "double" for c in V.EVENTS_N_COLUMNS}}
+
+
+@register("a15n_column_info_missing", S.with_(*_N_CTES) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'double' AS dtype, count(*) FILTER (WHERE {c} IS NOT NULL) AS non_null, "
+    f"min({c}) AS min_value, max({c}) AS max_value FROM events_n" for c in V.EVENTS_N_COLUMNS))
+def a15n_column_info_missing(spark, sf_dir):
+    return P.column_info(V.events_n(spark, sf_dir), V.EVENTS_N_COLUMNS)
+
+
+@register("a16n_describe_missing", S.with_(*_N_CTES) + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, "
+    f"quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, "
+    f"max({c}) AS max FROM events_n WHERE {c} IS NOT NULL" for c in V.EVENTS_N_COLUMNS))
+def a16n_describe_missing(spark, sf_dir):
+    return P.describe(V.events_n(spark, sf_dir), V.EVENTS_N_COLUMNS)
+
+
+def _variance_n_sql(fn: str) -> str:
+    return S.with_(*_N_CTES) + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, v AS variance, coalesce(v > 0.01::DOUBLE, false) AS kept "
+        f"FROM (SELECT {fn}({c}) AS v FROM events_n WHERE {c} IS NOT NULL)" for c in V.EVENTS_N_COLUMNS)
+
+
+@register("a17n_variance_filter_missing", _variance_n_sql("var_pop"))
+def a17n_variance_filter_missing(spark, sf_dir):
+    return PR.variance_filter(V.events_n(spark, sf_dir), V.EVENTS_N_COLUMNS, 0.01)
+
+
+@register("a17bn_variance_preview_missing", _variance_n_sql("var_samp"))
+def a17bn_variance_preview_missing(spark, sf_dir):
+    return PR.variance_filter(V.events_n(spark, sf_dir), V.EVENTS_N_COLUMNS, 0.01, population=False)
+
+
+_N_VARYING = [c for c in V.EVENTS_N_COLUMNS if c not in ("four", "never")]  # no other column has a correlation
+
+
+@register("a18n_correlation_filter_missing", S.with_(*_N_CTES, "pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{b}' AS feature_j, abs(corr({a}, {b})) AS r FROM events_n WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    for j, b in enumerate(_N_VARYING) for a in _N_VARYING[:j]) + ")") + """
+SELECT f.feature, f.position, max(p.r) AS max_abs_corr_earlier, coalesce(count(*) FILTER (WHERE p.r > 0.95), 0) = 0 AS kept
+FROM (VALUES """ + ", ".join(f"('{c}', {k})" for k, c in enumerate(V.EVENTS_N_COLUMNS)) + """) f(feature, position)
+LEFT JOIN pairs p ON p.feature_j = f.feature
+GROUP BY f.feature, f.position""")
+def a18n_correlation_filter_missing(spark, sf_dir):
+    return PR.correlation_filter(V.events_n(spark, sf_dir), V.EVENTS_N_COLUMNS, 0.95)
+
+
+@register("a23n_log_loss_missing", S.with_(*_N_CTES) + """
+SELECT 'p' AS model_name, avg(CASE WHEN label = 1 THEN -ln(greatest(least(p, 1 - 1e-15), 1e-15))
+                              ELSE -ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)) END) AS log_loss
+FROM events_n WHERE p IS NOT NULL""")
+def a23n_log_loss_missing(spark, sf_dir):
+    return _log_losses(V.events_n(spark, sf_dir), ["p"])
+
+
+@register("m18n_dataset_profile_missing", S.with_(*_N_CTES) + f"SELECT rows, {len(_N_TYPES)} AS columns, column_name, dtype, "
+          "non_null, rows - non_null AS missing, column_name = 'gt_label' AS is_target FROM (" + " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null, count(*) AS rows FROM events_n"
+              for c, t in _N_TYPES.items()) + ") t")
+def m18n_dataset_profile_missing(spark, sf_dir):
+    return P.dataset_profile(V.events_n(spark, sf_dir), V.TARGET)
 
 
 @register("a24_store_summary", S.with_(RESULTS_SQL, V.SCORED_SQL) + """
@@ -1021,7 +1094,7 @@ def s10_feature_contract(spark, sf_dir):
 @register("m16_end_to_end", None)
 def m16_end_to_end(spark, sf_dir):
     out = run_end_to_end(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, {"LogisticRegression": _LR},
-                       score_cols=_SC, decision_cols=_DC, rules=RULES[:3], cache=False)
+                       score_cols=_SC, decision_cols=_DC, rules=RULES, cache=False)
     return out["results"]
 
 

@@ -5,6 +5,7 @@
              four keys and the ship date: the four keys alone repeat in the
              smallest table, and every operator requires a unique row id.
 ``events_x`` events: Bad = event_type 'error'; features for prep / training.
+``events_n`` events_x with NaN and NULL in its numbers; its SQL twin has NULL for both.
 ``vectors``  embeddings: Bad = label 0; 64 floats.
 ``docs_x``   documents joined to labels: Bad = quality 0.
 
@@ -77,6 +78,35 @@ EVENTS_X_SQL = """events_x AS (
   FROM events)"""
 
 
+def events_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events_x with missing numbers of both kinds: NaN and NULL, chosen by the event's id."""
+    x = events_x(spark, sf_dir)
+    e = F.col(ID).cast("long")
+    nan, none = F.lit(float("nan")), F.lit(None).cast("double")
+    return x.select(
+        ID, TARGET,
+        F.when(e % 7 == 0, nan).when(e % 11 == 0, none).otherwise(F.col("value")).alias("value"),
+        F.when(e % 5 == 0, none).otherwise(F.col("k")).alias("k"),
+        F.when(e % 13 == 0, nan).otherwise(F.col("hour")).alias("hour"),
+        F.when(e % 3 == 0, nan).otherwise(F.lit(4.0)).alias("four"),
+        nan.alias("never"),
+        F.when(e % 17 == 0, nan).when(e % 19 == 0, none).otherwise(F.pmod(e, F.lit(101)) / 100).alias("p"),
+        F.when(e % 2 == 0, F.col("value_lin")).otherwise(nan).alias("value_lin"))
+
+
+EVENTS_N_SQL = """events_n AS (
+  SELECT id, gt_label, CASE WHEN gt_label = 'Bad' THEN 1 ELSE 0 END AS label,
+         CASE WHEN e % 7 <> 0 AND e % 11 <> 0 THEN value END AS value,
+         CASE WHEN e % 5 <> 0 THEN k END AS k,
+         CASE WHEN e % 13 <> 0 THEN hour END AS hour,
+         CASE WHEN e % 3 <> 0 THEN 4.0::DOUBLE END AS four,
+         NULL::DOUBLE AS never,
+         CASE WHEN e % 17 <> 0 AND e % 19 <> 0 THEN (e % 101) / 100::DOUBLE END AS p,
+         CASE WHEN e % 2 = 0 THEN value_lin END AS value_lin
+  FROM (SELECT *, CAST(id AS BIGINT) AS e FROM events_x))"""
+EVENTS_N_COLUMNS = ["value", "k", "hour", "four", "never", "p", "value_lin"]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = read_table(spark, sf_dir, "embeddings")
     return em.select(

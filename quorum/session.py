@@ -1,14 +1,15 @@
 """Session helpers.
 
 On a cluster the session comes from the platform; ``build_session`` is for
-tests, the bench and local runs. ``checkpoint_dir`` reads
-``spark.checkpoint.dir`` from the session and only falls back to a fresh
-scratch folder when nothing is configured (local runs and tests).
+tests, the bench and local runs. ``ensure_checkpoint_dir`` reads
+``spark.checkpoint.dir`` from the session; without it a local master gets a
+fresh scratch folder and any other master an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
@@ -46,7 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
-    # Local runs / tests only: no shared folder is configured.
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # local runs and tests: the only executor is this process
     path = tempfile.mkdtemp(prefix="quorum-ckpt-", dir=os.environ.get("QUORUM_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -61,17 +65,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster's cores when it yields fewer input splits than cores.
-
-    A large table arrives in many splits and is returned unchanged (no extra
-    shuffle); a small file with one row group would otherwise run every
-    per-row expression in a single task. Column pruning and filters still
-    reach the scan (Catalyst pushes both through the repartition).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

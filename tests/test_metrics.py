@@ -129,7 +129,7 @@ def test_suffix_totals_many_buckets(spark):
     rng = random.Random(3)
     rows = [("a" if i % 3 else "b", round(rng.random(), 4), rng.randint(0, 5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, s double, v long").groupBy("g", "s").agg(F.sum("v").alias("v"))
-    got = {(r["g"], r["s"]): r["cum_v"] for r in C.suffix_totals(df, ["g"], "s", ["v"], n_buckets=16).collect()}
+    got = {(r["g"], r["s"]): r["cum_v"] for r in C.suffix_totals(df, ["g"], "s", ["v"], range_rows=200).collect()}
     agg = {}
     for g, s, v in rows:
         agg[(g, s)] = agg.get((g, s), 0) + v

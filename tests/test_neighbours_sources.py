@@ -55,3 +55,19 @@ def test_metrics_json_coercion_F16(spark, tmp_path):
                  '"threshold": null, "tp": "35", "fp": "1648", "tn": 726, "fn": "3", "cost": 347.6}]}')
     r = scan_metrics_json(spark, str(p)).collect()[0]
     assert (r["tp"], r["fp"], r["tn"], r["fn"], r["threshold"]) == (35, 1648, 726, 3, None)
+
+
+def test_knn_tiles_are_exact_on_ties_and_far_origins():
+    import numpy as np
+    import pandas as pd
+
+    from quorum.operators.neighbours import _tile_topk
+    rng = np.random.default_rng(1)
+    for offset, scale in ((0, 1), (1e8, 0.1), (1e8, 0), (0, 0), (-3e5, 1e-6)):
+        rv, qv = np.round(rng.normal(size=(60, 3)), 1) * scale + offset, np.round(rng.normal(size=(7, 3)), 1) * scale + offset
+        r = pd.DataFrame({"rid": [f"r{i:03d}" for i in range(60)], "rvec": list(rv)}).sample(frac=1, random_state=1)
+        q = pd.DataFrame({"qid": [f"q{i}" for i in range(7)], "qvec": list(qv)})
+        got = [tuple(t) for t in _tile_topk(5, False)(q, r).itertuples(index=False)]
+        want = [(i, j, d) for i, a in zip(q.qid, q.qvec)
+                for d, j in sorted((float(np.sqrt(((b - a) ** 2).sum())), j) for j, b in zip(r.rid, r.rvec))[:5]]
+        assert got == want
