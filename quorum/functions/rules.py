@@ -30,7 +30,7 @@ def canonical_logic(logic: str) -> str:
     try:
         return LOGIC_ALIASES[logic]
     except KeyError:
-        raise ValueError(f"Unsupported logic '{logic}'") from None
+        raise ValueError(f"unknown rule logic {logic!r}; known: {', '.join(sorted(LOGIC_ALIASES))}") from None
 
 
 def _any(cols: Sequence[Column]) -> Column:

@@ -201,10 +201,8 @@ def positional_mean(scores: DataFrame, id_col: str, seed: int, model_col: str =
     from quorum.operators.folds import hash_rank
 
     ranked = hash_rank(scores.select(model_col, fold_col, id_col, score_col), [model_col, fold_col],
-                       id_col, seed, bucket_hex, rank_col="position", size_col="_fold_n")
-    shortest = ranked.groupBy(model_col).agg(F.min("_fold_n").alias("_min_n"))
-    return (ranked.join(F.broadcast(shortest), model_col)
-            .filter(F.col("position") <= F.col("_min_n"))
+                       id_col, seed, bucket_hex, rank_col="position", smallest=("_min_n", [model_col]))
+    return (ranked.filter(F.col("position") <= F.col("_min_n"))
             .withColumn(score_col, M.nan_to_null(score_col))
             .groupBy(model_col, "position")
             .agg(_ordered_mean(score_col, fold_col).alias("mean_score")))

@@ -46,12 +46,14 @@ def hash_key(id_col: str, seed: int) -> Column:
 
 def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int = DEFAULT_SEED,
               bucket_hex: int | None = None, rank_col: str = "_rank", size_col: str | None = None,
-              tiebreak: Sequence[str] = (), largest_col: str | None = None) -> DataFrame:
+              tiebreak: Sequence[str] = (), largest_col: str | None = None,
+              smallest: tuple[str, Sequence[str]] | None = None) -> DataFrame:
     """Exact 1-based rank of each row within ``group_cols`` ordered by (md5(id:seed), id, *tiebreak).
 
     Ids are expected to be unique; ``tiebreak`` columns make the order total
     when they are not (rows equal in every ordering column are interchangeable).
-    ``size_col`` and ``largest_col`` add the size of the row's group and of the largest group.
+    ``size_col`` and ``largest_col`` add the size of the row's group and of the largest group;
+    ``smallest`` = (name, columns) the size of the smallest group among those that share the columns.
     """
     group_cols = list(group_cols)
     if bucket_hex is None:  # one cheap count sizes the slices
@@ -66,6 +68,8 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int =
     )
     if largest_col:
         offs = offs.withColumn(largest_col, F.max("_group_n").over(Window.partitionBy()))
+    if smallest:
+        offs = offs.withColumn(smallest[0], F.min("_group_n").over(Window.partitionBy(*smallest[1])))
     local = Window.partitionBy(*group_cols, "_b").orderBy("_h", id_col, *tiebreak)
     out = (d.join(offs, group_cols + ["_b"])
            .withColumn(rank_col, F.col("_off") + F.row_number().over(local)))
@@ -75,6 +79,8 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], id_col: str, seed: int =
         keep.append(size_col)
     if largest_col:
         keep.append(largest_col)
+    if smallest:
+        keep.append(smallest[0])
     return out.select(*keep)
 
 

@@ -9,25 +9,31 @@ come from W1 and the per-fold sweep of every model is ONE A3 job.
 from __future__ import annotations
 
 import itertools
-from concurrent.futures import ThreadPoolExecutor
 import json
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.config import EvalConfig
+from quorum.functions.metrics import log_loss_expr
 from quorum.operators import evaluation as E
+from quorum.operators.folds import stratified_kfold
 from quorum.operators.neighbours import knn_join, smote
+from quorum.session import cut_lineage
+from quorum.sources.tables import contract_problems
 
 # Model names accepted by the registry (others are ignored).
 MODEL_NAMES = ["XGBoost", "RandomForest", "LogisticRegression", "SVM", "KNN", "MLP"]
@@ -48,13 +54,36 @@ def create_models(config: dict) -> dict[str, ModelSpec]:
     return {n: ModelSpec(n, dict(params.get(n, {})), seed) for n in enabled if n in MODEL_NAMES}
 
 
-def _max_depth(v, default=5):
-    return min(int(v), 30) if v is not None else 30
+MAX_DEPTH = 30  # of a tree in Spark
+
+
+class InvalidParameter(ValueError):
+    """A parameter value that the model can't take."""
+
+
+def _max_depth(v):
+    """Depth of a tree; None (no limit) becomes Spark's own limit, anything beyond that is an error."""
+    if v is None:
+        return MAX_DEPTH
+    if int(v) > MAX_DEPTH:
+        raise InvalidParameter(f"max_depth {v} is beyond Spark's limit of {MAX_DEPTH}")
+    return int(v)
+
+
+def _strength(spec: ModelSpec, n_rows: int | None) -> float:
+    """``regParam`` for the inverse strength C of a summed loss: Spark averages the loss over the rows, so 1 / (C n)."""
+    c = float(spec.params.get("C", 1.0))
+    if c <= 0:
+        raise InvalidParameter(f"C must be positive, got {c}")
+    return 1.0 / (c * n_rows) if n_rows else 0.0
 
 
 def build_estimator(spec: ModelSpec, n_features: int, weight_col: str | None = None,
-                    features_col: str = "features", label_col: str = "label"):
-    """Map a model spec onto a Spark ML estimator (see README for the parameter map)."""
+                    features_col: str = "features", label_col: str = "label", n_rows: int | None = None):
+    """Map a model spec onto a Spark ML estimator (see README for the parameter map).
+
+    ``n_rows`` of the training frame is needed by LogisticRegression and SVM.
+    """
     p, s = spec.params, spec.seed
     common = {"featuresCol": features_col, "labelCol": label_col}
     if spec.name == "XGBoost":
@@ -70,16 +99,15 @@ def build_estimator(spec: ModelSpec, n_features: int, weight_col: str | None = N
                                      featureSubsetStrategy=str(p.get("max_features", "sqrt")),
                                      bootstrap=bool(p.get("bootstrap", True)), seed=s)
     elif spec.name == "LogisticRegression":
-        c = float(p.get("C", 1.0))
-        est = LogisticRegression(**common, maxIter=int(p.get("max_iter", 100)), regParam=1.0 / c if c else 0.0)
+        est = LogisticRegression(**common, maxIter=int(p.get("max_iter", 100)), regParam=_strength(spec, n_rows))
     elif spec.name == "SVM":
-        est = LinearSVC(**common, maxIter=int(p.get("max_iter", 100)), regParam=float(p.get("reg", 0.0)))
+        est = LinearSVC(**common, maxIter=int(p.get("max_iter", 100)), regParam=_strength(spec, n_rows))
     elif spec.name == "MLP":
         hidden = list(p.get("hidden_layer_sizes", [16]))
         est = MultilayerPerceptronClassifier(**common, layers=[n_features, *hidden, 2],
                                              maxIter=int(p.get("max_iter", 100)), seed=s)
     else:
-        raise ValueError(f"No Spark estimator for '{spec.name}'")
+        raise InvalidParameter(f"'{spec.name}' has no Spark estimator")
     if weight_col and "weightCol" in [x.name for x in est.params]:
         est.setWeightCol(weight_col)
     return est
@@ -106,28 +134,74 @@ def _positive_prob(df: DataFrame, prob_col: str = "probability") -> DataFrame:
     return df.withColumn("score", vector_to_array(F.col(prob_col)).getItem(1))
 
 
-def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], weight_col: str | None = None):
-    """Fit a pipeline (assembler + estimator); SVM gets a Platt scaling stage on its margin."""
+@dataclass
+class KnnModel:
+    """A nearest-neighbour vote: the training rows and k. ``save`` and ``load`` use Parquet."""
+
+    train: DataFrame
+    features: list[str]
+    k: int
+    id_col: str = "id"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = knn_scores(self.train, df, self.features, self.k, self.id_col)
+        return out.withColumn("prediction", (F.coalesce("score", F.lit(0.0)) >= 0.5).cast("double"))
+
+    def save(self, path: str) -> None:
+        self.train.select(F.col(self.id_col).cast("string").alias(self.id_col), F.col("label").cast("int").alias("label"),
+                          *[F.col(c).cast("double").alias(c) for c in self.features]).write.mode("overwrite").parquet(f"{path}/train")
+        self.train.sparkSession.createDataFrame([(self.k, self.id_col, self.features)], "k int, id_col string, features array<string>") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/knn")
+
+    @classmethod
+    def load(cls, spark, path: str) -> KnnModel:
+        r = spark.read.parquet(f"{path}/knn").first()
+        return cls(spark.read.parquet(f"{path}/train"), list(r["features"]), r["k"], r["id_col"])
+
+
+def save_model(model, path: str) -> None:
+    """Persist a fitted model of any kind."""
+    if isinstance(model, KnnModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(spark, path: str):
+    """A model saved by ``save_model``; ValueError if there is none."""
+    for load in (PipelineModel.load, lambda p: KnnModel.load(spark, p)):
+        try:
+            return load(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    raise ValueError(f"there is no stored model at {path}")
+
+
+def estimator_stages(spec: ModelSpec, features: Sequence[str], weight_col: str | None, n_rows: int | None) -> list:
+    """Stages after the assembler. The SVM's margin goes through a logistic stage (Platt scaling), which gives a probability."""
+    est = build_estimator(spec, len(features), weight_col, n_rows=n_rows)
+    if spec.name != "SVM":
+        return [est]
+    margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])
+    platt = LogisticRegression(featuresCol="margin", labelCol="label", predictionCol="platt_prediction",
+                               rawPredictionCol="platt_raw", probabilityCol="probability")
+    return [est, margin, platt]
+
+
+def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], weight_col: str | None = None, id_col: str = "id"):
+    """Fit a model of any kind: a pipeline of assembler and estimator, or the neighbour vote."""
+    if spec.name == "KNN":
+        return KnnModel(train, list(features), int(spec.params.get("n_neighbors", 5)), id_col)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    est = build_estimator(spec, len(features), weight_col)
-    if spec.name == "SVM":
-        svm_model = Pipeline(stages=[asm, est]).fit(train)
-        margin = svm_model.transform(train).withColumn(
-            "margin", array_to_vector(F.array(vector_to_array("rawPrediction").getItem(1))))
-        platt = LogisticRegression(featuresCol="margin", labelCol="label", predictionCol="platt_pred",
-                                   rawPredictionCol="platt_raw", probabilityCol="probability").fit(margin)
-        return ("svm", svm_model, platt)
-    return Pipeline(stages=[asm, est]).fit(train)
+    n_rows = train.count() if spec.name in ("LogisticRegression", "SVM") else None
+    return Pipeline(stages=[asm, *estimator_stages(spec, features, weight_col, n_rows)]).fit(train)
 
 
 def score(model, df: DataFrame) -> DataFrame:
-    """P(class 1) as ``score`` (plus the 0/1 ``prediction`` where the model provides it)."""
-    if isinstance(model, tuple) and model[0] == "svm":
-        _, svm_model, platt = model
-        m = svm_model.transform(df).withColumn(
-            "margin", array_to_vector(F.array(vector_to_array("rawPrediction").getItem(1))))
-        return _positive_prob(platt.transform(m.drop("probability")))
-    return _positive_prob(model.transform(df))
+    """P(class 1) as ``score`` and the 0/1 ``prediction``."""
+    out = model.transform(df)
+    return out if isinstance(model, KnnModel) else _positive_prob(out)
 
 
 def knn_scores(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 5,
@@ -156,19 +230,32 @@ def oversample(train: DataFrame, features: Sequence[str], id_col: str, cfg_ratio
 
 def train_and_score(spec: ModelSpec, train: DataFrame, splits: dict[str, DataFrame], features: Sequence[str],
                     id_col: str = "id", use_smote: bool = False, smote_ratio: float = 0.5, seed: int = 42,
-                    weight_col: str | None = None) -> dict[str, DataFrame]:
-    """M2: optional oversampling of the training part only, fit, P(1) on each named split."""
-    tr = oversample(train, features, id_col, smote_ratio, seed) if use_smote else train
-    if spec.name == "KNN":
-        k = int(spec.params.get("n_neighbors", 5))
-        return {n: knn_scores(tr, d, features, k, id_col).select(id_col, "label", "score") for n, d in splits.items()}
-    model = fit(spec, tr, features, weight_col)
+                    positive_weight: float | str | None = None) -> dict[str, DataFrame]:
+    """M2: optional oversampling of the training part only, class weights (M4), fit, P(1) on each named split."""
+    tr = prepare_training(spec, train, features, id_col, use_smote, smote_ratio, seed, positive_weight)
+    model = fit(spec, tr, features, "weight" if "weight" in tr.columns else None, id_col)
     return {n: score(model, d).select(id_col, "label", "score") for n, d in splits.items()}
 
 
+def positive_weight_of(spec: ModelSpec) -> float | str | None:
+    """The class weight that a model's parameters ask for: a number for the positive class, 'balanced', or none."""
+    if spec.params.get("scale_pos_weight") is not None:
+        return float(spec.params["scale_pos_weight"])
+    return "balanced" if str(spec.params.get("class_weight") or "").startswith("balanced") else None
+
+
+def prepare_training(spec: ModelSpec, train: DataFrame, features: Sequence[str], id_col: str, use_smote: bool,
+                     smote_ratio: float, seed: int, positive_weight: float | str | None = None) -> DataFrame:
+    """The training frame: oversampled if asked for, with ``weight`` if the call or the model's parameters weigh classes."""
+    tr = oversample(train, features, id_col, smote_ratio, seed) if use_smote else train
+    weight = positive_weight if positive_weight is not None else positive_weight_of(spec)
+    return class_weights(tr, "label", weight) if weight is not None else tr
+
+
 def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequence[str], cfg: EvalConfig,
                 id_col: str = "id", use_smote: bool = False, smote_ratio: float = 0.5,
-                cache: bool = True, parallelism: int = 4, search: dict | None = None) -> dict[str, DataFrame]:
+                parallelism: int = 4, search: dict | None = None,
+                positive_weight: float | str | None = None) -> dict[str, DataFrame]:
     """M6: per model and fold (optionally tune on the training folds), fit on the other
     folds, score the held-out fold; then ONE sweep over all (model, fold), best
     thresholds, exact fold merge. Returns results, fold_results, sweep_avg and
@@ -176,38 +263,37 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
 
     ``search`` = {"spaces": {...}, "n_trials": int, "inner_folds": int} enables M5 inside
     each fold; the model's own name selects its space (the name, not the fold).
+    ``positive_weight`` overrides the class weights of the models' parameters.
+    The folded frame is written to the shared folder once, for all fits and scores.
     """
-    data = folded.select(id_col, "label", "fold", *features)
-    if cache:
-        data = data.persist()
+    data = cut_lineage(folded.select(id_col, "label", "fold", *features))
 
     def one(task):
         name, k = task
         tr = data.filter(F.col("fold") != k)
         te = data.filter(F.col("fold") == k)
         spec = specs[name]
-        if search and name != "KNN":
-            from quorum.operators.folds import stratified_kfold
+        if search:
             inner_k = int(search.get("inner_folds", 3))
             inner = stratified_kfold(tr.drop("fold"), id_col, "label", inner_k, cfg.seed)
             spec, _ = hyperparam_search(spec, inner, features, search.get("spaces", {}),
-                                        int(search.get("n_trials", 25)), cfg.seed, n_folds=inner_k)
-        s = train_and_score(spec, tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed)["test"]
+                                        int(search.get("n_trials", 25)), cfg.seed, n_folds=inner_k, id_col=id_col)
+        s = train_and_score(spec, tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed, positive_weight)["test"]
         return s.select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), id_col, "label", "score")
 
     tasks = [(name, k) for name in specs for k in range(1, cfg.n_splits + 1)]
     # (model, fold) fits are independent Spark jobs: submit them concurrently from the driver
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         scored = list(pool.map(one, tasks))
-    oof = scored[0]
-    for s in scored[1:]:
-        oof = oof.unionByName(s)
+    # the scores feed the sweep, the merges and the stored predictions
+    oof = cut_lineage(reduce(DataFrame.unionByName, [s.withColumn(id_col, F.col(id_col).cast("string"))
+                                                     .withColumn("label", F.col("label").cast("int")) for s in scored]))
     sweep = E.threshold_sweep(oof, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
     best = E.best_thresholds(sweep, ["model_name", "fold"])
     preds = oof.select(F.concat(F.lit("kfold_avg_"), "model_name").alias("model_name"), F.lit("oof").alias("kind"),
                        F.col(id_col).cast("string").alias("id"), "score")
     return {"results": E.average_fold_results(best, cfg.costs), "fold_results": E.fold_results(best),
-            "sweep_avg": E.average_fold_sweep(sweep), "predictions": preds, "_cached": data}
+            "sweep_avg": E.average_fold_sweep(sweep), "predictions": preds}
 
 
 def resolve_space(spaces: dict, model_name: str) -> dict:
@@ -221,11 +307,9 @@ def sample_trials(space: dict, n_trials: int, seed: int) -> list[dict]:
     With only categorical entries and a grid no larger than ``n_trials`` every
     combination is tried once.
     """
-    for k, v in space.items():
-        if isinstance(v, tuple) and len(v) != 2:
-            raise ValueError(f"Parameter space for {k} must be a tuple of (min, max)")
-        if not isinstance(v, (list, tuple)):
-            raise ValueError(f"Invalid parameter space type for {k}. Must be list or tuple.")
+    wrong = [k for k, v in space.items() if not (isinstance(v, list) and v or isinstance(v, tuple) and len(v) == 2)]
+    if wrong:
+        raise ValueError(f"search space of {', '.join(sorted(wrong))}: give a list of choices or a (low, high) pair")
     rng = random.Random(seed)
     keys = sorted(space)
     if all(isinstance(space[k], list) for k in keys):
@@ -248,9 +332,10 @@ def sample_trials(space: dict, n_trials: int, seed: int) -> list[dict]:
 
 def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str], space: dict,
                       n_trials: int = 25, seed: int = 42, parallelism: int = 4,
-                      n_folds: int = 5) -> tuple[ModelSpec, DataFrame]:
-    """M5: seeded random trials over the parameter space, each scored by mean log loss over the
-    W1 folds (``foldCol``); a combination that fails to fit scores -10. An empty space
+                      n_folds: int = 5, id_col: str = "id") -> tuple[ModelSpec, DataFrame]:
+    """M5: seeded random trials over the parameter space, each scored by the mean log loss (A23) of
+    its out-of-fold scores over the W1 folds. A combination that the model can't take scores
+    -10; any other failure is raised, as is a search without one valid trial. An empty space
     keeps the defaults. ``space`` may be a per-model dict or hold 'shared' / model keys.
     Returns (best spec, trials frame)."""
     if "shared" in space or spec.name in space:
@@ -259,56 +344,56 @@ def hyperparam_search(spec: ModelSpec, folded: DataFrame, features: Sequence[str
         return spec, folded.sparkSession.createDataFrame([], "params string, neg_log_loss double")
     trials = sample_trials(space, n_trials, seed)
     spark = folded.sparkSession
-    data = assemble(folded, features).select("features", "label", F.col("fold").cast("int").alias("fold"))
-    evaluator = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
+    data = cut_lineage(folded.select(id_col, "label", F.col("fold").cast("int").alias("fold"), *features))
+
     def trial(t):
         cand = ModelSpec(spec.name, {**spec.params, **t}, spec.seed)
         try:
-            est = build_estimator(cand, len(features))
-            cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
-                                foldCol="fold", numFolds=n_folds, parallelism=parallelism, seed=seed)
-            # foldCol holds 0-based fold ids
-            model = cv.fit(data.withColumn("fold", F.col("fold") - 1))
-            value = -float(model.avgMetrics[0])
-        except Exception:  # noqa: BLE001 — an invalid combination is scored, not raised
-            value = -10.0
-        return (json.dumps(t, sort_keys=True), value)
+            if cand.name != "KNN":
+                # parameters that Spark refuses fail here, without a job
+                build_estimator(cand, len(features), n_rows=1)._transfer_params_to_java()
+        except (InvalidParameter, IllegalArgumentException, Py4JJavaError, TypeError, ValueError):
+            return json.dumps(t, sort_keys=True), -10.0
+        losses = []
+        for k in range(1, n_folds + 1):
+            s = train_and_score(cand, data.filter(F.col("fold") != k), {"test": data.filter(F.col("fold") == k)}, features, id_col)
+            losses.append(s["test"].agg(F.avg(log_loss_expr("label", "score"))).first()[0])
+        known = [x for x in losses if x is not None]
+        if not known:
+            raise ValueError("no fold holds a row to score")
+        return json.dumps(t, sort_keys=True), -sum(known) / len(known)
 
     # trials are independent: run them as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(trial, trials))
-    out = spark.createDataFrame(rows, "params string, neg_log_loss double")
     best = max(rows, key=lambda r: r[1])
+    if best[1] <= -10.0:
+        raise InvalidParameter(f"no combination of the search space is valid for {spec.name}")
+    out = spark.createDataFrame(rows, "params string, neg_log_loss double")
     return ModelSpec(spec.name, {**spec.params, **json.loads(best[0])}, spec.seed), out
 
 
 def final_model(spec: ModelSpec, df: DataFrame, features: Sequence[str], cfg: EvalConfig, id_col: str = "id",
-                path: str | None = None, use_smote: bool = False, smote_ratio: float = 0.5) -> tuple[object, DataFrame]:
+                path: str | None = None, use_smote: bool = False, smote_ratio: float = 0.5,
+                positive_weight: float | str | None = None) -> tuple[object, DataFrame]:
     """M9: fit on all rows (no oversampling by default, as for production models; the
     k-fold final-model variant sets ``use_smote``), sweep on the training rows, optional
-    save (S9); returns (model, result rows for both optimal thresholds)."""
-    train = oversample(df, features, id_col, smote_ratio, cfg.seed) if use_smote else df
-    model = fit(spec, train, features)
+    save (S9) of any kind of model; returns (model, result rows for both optimal thresholds)."""
+    train = prepare_training(spec, df, features, id_col, use_smote, smote_ratio, cfg.seed, positive_weight)
+    model = fit(spec, train, features, "weight" if "weight" in train.columns else None, id_col)
     scored = score(model, df).select(F.lit(spec.name).alias("model_name"), F.lit(0).alias("fold"), "label", "score")
     sweep = E.threshold_sweep(scored, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
     best = E.best_thresholds(sweep, ["model_name", "fold"])
     res = E.fold_results(best).withColumn("split", F.lit("Full")).withColumn(
         "model_name", F.concat(F.col("model_name"), F.lit("_production")))
-    if path and isinstance(model, PipelineModel):
-        model.write().overwrite().save(path)
+    if path:
+        save_model(model, path)
     return model, res
 
 
 def batch_predict(path: str, df: DataFrame, contract: DataFrame | None = None) -> DataFrame:
-    """Load a stored pipeline, validate the feature contract, return class and P(1)."""
-    if contract is not None:
-        need = [r["name"] for r in contract.orderBy("position").select("name").collect()]
-        missing = [c for c in need if c not in df.columns]
-        if missing:
-            raise ValueError(f"Input is missing features required by the model: {missing}")
-    try:
-        model = PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001
-        raise ValueError(f"Model not found: {path}") from e
-    out = _positive_prob(model.transform(df))
+    """Load a stored model of any kind, check the feature contract, return class and P(1)."""
+    if contract is not None and (problems := contract_problems(contract, df)):
+        raise ValueError(f"the input does not fit the model's features: {problems}")
+    out = score(load_model(df.sparkSession, path), df)
     return out.select(*[c for c in df.columns], F.col("prediction").cast("int").alias("prediction"), "score")

@@ -244,6 +244,12 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     return agg.select(F.col("_rows").alias("rows"), F.lit(len(cols)).alias("columns"), F.inline(rows))
 
 
+def dataset_overview(df: DataFrame, target: str | None = None, sample: int = 5) -> dict[str, DataFrame]:
+    """The per-column profile, the distribution of the target and the first rows of a dataset."""
+    out = {"profile": dataset_profile(df, target), "sample": df.limit(sample)}
+    return out | ({"target_distribution": value_distribution(df, target)} if target else {})
+
+
 def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes: dict[str, int],
                      limit: int = 10_000, accuracy: int = 10_000, max_rounds: int = 12,
                      proposals: dict[tuple, tuple] | None = None) -> dict[tuple, float]:

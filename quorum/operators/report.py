@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.config import KFOLD_PREFIX
+from quorum.functions.metrics import nan_to_null
 from quorum.functions.labels import display_label, normalise_model_name
 
 METRICS = ["accuracy", "precision", "recall", "f1_score"]
@@ -90,12 +91,28 @@ def radar_projection(results: DataFrame) -> DataFrame:
     return results.select("model_name", "split", "threshold_type", F.array(*METRICS).alias("metrics"))
 
 
-def sweep_projection(sweep: DataFrame, data_type: str = "costs") -> DataFrame:
-    """One model's ordered series of thresholds / costs / accuracies / f1_scores."""
+def sweep_projection(sweep: DataFrame, data_type: str = "costs", model: str | None = None,
+                     predictions: DataFrame | None = None) -> DataFrame:
+    """Ordered series of thresholds / costs / accuracies / f1_scores of every model, or of ``model``.
+
+    A model without a sweep is an error that names the models there are. The
+    data type 'probabilities' gives the (model_name, id, score) rows of ``predictions``,
+    which are as many as the table's and so stay rows.
+    """
+    if model is not None:
+        if sweep.filter(F.col("model_name") == model).isEmpty():
+            known = [r[0] for r in sweep.select("model_name").distinct().orderBy("model_name").collect()]
+            raise ValueError(f"no sweep of {model}; there are sweeps of {', '.join(known)}")
+        sweep = sweep.filter(F.col("model_name") == model)
+        predictions = predictions.filter(F.col("model_name") == model) if predictions is not None else None
+    if data_type == "probabilities":
+        if predictions is None:
+            raise ValueError("the data type 'probabilities' needs the predictions")
+        return predictions.select("model_name", "id", nan_to_null("score").alias("score"))
     fields = {"thresholds": "threshold", "costs": "cost", "accuracies": "accuracy", "f1_scores": "f1_score",
               "precisions": "precision", "recalls": "recall"}
     if data_type not in fields:
-        raise ValueError(f"Unknown data type '{data_type}'. Available: {sorted(fields)}")
+        raise ValueError(f"unknown data type {data_type}; there are {', '.join(sorted([*fields, 'probabilities']))}")
     pts = F.array_sort(F.collect_list(F.struct("threshold", F.col(fields[data_type]).alias("v"))))
     return sweep.groupBy("model_name").agg(pts.alias("_p")).select(
         "model_name", F.lit(data_type).alias("data_type"),
@@ -153,6 +170,7 @@ def model_comparison(results: DataFrame, threshold_type: str, split: str = "Test
         raise ValueError("threshold_type must be 'cost' or 'accuracy'")
     m = first_match(results, split, threshold_type)
     if strict and m.isEmpty():
+        # fixed value: this message and the one above
         raise RuntimeError(f"No results for split={split[:1].upper() + split[1:].lower()}, "
                            f"threshold_type={threshold_type}")
     return m.select("model_name", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
@@ -169,12 +187,14 @@ def performance_report(results: DataFrame, meta_models: Sequence[str],
     norm = normalise_model_name("model_name")
     metas = [m.replace(KFOLD_PREFIX, "") for m in meta_models]
     in_splits = F.col("split").isin(list(splits))
-    meta = results.filter(norm.isin(metas) & in_splits & F.col("threshold_type").isin(list(thr_types))) \
-        .withColumn("section", F.lit("meta"))
-    base = results.filter(~norm.isin(metas) & in_splits & (F.col("threshold_type") == "base")) \
-        .withColumn("section", F.lit("base"))
-    kfold = results.filter(F.col("model_name").startswith(KFOLD_PREFIX)).withColumn("section", F.lit("kfold"))
-    out = union_runs(meta, base, kfold)
+    sections = {
+        "meta": norm.isin(metas) & in_splits & F.col("threshold_type").isin(list(thr_types)),
+        "base": ~norm.isin(metas) & in_splits & (F.col("threshold_type") == "base"),
+        "kfold": F.col("model_name").startswith(KFOLD_PREFIX),
+    }
+    # a row may stand in several sections; one pass finds all of them
+    out = results.withColumn("section", F.explode(F.array_compact(F.array(
+        *[F.when(cond, F.lit(name)) for name, cond in sections.items()]))))
     return out.select("section", "model_name", "split", "threshold_type",
                       *[F.round(c, 1).alias(c) for c in ["accuracy", "precision", "recall"]],
                       F.round("threshold", 3).alias("threshold"), "cost", "tp", "fp", "tn", "fn")

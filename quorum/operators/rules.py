@@ -33,55 +33,55 @@ class Rule:
     enabled: bool = True
 
 
-def validate_rules(rules: Sequence[Rule], available: Sequence[str]) -> list[Rule]:
-    """Empty columns, unknown logic, unknown model, duplicate rule name -> ValueError."""
-    seen: set[str] = set()
-    avail = set(available) | {a.replace(KFOLD_PREFIX, "") for a in available}
-    out = []
-    for r in rules:
-        if not r.enabled:
-            continue
-        if r.name in seen:
-            raise ValueError(f"Duplicate combined model name '{r.name}'")
-        seen.add(r.name)
-        if not r.columns:
-            raise ValueError(f"No columns specified for combined model '{r.name}'")
-        canonical_logic(r.logic)
-        for c in r.columns:
-            if c not in avail and f"{KFOLD_PREFIX}{c}" not in avail:
-                raise ValueError(f"Model '{c}' not found in available runs. Available models: {sorted(avail)}")
-        out.append(r)
-    return out
+def run_names_of(column: str) -> tuple[str, ...]:
+    """The run names that a rule column may mean, best first: itself, then its k-fold average."""
+    return column, f"{KFOLD_PREFIX}{column}"
+
+
+def run_index(runs: Sequence[str]) -> dict[str, str]:
+    """Run by full and by short name; of runs that share a name the later one has it."""
+    return {name: run for run in runs for name in (run, run.replace(KFOLD_PREFIX, ""))}
 
 
 def resolve_columns(rules: Sequence[Rule], run_names: Sequence[str]) -> dict[str, str]:
-    """Rule column -> run name, by exact name, name without the k-fold prefix,
-    or with it; on collisions the later run wins (insertion order)."""
-    lookup: dict[str, str] = {}
-    for run in run_names:
-        lookup[run] = run
-        lookup[run.replace(KFOLD_PREFIX, "")] = run
-    out = {}
-    for r in rules:
-        for c in r.columns:
-            if c in lookup:
-                out[c] = lookup[c]
-            elif f"{KFOLD_PREFIX}{c}" in lookup:
-                out[c] = lookup[f"{KFOLD_PREFIX}{c}"]
-            else:
-                raise ValueError(f"Model '{c}' not found in available runs. Available models: {sorted(lookup)}")
+    """Rule column -> run name, the first of ``run_names_of`` that the run index knows."""
+    index = run_index(run_names)
+    out = {c: next((index[n] for n in run_names_of(c) if n in index), None) for r in rules for c in r.columns}
+    unknown = sorted(c for c, run in out.items() if run is None)
+    if unknown:
+        raise ValueError(f"no run is named {', '.join(unknown)}; there are {', '.join(sorted(index))}")
     return out
 
 
+def validate_rules(rules: Sequence[Rule], available: Sequence[str]) -> list[Rule]:
+    """The enabled rules; no columns, unknown logic, unknown run or a repeated rule name -> ValueError."""
+    enabled = [r for r in rules if r.enabled]
+    names = [r.name for r in enabled]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"several rules are named {', '.join(repeated)}")
+    empty = [r.name for r in enabled if not r.columns]
+    if empty:
+        raise ValueError(f"rules without columns: {', '.join(empty)}")
+    for r in enabled:
+        canonical_logic(r.logic)
+    resolve_columns(enabled, available)
+    return enabled
+
+
+def resolved_columns(rule_columns: DataFrame, runs: DataFrame) -> DataFrame:
+    """J4 as a join: (rule_name, column_name, run) of the rule columns that name a run."""
+    run = F.col("model_name")
+    index = runs.select(run).distinct().select(F.explode(F.array(run, F.regexp_replace(run, KFOLD_PREFIX, ""))).alias("key"),
+                                               run.alias("run"))
+    names = rule_columns.withColumn("key", F.explode(F.array("column_name", F.concat(F.lit(KFOLD_PREFIX), "column_name"))))
+    # both sides are as small as the rules and the runs
+    return names.join(F.broadcast(index), "key").groupBy("rule_name", "column_name").agg(F.max("run").alias("run"))
+
+
 def unresolved_columns(rule_columns: DataFrame, runs: DataFrame) -> DataFrame:
-    """J4 as a join: rule columns (rule_name, column_name) with no matching run (left anti)."""
-    names = runs.select(F.col("model_name").alias("run")).distinct()
-    keys = names.select(F.col("run").alias("key"), "run").unionByName(
-        names.select(F.regexp_replace("run", KFOLD_PREFIX, "").alias("key"), "run"))
-    direct = rule_columns.join(F.broadcast(keys), rule_columns["column_name"] == keys["key"], "left_anti")
-    prefixed = direct.join(F.broadcast(keys), F.concat(F.lit(KFOLD_PREFIX), direct["column_name"]) == keys["key"],
-                           "left_anti")
-    return prefixed
+    """Rule columns (rule_name, column_name) with no matching run (left anti)."""
+    return rule_columns.join(resolved_columns(rule_columns, runs), ["rule_name", "column_name"], "left_anti")
 
 
 def pick_scores(predictions: DataFrame) -> DataFrame:
@@ -144,7 +144,8 @@ def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rul
 
     Two passes over the predictions: one small aggregate for the per-model facts
     (P19/P20, also the list of runs), then one pivot by id with explicit model
-    names feeding a single projection of all rules, an unpivot and one count.
+    names feeding a single projection of all rules, an unpivot and one count. The job
+    fails if a rule combines runs that don't cover the same ids.
     Results: split 'Full', threshold_type 'combined', threshold NULL,
     cost / n_splits, is_base_model True. Predictions: (model_name, kind='Full', id, score).
     """
@@ -163,17 +164,25 @@ def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rul
     picked = reduce(lambda a, b: a | b, [(F.col("model_name") == m) & (F.col("kind") == facts[m]["kind"])
                                          for m in models])
     wide = (predictions.filter(picked).select("id", "model_name", M.nan_to_null("score").alias("score"))
-            .groupBy("id").pivot("model_name", models).agg(F.first("score")))
+            .groupBy("id").pivot("model_name", models).agg(F.first("score").alias("score"), F.count(F.lit(1)).alias("rows"))
+            .select("id", *[F.col(f"`{m}_score`").alias(m) for m in models], *[(F.coalesce(f"`{m}_rows`", F.lit(0)) > 0)
+                                                                            .cast("int").alias(f"{m}__has") for m in models]))
+
+    def ruled_by(r: Rule) -> Column:
+        """The rule's decision; NULL for ids that none of its runs covers, an error where only some do."""
+        has = reduce(lambda a, b: a + b, [F.col(f"`{mapping[c]}__has`") for c in r.columns])
+        return F.when(has == len(r.columns), combine(r.logic, [decision(c) for c in r.columns])).when(
+            has > 0, F.raise_error(F.lit(f"rule {r.name}: its runs cover different ids")).cast("int"))
 
     def decision(c: str) -> Column:
         m = mapping[c]
         if facts[m]["decision"]:
-            return F.coalesce(F.col(m).cast("int"), F.lit(0))
-        return M.apply_threshold(F.col(m), thresholds.get(c, DEFAULT_RULE_THRESHOLD))
+            return F.coalesce(F.col(f"`{m}`").cast("int"), F.lit(0))
+        return M.apply_threshold(F.col(f"`{m}`"), thresholds.get(c, DEFAULT_RULE_THRESHOLD))
 
-    combos = [combine(r.logic, [decision(c) for c in r.columns]).alias(r.name) for r in rules]
+    combos = [ruled_by(r).alias(r.name) for r in rules]
     ruled = wide.join(labels.select("id", "label"), "id").select("id", "label", *combos)
-    long = ruled.unpivot(["id", "label"], [r.name for r in rules], "model_name", "pred")
+    long = ruled.unpivot(["id", "label"], [r.name for r in rules], "model_name", "pred").filter("pred is not null")
     counts = confusion_counts(long, ["model_name"], "label", "pred")
     results = decision_results(counts, costs, n_splits, "combined")
     preds = long.select("model_name", F.lit("Full").alias("kind"), "id", F.col("pred").cast("double").alias("score"))
@@ -243,24 +252,19 @@ def rule_problems(predictions: DataFrame, rule_columns: DataFrame) -> DataFrame:
     """B8 as data: (rule_name, problem, detail) for rules that cannot be evaluated.
 
     'unknown_model': a rule column resolves to no run (J4 anti join);
-    'unequal_lengths': the resolved runs of a rule score different numbers of rows.
-    Config-level errors (empty columns, unknown logic, duplicate names) are raised
-    by ``validate_rules`` before any job runs.
+    'unequal_ids': some ids are covered by a part of the rule's runs only; detail is
+    their number. Config-level errors (empty columns, unknown logic, duplicate
+    names) are raised by ``validate_rules`` before any job runs.
     """
     unknown = unresolved_columns(rule_columns, predictions).select(
         "rule_name", F.lit("unknown_model").alias("problem"), F.col("column_name").alias("detail"))
     facts = model_facts(predictions)
-    sizes = predictions.join(
-        F.broadcast(predictions.sparkSession.createDataFrame(
-            [(m, f["kind"]) for m, f in facts.items()], "model_name string, kind string")),
-        ["model_name", "kind"]).groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
-    names = sizes.select(F.col("model_name").alias("run"))
-    keys = names.select(F.col("run").alias("key"), "run").unionByName(
-        names.select(F.regexp_replace("run", KFOLD_PREFIX, "").alias("key"), "run")).distinct()
-    resolved = rule_columns.join(F.broadcast(keys), rule_columns["column_name"] == keys["key"]) \
-        .join(sizes, F.col("run") == sizes["model_name"])
-    uneven = resolved.groupBy("rule_name").agg(F.min("n").alias("lo"), F.max("n").alias("hi")) \
-        .filter(F.col("lo") != F.col("hi")).select(
-            "rule_name", F.lit("unequal_lengths").alias("problem"),
-            F.concat_ws("..", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("detail"))
+    spark = predictions.sparkSession
+    kinds = spark.createDataFrame([(m, f["kind"]) for m, f in facts.items()], "model_name string, kind string")
+    runs = resolved_columns(rule_columns, kinds).select("rule_name", F.col("run").alias("model_name")).distinct()
+    wanted = runs.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n_runs"))
+    covered = predictions.join(F.broadcast(kinds), ["model_name", "kind"]).join(F.broadcast(runs), "model_name") \
+        .groupBy("rule_name", "id").agg(F.count_distinct("model_name").alias("n"))
+    uneven = covered.join(F.broadcast(wanted), "rule_name").filter("n < n_runs").groupBy("rule_name").agg(
+        F.lit("unequal_ids").alias("problem"), F.count(F.lit(1)).cast("string").alias("detail"))
     return unknown.unionByName(uneven)

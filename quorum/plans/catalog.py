@@ -633,7 +633,25 @@ RESULTS_SQL = "results AS (" + " UNION ALL ".join(
 SWEEP_AVG_SQL = "sweep_avg AS (" + ORACLES["a6_average_fold_sweep"] + ")"
 
 
+_STORED: dict[tuple, str] = {}  # (application, table, input folder) -> where this session has written it
+
+
+def _stored(spark, sf_dir, name, build) -> DataFrame:
+    """A derived table, written to the shared folder when the session first needs it and read from then on."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _STORED:
+        path = _scratch(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def results_table(spark, sf_dir) -> DataFrame:
+    """The stored results of one run, which the report queries read."""
+    return _stored(spark, sf_dir, "results", all_results)
+
+
+def all_results(spark, sf_dir) -> DataFrame:
     """U1 over this build's result families: k-fold averages, fold bests, decisions, combined rules.
     The k-fold averages and the fold bests come from one sweep plan (shared exchanges)."""
     m7 = score_column_eval(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, V.SCORE_COLUMNS)
@@ -643,7 +661,7 @@ def results_table(spark, sf_dir) -> DataFrame:
 
 @register("u1_union_runs", S.with_(RESULTS_SQL) + "SELECT * FROM results")
 def u1_union_runs(spark, sf_dir):
-    return results_table(spark, sf_dir)
+    return all_results(spark, sf_dir)
 
 
 @register("p8_filter_results", S.with_(RESULTS_SQL) + "SELECT * FROM results WHERE split = 'Full' AND "
@@ -790,9 +808,8 @@ def u2_except_models(spark, sf_dir):
 
 @register("u3_union_keys", S.with_(*_M7_CTES) + "SELECT DISTINCT model_name, threshold FROM sweep")
 def u3_union_keys(spark, sf_dir):
-    sweep = a3_threshold_sweep(spark, sf_dir)
-    folds = [sweep.filter(F.col("fold") == k).select("model_name", "threshold") for k in range(1, CFG.n_splits + 1)]
-    return RP.union_runs(*folds).distinct()
+    """The keys of the folds' sweeps together: the sweep has the fold as a column, so the union is its distinct."""
+    return a3_threshold_sweep(spark, sf_dir).select("model_name", "threshold").distinct()
 
 
 @register("u4_subset_test", ORACLES["p20_classify_model_kind"].replace(
@@ -1031,6 +1048,56 @@ def _events_folded(spark, sf_dir):
     return stratified_kfold(_encoded_events(spark, sf_dir), V.ID, "label", CFG.n_splits, CFG.seed)
 
 
+# one specification of each kind of model, small enough to fit often
+_KINDS = {s.name: s for s in (
+    ML.ModelSpec("XGBoost", {"n_estimators": 5, "max_depth": 3, "scale_pos_weight": 4.0}, CFG.seed),
+    ML.ModelSpec("RandomForest", {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced_subsample"}, CFG.seed),
+    ML.ModelSpec("LogisticRegression", {"max_iter": 20, "C": 1.0}, CFG.seed),
+    ML.ModelSpec("SVM", {"max_iter": 20, "C": 1.0}, CFG.seed),
+    ML.ModelSpec("MLP", {"hidden_layer_sizes": [8], "max_iter": 20}, CFG.seed),
+    ML.ModelSpec("KNN", {"n_neighbors": 5}, CFG.seed))}
+_HOLDOUT_SQL = (V.EVENTS_X_SQL, f"""holdout AS (
+  SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', id, '{CFG.seed}')), id)
+                    <= ceil({CFG.test_size!r}::DOUBLE * count(*) OVER (PARTITION BY label)) AS held
+  FROM (SELECT id, CASE WHEN gt_label = 'Bad' THEN 1 ELSE 0 END AS label FROM events_x))""")
+
+
+@register("m2_model_kinds", S.with_(*_HOLDOUT_SQL) + " UNION ALL ".join(
+    f"SELECT '{n}' AS model_name, count(*) AS n_scored, count(*) AS n_in_range, sum(label) AS n_bad FROM holdout WHERE held"
+    for n in _KINDS))
+def m2_model_kinds(spark, sf_dir):
+    """Every kind of model, with the class weights of its parameters, trained on one part and scored on the other."""
+    enc = cut_lineage(stratified_split(_encoded_events(spark, sf_dir), V.ID, "label", CFG.test_size, CFG.seed))
+    out = [ML.train_and_score(spec, enc.filter("split = 'Train'"), {"Test": enc.filter("split = 'Test'")}, _IMP_FEATS, V.ID)["Test"]
+           .select(F.lit(name).alias("model_name"), "label", "score") for name, spec in _KINDS.items()]
+    return RP.union_runs(*out).groupBy("model_name").agg(
+        F.count("score").alias("n_scored"), F.count_if(F.col("score").between(0, 1)).alias("n_in_range"),
+        F.sum(F.col("label").cast("long")).alias("n_bad"))
+
+
+@register("m3_oversampled_counts", S.with_(V.EVENTS_X_SQL) + """
+SELECT 1 AS label, CAST(greatest(n1, floor(0.5 * n0)) AS BIGINT) AS n FROM (
+  SELECT count(*) FILTER (WHERE gt_label = 'Bad') AS n1, count(*) FILTER (WHERE gt_label <> 'Bad') AS n0 FROM events_x)
+UNION ALL SELECT 0, count(*) FILTER (WHERE gt_label <> 'Bad') FROM events_x""")
+def m3_oversampled_counts(spark, sf_dir):
+    """Rows of each class after oversampling the training frame."""
+    enc = _encoded_events(spark, sf_dir)
+    return ML.oversample(enc, _IMP_FEATS, V.ID, 0.5, CFG.seed).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("m4_weights_of_models", S.with_(V.EVENTS_X_SQL) + """
+SELECT 'XGBoost' AS model_name, label, CASE WHEN label = 1 THEN 4.0 ELSE 1.0 END::DOUBLE AS weight, n FROM c
+UNION ALL SELECT 'RandomForest', label, sum(n) OVER () / (2.0::DOUBLE * n), n FROM c""".replace("FROM c", """FROM (
+  SELECT CASE WHEN gt_label = 'Bad' THEN 1 ELSE 0 END AS label, count(*) AS n FROM events_x GROUP BY 1) c"""))
+def m4_weights_of_models(spark, sf_dir):
+    """The weights that the models' parameters put on the rows of each class."""
+    enc = _encoded_events(spark, sf_dir)
+    out = [ML.prepare_training(_KINDS[n], enc, _IMP_FEATS, V.ID, False, 0.5, CFG.seed).groupBy("label", "weight")
+           .agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("model_name"), "label", "weight", "n")
+           for n in ("XGBoost", "RandomForest")]
+    return RP.union_runs(*out)
+
+
 @register("m2_train_and_score", None)
 def m2_train_and_score(spark, sf_dir):
     enc = stratified_split(_encoded_events(spark, sf_dir), V.ID, "label", CFG.test_size, CFG.seed)
@@ -1049,13 +1116,42 @@ def m4_class_weights(spark, sf_dir):
 def m5_hyperparam_search(spark, sf_dir):
     space = {"C": [0.1, 1.0, 10.0], "max_iter": [20, 50]}
     return ML.hyperparam_search(_LR, _events_folded(spark, sf_dir), _IMP_FEATS, space, n_trials=3,
-                                seed=CFG.seed, n_folds=CFG.n_splits)[1]
+                                seed=CFG.seed, n_folds=CFG.n_splits, id_col=V.ID)[1]
+
+
+@register("m5_trials_of_kinds", " UNION ALL ".join(
+    f"SELECT '{n}' AS model_name, CAST(2 AS BIGINT) AS n_trials, CAST({v} AS BIGINT) AS n_valid FROM (SELECT count(*) FROM events)"
+    for n, v in (("SVM", 2), ("RandomForest", 1))))
+def m5_trials_of_kinds(spark, sf_dir):
+    """Trials of a search and how many of them were valid; a depth beyond Spark's limit isn't."""
+    spaces = {"SVM": {"C": [0.1, 10.0]}, "RandomForest": {"max_depth": [3, 50]}}
+    folded_df = stratified_kfold(_encoded_events(spark, sf_dir), V.ID, "label", 2, CFG.seed)
+    out = []
+    for name, space in spaces.items():
+        trials = ML.hyperparam_search(_KINDS[name], folded_df, _IMP_FEATS, space, n_trials=2, seed=CFG.seed, n_folds=2, id_col=V.ID)[1]
+        out.append(trials.agg(F.count(F.lit(1)).alias("n_trials"), F.count_if(F.col("neg_log_loss") > -10).alias("n_valid"))
+                   .select(F.lit(name).alias("model_name"), "n_trials", "n_valid"))
+    return RP.union_runs(*out)
+
+
+@register("m6_fold_totals", S.with_(V.EVENTS_X_SQL) + """
+SELECT 'kfold_avg_' || m AS model_name, t AS threshold_type, count(*) FILTER (WHERE gt_label = 'Bad') AS n_bad, count(*) AS n_rows
+FROM events_x, (VALUES ('XGBoost'), ('LogisticRegression')) a(m), (VALUES ('cost'), ('accuracy')) b(t) GROUP BY ALL""")
+def m6_fold_totals(spark, sf_dir):
+    """Cross-validation with oversampling and class weights: every row is counted once, in its test fold."""
+    specs = {n: _KINDS[n] for n in ("XGBoost", "LogisticRegression")}
+    folded_df = stratified_kfold(_encoded_events(spark, sf_dir), V.ID, "label", 2, CFG.seed)
+    cfg = EvalConfig(n_splits=2)
+    res = ML.cv_evaluate(folded_df, specs, _IMP_FEATS, cfg, V.ID, use_smote=True)["results"]
+    total = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    return res.select("model_name", "threshold_type", (F.col("tp") + F.col("fn")).cast("long").alias("n_bad"),
+                      total.cast("long").alias("n_rows"))
 
 
 @register("m6_cv_evaluate", None)
 def m6_cv_evaluate(spark, sf_dir):
     cv = ML.cv_evaluate(_events_folded(spark, sf_dir), {"LogisticRegression": _LR, "RandomForest": _RF},
-                        _IMP_FEATS, CFG, V.ID, cache=False)
+                        _IMP_FEATS, CFG, V.ID)
     return cv["results"]
 
 
@@ -1068,8 +1164,8 @@ def m9_final_model(spark, sf_dir):
 def m10_batch_predict(spark, sf_dir):
     enc = _encoded_events(spark, sf_dir)
     path = _scratch(spark, "model")
-    model = ML.fit(_LR, enc, _IMP_FEATS)
-    IO.save_model(model, path)
+    model = ML.fit(_LR, enc, _IMP_FEATS, id_col=V.ID)
+    ML.save_model(model, path)
     contract = IO.feature_contract(enc, _IMP_FEATS, [f for f in _IMP_FEATS if f.startswith("user_group_")], V.ID)
     return ML.batch_predict(path, enc.select(V.ID, *_IMP_FEATS), contract)
 
@@ -1093,8 +1189,8 @@ def s10_feature_contract(spark, sf_dir):
 
 @register("m16_end_to_end", None)
 def m16_end_to_end(spark, sf_dir):
-    out = run_end_to_end(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, {"LogisticRegression": _LR},
-                       score_cols=_SC, decision_cols=_DC, rules=RULES, cache=False)
+    out = run_end_to_end(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, {"LogisticRegression": _LR}, score_cols=_SC,
+                         decision_cols=_DC, rules=RULES, final_models=True, model_path=_scratch(spark, "final"))
     return out["results"]
 
 
@@ -1129,13 +1225,23 @@ def s4_sink_csv(spark, sf_dir):
     return IO.scan_table(spark, path, "csv", _SCORED_SCHEMA)
 
 
-@register("s5_scan_result_csvs", S.with_(RESULTS_SQL) + "SELECT * FROM results")
+@register("s5_scan_result_csvs", S.with_(RESULTS_SQL) + f"""
+SELECT *, tp + fp + tn + fn AS summary_samples, tp + fp + tn + fn AS total_samples,
+       CASE WHEN model_name IN ({", ".join(f"'kfold_avg_{c}'" for c in _SC)}) THEN CAST({len(CFG.grid)} AS BIGINT) END AS n_thresholds
+FROM results""")
 def s5_scan_result_csvs(spark, sf_dir):
     base = _scratch(spark, "result-csvs")
-    res = cut_lineage(results_table(spark, sf_dir))  # written twice below: compute once
-    IO.sink_csv(res, f"{base}/model_metrics")
-    IO.sink_csv(RP.confusion_view(res), f"{base}/confusion_matrices")
-    return IO.scan_result_csvs(spark, base)["model_metrics"]
+    res = results_table(spark, sf_dir)
+    for name, rows in IO.run_datasets(res).items():
+        IO.sink_csv(rows, f"{base}/{name}")
+    IO.sink_csv(_stored(spark, sf_dir, "sweep", a6_average_fold_sweep).select(
+        "model_name", "threshold", "cost", "accuracy", "f1_score"), f"{base}/sweep")
+    read = IO.scan_result_csvs(spark, base)
+    counts = read["confusion_matrices"].select("model_name", "split", "threshold_type", "total_samples")
+    sweeps = read["sweep"].groupBy("model_name").agg(F.count(F.lit(1)).alias("n_thresholds"))
+    return read["model_summary"].withColumnRenamed("total_samples", "summary_samples") \
+        .join(counts, ["model_name", "split", "threshold_type"]).join(sweeps, "model_name", "left").select(
+            *_RCOLS, "summary_samples", "total_samples", "n_thresholds")
 
 
 @register("s6_scan_sweep_json", S.with_(SWEEP_AVG_SQL) + "SELECT model_name, threshold, cost, accuracy, f1_score "
@@ -1157,12 +1263,30 @@ def _stored_run(spark, sf_dir):
     store = IO.ResultsStore(spark, _scratch(spark, "store"))
     df = V.scored(spark, sf_dir)
     base = RP.union_runs(m7_score_column_eval(spark, sf_dir), m8_decision_column_eval(spark, sf_dir))
-    store.save("run1", {"model_metrics": base.select(*_RCOLS),
-                        "predictions": base_predictions(df, CFG, V.ID, _SC, _DC),
-                        "labels": labels_of(df, CFG, V.ID, V.TARGET)})
+    store.save_results("run1", cut_lineage(base.select(*_RCOLS)), predictions=base_predictions(df, CFG, V.ID, _SC, _DC),
+                       labels=labels_of(df, CFG, V.ID, V.TARGET), sweep=_stored(spark, sf_dir, "sweep", a6_average_fold_sweep))
     return store
 
 
+@register("s7_confusion_json", S.with_(RESULTS_SQL) + "SELECT model_name, split, threshold_type, tp, fp, tn, fn, "
+          "tp + fp + tn + fn AS total_samples FROM results")
+def s7_confusion_json(spark, sf_dir):
+    path = _scratch(spark, "metrics-json")
+    IO.write_metrics_json(results_table(spark, sf_dir), path)
+    return IO.scan_metrics_json(spark, path, "confusion_matrices")
+
+
+@register("p21_probabilities", S.with_(V.SCORED_SQL) + "SELECT 'kfold_avg_s_tax' AS model_name, id, s_tax AS score FROM scored")
+def p21_probabilities(spark, sf_dir):
+    return RP.sweep_projection(_stored(spark, sf_dir, "sweep", a6_average_fold_sweep), "probabilities", "kfold_avg_s_tax",
+                               base_predictions(V.scored(spark, sf_dir), CFG, V.ID, _SC, _DC))
+
+
+@register("m18_target_distribution", S.with_(V.SCORED_SQL) + "SELECT gt_label AS value, count(*) AS count FROM scored GROUP BY 1")
+def m18_target_distribution(spark, sf_dir):
+    return P.dataset_overview(V.scored(spark, sf_dir), V.TARGET)["target_distribution"]
+
+
 @register("s8_results_store", S.with_(RESULTS_SQL) + "SELECT *, 'run1' AS run_id FROM results WHERE "
           "split = 'Full' AND threshold_type IN ('cost', 'accuracy', 'base')")
 def s8_results_store(spark, sf_dir):
@@ -1176,6 +1300,22 @@ def b10_apply_rules(spark, sf_dir):
     return apply_rules(store, "run1", RULES, CFG, RULE_THRESHOLDS).select(*_RCOLS)
 
 
+@register("b10_apply_rules_twice", S.with_(V.SCORED_SQL) + " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, '{r.name}' AS model_name, CAST({n} AS BIGINT) AS n FROM scored"
+    for r in RULES for d, n in (("model_metrics", "1 + 0 * count(*)"), ("confusion_matrices", "1 + 0 * count(*)"),
+                                ("model_summary", "1 + 0 * count(*)"), ("predictions", "count(*)"))))
+def b10_apply_rules_twice(spark, sf_dir):
+    """Applying the same rules again leaves one result and one prediction per row, in all four targets."""
+    store = _stored_run(spark, sf_dir)
+    for _ in range(2):
+        apply_rules(store, "run1", RULES, CFG, RULE_THRESHOLDS)
+    names = [r.name for r in RULES]
+    return RP.union_runs(*[
+        store.load(d, "run1").filter(F.col("model_name").isin(names)).groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(d).alias("dataset"), "model_name", "n")
+        for d in ("model_metrics", "confusion_matrices", "model_summary", "predictions")])
+
+
 # --- J1, J2, S9 ---------------------------------------------------------------------------------
 
 @register("j1_align_labels", S.with_(V.SCORED_SQL) + " UNION ALL ".join(
@@ -1190,27 +1330,27 @@ def j1_align_labels(spark, sf_dir):
 @register("j2_scatter_oof", S.with_(V.SCORED_SQL) + " UNION ALL ".join(
     f"SELECT id, 'kfold_avg_{c}' AS model_name, {c} AS score FROM scored" for c in _SC))
 def j2_scatter_oof(spark, sf_dir):
-    """Every row gets its score from the one test fold that holds it (left join of the fold union)."""
-    folded_df = folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET)
-    long = long_scores(folded_df, V.ID, _SC)
-    per_fold = [long.filter(F.col("fold") == k).select(V.ID, "model_name", "score") for k in range(1, CFG.n_splits + 1)]
-    oof = RP.union_runs(*per_fold)
-    rows = long.select(V.ID, "model_name")
-    return rows.join(oof, [V.ID, "model_name"], "left").select(
-        V.ID, F.concat(F.lit("kfold_avg_"), F.col("model_name")).alias("model_name"), "score")
+    """Every row gets its score from the one test fold that holds it: rows carry their fold, so that is a projection."""
+    long = long_scores(folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET), V.ID, _SC)
+    return long.select(V.ID, F.concat(F.lit("kfold_avg_"), F.col("model_name")).alias("model_name"),
+                       F.when(F.col("fold").between(1, CFG.n_splits), F.col("score")).alias("score"))
 
 
-@register("s9_model_store", None)
+@register("s9_model_store", S.with_(V.EVENTS_X_SQL) + " UNION ALL ".join(
+    f"SELECT '{n}' AS model_name, count(*) AS n_rows, count(*) AS n_equal FROM events_x" for n in _KINDS))
 def s9_model_store(spark, sf_dir):
-    """Save a fitted pipeline, load it back, and score with both: the two score columns must agree."""
-    enc = _encoded_events(spark, sf_dir)
-    model = ML.fit(_LR, enc, _IMP_FEATS)
-    path = _scratch(spark, "model-store")
-    IO.save_model(model, path)
-    loaded = IO.load_model(path)
-    a = ML.score(model, enc).select(V.ID, F.col("score").alias("score_fitted"))
-    b = ML.score(loaded, enc).select(V.ID, F.col("score").alias("score_loaded"))
-    return a.join(b, V.ID)
+    """Save a fitted model of each kind, load it back and score with both: every score must be the same."""
+    enc = cut_lineage(_encoded_events(spark, sf_dir))
+    out = []
+    for name, spec in _KINDS.items():
+        model = ML.fit(spec, enc, _IMP_FEATS, id_col=V.ID)
+        path = _scratch(spark, "model-store")
+        ML.save_model(model, path)
+        a = ML.score(model, enc).select(V.ID, F.col("score").alias("fitted"))
+        b = ML.score(ML.load_model(spark, path), enc).select(V.ID, F.col("score").alias("loaded"))
+        out.append(a.join(b, V.ID).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("fitted") == F.col("loaded")).alias("n_equal"))
+                   .select(F.lit(name).alias("model_name"), "n_rows", "n_equal"))
+    return RP.union_runs(*out)
 
 
 # --- W5, O6, B8 ---------------------------------------------------------------------------------
@@ -1234,20 +1374,31 @@ def o6_argmin_argmax(spark, sf_dir):
         F.max_by("threshold", F.struct(F.col("accuracy"), -F.col("threshold"))).alias("argmax_accuracy"))
 
 
-def _b8_sql() -> str:
+def _b8_sql(where: str = "") -> str:
     rc = ", ".join(f"('{r}', '{c}')" for r, c in [(r.name, c) for r in RULES for c in r.columns]
                    + [("broken", "no_such_model")])
-    sizes = " UNION ALL ".join([f"SELECT 'kfold_avg_{c}' AS run, count(*) AS n FROM scored" for c in _SC]
-                               + [f"SELECT '{c}', count(*) FROM scored" for c in _DC])
-    return S.with_(V.SCORED_SQL, f"rc(rule_name, column_name) AS (VALUES {rc})", f"sizes AS ({sizes})",
-                   "keys AS (SELECT run AS key, run FROM sizes UNION SELECT replace(run, 'kfold_avg_', ''), run "
-                   "FROM sizes)") + """
+    covers = " UNION ALL ".join([f"SELECT 'kfold_avg_{c}' AS run, id FROM scored" for c in _SC]
+                                + [f"SELECT '{c}', id FROM scored{where}" for c in _DC])
+    return S.with_(V.SCORED_SQL, f"rc(rule_name, column_name) AS (VALUES {rc})", f"covers AS ({covers})",
+                   "keys AS (SELECT run AS key, run FROM covers UNION SELECT replace(run, 'kfold_avg_', ''), run "
+                   "FROM covers)") + """
 SELECT rule_name, 'unknown_model' AS problem, column_name AS detail FROM rc
 WHERE column_name NOT IN (SELECT key FROM keys) AND 'kfold_avg_' || column_name NOT IN (SELECT key FROM keys)
 UNION ALL
-SELECT rule_name, 'unequal_lengths', CAST(min(n) AS VARCHAR) || '..' || CAST(max(n) AS VARCHAR)
-FROM rc JOIN keys ON rc.column_name = keys.key JOIN sizes ON keys.run = sizes.run
-GROUP BY rule_name HAVING min(n) <> max(n)"""
+SELECT u.rule_name, 'unequal_ids', CAST(count(*) AS VARCHAR)
+FROM (SELECT rule_name, id, count(DISTINCT covers.run) AS n FROM rc JOIN keys ON rc.column_name = keys.key
+      JOIN covers ON keys.run = covers.run GROUP BY ALL) u
+JOIN (SELECT rule_name, count(DISTINCT run) AS n FROM rc JOIN keys ON rc.column_name = keys.key GROUP BY ALL) w
+  ON u.rule_name = w.rule_name AND u.n < w.n
+GROUP BY u.rule_name"""
+
+
+@register("b8_unequal_ids", _b8_sql(" WHERE s_tax > 0"))
+def b8_unequal_ids(spark, sf_dir):
+    """The decisions cover only a part of the scored ids: every rule that combines both kinds has a problem."""
+    df = V.scored(spark, sf_dir)
+    preds = base_predictions(df, CFG, V.ID, _SC, []).unionByName(base_predictions(df.filter("s_tax > 0"), CFG, V.ID, [], _DC))
+    return R.rule_problems(preds, _rule_columns_frame(spark))
 
 
 @register("b8_rule_validation", _b8_sql())

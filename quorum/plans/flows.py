@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 from quorum.config import KFOLD_PREFIX, EvalConfig
 from quorum.operators import evaluation as E
+from quorum.operators import prep as PR
 from quorum.operators.folds import check_unique_ids, stratified_kfold
+from quorum.operators.models import cv_evaluate, final_model
 from quorum.operators.prep import encode_decision, encode_target
+from quorum.operators.report import performance_report, union_runs
+from quorum.operators.rules import combined_runs
+from quorum.session import cut_lineage
+from quorum.sources.tables import run_datasets
 
 
 def long_scores(df: DataFrame, id_col: str, score_cols: Sequence[str], keep: Sequence[str] = ("label", "fold"),
@@ -91,7 +97,7 @@ def decision_column_eval(df: DataFrame, cfg: EvalConfig, id_col: str, target: st
     """M8: one aggregate over all decision columns; split 'Full', type 'base', cost / n_splits."""
     for c in decision_cols:
         if c not in df.columns:
-            raise ValueError(f"Column '{c}' not found in dataframe.")
+            raise ValueError(f"there is no decision column {c}")
     long = decision_long(df, cfg, id_col, target, decision_cols)
     counts = E.confusion_counts(long, ["model_name"], "label", "pred")
     return E.decision_results(counts, cfg.costs, cfg.n_splits, "base")
@@ -128,34 +134,42 @@ def labels_of(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataF
 
 
 def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: dict | None = None) -> DataFrame:
-    """Read stored predictions and labels, evaluate the enabled rules, append the
-    combined results and predictions to the store, return the combined results.
-    Rules in one call see only runs stored before the call."""
-    from quorum.operators.rules import combined_runs
+    """Evaluate the enabled rules over a stored run and put their results into its
+    metrics, confusion counts, summary and predictions; return the combined results.
 
-    preds = store.load("predictions", run_id).drop("run_id")
-    labels = store.load("labels", run_id).drop("run_id")
+    Rules in one call see only runs stored before the call. A rule applied again
+    replaces what it stored before. Both results are computed before anything is
+    written, from one evaluation of the rules.
+    """
     enabled = [r for r in rules if r.enabled and r.columns]
+    names = [r.name for r in enabled]
     if not enabled:
         return store.load("model_metrics", run_id).limit(0).drop("run_id")
-    results, combined = combined_runs(preds, labels, enabled, cfg.costs, cfg.n_splits, model_thresholds)
-    store.append(run_id, "model_metrics", results)
-    store.append(run_id, "predictions", combined)
-    names = [r.name for r in enabled]
-    return store.load("model_metrics", run_id).filter(F.col("model_name").isin(names)).drop("run_id")
+    others = ~F.col("model_name").isin(names)
+    preds = store.load("predictions", run_id).drop("run_id").filter(others)
+    labels = store.load("labels", run_id).drop("run_id")
+    _, combined = combined_runs(preds, labels, enabled, cfg.costs, cfg.n_splits, model_thresholds)
+    combined = cut_lineage(combined)
+    long = combined.join(labels, "id").select("model_name", "label", F.col("score").cast("int").alias("pred"))
+    results = cut_lineage(E.decision_results(E.confusion_counts(long, ["model_name"], "label", "pred"), cfg.costs,
+                                             cfg.n_splits, "combined"))
+    for name, rows in run_datasets(results).items():
+        store.replace_models(run_id, name, rows, names)
+    store.replace_models(run_id, "predictions", combined, names)
+    return store.load("model_metrics", run_id).filter(~others).drop("run_id")
 
 
 def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, specs: dict,
                  score_cols=(), decision_cols=(), rules=(), excludes=(), variance_threshold: float | None = None,
-                 correlation_threshold: float | None = None, use_smote: bool = False,
-                 cache: bool = True, validate_ids: bool = True) -> dict[str, DataFrame]:
-    """Prepare -> folds -> model CV (M6) -> score columns (M7) -> decisions (M8)
-    -> rules (B9) -> one results table (U1) plus predictions and labels."""
-    from quorum.operators import prep as PR
-    from quorum.operators.models import cv_evaluate
-    from quorum.operators.report import union_runs
-    from quorum.operators.rules import combined_runs
-
+                 correlation_threshold: float | None = None, use_smote: bool = False, smote_ratio: float = 0.5,
+                 search: dict | None = None, final_models: bool = False, model_path: str | None = None,
+                 validate_ids: bool = True) -> dict:
+    """Prepare -> folds -> model CV (M6, with M5 inside the folds if ``search`` is given)
+    -> score columns (M7) -> decisions (M8) -> rules (B9) -> one results table (U1), the
+    averaged sweeps, predictions, labels and the performance report (M14). ``final_models``
+    also fits every model on all rows (M9) and saves it under ``model_path``."""
+    if not (specs or [c for c in score_cols if c in df.columns] or decision_cols):
+        raise ValueError("give at least one model, score column or decision column")
     if validate_ids:
         check_unique_ids(df, id_col)
     labelled = encode_target(df, target, cfg.good_tag, cfg.bad_tag)
@@ -173,13 +187,22 @@ def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, spe
         features = [c for c in features if c in kept]
     folded_df = stratified_kfold(frame, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex,
                                  mode=cfg.fold_mode)
-    parts, preds = [], []
+    folded_df = cut_lineage(folded_df.select(id_col, "label", "fold", *features)) if specs else folded_df
+    parts, preds, sweeps, models = [], [], [], {}
     if specs:
-        cv = cv_evaluate(folded_df, specs, features, cfg, id_col, use_smote, cache=cache)
+        cv = cv_evaluate(folded_df, specs, features, cfg, id_col, use_smote, smote_ratio, search=search)
         parts.append(cv["results"])
+        sweeps.append(cv["sweep_avg"])
         preds.append(cv["predictions"])
+        if final_models:
+            for name, spec in specs.items():
+                models[name], rows = final_model(spec, folded_df, features, cfg, id_col,
+                                                 f"{model_path}/{name}" if model_path else None)
+                parts.append(rows)
     if score_cols:
-        parts.append(score_column_eval(df, cfg, id_col, target, score_cols)["results"])
+        evaluated = score_column_eval(df, cfg, id_col, target, score_cols)
+        parts.append(evaluated["results"])
+        sweeps.append(evaluated["sweep_avg"])
     if decision_cols:
         parts.append(decision_column_eval(df, cfg, id_col, target, decision_cols))
     if score_cols or decision_cols:
@@ -192,4 +215,7 @@ def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, spe
         res, comb = combined_runs(predictions, labels, rules, cfg.costs, cfg.n_splits)
         parts.append(res)
         predictions = predictions.unionByName(comb)
-    return {"results": union_runs(*parts), "predictions": predictions, "labels": labels, "features": features}
+    results = cut_lineage(union_runs(*parts))  # stored and reported
+    return {"results": results, "predictions": predictions, "labels": labels, "features": features, "models": models,
+            "sweep_avg": union_runs(*sweeps) if sweeps else None,
+            "report": performance_report(results, [f"{KFOLD_PREFIX}{n}" for n in specs])}

@@ -8,18 +8,26 @@ system calls), so the same code works on any Hadoop-compatible store.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quorum.operators.prep import coerce_numeric
+from quorum.session import cut_lineage
 
 RESULTS_SCHEMA = ("model_name string, split string, threshold_type string, threshold double, precision double, "
                   "recall double, f1_score double, accuracy double, cost double, tp long, fp long, tn long, fn long, "
                   "is_base_model boolean, cost_total double")
 CONFUSION_SCHEMA = "model_name string, split string, threshold_type string, tp long, fp long, tn long, fn long, " \
                    "total_samples long"
+SUMMARY_SCHEMA = RESULTS_SCHEMA + ", total_samples long"
+SWEEP_SCHEMA = "model_name string, threshold double, cost double, accuracy double, f1_score double"
+#: Result files that are loaded together; predictions may come besides.
+RESULT_FILES = {"model_metrics": RESULTS_SCHEMA, "confusion_matrices": CONFUSION_SCHEMA, "model_summary": SUMMARY_SCHEMA,
+                "sweep": SWEEP_SCHEMA}
+PREDICTIONS_SCHEMA = "model_name string, kind string, id string, score double"
 SWEEP_ARRAYS = "map<string, struct<thresholds: array<double>, costs: array<double>, accuracies: array<double>, " \
                "f1_scores: array<double>>>"
 
@@ -36,10 +44,10 @@ def scan_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
         df = reader.load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raise FileNotFoundError(f"File not found: {path}") from e
+            raise FileNotFoundError(f"no table at {path}") from e
         raise
     if not df.columns or df.isEmpty():
-        raise ValueError(f"Loaded empty dataframe from: {path}")
+        raise ValueError(f"the table at {path} has no rows")
     return df
 
 
@@ -60,11 +68,15 @@ def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def scan_result_csvs(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Load the result files together; all of them must exist (all-or-nothing)."""
-    layout = {"model_metrics": RESULTS_SCHEMA, "confusion_matrices": CONFUSION_SCHEMA}
-    out = {}
-    for name, schema in layout.items():
-        out[name] = scan_table(spark, f"{base}/{name}", "csv", schema)
-    return out
+    return {name: scan_table(spark, f"{base}/{name}", "csv", schema) for name, schema in RESULT_FILES.items()}
+
+
+def scan_predictions_csv(spark: SparkSession, base: str) -> DataFrame | None:
+    """The stored predictions, or None if there are none."""
+    try:
+        return scan_table(spark, f"{base}/predictions", "csv", PREDICTIONS_SCHEMA)
+    except (FileNotFoundError, ValueError):
+        return None
 
 
 def write_sweep_json(sweep: DataFrame, path: str) -> None:
@@ -88,18 +100,33 @@ def scan_sweep_json(spark: SparkSession, path: str) -> DataFrame:
     return z.select("model_name", "p.threshold", "p.cost", "p.accuracy", "p.f1_score")
 
 
+def run_datasets(results: DataFrame) -> dict[str, DataFrame]:
+    """The record sets of a run's results: metrics, confusion counts, and both together with their total."""
+    counts = ["tp", "fp", "tn", "fn"]
+    total = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    keys = ["model_name", "split", "threshold_type"]
+    return {"model_metrics": results, "confusion_matrices": results.select(*keys, *counts, total.alias("total_samples")),
+            "model_summary": results.withColumn("total_samples", total)}
+
+
 def write_metrics_json(results: DataFrame, path: str, counts_as_text: bool = True) -> None:
-    """Write the stored-run document {"model_metrics": [records...]}; counts as text like the stored file."""
-    rec = results.select(*[F.col(c).cast("string").alias(c) if counts_as_text and c in ("tp", "fp", "tn", "fn")
-                           else F.col(c) for c in results.columns])
-    doc = rec.agg(F.collect_list(F.struct(*rec.columns)).alias("model_metrics"))
+    """Write the stored-run document, one array of records for each of ``run_datasets``; counts as text like the stored file.
+
+    The document holds a few rows per model and split, in one JSON object.
+    """
+    texts = ("tp", "fp", "tn", "fn", "total_samples") if counts_as_text else ()
+    arrays = []
+    for name, rec in run_datasets(results).items():
+        cells = [F.col(c).cast("string").alias(c) if c in texts else F.col(c) for c in rec.columns]
+        arrays.append(rec.agg(F.collect_list(F.struct(*cells)).alias(name)).withColumn("_k", F.lit(1)))
+    doc = reduce(lambda a, b: a.join(b, "_k"), arrays).drop("_k")
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
-def scan_metrics_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested document of record arrays -> rows, with P12 numeric coercion."""
+def scan_metrics_json(spark: SparkSession, path: str, dataset: str = "model_metrics") -> DataFrame:
+    """One record array of the nested document -> rows, with P12 numeric coercion."""
     doc = spark.read.option("multiLine", True).json(path)
-    rows = doc.select(F.inline("model_metrics"))
+    rows = doc.select(F.inline(dataset))
     return coerce_numeric(rows, metric_cols=("threshold", "precision", "recall", "f1_score", "accuracy", "cost",
                                              "cost_total"))
 
@@ -138,6 +165,20 @@ class ResultsStore:
         out.limit(0).write.mode("ignore").parquet(f"{self.base}/_schemas/{name}")
         out.write.mode("append").partitionBy("run_id").parquet(f"{self.base}/{name}")
 
+    def save_results(self, run_id: str, results: DataFrame, **others: DataFrame) -> None:
+        """Store a run: its results as ``run_datasets`` and other datasets (sweep, predictions, labels) by name."""
+        self.save(run_id, run_datasets(results) | others)
+
+    def replace_models(self, run_id: str, name: str, df: DataFrame, models: Sequence[str]) -> None:
+        """Put ``df`` in the place of a run's rows of ``models``; doing it twice leaves the same rows."""
+        try:
+            rest = self.load(name, run_id).drop("run_id").filter(~F.col("model_name").isin(list(models)))
+            df = cut_lineage(rest.unionByName(df, allowMissingColumns=True))  # read before its folder is overwritten
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        self.save(run_id, {name: df})
+
     def clear(self, name: str) -> None:
         """Drop every run of a dataset (a static overwrite with an empty frame of the same schema)."""
         schema = self.spark.read.parquet(f"{self.base}/_schemas/{name}").schema
@@ -146,16 +187,6 @@ class ResultsStore:
          .partitionBy("run_id").parquet(f"{self.base}/{name}"))
 
 
-def save_model(model, path: str) -> None:
-    """Persist a fitted pipeline with the Spark ML writer."""
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
-
-
 def feature_contract(df: DataFrame, features: Sequence[str], encoded: Sequence[str] = (),
                      id_col: str | None = None, filters: dict | None = None) -> DataFrame:
     """(position, name, alias f{i}, dtype, is_encoded, sample, filters) — the frozen
@@ -170,7 +201,13 @@ def feature_contract(df: DataFrame, features: Sequence[str], encoded: Sequence[s
     return out.withColumn("filters", F.lit(str(sorted((filters or {}).items()))))
 
 
-def validate_contract(contract: DataFrame, df: DataFrame) -> list[str]:
-    """Names in the contract missing from ``df`` (the contract is a few rows per feature)."""
-    need = [r["name"] for r in contract.orderBy("position").select("name").collect()]
-    return [c for c in need if c not in df.columns]
+def contract_problems(contract: DataFrame, df: DataFrame) -> list[str]:
+    """What in ``df`` breaks the contract: missing names, other types, another order (a few rows per feature)."""
+    need = [(r["name"], r["dtype"]) for r in contract.orderBy("position").select("name", "dtype").collect()]
+    have = dict(df.dtypes)
+    out = [f"{n} is missing" for n, _ in need if n not in have]
+    out += [f"{n} is {have[n]}, not {t}" for n, t in need if n in have and have[n] != t]
+    order = [c for c in df.columns if c in dict(need)]
+    if not out and order != [n for n, _ in need]:
+        out.append(f"the order is {order}")
+    return out

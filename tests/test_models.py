@@ -58,7 +58,7 @@ def test_cv_final_and_batch_predict(spark, data, tmp_path):
     cfg = EvalConfig(n_splits=3)
     folded = stratified_kfold(data, "id", "label", 3, 42)
     spec = ML.ModelSpec("LogisticRegression", {"max_iter": 20}, 1)
-    cv = ML.cv_evaluate(folded, {"LR": spec}, ["a", "b"], cfg, "id", cache=False)
+    cv = ML.cv_evaluate(folded, {"LR": spec}, ["a", "b"], cfg, "id")
     res = {r["threshold_type"]: r for r in cv["results"].collect()}
     assert set(res) == {"cost", "accuracy"} and res["cost"]["tp"] + res["cost"]["fn"] == 100
     assert cv["predictions"].count() == 400
@@ -71,6 +71,56 @@ def test_cv_final_and_batch_predict(spark, data, tmp_path):
         ML.batch_predict(str(tmp_path / "missing"), data)
 
 
+def test_depth_and_strength(spark, data):
+    assert ML.build_estimator(ML.ModelSpec("RandomForest", {"max_depth": None}), 2).getMaxDepth() == 30
+    with pytest.raises(ML.InvalidParameter):
+        ML.build_estimator(ML.ModelSpec("XGBoost", {"max_depth": 50}), 2)
+    for name in ("LogisticRegression", "SVM"):
+        est = ML.build_estimator(ML.ModelSpec(name, {"C": 0.5}), 2, n_rows=200)
+        assert est.getRegParam() == pytest.approx(0.01)
+    easy = ML.score(ML.fit(ML.ModelSpec("LogisticRegression", {"C": 1.0}), data, ["a", "b"]), data)
+    low, high = easy.selectExpr("min(score)", "max(score)").first()
+    assert low < 0.1 and high > 0.9
+
+
+def test_class_weights_reach_the_fit(spark, data):
+    mixed = data.withColumn("c", data["b"])  # c says nothing about the label
+    def mean(params):
+        out = ML.train_and_score(ML.ModelSpec("XGBoost", {"n_estimators": 2, "max_depth": 2, "learning_rate": 1.0, **params}), mixed,
+                                 {"t": mixed}, ["c"], "id")
+        return out["t"].selectExpr("avg(score)").first()[0]
+    assert mean({"scale_pos_weight": 62.5}) > mean({}) + 0.2
+
+
+@pytest.mark.parametrize("name", ["SVM", "KNN", "LogisticRegression"])
+def test_stored_models_score_alike(spark, data, tmp_path, name):
+    cfg = EvalConfig(n_splits=3)
+    path = str(tmp_path / name)
+    model, final = ML.final_model(ML.ModelSpec(name, {}, 1), data, ["a", "b"], cfg, "id", path)
+    assert final.count() == 2
+    want = {r["id"]: r["score"] for r in ML.score(model, data).select("id", "score").collect()}
+    got = {r["id"]: r["score"] for r in ML.batch_predict(path, data.select("id", "a", "b")).collect()}
+    assert got == want
+
+
+def test_search_fails_loudly(spark, data):
+    folded = stratified_kfold(data, "id", "label", 2, 42)
+    best, trials = ML.hyperparam_search(ML.ModelSpec("SVM", {"max_iter": 10}), folded, ["a", "b"], {"C": [0.1, 1.0]}, n_folds=2)
+    assert all(r["neg_log_loss"] > -1 for r in trials.collect()) and best.params["C"] in (0.1, 1.0)
+    with pytest.raises(ML.InvalidParameter):
+        ML.hyperparam_search(ML.ModelSpec("RandomForest"), folded, ["a", "b"], {"max_depth": [40, 50]}, n_folds=2)
+    with pytest.raises(Exception, match="nope"):
+        ML.hyperparam_search(ML.ModelSpec("SVM"), folded, ["nope"], {"C": [1.0]}, n_folds=2)
+
+
+def test_contract_names_types_and_order(spark, data):
+    from quorum.sources.tables import contract_problems, feature_contract
+    contract = feature_contract(data, ["a", "b"], id_col="id")
+    assert contract_problems(contract, data) == []
+    assert contract_problems(contract, data.select("b", "a")) == ["the order is ['b', 'a']"]
+    assert contract_problems(contract, data.selectExpr("cast(a as float) a")) == ["b is missing", "a is float, not double"]
+
+
 def test_search_space_M5():
     spaces = {"shared": {"max_iter": [10, 20]}, "LogisticRegression": {"C": (0.1, 10.0), "max_iter": [30]}}
     sp = ML.resolve_space(spaces, "LogisticRegression")
@@ -98,6 +148,6 @@ def test_cv_with_per_fold_search(spark, data):
     cfg = EvalConfig(n_splits=2)
     folded = stratified_kfold(data, "id", "label", 2, 42)
     spec = ML.ModelSpec("LogisticRegression", {"max_iter": 10}, 1)
-    cv = ML.cv_evaluate(folded, {"LogisticRegression": spec}, ["a", "b"], cfg, "id", cache=False,
+    cv = ML.cv_evaluate(folded, {"LogisticRegression": spec}, ["a", "b"], cfg, "id",
                         search={"spaces": {"LogisticRegression": {"C": [1.0, 10.0]}}, "n_trials": 2, "inner_folds": 2})
     assert cv["results"].count() == 2

@@ -36,13 +36,13 @@ def test_aliases():
 
 def test_validation_E7():
     avail = ["kfold_avg_X", "D"]
-    with pytest.raises(ValueError, match="No columns"):
+    with pytest.raises(ValueError, match="without columns"):
         R.validate_rules([R.Rule("r", [], "OR")], avail)
-    with pytest.raises(ValueError, match="Unsupported logic"):
+    with pytest.raises(ValueError, match="unknown rule logic"):
         R.validate_rules([R.Rule("r", ["X"], "BAD")], avail)
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no run is named"):
         R.validate_rules([R.Rule("r", ["Y"], "OR")], avail)
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="several rules"):
         R.validate_rules([R.Rule("r", ["X"]), R.Rule("r", ["D"])], avail)
     assert R.resolve_columns([R.Rule("r", ["X", "kfold_avg_X", "D"])], avail) == {
         "X": "kfold_avg_X", "kfold_avg_X": "kfold_avg_X", "D": "D"}
@@ -89,7 +89,7 @@ def test_rule_problems_B8(spark):
     preds = _preds(spark).filter("not (model_name = 'D' and cast(id as int) >= 6)")
     rc = spark.createDataFrame([("r", "S"), ("r", "D"), ("bad", "Nope")], "rule_name string, column_name string")
     got = {(r["rule_name"], r["problem"], r["detail"]) for r in R.rule_problems(preds, rc).collect()}
-    assert got == {("r", "unequal_lengths", "6..8"), ("bad", "unknown_model", "Nope")}
+    assert got == {("r", "unequal_ids", "2"), ("bad", "unknown_model", "Nope")}
 
 
 def test_apply_rules_chain_B10(spark, tmp_path):
@@ -108,6 +108,23 @@ def test_apply_rules_chain_B10(spark, tmp_path):
     row = second.collect()[0]
     assert row["model_name"] == "r2" and row["tp"] + row["fn"] == 4
     # within one call a rule cannot see another rule of the same call
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no run is named"):
         apply_rules(store, "run", [R.Rule("r3", ["D"], "OR"), R.Rule("r4", ["r3"], "OR")], cfg)
     assert apply_rules(store, "run", [R.Rule("off", [], "OR", enabled=False)], cfg).count() == 0
+    # a rule applied again replaces what it stored before, in every target
+    apply_rules(store, "run", [R.Rule("r1", ["S", "D"], "OR")], cfg, {"S": 0.4})
+    for name, n in (("model_metrics", 1), ("confusion_matrices", 1), ("model_summary", 1), ("predictions", 8)):
+        assert store.load(name, "run").filter("model_name = 'r1'").count() == n
+    assert store.load("predictions", "run").filter("model_name = 'r2'").count() == 8
+    assert store.load("model_summary", "run").filter("model_name = 'r1'").first()["total_samples"] == 8
+
+
+def test_runs_of_different_ids_are_an_error(spark):
+    labels = spark.createDataFrame([(str(i), int(i >= 4)) for i in range(8)], "id string, label int")
+    preds = _preds(spark).filter("not (model_name = 'D' and cast(id as int) >= 6)")
+    rule = [R.Rule("r", ["S", "D"], "AND")]
+    with pytest.raises(Exception, match="cover different ids"):
+        R.combined_runs(preds, labels, rule, Costs(), 5)[0].collect()
+    # a rule over runs that all leave out the same ids only counts the others
+    alone = R.combined_runs(preds, labels, [R.Rule("d", ["D"], "OR"), R.Rule("s", ["S"], "OR")], Costs(), 5)[0].collect()
+    assert {r["model_name"]: r["tp"] + r["fp"] + r["tn"] + r["fn"] for r in alone} == {"d": 6, "s": 8}
