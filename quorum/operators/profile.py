@@ -10,6 +10,7 @@ top-k (``orderBy().limit()``) per column, never a collect of a whole column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 
@@ -251,18 +252,19 @@ def dataset_overview(df: DataFrame, target: str | None = None, sample: int = 5)
 
 
 def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes: dict[str, int],
-                     limit: int = 10_000, accuracy: int = 10_000, max_rounds: int = 12,
+                     limit: int = 10_000, accuracy: int = 10_000,
                      proposals: dict[tuple, tuple] | None = None) -> dict[tuple, float]:
     """Exact k-th smallest values (0-based ranks) per column of a long frame (c, x), bounded memory.
 
     Each target keeps a value bracket [lo, hi] known to contain it. A round
     asks ``percentile_approx`` (restricted to the bracket) for a narrower
     bracket around the target's relative rank and verifies it with exact
-    counts; brackets shrink by about ``accuracy / 4`` per round. Once a
-    bracket holds at most ``limit`` rows, those rows (sorted) are the only ones
-    brought to the driver; a bracket whose ends are equal is resolved at once
-    (heavy ties). All columns and targets share the jobs of a round: one
-    sketch aggregate, one count aggregate and one bounded collect.
+    counts; brackets shrink by about ``accuracy / 4`` per round, and every
+    round leaves a smaller bracket or a wider margin, so the search ends. Once a
+    bracket holds at most ``limit`` rows they are ranked in one task, and only the
+    rows of the wanted ranks come to the driver; a bracket whose ends are equal
+    is resolved at once (heavy ties). All columns and targets share the jobs of
+    a round: one sketch aggregate, one count aggregate and one ranking.
     """
     x, c = F.col("x"), F.col("c")
     state = {(col, r): (None, None, 0, sizes[col], 2.0 / accuracy) for col, rs in targets.items() for r in rs}
@@ -276,10 +278,7 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
             cond = cond & (x <= F.lit(hi))
         return cond
 
-    for _ in range(max_rounds):
-        open_ = {k: v for k, v in state.items() if k not in out}
-        if not open_:
-            break
+    while open_ := {k: v for k, v in state.items() if k not in out}:
         groups: dict[tuple, list] = {}
         for (col, r), (lo, hi, below, size, _m) in open_.items():
             groups.setdefault((col, lo, hi, below, size), []).append(r)
@@ -294,18 +293,16 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
             else:
                 refine.append((key, rs))
         if small:
-            cond = None
-            for (col, lo, hi, _b, _s), _rs in small:
-                cnd = in_bracket(col, lo, hi)
-                cond = cnd if cond is None else cond | cnd
-            got: dict[tuple, list] = {}
-            rows = values.filter(cond).orderBy("c", "x").collect()
-            for (col, lo, hi, below, size), rs in small:
-                vals = [row["x"] for row in rows if row["c"] == col and (lo is None or row["x"] >= lo)
-                        and (hi is None or row["x"] <= hi)]
-                got[(col, lo, hi)] = vals
-                for r in rs:
-                    out[(col, r)] = vals[r - below]
+            inside = F.array_compact(F.array(*[F.when(in_bracket(*key[:3]), F.lit(g)) for g, (key, _) in enumerate(small)]))
+            wanted = {(g, r - key[3] + 1): (key[0], r) for g, (key, rs) in enumerate(small) for r in rs}
+            ranked = values.select("x", F.explode(inside).alias("g")).withColumn(
+                "k", F.row_number().over(Window.partitionBy("g").orderBy("x")))
+            by_group: dict[int, list[int]] = {}
+            for g, k in wanted:
+                by_group.setdefault(g, []).append(k)
+            picked = reduce(lambda a, b: a | b, [(F.col("g") == g) & F.col("k").isin(ks) for g, ks in by_group.items()])
+            for row in ranked.filter(picked).collect():
+                out[wanted[row["g"], row["k"]]] = row["x"]
         if not refine:
             continue
         sketches, plan = [], []
@@ -349,9 +346,6 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
                                        state[(col, r)][4])
                 else:  # the sketch missed by more than the margin: widen and retry
                     state[(col, r)] = (lo, hi, below, size, min(1.0, state[(col, r)][4] * 4))
-    missing = [k for k in state if k not in out]
-    if missing:
-        raise RuntimeError(f"order statistics did not converge for {missing}")
     return out
 
 
