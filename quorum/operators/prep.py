@@ -53,8 +53,12 @@ def invalid_decisions(df: DataFrame, cols: Sequence[str], good_tag: str, bad_tag
 def project_features(df: DataFrame, target: str, excludes: Sequence[str] = (),
                      decisions: Sequence[str] = ()) -> DataFrame:
     """Drop target, configured excludes and decision columns; absent names are ignored."""
-    drop = [c for c in [*excludes, target, *decisions] if c in df.columns]
-    return df.drop(*drop)
+    return df.drop(*common_columns(df, [*excludes, target, *decisions]))
+
+
+def common_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The ``names`` that ``df`` has, in its order of columns."""
+    return [c for c in df.columns if c in set(names)]
 
 
 def split_dtypes(df: DataFrame) -> tuple[list[str], list[str]]:

@@ -1206,6 +1206,37 @@ def s2_scan_sample(spark, sf_dir):
     return IO.scan_sample(IO.scan_table(spark, f"{sf_dir}/orders.parquet"), 5)
 
 
+@register("s2_sample_rows", "SELECT least(5, count(*)) AS n_rows, least(5, count(*)) AS n_known FROM orders")
+def s2_sample_rows(spark, sf_dir):
+    """The sample has as many rows as asked for, and all of them are rows of the table."""
+    orders = IO.scan_table(spark, f"{sf_dir}/orders.parquet")
+    sample = IO.scan_sample(orders, 5)
+    known = sample.join(orders, list(orders.columns), "left_semi")
+    return sample.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(known.agg(F.count(F.lit(1)).alias("n_known")))
+
+
+@register("p5_split_dtypes", S.with_(V.EVENTS_X_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS kind, count({c}) AS non_null FROM events_x"
+    for c, k in ((V.ID, "categorical"), (V.TARGET, "categorical"), ("value", "numeric"), ("k", "numeric"), ("hour", "numeric"),
+                 ("user_group", "categorical"), ("value_lin", "numeric"))))
+def p5_split_dtypes(spark, sf_dir):
+    ev = V.events_x(spark, sf_dir)
+    numeric, categorical = PR.split_dtypes(ev)
+    kinds = F.create_map(*[F.lit(x) for c, k in [*((c, "numeric") for c in numeric), *((c, "categorical") for c in categorical)]
+                           for x in (c, k)])
+    counts = ev.agg(*[F.count(c).alias(c) for c in numeric + categorical]).unpivot([], numeric + categorical, "column_name", "non_null")
+    return counts.select("column_name", kinds[F.col("column_name")].alias("kind"), "non_null")
+
+
+@register("u5_intersect_columns", S.with_(V.EVENTS_X_SQL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null FROM events_x" for c in ("hour", "value")))
+def u5_intersect_columns(spark, sf_dir):
+    """The names that a configured list and the table have in common, and no others."""
+    ev = V.events_x(spark, sf_dir)
+    common = PR.common_columns(ev, ["hour", "absent", "value", "Value"])
+    return ev.agg(*[F.count(c).alias(c) for c in common]).unpivot([], common, "column_name", "non_null")
+
+
 @register("s3_scan_untyped", ORACLES["p11_infer_column_types"])
 def s3_scan_untyped(spark, sf_dir):
     path = _scratch(spark, "untyped")
