@@ -15,11 +15,17 @@ from quorum.session import ensure_checkpoint_dir
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+VECTORED = "parquet.hadoop.vectored.io.enabled"
+
+
 def ship(module: str) -> None:
     """Send a module's functions to executors by value, so that they need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship(__name__)
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back.
 
@@ -29,7 +35,7 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).option(VECTORED, "false").parquet(path)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -39,21 +45,35 @@ def ascii_lower(col: Column) -> Column:
         F.translate(col, upper, upper.lower()))
 
 
+def small_batches(batches, rows: int = 500):
+    """Arrow batches cut to ``rows`` rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def plain_reads(spark: SparkSession) -> None:
+    """Turn off Parquet's vectored reads for the session, unless it sets them itself.
+
+    They take a buffer outside the heap as large as a column chunk for every
+    reading thread, which a column of whole texts makes too large.
+    """
+    if spark.conf.get(VECTORED, None) is None:
+        spark.conf.set(VECTORED, "false")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the rows that no model may learn labels from: crc32 of the id's text, mod 3, is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder.
+    """A table of the input folder, without vectored reads (see ``plain_reads``)."""
+    return spark.read.option(VECTORED, "false").parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    Vectored reads are off: they take a buffer outside the heap as large as a
-    column chunk for every reading thread.
-    """
-    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-#: Slots of a bitmap of ids: 16 MB. More ids than slots only let more rows through.
+#: Most slots of a bitmap of ids, 16 MB; a smaller set of ids gets about 16 slots for each. Too few slots only let more
+#: rows through.
 ID_SLOTS = 1 << 27
 BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
 
@@ -64,17 +84,18 @@ def bit_is_set(bits: str, slot: str) -> str:
     return f"{bits} is not null and (shiftright(cast({byte} as int), cast({slot} % 8 as int)) & 1) = 1"
 
 
-def id_bits(ids: DataFrame, id_col: str) -> DataFrame:
-    """(bucket, bits): a bitmap of the hashes of ``ids``, at most ``ID_SLOTS / 8`` bytes."""
-    slots = ids.select(F.pmod(F.xxhash64(id_col), F.lit(ID_SLOTS)).alias("slot"))
-    return slots.groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("bucket")).agg(
-        F.expr(f"bitmap_construct_agg(slot % {BUCKET_BITS})").alias("bits"))
-
+def in_bits(rows: DataFrame, ids: DataFrame, id_col: str, flag: str) -> DataFrame:
+    """``rows`` with the boolean ``flag``: the id may be among ``ids`` (never wrongly false).
 
-def in_bits(rows: DataFrame, bits: DataFrame, id_col: str, flag: str) -> DataFrame:
-    """``rows`` with the boolean ``flag``: the id may be among those of the broadcast bitmap (never wrongly false)."""
-    small = F.broadcast(bits.withColumnRenamed("bucket", "_bucket").withColumnRenamed("bits", "_bits"))
-    tagged = rows.withColumn("_slot", F.pmod(F.xxhash64(id_col), F.lit(ID_SLOTS))) \
+    The hashes of ``ids``, a written table with a column of the same name, make
+    a bitmap of at most ``ID_SLOTS / 8`` bytes, which is broadcast.
+    """
+    n_slots = min(ID_SLOTS, max(BUCKET_BITS, 1 << (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(id_col), F.lit(n_slots))
+    bits = scratch(ids.select(slot.alias("slot")).groupBy(F.expr(f"slot div {BUCKET_BITS}").alias("_bucket")).agg(
+        F.expr(f"bitmap_construct_agg(slot % {BUCKET_BITS})").alias("_bits")), "id-bits")
+    small = F.broadcast(bits)
+    tagged = rows.withColumn("_slot", slot) \
         .withColumn("_bucket", F.expr(f"_slot div {BUCKET_BITS}"))
     return tagged.join(small, "_bucket", "left").withColumn(flag, F.expr(bit_is_set("_bits", "_slot"))) \
         .drop("_bucket", "_bits", "_slot")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import held_out, ship
+from quorum.llm.common import held_out, ship, small_batches
 
 N_BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        for batch in batches:
+        for batch in small_batches(batches):
             langs, scores = score_texts(batch.column(0).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*names, "lang_pred", "score"])

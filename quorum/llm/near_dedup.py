@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import id_bits, in_bits, join_groups, scratch, ship
+from quorum.llm.common import in_bits, join_groups, scratch, ship, small_batches
 from quorum.llm.components import components
 
 SHINGLE = 4
@@ -118,21 +118,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
         words, order = WordHashes(), bin_order()
-        for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 1000):
-                part = texts.slice(lo, 1000).to_pylist()
-                sets = [shingle_set(t, size, words) for t in part]
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                bands: list = [None] * len(sets)
-                if full:
-                    hashes = band_hashes(np.stack([sketch(sets[i], order) for i in full])).view(np.int64)
-                    for i, h in zip(full, hashes):
-                        bands[i] = h
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 1000), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()),
-                     pa.array(keys[:, 1].copy()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
+        for batch in small_batches(batches):
+            sets = [shingle_set(t, size, words) for t in batch.column(1).to_pylist()]
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            bands: list = [None] * len(sets)
+            if full:
+                hashes = band_hashes(np.stack([sketch(sets[i], order) for i in full])).view(np.int64)
+                for i, h in zip(full, hashes):
+                    bands[i] = h
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()),
+                 pa.array(keys[:, 1].copy()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
 
     return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, bands array<long>")
 
@@ -144,7 +141,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
         words = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [shingle_set(t, size, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
@@ -158,7 +155,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        for batch in batches:
+        for batch in small_batches(batches):
             x, y = batch.column(2), batch.column(3)
             good = []
             for i in range(batch.num_rows):
@@ -184,7 +181,7 @@ def exact_candidates(open_ids: DataFrame, sets: DataFrame, percent: int) -> Data
     """
     def explode(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        for batch in batches:
+        for batch in small_batches(batches):
             counts = [len(x.as_buffer()) // 8 if x.is_valid else 0 for x in batch.column(2)]
             flat = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), dtype="<i8")
             take = pa.array(np.repeat(np.arange(batch.num_rows), counts), pa.int64())
@@ -240,9 +237,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     .filter("id <> centre.id")
                     .select(F.col("centre.id").alias("a"), F.col("centre.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
                     .distinct(), "near-edges")
-    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "id")
+    ends = scratch(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", id_col),
+                   "near-ends")
     named_docs = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col)
-    sets = scratch(_sets(in_bits(named_docs, scratch(id_bits(ends, "id"), "near-ends"), id_col, "_end").filter("_end"),
+    sets = scratch(_sets(in_bits(named_docs, ends, id_col, "_end").filter("_end"),
                          id_col, text_col, shingle), "near-sets")
     links = scratch(confirm(edges.filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)"), sets, percent), "near-links")
     first = components(links)

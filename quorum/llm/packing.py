@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorum.llm.bpe import load
-from quorum.llm.common import scratch, ship
+from quorum.llm.common import scratch, ship, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         bpe = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             source, piece, length, crc = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = bpe.encode_bytes(text or "") + end

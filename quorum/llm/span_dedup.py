@@ -26,12 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import id_bits, in_bits, scratch, ship
+from quorum.llm.common import in_bits, join_groups, scratch, ship, small_batches
 
 RUN = 3
 MIN_WORDS = 24
 MAX_WORDS = 12
-HOT_SHARE = 1000
 #: A sentence: up to MAX_WORDS words that end at a sentence mark, a line end, or there.
 _ENDS = ".!?…。"
 _WORDS = re.compile(r"[^\S\n]*+(?:\n\s*+)?\S++")
@@ -81,7 +80,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, run: int = RUN, min_words
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        for batch in batches:
+        for batch in small_batches(batches):
             source, first, digests = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
@@ -109,11 +108,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = scratch(table.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("keep")).filter("n > 1"), "span-groups")
     total = table.count()
-    hot_rule = F.col("n") * HOT_SHARE > total
-    places = table.join(F.broadcast(groups.filter(hot_rule).withColumnRenamed("keep", "hot")), ["h1", "h2"], "left").drop("n")
-    cold = groups.filter(~hot_rule).drop("n")
-    later = places.filter("hot is not null").withColumnRenamed("hot", "keep").unionByName(
-        places.filter("hot is null").drop("hot").join(cold, ["h1", "h2"]))
+    later = join_groups(table, groups, ["h1", "h2"], "n", total).drop("n")
     return later.filter(~F.struct("id", "first").eqNullSafe(F.col("keep"))) \
         .groupBy("id").agg(F.collect_list("first").alias("spans"))
 
@@ -144,8 +139,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c not in ("n_removed", "changed", "spans")]
     found = scratch(repeated_spans(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, run, min_words)
                     .withColumnRenamed("id", id_col), "span-places")
-    bits = id_bits(found, id_col)
-    tagged = in_bits(docs.select(*names), bits, id_col, "_changed")
+    tagged = in_bits(docs.select(*names), found, id_col, "_changed")
     passed = tagged.filter("not _changed").drop("_changed").withColumns(
         {"n_removed": F.lit(0), "changed": F.lit(False)})
     rows = tagged.filter("_changed").drop("_changed").join(found, id_col, "left").select(*names, "spans")
@@ -154,7 +148,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
         where = names.index(text_col)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, removed = [], []
             for text, places in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist()):
                 new, n = cut(text, places, run, min_words)
