@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.llm.catalog import tokenizer_path
-from quorum.llm.common import read, scratch
+from quorum.llm.common import plain_reads, read, scratch
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.language_id import UNKNOWN, predict, train
 from quorum.llm.near_dedup import near_dedup
@@ -31,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The classifier learns from the documents that come with a language; if none
     does, there is nothing to judge by, and only those without a letter go.
     """
+    plain_reads(spark)
     model = train(docs)
     if not model["langs"]:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -40,17 +41,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
+    plain_reads(spark)
     return exact_dedup(docs).filter("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
+    plain_reads(spark)
     dropped = near_dedup(docs, shingle=SHINGLE_WORDS).filter("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences that stand in an earlier place in the same run go; documents of nothing else go with them."""
+    plain_reads(spark)
     cut = span_dedup(docs)
     left = cut.filter(~F.col("changed") | (F.col("text") != ""))
     n_chars = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -59,6 +63,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences that hold every document left."""
+    plain_reads(spark)
     return pack(docs, tokenizer_path())
 
 
