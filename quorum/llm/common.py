@@ -106,15 +106,19 @@ HOT_SHARE = 1000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", written: bool = False) -> DataFrame:
     """``rows`` joined (inner or left) with one row per key of ``groups``, whose ``size_col`` counts the key's rows.
 
-    Rows of hot keys take the groups by broadcast (at most ``HOT_SHARE`` rows)
-    and never shuffle, so no task gets more than one in ``HOT_SHARE`` of all
-    rows for one key. ``total`` is the number of rows.
+    Rows of hot keys take their groups by broadcast and never shuffle, so no
+    task gets more than one in ``HOT_SHARE`` of all rows for one key. ``total`` is
+    the number of rows; it bounds the hot keys, whose hashes come to the driver,
+    by ``HOT_SHARE``. ``written``: groups is a table already, not to be computed.
     """
-    hot_rule = F.col(size_col) * HOT_SHARE > total
-    hot = F.broadcast(groups.filter(hot_rule))
-    cold = groups.filter(~hot_rule)
-    settled = rows.join(hot, keys)
-    return settled.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+    groups = groups if written else scratch(groups, "groups")
+    key = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.filter(F.col(size_col) * HOT_SHARE > total).select(key).distinct().collect()]
+    if not hot:
+        return rows.join(groups, keys, how)
+    is_hot = key.isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(groups.filter(is_hot)), keys, how).unionByName(
+        rows.filter(~is_hot).join(groups.filter(~is_hot), keys, how))

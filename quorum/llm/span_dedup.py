@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = scratch(table.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first")).alias("keep")).filter("n > 1"), "span-groups")
     total = table.count()
-    later = join_groups(table, groups, ["h1", "h2"], "n", total).drop("n")
+    later = join_groups(table, groups, ["h1", "h2"], "n", total, written=True).drop("n")
     return later.filter(~F.struct("id", "first").eqNullSafe(F.col("keep"))) \
         .groupBy("id").agg(F.collect_list("first").alias("spans"))
 
@@ -136,13 +136,13 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loses its later places; rows that repeat an id count as one document, whose
     texts should be equal; rows with null ids are left as they are.
     """
-    names = [c for c in docs.columns if c not in ("n_removed", "changed", "spans")]
+    names = [c for c in docs.columns if c not in ("n_removed", "changed")]
     found = scratch(repeated_spans(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, run, min_words)
-                    .withColumnRenamed("id", id_col), "span-places")
+                    .select(F.col("id").alias(id_col), F.col("spans").alias("_spans")), "span-places")
     tagged = in_bits(docs.select(*names), found, id_col, "_changed")
     passed = tagged.filter("not _changed").drop("_changed").withColumns(
         {"n_removed": F.lit(0), "changed": F.lit(False)})
-    rows = tagged.filter("_changed").drop("_changed").join(found, id_col, "left").select(*names, "spans")
+    rows = tagged.filter("_changed").drop("_changed").join(found, id_col, "left").select(*names, "_spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
 
     def work(batches: Iterator) -> Iterator:
