@@ -13,8 +13,8 @@
    star holds more than one component, its members go through an exact pass:
    shingles are ordered from rare to frequent, two sets of the wanted similarity
    share one within the first ``n - ceil(t n) + 1`` of each, and the places of
-   the shared shingle bound the overlap. Only pairs of different components
-   within the bound are confirmed; all of them are.
+   the shared shingle and the sets' parity bits bound the overlap. Only pairs of
+   different components within the bounds are confirmed; all of them are.
 
 Candidate pairs, sets and links stay in Spark throughout; sets are computed a
 second time for the documents that have candidates, rather than kept for all.
@@ -39,6 +39,7 @@ PERCENT = 80
 ROWS = 6
 BANDS = 42
 BINS = ROWS * BANDS
+PARITY_BITS = 512
 CACHE_WORDS = 300_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -111,6 +112,16 @@ def band_hashes(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` bits as 64-bit integers; each shingle turns one of them over.
+
+    Shared shingles leave the same traces in two sets, so the bits in which two
+    of these differ are never more than the shingles in which the sets do.
+    """
+    turned = np.bincount(((shingles >> np.uint64(32)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n, k1, k2, bands): set size, 128-bit hash of the set and band buckets (null for empty sets)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -135,17 +146,19 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, shingles): the full set of every document, as little-endian 64-bit integers."""
+    """(id, shingles, parity): the full set of every document, as little-endian 64-bit integers, and its parity bits."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
         words = WordHashes()
         for batch in small_batches(batches):
-            sets = [shingle_set(t, size, words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [shingle_set(t, size, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles", "parity"])
 
-    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary")
+    return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary, parity array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +190,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, id_col: str, name: str) -> Dat
 def exact_candidates(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of different components among ``open_ids`` (id, component) that may be similar enough; none is missed.
 
-    Prefix and place filters over shingles in the order of their frequency.
+    Prefix and place filters over shingles in the order of their frequency, then the parity bits of the sets.
     """
     def explode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,7 +208,7 @@ def exact_candidates(open_ids: DataFrame, sets: DataFrame, percent: int) -> Data
     total = tokens.count()
     often = scratch(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "near-frequencies")
     # shingles of one document alone come first and can't be shared; the others follow by frequency
-    shared = join_groups(tokens, often, ["token"], "f", total)
+    shared = join_groups(tokens, often, ["token"], "f", total, written=True)
     per_doc = shared.groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("row")) \
         .withColumn("own", F.col("n") - F.size("row")) \
         .withColumn("prefix", F.expr(f"n - (n * {percent} + 99) div 100 + 1"))
@@ -205,13 +218,17 @@ def exact_candidates(open_ids: DataFrame, sets: DataFrame, percent: int) -> Data
     sizes = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(
         F.sum("m").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")) \
         .filter("parts > 1").select("token", "size", "main")
-    rows = scratch(join_groups(prefix, sizes, ["token"], "size", prefix.count()).drop("size"), "near-lists")
+    rows = join_groups(prefix, sizes, ["token"], "size", prefix.count()).drop("size")
+    rows = scratch(rows.join(sets.select("id", "parity"), "id"), "near-lists")
     left, right = rows.filter("component <> main").alias("l"), rows.alias("r")
     fits = (
         "l.token = r.token and l.component <> r.component and (r.component = r.main or l.id < r.id) "
         f"and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
         # overlap <= what is left of either from the shared place on, itself included
-        f"and {100 + percent} * least(l.n - l.place, r.n - r.place) >= {percent} * (l.n + r.n)")
+        f"and {100 + percent} * least(l.n - l.place, r.n - r.place) >= {percent} * (l.n + r.n) "
+        # the sets differ in at least as many shingles as their parity bits do
+        f"and {100 + percent} * aggregate(zip_with(l.parity, r.parity, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v) "
+        f"<= {100 - percent} * (l.n + r.n)")
     return left.join(right, F.expr(fits)).select(
         F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
@@ -233,7 +250,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
     members = classes.select(F.col("id"), F.col("n"), F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    edges = scratch(join_groups(members, scratch(stars, "near-buckets"), ["bucket"], "m", classes.count() * BANDS)
+    edges = scratch(join_groups(members, stars, ["bucket"], "m", classes.count() * BANDS)
                     .filter("id <> centre.id")
                     .select(F.col("centre.id").alias("a"), F.col("centre.n").alias("an"), F.col("id").alias("b"), F.col("n").alias("bn"))
                     .distinct(), "near-edges")
@@ -257,7 +274,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _labelled(classes.select("k1", "k2", "size", "id"), last, "id", "component_id")
     found = scratch(found.filter("size > 1 or component_id <> id").select("k1", "k2", "size", "component_id"), "near-components")
     rows = table.select("id", "n", F.when(F.expr("n > 0 and id is not null"), F.col("k1")).alias("k1"), "k2")
-    joined = join_groups(rows.filter("k1 is not null"), found, ["k1", "k2"], "size", table.count(), "left") \
+    joined = join_groups(rows.filter("k1 is not null"), found, ["k1", "k2"], "size", table.count(), "left", written=True) \
         .select("id", "n", "component_id").unionByName(
             rows.filter("k1 is null").select("id", "n", F.col("id").alias("component_id")))
     component = F.coalesce("component_id", "id")

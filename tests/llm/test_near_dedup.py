@@ -99,6 +99,15 @@ def test_sketches_collide_as_often_as_sets_are_similar():
         assert abs(same - similar) < 0.25
 
 
+def test_parity_bits_never_overstate_the_difference():
+    rnd = np.random.default_rng(3)
+    for n in (3, 50, 2000):
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 4:], rnd.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        differ = int(np.bitwise_count((op.parity(a) ^ op.parity(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (n > 50 or differ > 0)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).selectExpr("id as a", "id + 1 as b").unionByName(spark.range(300, 305).selectExpr("id as a", "id * 2 as b"))
     got = {r.id: r.component for r in components(links).collect()}
