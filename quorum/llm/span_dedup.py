@@ -2,11 +2,17 @@
 
 A text is cut into sentences (at ``.``, ``!``, ``?`` before white space, and at
 line ends); a sentence of more than ``MAX_WORDS`` words counts as several, so
-that one long sentence still makes spans. Every run of ``RUN`` consecutive
-sentences, extended until it holds ``MIN_WORDS`` words, is hashed (96 bits,
-A-Z lower-cased, white space as one space). The hashes are grouped over all
-documents; of the places that share a hash the first, by document id and then
-place in the text, stays, and the sentences of every other place are removed.
+that one long sentence still makes spans. Where it is cut depends only on the
+words around the place (winnowing): of any ``MAX_WORDS`` words in a row before
+its last word, it is cut after the one with the smallest hash, the last such if
+several are equal. So copies of a passage are cut alike whatever stands before
+and after them, but for at most ``MAX_WORDS`` words at either end, and copies of
+more than ``2 * MAX_WORDS + MIN_WORDS`` words always share a span. Every run of
+``RUN`` consecutive sentences, extended until it holds ``MIN_WORDS`` words, is
+hashed (96 bits, A-Z lower-cased, white space as one space). The hashes are
+grouped over all documents; of the places that share a hash the first, by
+document id and then place in the text, stays, and the sentences of every other
+place are removed.
 
 Spans are written once as (id, place, hash). Their grouping combines within
 each task before it shuffles. Only the repeated hashes are joined back; those so
@@ -31,34 +37,56 @@ from quorum.llm.common import in_bits, join_groups, scratch, ship, small_batches
 RUN = 3
 MIN_WORDS = 24
 MAX_WORDS = 12
-#: A sentence: up to MAX_WORDS words that end at a sentence mark, a line end, or there.
-_ENDS = ".!?…。"
-_WORDS = re.compile(r"[^\S\n]*+(?:\n\s*+)?\S++")
+#: A sentence ends at a mark that is a word's last character, or at a line end.
+_ENDS = re.compile(r"[.!?…。](?!\S)|\n\s*+|\Z")
+_WORD = re.compile(r"\S++")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lower(text: str) -> str:
+    """A-Z lower-cased, which keeps every place in the text."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, list[str]]]:
+    """(end of each piece, its words) of a long sentence."""
+    words: list[str] = []  # since the last cut
+    ends: list[int] = []
+    keys: list[int] = []
+    least = -1  # the hash at the last cut, none before the first
+    for m in _WORD.finditer(text, start, end):
+        # the window is the MAX_WORDS words before this one
+        if len(words) == MAX_WORDS:  # all of them since the last cut
+            least = min(keys)
+            n = MAX_WORDS - keys[::-1].index(least)
+            yield ends[n - 1], words[:n]
+            del words[:n], ends[:n], keys[:n]
+        elif words and keys[-1] <= least:  # the last cut is one of them
+            least = keys[-1]
+            yield ends[-1], words
+            words, ends, keys = [], [], []
+        word = m[0]
+        words.append(word)
+        ends.append(m.end())
+        keys.append(xxhash.xxh32_intdigest(word))
+    yield ends[-1], words
 
 
 def sentences(text: str) -> tuple[list[int], list[int], list[str]]:
-    """(start of each sentence, its number of words, its normalised words); sentences tile the whole text."""
+    """(start of each sentence, its number of words, its normalised words) of a lower-cased text; they tile all of it."""
     starts, counts, norm = [], [], []
-    words: list[str] = []
     at = 0
-    for m in _WORDS.finditer(text):
-        token = m[0]
-        word = token.lstrip()
-        if words and (len(words) >= MAX_WORDS or "\n" in token[:len(token) - len(word)]):
+    for m in _ENDS.finditer(text):
+        sentence = text[at:m.end()].rstrip()
+        words = sentence.split(None, MAX_WORDS)
+        if not words:
+            continue
+        z = at + len(sentence)
+        for then, piece in [(z, words)] if len(words) <= MAX_WORDS else _pieces(text, at, z):
             starts.append(at)
-            counts.append(len(words))
-            norm.append(" ".join(words))
-            words, at = [], m.start()
-        words.append(word)
-        if word[-1] in _ENDS:
-            starts.append(at)
-            counts.append(len(words))
-            norm.append(" ".join(words))
-            words, at = [], m.end()
-    if words:
-        starts.append(at)
-        counts.append(len(words))
-        norm.append(" ".join(words))
+            counts.append(len(piece))
+            norm.append(" ".join(piece))
+            at = then
     return starts, counts, norm
 
 
@@ -71,9 +99,6 @@ def _runs(counts: list[int], run: int, min_words: int) -> list[tuple[int, int]]:
     return list(zip(first[fits].tolist(), end[fits].tolist()))
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def spans(docs: DataFrame, id_col: str, text_col: str, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, first, h1, h2): every span of every whole text, by its first sentence, and its hash in two parts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -85,7 +110,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, run: int = RUN, min_words
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                _, counts, norm = sentences(text.translate(_LOWER) if not text.isascii() else text.lower())
+                _, counts, norm = sentences(lower(text))
                 if len(counts) < run:
                     continue
                 each = [xxhash.xxh3_128_digest(s) for s in norm]
@@ -117,7 +142,7 @@ def cut(text: str | None, places, run: int = RUN, min_words: int = MIN_WORDS) ->
     """(the text without the sentences of the spans that start at ``places``, the number of sentences removed)."""
     if not text or places is None or not len(places):
         return text or "", 0
-    starts, counts, _ = sentences(text)
+    starts, counts, _ = sentences(lower(text))
     ends = dict(_runs(counts, run, min_words))
     gone = np.zeros(len(starts) + 1, dtype=np.int64)
     for first in places:

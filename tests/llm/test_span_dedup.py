@@ -1,3 +1,6 @@
+import random
+from itertools import pairwise
+
 from quorum.llm import span_dedup as op
 from quorum.llm.catalog import QUERIES
 from tests.llm.conftest import SF
@@ -57,3 +60,42 @@ def test_hot_spans_and_edges(make, monkeypatch):
 
 def test_query(spark, documents):
     check(QUERIES["op9_span_dedup"](spark, SF), [(r.doc_id, r.text) for r in documents.collect()])
+
+
+def pieces_by_definition(words, size=op.MAX_WORDS):
+    """A sentence's words cut after the last smallest hash of every window before its last word."""
+    keys = [op.xxhash.xxh32_intdigest(w) for w in words[:-1]]
+    cuts = {max(range(at, at + size), key=lambda i: (-keys[i], i)) + 1 for at in range(len(keys) - size + 1)}
+    edges = [0, *sorted(cuts), len(words)]
+    return [" ".join(words[a:z]) for a, z in pairwise(edges)]
+
+
+def test_long_sentences_are_cut_by_their_own_words():
+    rnd = random.Random(1)
+    for n in [*range(1, 40), 500]:
+        for vocabulary in (1, 3, 1000):
+            words = [f"w{rnd.randrange(vocabulary)}" for _ in range(n)]
+            starts, counts, norm = op.sentences("  ".join(words))
+            assert norm == pieces_by_definition(words) and max(counts) <= op.MAX_WORDS and sum(counts) == n
+
+
+def planted(rnd, n):
+    """Two texts of other words that hold one passage of ``n`` words, each from a random word on, and the passage."""
+    def words(tag, count):
+        return [f"{tag}{rnd.randrange(10 ** 9)}" + "." * (rnd.random() < ends) for _ in range(count)]
+    ends = rnd.choice([0, 0.02, 0.1, 0.3])
+    shared = words("p", n)
+    return [" ".join(words(tag, rnd.randrange(40)) + shared + words(tag, rnd.randrange(40))) for tag in "ab"], shared
+
+
+def test_passages_that_start_in_mid_sentence(make):
+    rnd = random.Random(2)
+    cases = [planted(rnd, n) for n in [49, 50, 51, 52, 60, 80, 150] * 40]
+    rows = [(2 * k + j, text) for k, (texts, _) in enumerate(cases) for j, text in enumerate(texts)]
+    got = {r.doc_id: r.text for r in op.span_dedup(make(rows)).collect()}
+    for k, (texts, shared) in enumerate(cases):
+        assert got[2 * k] == texts[0]
+        kept, own = set(got[2 * k + 1].split()), set(texts[1].split()) - set(shared)
+        # what stays are words whose cuts the surroundings decide, and an end too short for a span
+        assert len(kept & set(shared)) < 2 * op.MAX_WORDS + op.MIN_WORDS, (len(shared), texts)
+        assert own <= kept
