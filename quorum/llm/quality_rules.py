@@ -4,10 +4,13 @@ Each rule rejects a text whose value lies beyond a cutoff. The cutoffs are not
 set by hand: for every stratum and rule, each cutoff of a fixed grid is tested
 on the labelled holdout. With k of the n good holdout texts rejected, the exact
 binomial tail P(X <= k | n, alpha / rules) is the p-value of "this cutoff
-rejects more than its share of good texts". Cutoffs whose p-value passes the
-Bonferroni level delta / (strata x rules x cutoffs) are certified; of those the
-strictest is used. So with probability 1 - delta, no stratum's rules together
-reject more than alpha of its good texts.
+rejects more than its share of good texts". The cutoffs of a stratum and rule
+are tested in a fixed sequence from loose to strict, each at the Bonferroni
+level delta / (strata x rules), up to the first that fails; the last one before
+it is used. A sequence certifies a wrong cutoff only if it passes the loosest
+wrong one, so the cutoffs need no further share of delta, and with probability
+1 - delta no stratum's rules together reject more than alpha of its good texts.
+A rule can be certified from ``least_holdout()`` good texts in a stratum on.
 
 The strata are bands of text length, the holdout is the labelled rows that pass
 the fixed base rules. Counts per (stratum, rule, cutoff) form a table of a few
@@ -17,6 +20,7 @@ hundred rows whatever the input; it is broadcast.
 from __future__ import annotations
 
 from itertools import pairwise
+from math import ceil, log, log1p
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,13 +108,18 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
     return F.when(c >= m * p, F.lit(1.0)).otherwise(tail)
 
 
+def least_holdout(alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """The fewest good labelled texts of a stratum that certify a cutoff, if it rejects none of them."""
+    return ceil(log(delta / (len(BANDS) * len(RULES))) / log1p(-alpha / len(RULES)))
+
+
 def certify(holdout: DataFrame, spark: SparkSession, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, k, n, p_value): the strictest certified cutoff of each stratum and rule.
+    """(stratum, rule, cutoff, k, n, p_value): the strictest cutoff of each stratum and rule up to which all pass.
 
     ``holdout``: base counts of good labelled texts. A stratum without enough
     of them gets no cutoff, and the rule rejects nothing there.
     """
-    share, tests = alpha / len(RULES), len(BANDS) * sum(len(cuts) for _, cuts in RULES.values())
+    share, level = alpha / len(RULES), delta / (len(BANDS) * len(RULES))
     counted = holdout.withColumn("stratum", stratum()).groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"),
         *(F.sum(F.expr(f"cast({value} > {cut} as long)")).alias(f"{rule}_{i}")
@@ -118,8 +127,12 @@ def certify(holdout: DataFrame, spark: SparkSession, alpha: float = ALPHA, delta
     cells = ", ".join(f"named_struct('rule', '{rule}', 'cutoff', {cut}D, 'k', `{rule}_{i}`)"
                       for rule, (_, cuts) in RULES.items() for i, cut in enumerate(cuts))
     flat = counted.select("stratum", "n", F.expr(f"inline(array({cells}))"))
-    tested = flat.withColumn("p_value", binomial_tail("k", "n", share)).filter(F.col("p_value") <= delta / tests)
-    return tested.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "k", "n", "p_value")).alias("best")) \
+    tested = flat.withColumn("p_value", binomial_tail("k", "n", share))
+    cells = F.sort_array(F.collect_list(F.struct("cutoff", "k", "n", "p_value")))
+    failed = F.coalesce(F.max(F.when(F.col("p_value") > level, F.col("cutoff"))), F.lit(float("-inf")))
+    sequences = tested.groupBy("stratum", "rule").agg(cells.alias("cells"), failed.alias("failed"))
+    best = F.get(F.filter("cells", lambda c: c["cutoff"] > F.col("failed")), F.lit(0))
+    return sequences.select("stratum", "rule", best.alias("best")).filter("best is not null") \
         .select("stratum", "rule", "best.*")
 
 

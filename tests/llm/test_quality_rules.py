@@ -59,6 +59,14 @@ def test_cutoffs_follow_the_holdout(spark):
     assert cut(5000, 500)["symbols"] == 0.2       # a tenth of the good texts has 60 symbols in 300 words
 
 
+def test_cutoffs_are_tested_from_loose_to_strict(spark):
+    assert op.least_holdout() == 1094
+    got = {n: op.certify(holdout(spark, n, 0), spark).collect() for n in (1093, 1094)}
+    assert got[1093] == [] and {r.rule: r.cutoff for r in got[1094]} == {rule: cuts[0] for rule, (_, cuts) in op.RULES.items()}
+    # 60 symbols in 300 words are above 0.1 in a sixth of the texts: that cutoff fails, and nothing stricter is tested
+    assert {r.rule: r.cutoff for r in op.certify(holdout(spark, 1200, 200), spark).collect()}["symbols"] == 0.2
+
+
 def test_query_and_edges(spark, make):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     got = QUERIES["op8_quality_rules"](spark, SF).collect()
