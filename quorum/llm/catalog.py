@@ -11,6 +11,7 @@ from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.near_dedup import near_dedup
 from quorum.llm.quality_rules import quality_rules
+from quorum.llm.simhash import simhash_dedup
 from quorum.llm.span_dedup import span_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,9 @@ def op9_span_dedup(spark, sf_dir):
 def op7_minhash(spark, sf_dir):
     """Components of near-duplicate documents."""
     return near_dedup(read(spark, sf_dir, "documents"))
+
+
+@_register("op12_simhash")
+def op12_simhash(spark, sf_dir):
+    """Components of documents whose fingerprints differ in at most four bits."""
+    return simhash_dedup(read(spark, sf_dir, "documents"))
