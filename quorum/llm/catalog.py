@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import bpe, html_text, language_id, packing, quality, url_filter
+from quorum.llm import bpe, html_text, language_id, packing, periodic, quality, url_filter
 from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.near_dedup import near_dedup
@@ -116,3 +116,9 @@ def op7_minhash(spark, sf_dir):
 def op12_simhash(spark, sf_dir):
     """Components of documents whose fingerprints differ in at most four bits."""
     return simhash_dedup(read(spark, sf_dir, "documents"))
+
+
+@_register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of periodic words in every whole text, some of which are made periodic first."""
+    return periodic.periodic_runs(read(spark, sf_dir, "documents"), rewrite=periodic.planted_repeats, texts=False)
