@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorum.llm import bpe, html_text, language_id, packing, periodic, quality, url_filter
+from quorum.llm import bpe, html_text, language_id, packing, periodic, quality, spelling, url_filter
 from quorum.llm.common import held_out, read
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.near_dedup import near_dedup
@@ -122,3 +122,9 @@ def op12_simhash(spark, sf_dir):
 def op13_periodic_runs(spark, sf_dir):
     """Runs of periodic words in every whole text, some of which are made periodic first."""
     return periodic.periodic_runs(read(spark, sf_dir, "documents"), rewrite=periodic.planted_repeats, texts=False)
+
+
+@_register("op11_spelling")
+def op11_spelling(spark, sf_dir):
+    """Near words and forms of every word of the corpus, some of which lose a letter first."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), rewrite=spelling.dropped_letter)
