@@ -1,12 +1,16 @@
 """Exact k-nearest-neighbour join (J8) and SMOTE oversampling (M3).
 
-kNN is computed on a 2-D tiling: queries are hashed into Q blocks and the
-reference set into R blocks; each (query block, reference block) tile is one
-co-grouped task that computes distances with NumPy and keeps the k best per
-query. Queries are replicated R times and references Q times (rows, never
-pairs), Q and R are derived from the measured sizes so every tile stays
-small, and the per-query merge keeps k of at most k x R candidates — exact
-for any data size, with no broadcast of an unbounded side.
+kNN prunes by distances to pivots. Every reference row goes to the cell of its
+nearest pivot, and a cell is cut into tiles: rings of the distance to the
+pivot, and parts by hash where a ring is still large (equal rows, hot cells). A
+tile knows its smallest and largest distance to the pivot, so by the triangle
+inequality no row of it is nearer to a query than |d(query, pivot) - ring|, nor than
+half of what the query is nearer to its own pivot. Every query is first scored
+against the tile of its smallest bound; its k-th distance there is what any other tile's
+bound must not exceed, and only those tiles get the query. Tiles and blocks of queries meet as co-grouped NumPy tasks that keep
+the k best, so rows are replicated, pairs are never emitted, and the per-query merge
+keeps k of k rows a tile. The result is exact for any data; ``probes`` bounds the
+tiles of a query instead, for an approximate join.
 
 Inside a tile the dot-product form finds candidates only: both blocks are
 centred first, and every reference within the rounding error of the k-th
@@ -20,23 +24,28 @@ retried task produces the same rows.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.operators.folds import hash_rank
+from quorum.session import cut_lineage
 
 KNN_SCHEMA = "qid string, rid string, distance double"
 BROADCAST_ROWS = 20_000  # largest minority class that SMOTE broadcasts
 _PAIRS = 250_000  # pairs of a tile scored exactly at a time
+MAX_PIVOTS = 512
+MAX_TILES = 100_000  # a larger reference set gets larger tiles
 
 
 def _tile_topk(k: int, exclude_self: bool):
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({"qid": [], "rid": [], "distance": []})
+            return pd.DataFrame({"qid": np.array([], dtype=object), "rid": np.array([], dtype=object), "distance": np.array([], dtype=float)})
         qv = np.stack(q["qvec"].to_numpy()).astype(np.float64)
         rv = np.stack(r["rvec"].to_numpy()).astype(np.float64)
         qids = q["qid"].astype(str).to_numpy()
@@ -76,22 +85,153 @@ def _tile_topk(k: int, exclude_self: bool):
     return run
 
 
-def knn_join(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-             exclude_self: bool = False, tile_rows: int = 20000) -> DataFrame:
-    """(qid, rid, distance, rank) for the k nearest reference rows of every query (Euclidean)."""
-    nq, nr = queries.count(), reference.count()
-    qb_n = max(1, math.ceil(nq / tile_rows))
-    rb_n = max(1, math.ceil(nr / tile_rows))
-    qx = queries.select(F.col(id_col).cast("string").alias("qid"), F.col(vec_col).alias("qvec")) \
-        .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb_n))) \
-        .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rb_n - 1).cast("long"))))
-    rx = reference.select(F.col(id_col).cast("string").alias("rid"), F.col(vec_col).alias("rvec")) \
-        .withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(rb_n))) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb_n - 1).cast("long"))))
-    cand = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(
-        _tile_topk(k, exclude_self), KNN_SCHEMA)
+def pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """[row, pivot]: Euclidean distances by plain differences."""
+    out = np.empty((len(vectors), len(pivots)))
+    for j, pivot in enumerate(pivots):
+        d = vectors - pivot
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
+class Tiles:
+    """The tiles of a reference set: ``cell`` (pivot), smallest and largest distance to it (``low``, ``high``) and ``rows`` of each.
+
+    At most ``MAX_PIVOTS`` pivots and about 2 x ``MAX_TILES`` tiles, so it may be sent to every task.
+    """
+
+    def __init__(self, pivots: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray):
+        self.pivots, self.cell, self.low, self.high, self.rows = pivots, cell, low, high, rows
+        size = max(np.abs(pivots).max(initial=0.0), high.max(initial=0.0), 1e-300)
+        self.slack = 64 * np.finfo(np.float64).eps * size * np.sqrt(pivots.shape[1] + 1)
+
+    def bounds(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[query, tile]: no row of the tile is nearer than the first, none is farther than the second; rounding is allowed for."""
+        to_pivot = pivot_distances(vectors, self.pivots)
+        own = to_pivot.min(axis=1, keepdims=True)
+        d = to_pivot[:, self.cell]
+        slack = self.slack + 64 * np.finfo(np.float64).eps * np.abs(vectors).max(axis=1, initial=0.0, keepdims=True)
+        nearest = np.maximum(np.maximum(d - self.high, self.low - d), (d - own) / 2)
+        return np.maximum(nearest - slack, 0.0), d + self.high + slack
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        """The tile of each query's smallest bound; of equal ones, that of the nearest pivot."""
+        low, high = self.bounds(vectors)
+        best = low.min(axis=1, keepdims=True)
+        return np.where(low <= best, high, np.inf).argmin(axis=1)
+
+    def within(self, vectors: np.ndarray, kth: np.ndarray, k: int, home: np.ndarray, probes: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, tile) of every tile but the home that may hold one of the k nearest, given the k-th distance found at home."""
+        low, high = self.bounds(vectors)
+        order = high.argsort(axis=1)
+        enough = (self.rows[order].cumsum(axis=1) >= k).argmax(axis=1)  # the tiles that hold k rows for sure
+        sure = high[np.arange(len(high)), order[np.arange(len(high)), enough]]
+        if self.rows.sum() >= k:
+            kth = np.minimum(kth, sure)
+        wanted = low <= (kth + self.slack)[:, None]
+        wanted[np.arange(len(home)), home] = False
+        if probes is not None:
+            rank = np.where(wanted, low, np.inf).argsort(axis=1).argsort(axis=1)
+            wanted &= rank < probes - 1
+        return np.nonzero(wanted)
+
+
+def _tiled(reference: DataFrame, n_rows: int, tile_rows: int) -> tuple[DataFrame, Tiles]:
+    """(rid, rvec, tile) of every reference row, and the tiles. ``reference`` is (rid, rvec)."""
+    tile_rows = max(tile_rows, math.ceil(n_rows / MAX_TILES))
+    n_pivots = min(MAX_PIVOTS, max(8, 2 * math.ceil(n_rows / tile_rows)))
+    picked = reference.orderBy(F.xxhash64("rid"), "rid").limit(n_pivots).collect()
+    pivots = np.unique(np.array([r["rvec"] for r in picked], dtype=np.float64), axis=0)
+
+    def assign(frames):
+        for pdf in frames:
+            if len(pdf):
+                vectors = pdf["rvec"].to_numpy(dtype=object)
+                d = pivot_distances(np.stack(vectors).astype(np.float64), pivots)
+                cell = d.argmin(axis=1)
+                yield pd.DataFrame({"rid": pdf["rid"].to_numpy(dtype=object), "rvec": vectors, "cell": cell.astype(np.int32),
+                                    "d": d[np.arange(len(d)), cell]})
+
+    kind = reference.schema["rvec"].dataType.simpleString()
+    near = cut_lineage(reference.mapInPandas(assign, f"rid string, rvec {kind}, cell int, d double"))
+    cells = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")) \
+        .withColumn("rings", F.ceil(F.col("n") / tile_rows))  # one row a pivot
+    ring = F.expr("if(hi > lo, least(cast(floor((d - lo) / (hi - lo) * rings) as long), rings - 1), 0L)")
+    ringed = near.join(F.broadcast(cells.select("cell", "lo", "hi", "rings")), "cell").select("rid", "rvec", "cell", "d", ring.alias("ring"))
+    rings = ringed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")) \
+        .withColumn("parts", F.ceil(F.col("n") / tile_rows)).orderBy("cell", "ring").toPandas()  # at most n_rows / tile_rows + n_pivots rows
+    first = rings["parts"].cumsum() - rings["parts"]
+    small = reference.sparkSession.createDataFrame(
+        [(int(c), int(r), int(p), int(t)) for c, r, p, t in zip(rings["cell"], rings["ring"], rings["parts"], first)],
+        "cell int, ring long, parts long, first_tile long")
+    rows = ringed.join(F.broadcast(small), ["cell", "ring"]).select(
+        "rid", "rvec", F.expr("first_tile + pmod(xxhash64(rid), parts)").alias("tile"))
+    times = rings["parts"].to_numpy(dtype=np.int64)
+    # the rows of a part are not counted: no bound relies on more than one row in each
+    held = np.where(np.repeat(times, times) > 1, 1, np.repeat(rings["n"].to_numpy(dtype=np.int64), times))
+    return rows, Tiles(pivots, np.repeat(rings["cell"].to_numpy(), times), np.repeat(rings["low"].to_numpy(), times),
+                       np.repeat(rings["high"].to_numpy(), times), held)
+
+
+def _score(asked: DataFrame, rows: DataFrame, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
+    """The k best of every query (qid, qvec, tile) in the tile it goes to, as (qid, rid, distance)."""
+    # queries of one tile are dealt into blocks, for each of which the tile's rows are copied
+    blocks = asked.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("blocks"))
+    blocks = blocks.filter("blocks > 1")
+    q = asked.join(blocks, "tile", "left").withColumn("block", F.expr("pmod(xxhash64(qid), coalesce(blocks, 1L))"))
+    r = rows.join(blocks, "tile", "left").withColumn("block", F.explode(F.expr("sequence(0L, coalesce(blocks, 1L) - 1)")))
+    return q.select("qid", "qvec", "tile", "block").groupBy("tile", "block").cogroup(
+        r.select("rid", "rvec", "tile", "block").groupBy("tile", "block")).applyInPandas(_tile_topk(k, exclude_self), KNN_SCHEMA)
+
+
+def _ask(queries: DataFrame, tiles: Tiles, k: int, probes: int | None = None, others: bool = False) -> DataFrame:
+    """(qid, qvec, tile): the home tile of every query, or, for queries with ``kth``, the others that may matter."""
+    step = max(1, 4_000_000 // max(1, len(tiles.cell)))
+
+    def run(frames):
+        for pdf in frames:
+            ids, vectors = pdf["qid"].to_numpy(dtype=object), pdf["qvec"].to_numpy(dtype=object)
+            for at in range(0, len(pdf), step):
+                v = np.stack(vectors[at:at + step]).astype(np.float64)
+                q, tile = np.arange(len(v)), tiles.home(v)
+                if others:
+                    kth = pdf["kth"].to_numpy(dtype=np.float64)[at:at + step]
+                    q, tile = tiles.within(v, np.where(np.isnan(kth), np.inf, kth), k, tile, probes)
+                if len(q):
+                    yield pd.DataFrame({"qid": ids[at + q], "qvec": vectors[at + q], "tile": tile})
+
+    return queries.mapInPandas(run, f"qid string, qvec {queries.schema['qvec'].dataType.simpleString()}, tile long")
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy("distance", "rid")
-    return cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return candidates.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def knn_join(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+             exclude_self: bool = False, tile_rows: int = 20000, probes: int | None = None,
+             tile_pairs: list | None = None) -> DataFrame:
+    """(qid, rid, distance, rank) for the k nearest reference rows of every query (Euclidean; ties by rid).
+
+    Exact, unless ``probes`` says how many tiles a query may try; the tiles of smallest bounds come
+    first, and the recall is the caller's to measure. A list given as
+    ``tile_pairs`` gets (pairs of a query and a tile that were scored, pairs there are).
+    """
+    q = queries.select(F.col(id_col).cast("string").alias("qid"), F.col(vec_col).alias("qvec"))
+    r = reference.select(F.col(id_col).cast("string").alias("rid"), F.col(vec_col).alias("rvec"))
+    n_rows = r.count()
+    if n_rows <= tile_rows:
+        return _best(_score(q.withColumn("tile", F.lit(0)), r.withColumn("tile", F.lit(0)), k, exclude_self, tile_rows), k)
+    rows, tiles = _tiled(r, n_rows, tile_rows)
+    near = cut_lineage(_score(_ask(q, tiles, k), rows, k, exclude_self, tile_rows))
+    kth = near.groupBy("qid").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")) \
+        .select("qid", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
+    more = q.join(kth, "qid", "left")
+    asked = cut_lineage(_ask(more, tiles, k + exclude_self, probes, others=True))
+    if tile_pairs is not None:
+        n_queries = q.count()
+        tile_pairs.append((n_queries + asked.count(), n_queries * len(tiles.cell)))
+    return _best(near.unionByName(_score(asked, rows, k, exclude_self, tile_rows)), k)
 
 
 def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, ratio: float = 0.5, k: int = 5,
@@ -131,3 +271,6 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, ratio: float
         out = with_nn.select("sid", F.zip_with("x", "nx", lambda a, b: a + F.col("lam") * (b - a)).alias("new"))
     return out.select(F.concat(F.lit("smote-"), F.col("sid").cast("string")).alias(id_col),
                       F.lit(minority).alias(label_col), F.col("new").alias(vec_col))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the task functions above reach executors by value

@@ -1021,6 +1021,13 @@ def j8_knn_join(spark, sf_dir):
     return knn_join(vec, vec, 5, V.ID, "embedding", exclude_self=True)
 
 
+@register("j8p_knn_join_pruned", ORACLES["j8_knn_join"])
+def j8p_knn_join_pruned(spark, sf_dir):
+    """J8 over many small tiles, most of which are pruned where the vectors cluster."""
+    vec = V.vectors(spark, sf_dir)
+    return knn_join(vec, vec, 5, V.ID, "embedding", exclude_self=True, tile_rows=256)
+
+
 @register("m3_smote", None)
 def m3_smote(spark, sf_dir):
     return smote(V.vectors(spark, sf_dir), V.ID, "label", "embedding", ratio=0.5, k=5, seed=CFG.seed)

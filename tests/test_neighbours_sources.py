@@ -21,6 +21,61 @@ def test_knn_matches_brute_force(spark):
         assert [rid for _, rid in sorted(by_q[str(i)])] == want
 
 
+def _brute(q, r, k, exclude):
+    """{qid: [rid]} by (distance, rid), ids being the positions as text."""
+    names = np.array([str(j) for j in range(len(r))])
+    out = {}
+    for i, x in enumerate(q):
+        d = np.sqrt(((r - x) ** 2).sum(axis=1))
+        if exclude:
+            d[i] = np.inf
+        order = np.lexsort((names, d))[:k]
+        out[str(i)] = [str(j) for j in order if np.isfinite(d[j])]
+    return out
+
+
+def _frame(spark, points):
+    return spark.createDataFrame([(str(i), [float(x) for x in p]) for i, p in enumerate(points)], "id string, v array<double>")
+
+
+def _by_query(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["rank"]):
+        out.setdefault(r["qid"], []).append(r["rid"])
+    return out
+
+
+def test_knn_prunes_tiles_of_clustered_points(spark):
+    rng = np.random.default_rng(1)
+    pts = np.concatenate([c + rng.normal(size=(80, 5)) for c in rng.normal(scale=40, size=(12, 5))])
+    df, pairs = _frame(spark, pts), []
+    got = _by_query(knn_join(df, df, 5, "id", "v", exclude_self=True, tile_rows=60, tile_pairs=pairs))
+    assert got == _brute(pts, pts, 5, True)
+    scored, every = pairs[0]
+    assert scored < every / 2
+
+
+def test_knn_with_a_hot_cell_of_ties(spark):
+    """Half of the rows are one point, others lie on a grid whose distances tie, far from the origin."""
+    rng = np.random.default_rng(2)
+    grid = rng.integers(0, 4, size=(200, 3)).astype(float)
+    pts = np.concatenate([np.tile([1.0, 1.0, 1.0], (200, 1)), grid]) + 1e6
+    df = _frame(spark, pts)
+    assert _by_query(knn_join(df, df, 7, "id", "v", exclude_self=True, tile_rows=40)) == _brute(pts, pts, 7, True)
+    few = _frame(spark, pts[:50])
+    assert _by_query(knn_join(df, few, 60, "id", "v", tile_rows=20)) == _brute(pts, pts[:50], 60, False)
+
+
+def test_knn_by_probes_has_the_stated_recall(spark):
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([c + rng.normal(size=(100, 6)) for c in rng.normal(scale=6, size=(8, 6))])
+    df, pairs = _frame(spark, pts), []
+    got = _by_query(knn_join(df, df, 5, "id", "v", exclude_self=True, tile_rows=50, probes=4, tile_pairs=pairs))
+    want = _brute(pts, pts, 5, True)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in want]) >= 0.9
+    assert pairs[0][0] <= 4 * len(pts)
+
+
 def test_smote_counts_and_convexity(spark):
     rows = [(f"p{i}", 1, [float(i), float(i % 3)]) for i in range(10)] + \
            [(f"n{i}", 0, [100.0 + i, 0.0]) for i in range(60)]
