@@ -9,19 +9,23 @@ top-k (``orderBy().limit()``) per column, never a collect of a whole column.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorum.functions.metrics import nan_to_null, number
 from quorum.operators.prep import NUMERIC_TYPES
+from quorum.session import cut_lineage
 
-_HEAD_PARTS = 64  # pieces in which A14 looks for a column's smallest values
+_MERGE_PARTS = 64  # parts in which the tasks' smallest values of a column are merged first
+_BROADCAST_PRINTS = 1_000_000  # most repeated row fingerprints that are broadcast, 16 bytes each
 
 # Heuristics of the evaluated profiler.
 CATEGORICAL_MAX_DISTINCT = 50
@@ -71,9 +75,21 @@ def missing_values(df: DataFrame, cols: Sequence[str] | None = None, only_positi
     return out.filter(F.col("missing") > 0) if only_positive else out
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier identical row (NULL equals NULL), one aggregate."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+def duplicate_rows(df: DataFrame, fingerprint: Sequence[Column] | None = None) -> DataFrame:
+    """Rows that repeat an earlier identical row (NULL equals NULL).
+
+    Fingerprints (128 bits of hash over all columns, unless given) are counted first, and only rows
+    whose fingerprint repeats are compared whole, so the count is exact whatever collides. The repeated
+    fingerprints are broadcast if there are at most ``_BROADCAST_PRINTS``, else joined by shuffle.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    prints = list(fingerprint or [F.xxhash64(*names), F.xxhash64(F.lit(1), *names)])
+    keys = [f"_print_{k}" for k in range(len(prints))]
+    marked = df.select("*", *[p.alias(k) for p, k in zip(prints, keys)])
+    repeated = cut_lineage(marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys))
+    if repeated.count() <= _BROADCAST_PRINTS:
+        repeated = F.broadcast(repeated)
+    groups = marked.join(repeated, keys, "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
@@ -101,23 +117,57 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
+def _least_values(n_cols: int, limit: int):
+    """A task's ``limit`` smallest distinct texts of every column."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        least: list = [None] * n_cols
+        for batch in batches:
+            for k in range(n_cols):
+                seen = pc.unique(batch.column(k).drop_null())
+                if least[k] is not None:
+                    seen = pc.unique(pa.concat_arrays([least[k], seen]))
+                least[k] = seen.take(pc.array_sort_indices(seen)[:limit])
+        for k, values in enumerate(least):
+            if values is not None and len(values):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, dtype=np.int32)), values.cast(pa.string())],
+                                                 names=["k", "value"])
+    return run
+
+
+def smallest_values(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """The ``limit`` smallest distinct non-null values of each column as text, in byte order.
+
+    Every task keeps ``limit`` values a column; they are merged in parts by the task's number, then to
+    one list a column, so no list holds more than ``limit`` values of a task. What comes to the driver has at most
+    ``limit`` values a column.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(cols)])
+    heads = texts.mapInArrow(_least_values(len(cols), limit), "k int, value string") \
+        .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_MERGE_PARTS)))
+    merged = heads.groupBy("k", "part").agg(F.slice(F.array_sort(F.collect_set("value")), 1, limit).alias("values"))
+    lists = merged.groupBy("k").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))), 1, limit).alias("values"))
+    found = {cols[r["k"]]: list(r["values"]) for r in lists.collect()}
+    return {c: found.get(c, []) for c in cols}
+
+
 def distinct_values(df: DataFrame, cols: Sequence[str], list_limit: int = CATEGORICAL_MAX_DISTINCT,
                     sample: int = SAMPLE_VALUES) -> DataFrame:
     """(column_name, n_distinct, values) — all values when n <= list_limit,
-    else the first ``sample`` in sorted order. One distributed distinct over (column, value)
-    serves all columns."""
-    pairs = _distinct_pairs(df, cols)
-    # the smallest values of every task, then of those: no task sorts a whole column
-    some = Window.partitionBy("column_name", "_part").orderBy("value")
-    heads = pairs.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(_HEAD_PARTS))) \
-        .withColumn("_r", F.row_number().over(some)) \
-        .select("column_name", F.when(F.col("_r") <= list_limit, F.col("value")).alias("value"))
-    lists = heads.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"),
-                                             F.array_sort(F.collect_list("value")).alias("_vals"))
-    return (lists.select(
-        "column_name", "n_distinct",
-        F.when(F.col("n_distinct") <= list_limit, F.slice("_vals", 1, list_limit))
-        .otherwise(F.slice("_vals", 1, sample)).alias("values")))
+    else the first ``sample`` in sorted order. The ``list_limit`` + 1 smallest values tell which columns
+    have more; only those are counted by a distributed distinct."""
+    heads = smallest_values(df, cols, list_limit + 1)
+    rows = [(c, len(v), v[:list_limit] if len(v) <= list_limit else v[:sample]) for c, v in heads.items() if v]
+    wide = [c for c, n, _ in rows if n > list_limit]
+    known = df.sparkSession.createDataFrame(rows, "column_name string, n_listed long, values array<string>")
+    if not wide:
+        return known.select("column_name", F.col("n_listed").alias("n_distinct"), "values")
+    return known.join(distinct_counts(df, wide), "column_name", "left").select(
+        "column_name", F.coalesce("n_distinct", "n_listed").alias("n_distinct"), "values")
 
 
 def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -139,33 +189,20 @@ def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return agg.select(F.inline(rows))
 
 
-def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 1000) -> DataFrame:
     """Count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column; NULL and NaN don't count.
 
-    Moments come from one aggregate. Exact quartiles use ``order_statistics``
-    (iteratively narrowed brackets; only a bounded slice of values ever reaches
-    the driver), so no task holds a whole column; ``approx=True`` returns
-    ``percentile_approx`` values in a single pass instead.
+    Two scans: moments and sketches in one aggregate, then the exact quartiles of ``quantiles_of``;
+    ``approx=True`` returns ``percentile_approx`` values of the first scan instead. One row a column comes to the driver.
     """
-    probs = [0.25, 0.5, 0.75]
-    fields = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    exact = {} if approx else exact_quantiles(df, list(cols), probs)
-
-    def stats(c):
-        x = number(df, c)
-        if approx:
-            qs = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy).cast("array<double>")
-            q = [qs[i] for i in range(3)]
-        else:
-            q = [F.lit(exact[c][p]).cast("double") for p in probs]
-        return F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                        F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
-                        F.max(x).alias("max")).alias(c)
-
-    agg = df.agg(*[stats(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}`.{f}").alias(f) for f in fields])
-                     for c in cols])
-    return agg.select(F.inline(rows))
+    probs, cols = [0.25, 0.5, 0.75], list(cols)
+    moments = {c: [F.avg(number(df, c)), F.stddev_samp(number(df, c)), F.min(number(df, c)), F.max(number(df, c))] for c in cols}
+    first = _first_pass(df, cols, [(p, p) for p in probs] if approx else _around(probs, accuracy), accuracy, moments)
+    quantiles = {c: dict(zip(probs, (lo for lo, _ in first[c]["sketch"]))) for c in cols} if approx \
+        else quantiles_of(df, cols, probs, first, accuracy)
+    rows = [(c, first[c]["n"], *first[c]["more"][:3], *(quantiles[c][p] for p in probs), first[c]["more"][3]) for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -174,11 +211,11 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def infer_column_types(df: DataFrame, cols: Sequence[str] | None = None,
-                       max_categories: int = CATEGORICAL_MAX_DISTINCT) -> DataFrame:
+                       max_categories: int = CATEGORICAL_MAX_DISTINCT, count_distinct: bool = True) -> DataFrame:
     """Per string column numeric -> datetime -> categorical (<= 50 distinct) -> problematic.
 
-    One aggregate of non-null / castable counts per column plus one distributed
-    distinct count; the classification is a column expression.
+    One aggregate of non-null / castable counts per column; a column is categorical if its 51 smallest values
+    are fewer. n_distinct of wider columns is counted by a distributed distinct, or left NULL without ``count_distinct``.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (cols or df.columns) if isinstance(types[c], T.StringType)]
@@ -188,13 +225,20 @@ def infer_column_types(df: DataFrame, cols: Sequence[str] | None = None,
     per_col = agg.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.n").alias("n"), F.col(f"`{c}`.n_num").alias("n_num"),
                  F.col(f"`{c}`.n_ts").alias("n_ts")) for c in cols])))
-    counts = distinct_counts(df, cols)
-    j = per_col.join(counts, "column_name", "left").fillna(0, ["n_distinct"])
+    heads = smallest_values(df, cols, max_categories + 1)
+    wide = [c for c in cols if len(heads[c]) > max_categories]
+    listed = df.sparkSession.createDataFrame([(c, len(heads[c])) for c in cols], "column_name string, n_listed long")
+    j = per_col.join(listed, "column_name")
+    if wide and count_distinct:
+        j = j.join(distinct_counts(df, wide), "column_name", "left")
+    else:
+        j = j.withColumn("n_distinct", F.lit(None).cast("long"))
+    few = F.col("n_listed") <= max_categories
     kind = (F.when((F.col("n") > 0) & (F.col("n_num") == F.col("n")), F.lit("numeric"))
             .when((F.col("n") > 0) & (F.col("n_ts") == F.col("n")), F.lit("datetime"))
-            .when((F.col("n_distinct") > 0) & (F.col("n_distinct") <= max_categories), F.lit("categorical"))
+            .when((F.col("n_listed") > 0) & few, F.lit("categorical"))
             .otherwise(F.lit("problematic")))
-    return j.select("column_name", kind.alias("inferred_type"), "n_distinct")
+    return j.select("column_name", kind.alias("inferred_type"), F.when(few, F.col("n_listed")).otherwise(F.col("n_distinct")).alias("n_distinct"))
 
 
 def detect_decision_columns(df: DataFrame, target: str, excludes: Sequence[str] = (),
@@ -252,8 +296,7 @@ def dataset_overview(df: DataFrame, target: str | None = None, sample: int = 5)
 
 
 def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes: dict[str, int],
-                     limit: int = 10_000, accuracy: int = 10_000,
-                     proposals: dict[tuple, tuple] | None = None) -> dict[tuple, float]:
+                     limit: int = 10_000, accuracy: int = 10_000) -> dict[tuple, float]:
     """Exact k-th smallest values (0-based ranks) per column of a long frame (c, x), bounded memory.
 
     Each target keeps a value bracket [lo, hi] known to contain it. A round
@@ -306,11 +349,7 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
         if not refine:
             continue
         sketches, plan = [], []
-        proposals = proposals or {}
         for g, ((col, lo, hi, below, size), rs) in enumerate(refine):
-            if all((col, r) in proposals for r in rs):
-                plan.append(((col, lo, hi, below, size), rs))  # bracket guessed by the caller's sketch
-                continue
             probs = []
             for r in rs:
                 q, m = (r - below) / max(size - 1, 1), state[(col, r)][4]
@@ -318,14 +357,11 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
             sketches.append(F.percentile_approx(F.when(in_bracket(col, lo, hi), x),
                                                 F.array(*[F.lit(p) for p in probs]), accuracy).alias(f"g{g}"))
             plan.append(((col, lo, hi, below, size), rs))
-        approx = values.agg(*sketches).collect()[0] if sketches else {}
+        approx = values.agg(*sketches).collect()[0]
         checks, bounds = [], {}
         for g, ((col, lo, hi, below, size), rs) in enumerate(plan):
             for i, r in enumerate(rs):
-                if (col, r) in proposals:
-                    nlo, nhi = proposals.pop((col, r))
-                else:
-                    nlo, nhi = approx[f"g{g}"][2 * i], approx[f"g{g}"][2 * i + 1]
+                nlo, nhi = approx[f"g{g}"][2 * i], approx[f"g{g}"][2 * i + 1]
                 bounds[(col, r)] = (nlo, nhi)
                 inside = in_bracket(col, lo, hi)
                 checks += [F.count_if(inside & (x < F.lit(nlo))).alias(f"lt_{g}_{i}"),
@@ -349,51 +385,131 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float],
-                    **kw) -> dict:
-    """Linear-interpolated quantiles (pandas / SQL ``quantile_cont``) of each column,
-    without any task or the driver holding a whole column. Returns {col: {p: value}}
-    (or {p: value} when ``cols`` is one name)."""
-    single = isinstance(cols, str)
-    cols = [cols] if single else list(cols)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), number(df, c).alias("x"))
-                                         for c in cols])).alias("_p")).select("_p.*").filter(F.col("x").isNotNull())
-    accuracy = kw.get("accuracy", 10_000)
-    limit = kw.get("limit", 10_000)
-    margin = 2.0 / accuracy
-    sketch_p = {p: (max(0.0, p - margin), min(1.0, p + margin)) for p in probs}
-    # one job: row counts and a first sketch around every requested quantile
-    n_row = df.agg(*[F.count(number(df, c)).alias(c) for c in cols],
-                   *[F.percentile_approx(number(df, c), F.array(*[F.lit(v) for p in probs for v in sketch_p[p]]),
-                                         accuracy).alias(f"_q_{k}") for k, c in enumerate(cols)]).collect()[0]
-    sizes = {c: n_row[c] for c in cols}
-    pos, targets = {}, {}
-    for c in cols:
-        n = sizes[c]
-        if n == 0:
-            continue
-        for p in probs:
-            at = p * (n - 1)
-            lo = int(at // 1)
-            pos[(c, p)] = (lo, min(lo + 1, n - 1), at - lo)
-            targets.setdefault(c, set()).update(pos[(c, p)][:2])
-    proposals = {}
+def _around(probs: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
+    """Probabilities whose sketched values enclose the exact quantiles: a sketch errs by 1 / accuracy at most."""
+    margin = 3.0 / accuracy
+    return [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
+
+
+def _first_pass(df: DataFrame, cols: Sequence[str], ends: Sequence[tuple[float, float]], accuracy: int,
+                more: dict[str, list[Column]] | None = None) -> dict[str, dict]:
+    """Per column the row count ``n``, the sketched values of each pair of probabilities and ``more`` aggregates, in one scan."""
+    asked = F.array(*[F.lit(p) for pair in ends for p in pair])
+    row = df.agg(*[F.struct(F.count(number(df, c)).alias("n"), F.percentile_approx(number(df, c), asked, accuracy).alias("q"),
+                            *[m.cast("double").alias(f"m{k}") for k, m in enumerate((more or {}).get(c, []))]).alias(f"_{i}")
+                   for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        cell = row[f"_{i}"]
+        q = cell["q"] or [None] * (2 * len(ends))
+        out[c] = {"n": cell["n"], "sketch": list(zip(q[::2], q[1::2])), "more": list(cell)[2:]}
+    return out
+
+
+def _bracket_rows(brackets: list[tuple[int, float, float]]):
+    """(g, x) of the values strictly inside bracket g = (column, lo, hi), and one row (g, counts) a task: below lo, at lo, at hi."""
+    def run(batches):
+        import pyarrow as pa
+        counts = np.zeros((len(brackets), 3), dtype=np.int64)
+
+        def rows(g, x, table):
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(x, pa.float64()),
+                                               *[pa.array(v, pa.int64()) for v in table]], names=["g", "x", "below", "at_lo", "at_hi"])
+        for batch in batches:
+            values = {}
+            for g, (k, lo, hi) in enumerate(brackets):
+                if k not in values:
+                    x = batch.column(k).drop_null().to_numpy(zero_copy_only=False)
+                    values[k] = x[~np.isnan(x)]
+                x = values[k]
+                below, at_lo, at_hi = x < lo, x == lo, (x == hi) & (lo < hi)
+                counts[g] += np.count_nonzero(below), np.count_nonzero(at_lo), np.count_nonzero(at_hi)
+                inside = x[(x > lo) & (x < hi)]
+                if len(inside):
+                    none = [None] * len(inside)
+                    yield rows(np.full(len(inside), g), inside, (none, none, none))
+        yield rows(np.arange(len(brackets)), [None] * len(brackets), counts.T)
+    return run
+
+
+def quantiles_of(df: DataFrame, cols: Sequence[str], probs: Sequence[float], first: dict[str, dict], accuracy: int,
+                 limit: int = 10_000) -> dict[str, dict[float, float | None]]:
+    """Exact linear-interpolated quantiles from the sketches of ``_first_pass``, in one more scan.
+
+    The scan counts what lies below each sketched bracket and at its ends, and writes the values inside,
+    about 6 / ``accuracy`` of the rows (ties at the ends are only counted). The wanted ranks are then taken
+    from the written values: in a task if a bracket has at most ``limit``, else by ``order_statistics`` over them.
+    Small columns are one bracket. A rank outside its bracket is searched over the whole column.
+    """
+    brackets, asked = [], []  # (column, lo, hi) and the (column, prob) it is for
+    places = {}
     for k, c in enumerate(cols):
-        # the rank of p * (n - 1) is within 1 / (n - 1) <= margin of p once n exceeds the collect limit
-        if sizes[c] > limit and sizes[c] - 1 >= accuracy / 2:
-            qs = n_row[f"_q_{k}"]
-            for i, p in enumerate(probs):
-                for r in pos[(c, p)][:2]:
-                    proposals[(c, r)] = (qs[2 * i], qs[2 * i + 1])
-    v = order_statistics(long, {c: sorted(t) for c, t in targets.items()}, sizes, proposals=proposals,
-                         **kw) if targets else {}
+        n = first[c]["n"]
+        for i, p in enumerate(probs):
+            if not n:
+                continue
+            at = p * (n - 1)
+            low = int(at // 1)
+            places[c, p] = (low, min(low + 1, n - 1), at - low)
+            brackets.append((k, *(first[c]["sketch"][i] if n > limit else (-np.inf, np.inf))))
+            asked.append((c, p))
+    if not brackets:
+        return {c: dict.fromkeys(probs) for c in cols}
+    texts = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(cols)])
+    shared = sorted(set(brackets))
+    found = cut_lineage(texts.mapInArrow(_bracket_rows(shared), "g int, x double, below long, at_lo long, at_hi long"))
+    counts = {r["g"]: r for r in found.groupBy("g").agg(F.sum("below").alias("below"), F.sum("at_lo").alias("at_lo"),
+                                                        F.sum("at_hi").alias("at_hi"), F.count("x").alias("inside")).collect()}
+    value: dict[tuple[str, int], float] = {}
+    inner: dict[int, dict[int, tuple[str, int]]] = {}  # bracket -> rank inside it -> (column, rank)
+    missed: dict[str, set[int]] = {}
+    for bracket, (c, p) in zip(brackets, asked):
+        g = shared.index(bracket)
+        for rank in places[c, p][:2]:
+            k = rank - counts[g]["below"]
+            if k < 0 or k >= counts[g]["at_lo"] + counts[g]["inside"] + counts[g]["at_hi"]:
+                missed.setdefault(c, set()).add(rank)
+            elif k < counts[g]["at_lo"]:
+                value[c, rank] = bracket[1]
+            elif k < counts[g]["at_lo"] + counts[g]["inside"]:
+                inner.setdefault(g, {})[k - counts[g]["at_lo"]] = (c, rank)
+            else:
+                value[c, rank] = bracket[2]
+    written = found.filter("x is not null").select("g", "x")
+    small = {g: ks for g, ks in inner.items() if counts[g]["inside"] <= limit}
+    if small:
+        wanted = reduce(lambda a, b: a | b, [(F.col("g") == g) & F.col("k").isin([k + 1 for k in ks]) for g, ks in small.items()])
+        ranked = written.filter(F.col("g").isin(list(small))).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("x")))
+        for r in ranked.filter(wanted).collect():
+            value[small[r["g"]][r["k"] - 1]] = r["x"]
+    large = {g: ks for g, ks in inner.items() if g not in small}
+    if large:
+        deeper = order_statistics(written.withColumnRenamed("g", "c"), {g: sorted(ks) for g, ks in large.items()},
+                                  {g: counts[g]["inside"] for g in large}, limit)
+        value |= {large[g][k]: x for (g, k), x in deeper.items()}
+    if missed:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), number(df, c).alias("x")) for c in missed])).alias("_p")) \
+            .select("_p.*").filter("x is not null")
+        value |= order_statistics(long, {c: sorted(r) for c, r in missed.items()}, {c: first[c]["n"] for c in missed}, limit)
     out = {}
     for c in cols:
         out[c] = {}
         for p in probs:
-            if (c, p) not in pos:
-                out[c][p] = None
-                continue
-            lo, hi, f = pos[(c, p)]
-            out[c][p] = v[(c, lo)] if hi == lo else v[(c, lo)] + (v[(c, hi)] - v[(c, lo)]) * f
+            low, high, f = places.get((c, p), (None, None, None))
+            out[c][p] = None if low is None else value[c, low] + (value[c, high] - value[c, low]) * f if high != low else value[c, low]
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float], limit: int = 10_000,
+                    accuracy: int = 1000) -> dict:
+    """Linear-interpolated quantiles (pandas / SQL ``quantile_cont``) of each column in two scans,
+    without any task or the driver holding a whole column. Returns {col: {p: value}}
+    (or {p: value} when ``cols`` is one name)."""
+    single = isinstance(cols, str)
+    cols = [cols] if single else list(cols)
+    first = _first_pass(df, cols, _around(probs, accuracy), accuracy)
+    out = quantiles_of(df, cols, probs, first, accuracy, limit)
     return out[cols[0]] if single else out
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the task functions above reach executors by value

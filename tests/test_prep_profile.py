@@ -240,3 +240,65 @@ def test_scratch_needs_a_shared_folder_off_local(monkeypatch):
                 ensure_checkpoint_dir(spark)
         else:
             ensure_checkpoint_dir(spark)
+
+
+def test_duplicates_are_exact_when_fingerprints_collide(spark, monkeypatch):
+    rows = [(i % 40, None if i % 3 else "a", float("nan") if i % 5 else 0.0) for i in range(300)] + [(1000 + i, "x", 1.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "a long, b string, `c.d` double")
+    seen, want = set(), 0
+    for r in rows:
+        want += repr(r) in seen
+        seen.add(repr(r))
+    colliding = [F.pmod(F.xxhash64("a"), F.lit(3))]
+    assert P.duplicate_rows(df).first()[0] == want
+    assert P.duplicate_rows(df, colliding).first()[0] == want
+    monkeypatch.setattr(P, "_BROADCAST_PRINTS", 1)  # joined by shuffle
+    assert P.duplicate_rows(df).first()[0] == want
+    assert P.duplicate_rows(df.limit(0)).first()[0] == 0
+
+
+def test_smallest_values_merge_tasks(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("v"), F.pmod(F.col("id") * 7919, F.lit(5000)).cast("string")).alias("many"),
+                                    F.when(F.col("id") % 5 > 0, (F.col("id") % 51).cast("string")).alias("few"),
+                                    F.lit(None).cast("string").alias("none")).repartition(90)
+    got = P.smallest_values(df, ["many", "few", "none"], 51)
+    assert got["many"] == sorted({f"v{i}" for i in range(5000)})[:51]
+    assert got["few"] == sorted(str(i) for i in range(51)) and got["none"] == []
+    dv = {r["column_name"]: r for r in P.distinct_values(df, ["many", "few", "none"]).collect()}
+    assert set(dv) == {"many", "few"} and dv["many"]["n_distinct"] == 5000 and dv["few"]["n_distinct"] == 51
+    assert len(dv["few"]["values"]) == 10
+    kinds = {r["column_name"]: r for r in P.infer_column_types(df.withColumn("t", F.concat(F.lit("t"), "few")), count_distinct=False).collect()}
+    assert kinds["few"]["inferred_type"] == "numeric" and kinds["many"]["inferred_type"] == "problematic"
+    assert kinds["t"]["inferred_type"] == "problematic" and kinds["none"]["n_distinct"] == 0 and kinds["many"]["n_distinct"] is None
+
+
+@pytest.mark.parametrize("limit, accuracy", [(10_000, 1000), (100, 100), (20, 1000)])
+def test_two_pass_quantiles_equal_numpy(spark, limit, accuracy):
+    rng = np.random.default_rng(6)
+    cols = {"skewed": np.exp(rng.normal(size=30_000) * 5), "ties": rng.integers(0, 4, 30_000).astype(float),
+            "half": np.where(rng.random(30_000) < 0.5, 7.0, rng.normal(size=30_000)), "one": np.full(30_000, 3.0)}
+    df = spark.createDataFrame(__import__("pandas").DataFrame(cols)).repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = P.exact_quantiles(df, list(cols), probs, limit=limit, accuracy=accuracy)
+    for c, x in cols.items():
+        for p in probs:
+            assert got[c][p] == pytest.approx(np.quantile(x, p), rel=1e-12), (c, p)
+
+
+def test_describe_scans_the_table_twice(spark, tmp_path):
+    df = spark.createDataFrame([(float(i % 977), None if i % 7 else float("nan")) for i in range(30_000)], "a double, b double")
+    scans = []
+    for name in ("agg", "select"):
+        real = getattr(type(df), name)
+
+        def counted(self, *a, _real=real, _name=name, **k):
+            if self is df:
+                scans.append(_name)
+            return _real(self, *a, **k)
+        setattr(type(df), name, counted)
+        try:
+            rows = {r["feature"]: r for r in P.describe(df, ["a", "b"]).collect()} if name == "select" else {}
+        finally:
+            setattr(type(df), name, real)
+    assert scans == ["select"]  # the second scan; the first is the aggregate
+    assert rows["a"]["q50"] == float(np.quantile([i % 977 for i in range(30_000)], 0.5)) and rows["b"]["count"] == 0 and rows["b"]["q50"] is None
