@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,18 +189,25 @@ def column_info(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return agg.select(F.inline(rows))
 
 
-def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 1000) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Count, mean, std (sample), min, 25/50/75 % (linear interpolation), max per column; NULL and NaN don't count.
 
-    Two scans: moments and sketches in one aggregate, then the exact quartiles of ``quantiles_of``;
-    ``approx=True`` returns ``percentile_approx`` values of the first scan instead. One row a column comes to the driver.
+    Three scans: moments in one aggregate, then the exact quartiles of ``quantiles_of``; ``approx=True``
+    takes ``percentile_approx`` values in the first scan instead. One row a column comes to the driver.
     """
     probs, cols = [0.25, 0.5, 0.75], list(cols)
-    moments = {c: [F.avg(number(df, c)), F.stddev_samp(number(df, c)), F.min(number(df, c)), F.max(number(df, c))] for c in cols}
-    first = _first_pass(df, cols, [(p, p) for p in probs] if approx else _around(probs, accuracy), accuracy, moments)
-    quantiles = {c: dict(zip(probs, (lo for lo, _ in first[c]["sketch"]))) for c in cols} if approx \
-        else quantiles_of(df, cols, probs, first, accuracy)
-    rows = [(c, first[c]["n"], *first[c]["more"][:3], *(quantiles[c][p] for p in probs), first[c]["more"][3]) for c in cols]
+
+    def stats(c):
+        x = number(df, c)
+        sketch = F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), accuracy) if approx else F.lit(None)
+        return F.struct(F.count(x).alias("n"), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x), sketch.alias("q"))
+
+    moments = df.agg(*[stats(c).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+    if approx:
+        quantiles = {c: dict(zip(probs, moments[k]["q"] or [None] * 3)) for k, c in enumerate(cols)}
+    else:
+        quantiles = quantiles_of(df, cols, probs, {c: moments[k]["n"] for k, c in enumerate(cols)})
+    rows = [(c, *moments[k][:4], *(quantiles[c][p] for p in probs), moments[k][4]) for k, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "feature string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
@@ -385,25 +392,83 @@ def order_statistics(values: DataFrame, targets: dict[str, Sequence[int]], sizes
     return out
 
 
-def _around(probs: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
-    """Probabilities whose sketched values enclose the exact quantiles: a sketch errs by 1 / accuracy at most."""
-    margin = 3.0 / accuracy
-    return [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
+def _reduced(values: np.ndarray, weights: np.ndarray, points: int) -> tuple[np.ndarray, float]:
+    """``points`` values that stand for equal shares of the weighted values; their ranks err by half a share at most."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weights[order])
+    at = np.searchsorted(upto, (np.arange(points) + 0.5) * (upto[-1] / points))
+    return values[order][np.minimum(at, len(order) - 1)], upto[-1] / points
 
 
-def _first_pass(df: DataFrame, cols: Sequence[str], ends: Sequence[tuple[float, float]], accuracy: int,
-                more: dict[str, list[Column]] | None = None) -> dict[str, dict]:
-    """Per column the row count ``n``, the sketched values of each pair of probabilities and ``more`` aggregates, in one scan."""
-    asked = F.array(*[F.lit(p) for pair in ends for p in pair])
-    row = df.agg(*[F.struct(F.count(number(df, c)).alias("n"), F.percentile_approx(number(df, c), asked, accuracy).alias("q"),
-                            *[m.cast("double").alias(f"m{k}") for k, m in enumerate((more or {}).get(c, []))]).alias(f"_{i}")
-                   for i, c in enumerate(cols)]).first()
-    out = {}
-    for i, c in enumerate(cols):
-        cell = row[f"_{i}"]
-        q = cell["q"] or [None] * (2 * len(ends))
-        out[c] = {"n": cell["n"], "sketch": list(zip(q[::2], q[1::2])), "more": list(cell)[2:]}
-    return out
+def _summaries(n_cols: int, points: int, chunk: int = 1 << 16, held: int = 64):
+    """One row (k, weight, points) a task and column: boundaries of equal shares of the task's values.
+
+    Values are sorted ``chunk`` at a time, and a task holds ``held`` summaries of each column at most.
+    """
+    def run(batches):
+        import pyarrow as pa
+        raw = [[] for _ in range(n_cols)]
+        done: list[list[tuple[np.ndarray, float]]] = [[] for _ in range(n_cols)]
+
+        def reduce_all(k):
+            if raw[k]:
+                x = np.concatenate(raw[k])
+                done[k].append((x, 1.0) if len(x) <= points else _reduced(x, np.ones(len(x)), points))
+                raw[k] = []
+
+        def merged(k):
+            values = np.concatenate([v for v, _ in done[k]])
+            if len(done[k]) == 1 and len(values) <= points:
+                return done[k][0]
+            return _reduced(values, np.concatenate([np.full(len(v), w) for v, w in done[k]]), points)
+        for batch in batches:
+            for k in range(n_cols):
+                x = batch.column(k).drop_null().to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                if len(x):
+                    raw[k].append(x)
+                if sum(map(len, raw[k])) >= chunk:
+                    reduce_all(k)
+                    if len(done[k]) >= held:
+                        done[k] = [merged(k)]
+        for k in range(n_cols):
+            reduce_all(k)
+            if done[k]:
+                values, weight = merged(k)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([weight], pa.float64()),
+                                                  pa.array([values], pa.list_(pa.float64()))], names=["k", "weight", "points"])
+    return run
+
+
+def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], points: int) -> dict[tuple[str, float], tuple[float, float]]:
+    """(lo, hi) for each column and probability, between which its quantile should lie: about 10 / ``points`` of the rows."""
+    margin = 5.0 / points
+
+    def weighted(pdf):
+        values = [np.asarray(v, dtype=np.float64) for v in pdf["points"]]
+        return np.concatenate(values), np.concatenate([np.full(len(v), w) for v, w in zip(values, pdf["weight"])])
+
+    def merge(key, pdf):
+        values, weight = _reduced(*weighted(pdf), points)
+        return pd.DataFrame({"k": [key[0]], "weight": [weight], "points": [values]})
+
+    def ends(key, pdf):
+        values, weights = weighted(pdf)
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(weights[order])
+
+        def at(p):
+            return float(values[order][min(int(np.searchsorted(upto, p * upto[-1])), len(order) - 1)])
+        return pd.DataFrame({"k": key[0], "p": np.arange(len(probs), dtype=np.int32),
+                             "lo": [at(p - margin) if p > margin else -np.inf for p in probs],
+                             "hi": [at(p + margin) if p + margin < 1 else np.inf for p in probs]})
+
+    parts = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(cols)]) \
+        .mapInArrow(_summaries(len(cols), points), "k int, weight double, points array<double>") \
+        .withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_MERGE_PARTS)))
+    merged = parts.groupBy("k", "part").applyInPandas(merge, "k int, weight double, points array<double>")
+    found = merged.groupBy("k").applyInPandas(ends, "k int, p int, lo double, hi double").collect()
+    return {(cols[r["k"]], probs[r["p"]]): (r["lo"], r["hi"]) for r in found}
 
 
 def _bracket_rows(brackets: list[tuple[int, float, float]]):
@@ -432,26 +497,28 @@ def _bracket_rows(brackets: list[tuple[int, float, float]]):
     return run
 
 
-def quantiles_of(df: DataFrame, cols: Sequence[str], probs: Sequence[float], first: dict[str, dict], accuracy: int,
-                 limit: int = 10_000) -> dict[str, dict[float, float | None]]:
-    """Exact linear-interpolated quantiles from the sketches of ``_first_pass``, in one more scan.
+def quantiles_of(df: DataFrame, cols: Sequence[str], probs: Sequence[float], sizes: dict[str, int], limit: int = 10_000,
+                 points: int = 2000) -> dict[str, dict[float, float | None]]:
+    """Exact linear-interpolated quantiles in two scans; ``sizes`` counts the known values of each column.
 
-    The scan counts what lies below each sketched bracket and at its ends, and writes the values inside,
-    about 6 / ``accuracy`` of the rows (ties at the ends are only counted). The wanted ranks are then taken
-    from the written values: in a task if a bracket has at most ``limit``, else by ``order_statistics`` over them.
-    Small columns are one bracket. A rank outside its bracket is searched over the whole column.
+    The first scan sums up every task's values as ``points`` boundaries of equal shares, which are merged in two
+    levels to a bracket around each quantile. The second counts what lies below each bracket and at its ends, and writes
+    the values inside, about 10 / ``points`` of the rows (ties at the ends are only counted). The wanted ranks are
+    taken from the written values: in a task if a bracket has at most ``limit``, else by ``order_statistics`` over them.
+    Columns of ``limit`` values or fewer are one bracket. A rank that its bracket misses is searched over the whole column.
     """
+    cols, probs = list(cols), list(probs)
+    ends = _brackets(df, [c for c in cols if sizes[c] > limit], probs, points) if any(sizes[c] > limit for c in cols) else {}
     brackets, asked = [], []  # (column, lo, hi) and the (column, prob) it is for
     places = {}
     for k, c in enumerate(cols):
-        n = first[c]["n"]
-        for i, p in enumerate(probs):
-            if not n:
+        for p in probs:
+            if not sizes[c]:
                 continue
-            at = p * (n - 1)
+            at = p * (sizes[c] - 1)
             low = int(at // 1)
-            places[c, p] = (low, min(low + 1, n - 1), at - low)
-            brackets.append((k, *(first[c]["sketch"][i] if n > limit else (-np.inf, np.inf))))
+            places[c, p] = (low, min(low + 1, sizes[c] - 1), at - low)
+            brackets.append((k, *ends.get((c, p), (-np.inf, np.inf))))
             asked.append((c, p))
     if not brackets:
         return {c: dict.fromkeys(probs) for c in cols}
@@ -490,7 +557,7 @@ def quantiles_of(df: DataFrame, cols: Sequence[str], probs: Sequence[float], fir
     if missed:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), number(df, c).alias("x")) for c in missed])).alias("_p")) \
             .select("_p.*").filter("x is not null")
-        value |= order_statistics(long, {c: sorted(r) for c, r in missed.items()}, {c: first[c]["n"] for c in missed}, limit)
+        value |= order_statistics(long, {c: sorted(r) for c, r in missed.items()}, {c: sizes[c] for c in missed}, limit)
     out = {}
     for c in cols:
         out[c] = {}
@@ -501,14 +568,14 @@ def quantiles_of(df: DataFrame, cols: Sequence[str], probs: Sequence[float], fir
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float], limit: int = 10_000,
-                    accuracy: int = 1000) -> dict:
-    """Linear-interpolated quantiles (pandas / SQL ``quantile_cont``) of each column in two scans,
+                    accuracy: int = 2000) -> dict:
+    """Linear-interpolated quantiles (pandas / SQL ``quantile_cont``) of each column in three scans,
     without any task or the driver holding a whole column. Returns {col: {p: value}}
-    (or {p: value} when ``cols`` is one name)."""
+    (or {p: value} when ``cols`` is one name). ``accuracy`` is the number of points of a task's summary."""
     single = isinstance(cols, str)
     cols = [cols] if single else list(cols)
-    first = _first_pass(df, cols, _around(probs, accuracy), accuracy)
-    out = quantiles_of(df, cols, probs, first, accuracy, limit)
+    counts = df.agg(*[F.count(number(df, c)) for c in cols]).first()
+    out = quantiles_of(df, cols, probs, dict(zip(cols, counts)), limit, accuracy)
     return out[cols[0]] if single else out
 
 
