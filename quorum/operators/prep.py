@@ -15,11 +15,19 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorum.functions.metrics import encode_tag, nan_to_null, number
+from quorum.session import cut_lineage
+
+#: Most levels that become columns of a wide one-hot frame.
+MAX_WIDE_LEVELS = 20_000
+#: Levels with more than one in HOT_SHARE of the cells are joined by broadcast; there are at most HOT_SHARE of them.
+HOT_SHARE = 1000
+#: Parts by task number in which the tasks' correlation blocks are merged, level by level, before the last merge.
+MERGE_PARTS = (1024, 32)
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -72,29 +80,82 @@ def split_dtypes(df: DataFrame) -> tuple[list[str], list[str]]:
     return numeric, categorical
 
 
-def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+def _cells(df: DataFrame, cols: Sequence[str], *keep: Column) -> DataFrame:
+    """(*keep, column_name, value): one row for each row and column, the value as text."""
+    return df.select(*keep, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])).alias("_p")
+    ).select(*[F.col(f"`{k}`") for k in df.select(*keep).columns], "_p.*")
+
+
+def category_levels(df: DataFrame, cols: Sequence[str], limit: int = MAX_WIDE_LEVELS) -> dict[str, list]:
     """Sorted distinct non-null values of each column, computed as one distributed distinct.
 
-    The values become column names, so their number is that of the columns of
-    the encoded frame.
+    The values become column names of a wide frame, so more than ``limit`` of them are an
+    error; ``one_hot_sparse`` encodes any number.
     """
     if not cols:
         return {}
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("_p")
-    ).select("_p.*").filter(F.col("v").isNotNull()).distinct()
+    pairs = _cells(df, cols).filter(F.col("value").isNotNull()).distinct()
     out: dict[str, list] = {c: [] for c in cols}
-    for r in pairs.collect():
-        out[r["c"]].append(r["v"])
+    rows = pairs.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} levels in {', '.join(cols)}: one column a level is too wide, use one_hot_sparse")
+    for r in rows:
+        out[r["column_name"]].append(r["value"])
     return {c: sorted(v) for c, v in out.items()}
 
 
+def level_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, rows, level, index) of every distinct non-null value, as a table.
+
+    ``level`` ranks a column's values in byte order from 0; level 0 is the one that is dropped, the others get
+    ``index``, their place in the encoded vector, column after column in the order of ``cols``. Values are
+    partitioned by range and numbered within their range, so no task and no driver holds a column's levels.
+    """
+    order = F.create_map(*[x for k, c in enumerate(cols) for x in (F.lit(c), F.lit(k))])
+    levels = _cells(df, cols).filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    # the id holds the number of the range and the place in it; written once, so both stay as they are
+    ranged = cut_lineage(levels.withColumn("_order", order[F.col("column_name")]).repartitionByRange("_order", "value")
+                         .sortWithinPartitions("_order", "value").withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranged.select("*", part).join(sizes.select("_part", before.alias("_before")), "_part") \
+        .withColumn("_rank", F.col("_before") + place)
+    columns = ranked.groupBy("_order").agg(F.min("_rank").alias("_first"))  # one row a column
+    columns = columns.withColumn("_nth", F.row_number().over(Window.orderBy("_order")))
+    level = F.col("_rank") - F.col("_first")
+    return ranked.join(columns, "_order").select(
+        "column_name", "value", "rows", level.alias("level"), F.when(level > 0, F.col("_rank") - F.col("_nth")).alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, id_col: str, cols: Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """P6 for any number of levels: (id, size, indices) of every row, the places of its ones in the encoded vector.
+
+    Levels come from ``dictionary`` (default: that of ``df``); NULL, the dropped level and values that the
+    dictionary doesn't know have no place. Levels with more than one in ``HOT_SHARE`` of the cells are joined by
+    broadcast, the others by shuffle, so no task gets a hot level's rows. Ids must be unique.
+    """
+    dictionary = cut_lineage(level_dictionary(df, cols) if dictionary is None else dictionary)
+    sums = dictionary.agg(F.coalesce(F.max("index") + 1, F.lit(0)).alias("size"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    is_hot = F.col("rows") * HOT_SHARE > sums["rows"]
+    keys = ["column_name", "value"]
+    cells = _cells(df, cols, F.col(f"`{id_col}`").alias("_id"))
+    hot = F.broadcast(dictionary.filter(is_hot).select(*keys, "index", F.lit(True).alias("_hot")))
+    found = cells.join(hot, keys, "left")
+    cold = found.filter("_hot is null and value is not null").select("_id", *keys) \
+        .join(dictionary.filter(~is_hot).select(*keys, "index"), keys, "left")
+    every = found.filter("_hot or value is null").select("_id", "index").unionByName(cold.select("_id", "index"))
+    return every.groupBy("_id").agg(F.array_sort(F.collect_list("index")).alias("indices")) \
+        .select(F.col("_id").alias(id_col), F.lit(sums["size"]).cast("long").alias("size"), "indices")
+
+
 def one_hot_drop_first(df: DataFrame, cols: Sequence[str] | None = None,
                        encode_bool: bool = True) -> tuple[DataFrame, list[str]]:
     """Dummies for each categorical column, sorted levels, first dropped, NULL -> all 0.
 
     Non-categorical columns keep their order and come first, then
-    ``{col}_{value}`` dummies, however many there are. Returns (frame, dummy names).
+    ``{col}_{value}`` dummies, at most ``MAX_WIDE_LEVELS``. Returns (frame, dummy names).
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     if cols is None:
@@ -178,29 +239,48 @@ def _gram_blocks(n_cols: int, block: int):
     return run
 
 
-def _merge_blocks(n_cols: int, block: int):
-    """|r| of the pairs of two column blocks from the tasks' co-moments, merged by the pairwise update of means."""
+def _moments(values, h: int, w: int) -> tuple[list, list]:
+    """A task's block as (n, means, co-moments about the means) and limits."""
+    c = np.asarray(values, dtype=np.float64)
+    n, sx, sy, sxx, syy, sxy = c[:6 * h * w].reshape(6, h, w)
+    si, sj, *ends = np.split(c[6 * h * w:], np.cumsum([h, w, h, h, w]))
+    k = np.maximum(n, 1)
+    return [n, si[:, None] + sx / k, sj[None, :] + sy / k, sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k], ends
+
+
+def _joined(total: list, limits: list, part: list, ends: list) -> tuple[list, list]:
+    """Two blocks' moments as one, by the pairwise update of means."""
+    n = part[0]
+    both = total[0] + n
+    f = n / np.maximum(both, 1)
+    dx, dy = np.where(n > 0, part[1] - total[1], 0.0), np.where(n > 0, part[2] - total[2], 0.0)
+    g = total[0] * f
+    total = [both, np.where(total[0] > 0, total[1] + dx * f, part[1]), np.where(total[0] > 0, total[2] + dy * f, part[2]),
+             total[3] + part[3] + dx * dx * g, total[4] + part[4] + dy * dy * g, total[5] + part[5] + dx * dy * g]
+    lo_i, hi_i, lo_j, hi_j = ends
+    return total, [np.minimum(limits[0], lo_i), np.maximum(limits[1], hi_i), np.minimum(limits[2], lo_j), np.maximum(limits[3], hi_j)]
+
+
+def _merge_blocks(n_cols: int, block: int, last: bool):
+    """Merges the blocks of two column blocks; ``last``: to the |r| of their pairs, else to one block of the same kind.
+
+    Blocks hold sums about a shift, those of merged blocks about their means: so a merged block has zeros as sums.
+    """
     def run(key, pdf):
-        i0, j0 = int(key[0]) * block, int(key[1]) * block
+        bi, bj = int(key[0]), int(key[1])
+        i0, j0 = bi * block, bj * block
         h, w = min(block, n_cols - i0), min(block, n_cols - j0)
-        total = None
-        for values in pdf["cells"]:
-            c = np.asarray(values, dtype=np.float64)
-            n, sx, sy, sxx, syy, sxy = c[:6 * h * w].reshape(6, h, w)
-            si, sj, lo_i, hi_i, lo_j, hi_j = np.split(c[6 * h * w:], np.cumsum([h, w, h, h, w]))
-            k = np.maximum(n, 1)
-            part = [n, si[:, None] + sx / k, sj[None, :] + sy / k, sxx - sx * sx / k, syy - sy * sy / k, sxy - sx * sy / k]
-            ends = [lo_i, hi_i, lo_j, hi_j]
-            if total is None:
-                total, limits = part, ends
-                continue
-            both = total[0] + n
-            f = n / np.maximum(both, 1)
-            dx, dy = np.where(n > 0, part[1] - total[1], 0.0), np.where(n > 0, part[2] - total[2], 0.0)
-            g = total[0] * f
-            total = [both, np.where(total[0] > 0, total[1] + dx * f, part[1]), np.where(total[0] > 0, total[2] + dy * f, part[2]),
-                     total[3] + part[3] + dx * dx * g, total[4] + part[4] + dy * dy * g, total[5] + part[5] + dx * dy * g]
-            limits = [np.minimum(limits[0], lo_i), np.maximum(limits[1], hi_i), np.minimum(limits[2], lo_j), np.maximum(limits[3], hi_j)]
+        total = limits = None
+        for values, merged in zip(pdf["cells"], pdf["merged"]):
+            if merged:
+                c = np.asarray(values, dtype=np.float64)
+                part, ends = list(c[:6 * h * w].reshape(6, h, w)), np.split(c[6 * h * w:], np.cumsum([h, h, w]))
+            else:
+                part, ends = _moments(values, h, w)
+            total, limits = (part, ends) if total is None else _joined(total, limits, part, ends)
+        if not last:
+            cells = np.concatenate([*(x.ravel() for x in total), *limits])
+            return pd.DataFrame({"bi": [bi], "bj": [bj], "cells": [cells], "merged": [True], "part": [int(key[2])], "blocks": [len(pdf)]})
         _, mx, my, vx, vy, cxy = total
         # a side without spread beyond rounding has no correlation
         flat = (limits[0] >= limits[1])[:, None] | (limits[2] >= limits[3])[None, :] \
@@ -212,21 +292,36 @@ def _merge_blocks(n_cols: int, block: int):
     return run
 
 
+def merged_blocks(rows: DataFrame, n_cols: int, block: int) -> DataFrame:
+    """The tasks' blocks (bi, bj, cells, merged, part, blocks), merged to at most ``MERGE_PARTS[-1]`` for each pair of column blocks.
+
+    The number of tasks isn't known before they run, so the parts are fixed: up to 32 x 1024 tasks no group, the last
+    merge included, gets more than about 32 blocks.
+    """
+    schema = "bi int, bj int, cells array<double>"
+    blocks = rows.mapInArrow(_gram_blocks(n_cols, block), schema).select(
+        "*", F.lit(False).alias("merged"), F.spark_partition_id().cast("long").alias("part"), F.lit(1).alias("blocks"))
+    for parts in MERGE_PARTS:
+        blocks = blocks.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("bi", "bj", "part").applyInPandas(
+            _merge_blocks(n_cols, block, False), f"{schema}, merged boolean, part long, blocks int")
+    return blocks
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str], block: int = 64) -> DataFrame:
     """(feature_i, feature_j, abs_corr, i, j) for i < j: |Pearson r| over the rows where both are known (NULL, NaN: unknown).
 
     One pass over the table whether values are missing or not: every task adds
     up the co-moments of all pairs of its rows as matrix products, one block of
-    columns against another, and Spark merges the tasks' blocks per pair of
-    blocks. Neither side grows with the rows. Constant columns give NULL.
+    columns against another. The tasks' blocks of a pair of column blocks are merged as a tree (``MERGE_PARTS``).
+    Constant columns give NULL.
     """
     cols = list(cols)
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "feature_i string, feature_j string, abs_corr double, i int, j int")
     rows = df.select(*[number(df, c).alias(f"c{k}") for k, c in enumerate(cols)])
-    blocks = rows.mapInArrow(_gram_blocks(len(cols), block), "bi int, bj int, cells array<double>")
-    pairs = blocks.groupBy("bi", "bj").applyInPandas(_merge_blocks(len(cols), block), "i int, j int, r double")
+    pairs = merged_blocks(rows, len(cols), block).groupBy("bi", "bj").applyInPandas(
+        _merge_blocks(len(cols), block, True), "i int, j int, r double")
     names = F.array(*[F.lit(c) for c in cols])
     return pairs.select(F.get(names, F.col("i")).alias("feature_i"), F.get(names, F.col("j")).alias("feature_j"),
                         nan_to_null("r").alias("abs_corr"), "i", "j")

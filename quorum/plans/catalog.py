@@ -469,6 +469,37 @@ def p6b_one_hot_preview(spark, sf_dir):
     return PR.one_hot_preview(V.docs_x(spark, sf_dir), V.TARGET, excludes=[V.ID])[0]
 
 
+_LEVELS_SQL = """
+levels AS (
+  SELECT column_name, value, count(*) AS rows,
+         dense_rank() OVER (PARTITION BY column_name ORDER BY value) - 1 AS level
+  FROM (SELECT 'o_orderpriority' AS column_name, o_orderpriority AS value FROM orders
+        UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
+        UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders) v
+  WHERE value IS NOT NULL GROUP BY column_name, value),
+dictionary AS (
+  SELECT column_name, value, rows, level,
+         CASE WHEN level > 0 THEN level - 1 + CASE column_name WHEN 'o_orderpriority' THEN 0
+           WHEN 'o_custkey' THEN (SELECT count(*) - 1 FROM levels WHERE column_name = 'o_orderpriority')
+           ELSE (SELECT count(*) - 2 FROM levels WHERE column_name <> 'o_orderstatus') END END AS index
+  FROM levels)"""
+_LEVEL_COLS = ["o_orderpriority", "o_custkey", "o_orderstatus"]
+
+
+@register("p6s_level_dictionary", "WITH " + _LEVELS_SQL + " SELECT * FROM dictionary")
+def p6s_level_dictionary(spark, sf_dir):
+    return PR.level_dictionary(spark.read.parquet(f"{sf_dir}/orders.parquet"), _LEVEL_COLS)
+
+
+@register("p6s_one_hot_sparse", "WITH " + _LEVELS_SQL + """
+SELECT o_orderkey, (SELECT max(index) + 1 FROM dictionary) AS size, list_sort([x FOR x IN [p.index, c.index, s.index] IF x IS NOT NULL]) AS indices
+FROM orders o LEFT JOIN dictionary p ON p.column_name = 'o_orderpriority' AND p.value = o_orderpriority
+LEFT JOIN dictionary c ON c.column_name = 'o_custkey' AND c.value = CAST(o_custkey AS VARCHAR)
+LEFT JOIN dictionary s ON s.column_name = 'o_orderstatus' AND s.value = o_orderstatus""")
+def p6s_one_hot_sparse(spark, sf_dir):
+    return PR.one_hot_sparse(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", _LEVEL_COLS)
+
+
 def _variance_sql(fn: str, threshold: float) -> str:
     return S.with_(V.EVENTS_X_SQL) + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {fn}({c}) AS variance, coalesce({fn}({c}) > {threshold!r}::DOUBLE, false) AS kept "

@@ -305,3 +305,48 @@ def test_describe_of_columns_with_missing_values(spark):
     assert rows["b"]["count"] == 0 and rows["b"]["q50"] is None and rows["k"]["q25"] == 29_999 / 4
     rough = {r["feature"]: r for r in P.describe(df, ["a", "b", "k"], approx=True).collect()}
     assert abs(rough["k"]["q50"] - 15_000) < 30 and rough["b"]["q50"] is None
+
+
+def test_sparse_one_hot_of_a_million_levels(spark, monkeypatch):
+    """No list of levels reaches the driver: collects of more than 1000 rows fail here."""
+    n = 1_000_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lpad(F.col("id").cast("string"), 7, "0"))
+                               .alias("c"), F.when(F.col("id") % 2 == 0, F.lpad((F.col("id") * 7 % n).cast("string"), 7, "0")).alias("d"))
+    real = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: [r for k, r in enumerate(real(self.limit(1001))) if k < 1000 or pytest.fail("collect")])
+    got = PR.one_hot_sparse(df, "id", ["c", "d"])
+    n_c, n_d = n // 3 + 1, n // 2  # levels: numbers and 'hot', the largest
+    first = got.filter("id in (0, 1, 4, 5, 8)").collect()
+    cells = {r["id"]: list(r["indices"]) for r in first}
+    d_rank = {i: (i * 7 % n) // 2 for i in (0, 4, 8)}  # the even numbers in order
+    assert {r["size"] for r in first} == {n_c - 1 + n_d - 1}
+    assert cells[0] == [n_c - 2] and cells[1] == [] and cells[5] == []
+    assert cells[4] == [0, n_c - 1 + d_rank[4] - 1] and cells[8] == [n_c - 1 + d_rank[8] - 1]
+    assert got.agg(F.count("id"), F.sum(F.size("indices"))).first() == (n, n - n // 3 - 1 - 1 + n // 2 + 0)
+
+
+def test_sparse_one_hot_edges(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, None, "x"), (3, "a", None), (4, "c", "x"), (5, None, None)], "id long, s string, t string")
+    got = {r["id"]: (r["size"], list(r["indices"])) for r in PR.one_hot_sparse(df, "id", ["s", "t"]).collect()}
+    assert got == {1: (2, [0]), 2: (2, []), 3: (2, []), 4: (2, [1]), 5: (2, [])}
+    levels = PR.level_dictionary(df, ["s", "t"])
+    other = spark.createDataFrame([(9, "c", "unseen")], "id long, s string, t string")
+    assert [list(r["indices"]) for r in PR.one_hot_sparse(other, "id", ["s", "t"], levels).collect()] == [[1]]
+    assert PR.one_hot_sparse(df.limit(0), "id", ["s", "t"]).collect() == []
+    with pytest.raises(ValueError):
+        PR.category_levels(df, ["s"], limit=2)
+
+
+def test_correlation_of_many_tasks_merges_as_a_tree(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 5)) + [0, 1e4, 3, -5, 0]
+    x[:, 4] = x[:, 0] * 2 + rng.normal(size=3000) * 0.1
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(5))).repartition(150)
+    merged = PR.merged_blocks(df, 5, 2)
+    sizes = merged.groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("most"), F.sum("blocks").alias("all")).collect()
+    assert all(r["n"] <= 32 and r["most"] <= 32 for r in sizes)
+    for r in PR.correlation_pairs(df, df.columns, block=2).collect():
+        a, b = x[:, r["i"]], x[:, r["j"]]
+        ok = ~np.isnan(a) & ~np.isnan(b)
+        assert r["abs_corr"] == pytest.approx(abs(np.corrcoef(a[ok], b[ok])[0, 1]), abs=1e-9)
