@@ -52,14 +52,22 @@ def small_batches(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+#: Most bytes of texts that Spark sends to a Python task at a time in the pipeline.
+BATCH_BYTES = "4m"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def plain_reads(spark: SparkSession) -> None:
-    """Turn off Parquet's vectored reads for the session, unless it sets them itself.
+    """Settings that keep a session's tasks on whole texts small, unless it sets them itself.
 
-    They take a buffer outside the heap as large as a column chunk for every
-    reading thread, which a column of whole texts makes too large.
+    Parquet's vectored reads take a buffer outside the heap as large as a column
+    chunk for every reading thread, which a column of whole texts makes too
+    large; so does an Arrow batch of as many texts as Spark takes by default, in the JVM and again in Python.
     """
     if spark.conf.get(VECTORED, None) is None:
         spark.conf.set(VECTORED, "false")
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
