@@ -26,7 +26,10 @@ SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that fit no learned language, go.
+    """Documents without a letter go, and the few whose best language is less likely than ``MIN_LANGUAGE_SCORE``.
+
+    The score is a share among the learned languages, which for anything longer than a few words is close to
+    1 for one of them: a text in a language that was not learned is not recognised as such, and stays.
 
     The classifier learns from the documents that come with a language; if none
     does, there is nothing to judge by, and only those without a letter go.
@@ -79,9 +82,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, files: list[str]) -> None:
+    """Delete the folder of a stage's files in the shared folder."""
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again; the last one's result."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; the last one's result.
+
+    A stage's table is deleted when the next one's is written.
+    """
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(spark, before)
+        before = docs.inputFiles()
     return docs
