@@ -6,14 +6,15 @@
    one segment holds one at most. A segment's variants with one bit as a wildcard are
    therefore an index in which two linked fingerprints meet: 64 keys for each
    distinct fingerprint, joined by equality and verified on all 64 bits.
-3. Only components are asked for, so not every pair is needed. First the members
-   of a key are verified against its centre (the fingerprint of most documents).
-   Keys whose members are one component by then are done; the others are
-   joined with themselves, pairs of different components only.
-4. A key of more than ``BUCKET`` members is divided first: the bits outside its
-   segment are dealt into five parts, of which two linked fingerprints share
-   one, so its members meet again under (key, part). There are six ways of
-   dealing them, any two of which cross, and a key is divided until it is small.
+3. Only components are asked for, so pairs are verified where a key's members
+   meet and never leave it: a task goes through its keys in order and returns
+   links that connect what the key connects, fewer than it has members (but for keys of ``FEW`` members or fewer).
+4. A key of more than ``BUCKET`` members is divided first. Its members are verified
+   against its centre (the fingerprint of most documents); if they are one
+   component by then, it is done. Else the bits outside its segment are dealt into five
+   parts, of which two linked fingerprints share one, so its members meet again
+   under (key, part). There are six ways of dealing them, any two of which cross, and a
+   key is divided until it is small; after all six, at most 20 bits are free.
 
 Fingerprints, links and components stay in Spark. Equal fingerprints are one
 node, so copies never meet as pairs.
@@ -38,8 +39,8 @@ BITS = 4
 #: First bit and size of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PARTS = BITS + 1
-#: Members that a key may have before it is divided.
-BUCKET = 2048
+#: Members that a key may have before it is divided, and up to which its verified pairs are all kept.
+BUCKET, FEW = 2048, 8
 #: Shingles hashed at a time.
 CHUNK = 1 << 15
 
@@ -127,58 +128,104 @@ def divided(rows: DataFrame, level: int) -> DataFrame:
         .drop("_masks", "_part", "_mask")
 
 
-def _near(a: str, b: str, bits: int) -> Column:
-    return F.expr(f"bit_count({a} ^ {b}) <= {bits}")
-
+def _trees(keys: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect, within every key's rows (which are sorted by key), all fingerprints that chains of ``bits`` bits connect."""
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(heads, len(keys)))
+    left, right = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+    few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+    k, f = keys[few], prints[few]
+    for step in range(1, FEW):  # all keys of few rows at once: every row against the one ``step`` rows on
+        if step >= len(k):
+            break
+        at = np.flatnonzero(k[step:] == k[:-step])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(f[at] ^ f[at + step]) <= bits]
+        left.append(f[at])
+        right.append(f[at + step])
+    for head, size in zip(heads[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        open_prints = prints[head:head + size]
+        front: list[int] = []
+        while len(open_prints):  # a tree for each component: every fingerprint is compared once with those not reached yet
+            if not front:
+                front, open_prints = [open_prints[-1]], open_prints[:-1]
+            at = front.pop()
+            near = np.bitwise_count(open_prints ^ at) <= bits
+            if near.any():
+                reached, open_prints = open_prints[near], open_prints[~near]
+                left.append(np.full(len(reached), at, dtype=np.uint64))
+                right.append(reached)
+                front.extend(reached)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def links_in_keys(rows: DataFrame, bits: int) -> DataFrame:
+    """(a, b) links, at ``bits`` bits or fewer, that connect what is connected among the fingerprints of each key of ``rows`` (key, fp).
+
+    One shuffle by key; a task reads its rows in order of key and holds one key's rows and a batch at a time.
+    """
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _relabelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    names = found.select(F.col("id").alias("comp"), F.col("component").alias("_component"))
-    return rows.join(names, "comp", "left").withColumn("comp", F.coalesce("_component", "comp")).drop("_component")
+        def found(keys, prints):
+            a, b = _trees(keys, prints, bits)
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
+        keys, prints = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.concatenate([keys, batch.column(0).to_numpy()])
+                prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+                if cut:
+                    yield found(keys[:cut], prints[:cut])
+                    keys, prints = keys[cut:], prints[cut:]
+        if len(keys):
+            yield found(keys, prints)
+
+    dealt = rows.select("key", "fp").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    return every
 
 
-def links_of(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> list[DataFrame]:
-    """Tables of (a, b) links whose components are those of all fingerprints of ``nodes`` (fp, copies) at ``bits`` bits or fewer.
+def links_of(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) links whose components are those of all fingerprints of ``nodes`` (fp, copies) at ``bits`` bits or fewer.
 
     ``nodes`` is a written table of distinct fingerprints.
     """
-    def indexed(labelled: DataFrame) -> DataFrame:
-        # the key of the first level, kept as root, names the segment
-        return labelled.withColumn("key", F.explode(wildcard_keys())).withColumn("root", F.col("key"))
-
     links = []
-    labelled = nodes.withColumn("comp", F.col("fp"))
-    rows, total = indexed(labelled), nodes.count() * 64
-    for level in range(-1, PARTS + 1):
-        stars = rows.groupBy("key").agg(F.max(F.struct("copies", "fp", "comp")).alias("centre"), F.count(F.lit(1)).alias("m"),
-                                        F.min("comp").alias("low"), F.max("comp").alias("high")) \
-            .filter("low <> high").select("key", "centre", "m")
-        edges = scratch(join_groups(rows, stars, ["key"], "m", total)
-                        .filter(F.expr("comp <> centre.comp") & _near("fp", "centre.fp", bits))
-                        .select(F.least("comp", "centre.comp").alias("a"), F.greatest("comp", "centre.comp").alias("b")).distinct(),
-                        "simhash-edges")
-        links.append(edges)
-        found = components(edges)
-        if level < 0:
-            labelled = scratch(_relabelled(labelled, found), "simhash-nodes")
-            rows = indexed(labelled)
-        else:
-            rows = scratch(_relabelled(rows, found), "simhash-rows")
-        mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")) \
-            .filter("low <> high").select("key", "m")
-        opened = scratch(join_groups(rows, mixed, ["key"], "m", total), "simhash-open")
-        last = level == PARTS
-        few = opened if last else opened.filter(F.col("m") <= bucket)
-        pair = F.expr("l.key = r.key and l.comp < r.comp") & _near("l.fp", "r.fp", bits)
-        links.append(scratch(few.alias("l").join(few.alias("r"), pair)
-                             .select(F.col("l.comp").alias("a"), F.col("r.comp").alias("b")).distinct(), "simhash-links"))
-        if last:
+    # the key of the first level, kept as root, names the segment
+    rows, total = nodes.withColumn("key", F.explode(wildcard_keys())).withColumn("root", F.col("key")), nodes.count() * 64
+    for level in range(PARTS + 2):
+        hot = scratch(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > bucket), "simhash-hot")
+        if level > PARTS or not hot.head(1):
+            links.append(scratch(links_in_keys(rows, bits), "simhash-links"))
             break
-        many = opened.filter(F.col("m") > bucket).drop("m")
-        total = PARTS * many.count()
+        split = join_groups(rows, hot, ["key"], "m", total, "left", written=True)
+        links.append(scratch(links_in_keys(split.filter("m is null"), bits), "simhash-links"))
+        many = scratch(split.filter("m is not null").drop("m"), "simhash-rows")
+        centres = many.groupBy("key").agg(F.max(F.struct("copies", "fp")).alias("centre"), F.count(F.lit(1)).alias("m"))
+        near = F.expr(f"fp <> centre.fp and bit_count(fp ^ centre.fp) <= {bits}")
+        links.append(scratch(join_groups(many, centres, ["key"], "m", total).filter(near)
+                             .select(F.least("fp", "centre.fp").alias("a"), F.greatest("fp", "centre.fp").alias("b")).distinct(),
+                             "simhash-links"))
+        # keys whose members are one component by now are done
+        found = components(_union(links)).select(F.col("id").alias("fp"), F.col("component").alias("comp"))
+        named = scratch(many.join(found, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "simhash-rows")
+        mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")) \
+            .filter("low <> high").select("key", "m")
+        rows = scratch(divided(join_groups(named, mixed, ["key"], "m", total).drop("m", "comp"), level), "simhash-rows")
+        total = rows.count()
         if not total:
             break
-        rows = scratch(divided(many, level + 1), "simhash-rows")
-    return links
+    return _union(links)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -198,10 +245,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = scratch(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = scratch(table.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "simhash-nodes")
     links = links_of(nodes.select("fp", "copies"), bits, bucket)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    found = components(every).withColumnRenamed("id", "fp")
+    found = components(links).withColumnRenamed("id", "fp")
     named = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     total = table.count()

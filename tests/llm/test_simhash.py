@@ -89,7 +89,7 @@ def test_components_of_dense_fingerprints(spark, bucket):
     prints |= {same | rng.getrandbits(42) << 22 for _ in range(200)}  # one hot segment, nothing else in common
     nodes = spark.createDataFrame([(simhash._signed(p), 1) for p in prints], "fp long, copies long")
     links = simhash.links_of(simhash.scratch(nodes, "test"), bucket=bucket)
-    edges = [(r.a, r.b) for df in links for r in df.collect()]
+    edges = [(r.a, r.b) for r in links.collect()]
     root = {simhash._signed(p): simhash._signed(p) for p in prints}
 
     def find(p):
@@ -107,6 +107,29 @@ def test_components_of_dense_fingerprints(spark, bucket):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_trees_connect_what_pairs_connect():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 60, 900)).astype(np.int64)
+    prints = rng.integers(0, 1 << 14, 900).astype(np.uint64)
+    a, b = simhash._trees(keys, prints, 2)
+    assert (np.bitwise_count(a ^ b) <= 2).all() and len(a) < 900 * 4
+    for key in set(keys.tolist()):
+        own = {int(p) for p in prints[keys == key]}
+        root = {p: p for p in own}
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+        for x, y in zip(a.tolist(), b.tolist()):
+            if x in own and y in own:
+                root[find(max(x, y))] = find(min(x, y))
+        want = plain_components(own, 2)
+        for p in own:  # links of other keys may join more, never less
+            assert find(p) == find(want[p])
+
+
 def test_edge_cases(make):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "ÀB c"), (None, "one two"), (7, long),
