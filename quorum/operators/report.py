@@ -167,10 +167,10 @@ def model_comparison(results: DataFrame, threshold_type: str, split: str = "Test
     empty comparison raises "No results for split=..., threshold_type=...".
     """
     if threshold_type not in THRESHOLD_TYPES:
-        raise ValueError("threshold_type must be 'cost' or 'accuracy'")
+        raise ValueError(f"unknown threshold_type {threshold_type!r}, known: {', '.join(map(repr, THRESHOLD_TYPES))}")
     m = first_match(results, split, threshold_type)
     if strict and m.isEmpty():
-        # fixed value: this message and the one above
+        # fixed value: this message
         raise RuntimeError(f"No results for split={split[:1].upper() + split[1:].lower()}, "
                            f"threshold_type={threshold_type}")
     return m.select("model_name", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c)
