@@ -1,12 +1,15 @@
 """URL filters by association rules.
 
 URLs are cut into tokens (scheme, host and its parents, parts of the host name,
-folders and file ending of the path, query names). Spark's FP-growth mines the
-token combinations of the labelled URLs; a combination becomes a blocking rule
-if it is frequent enough (support), if enough of its URLs are labelled bad
-(confidence, and lift over the share of bad URLs), and if no shorter rule is
-part of it. Rules are matched by an inverted index: each rule is posted under
-its rarest token, and only URLs with that token test the whole rule.
+folders and file ending of the path, query names). Tokens of the same labelled
+URLs are one item, so that the many tokens of one site or one long path don't
+multiply. Spark's FP-growth mines the combinations of items; a combination
+becomes a blocking rule if enough bad URLs have it (support, as a share and as
+a count), if the lower confidence bound of its share of bad URLs is high
+enough, by itself and as odds against those of all labelled URLs, and if no
+shorter rule is part of it. A URL meets a rule if it has all tokens of its
+items. Rules are matched by an inverted index: each rule is posted under its
+rarest item, and only URLs with that token test the whole rule.
 
 Given host and path rules come first: a rule fits its host and all subdomains
 if the URL's path starts with the rule's, and the longest one decides.
@@ -18,6 +21,7 @@ size; tokens that are common to very many URLs are rarely anyone's rarest.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import scratch
 
-MIN_SUPPORT = 0.002
-MIN_CONFIDENCE = 0.6
-MIN_LIFT = 2.0
+MIN_SUPPORT = 0.002    # of the labelled URLs: bad ones with the rule's tokens
+MIN_COUNT = 20         # the same as a number, whatever the share
+MIN_CONFIDENCE = 0.6   # lower bound of the share of bad URLs among those with the rule's tokens
+MIN_ODDS = 2.0         # lower bound of that share's odds over the odds of all labelled URLs
+Z = 3.0                # standard deviations of the bound: 1 in 700 chance rules pass it
 BAD = "label=bad"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,28 +65,68 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         tag("ending", F.array(F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)))))
 
 
+def lower_bound(hits: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower confidence bound of a share of ``hits`` in ``n``."""
+    share = hits / n
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
+def items_of(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens of at least ``least`` (tokens, bad) rows; an item is the least token of the same rows.
+
+    Rows are told apart by two hashes of all their tokens, whose sums identify a
+    token's set of rows: rows of equal tokens are in the same sets anyhow.
+    """
+    row = [F.xxhash64("tokens").cast("decimal(38,0)"), F.xxhash64(F.lit(1), "tokens").cast("decimal(38,0)")]
+    sets = labelled.select(F.explode("tokens").alias("token"), row[0].alias("_a"), row[1].alias("_b")) \
+        .groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_a"), F.sum("_b").alias("_b")) \
+        .filter(F.col("_n") >= least)
+    least_token = sets.groupBy("_n", "_a", "_b").agg(F.min("token").alias("item"))
+    return sets.join(least_token, ["_n", "_a", "_b"]).select("token", "item")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         min_lift: float = MIN_LIFT) -> DataFrame:
-    """(rule_id, tokens, anchor, confidence, support) of the blocking rules of (tokens, bad) rows.
+         min_odds: float = MIN_ODDS, min_count: int = MIN_COUNT, z: float = Z) -> DataFrame:
+    """(rule_id, tokens, anchor, confidence, n_bad, n_urls) of the blocking rules of (tokens, bad) rows.
 
-    Defined cases: without rows, without bad rows, or when nothing passes the
-    pruning there are no rules.
+    Defined cases: without rows, with fewer than ``min_count`` bad rows, or when
+    nothing passes the pruning there are no rules.
     """
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")) \
-        .filter(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    labelled = scratch(labelled.select("tokens", "bad").withColumn("_row", F.monotonically_increasing_id()), "url-labelled")
+    n, n_bad = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
+    least = max(min_count, ceil(min_support * n), 1)
+    if n_bad < least:
+        return labelled.sparkSession.createDataFrame(
+            [], "tokens array<string>, confidence double, n_bad long, n_urls long, anchor string, rule_id long")
+    items = scratch(items_of(labelled, least), "url-items")
+    per_row = labelled.select("_row", F.explode("tokens").alias("token")).join(items, "token") \
+        .groupBy("_row").agg(F.collect_set("item").alias("items"))
+    baskets = labelled.select("_row", "bad").join(per_row, "_row", "left").select(F.concat(
+        F.coalesce("items", F.array().cast("array<string>")),
+        F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    # half a row under the least count, so that rounding can't raise it
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(scratch(baskets, "url-baskets"))
+    hits = F.round(F.col("support") * n)
+    low = lower_bound(hits, F.round(hits / F.col("confidence")), z)
+    odds = F.when(low < 1, low / (1 - low)).otherwise(float("inf"))
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))) \
-        .filter(F.col("lift") >= min_lift).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+        .filter((low >= min_confidence) & (odds * (n - n_bad) >= min_odds * n_bad)) \
+        .select(F.array_sort("antecedent").alias("items"), "confidence", hits.cast("long").alias("n_bad"),
+                F.round(hits / F.col("confidence")).cast("long").alias("n_urls"))
     rules = scratch(rules, "url-rules")
-    # a rule that holds a shorter rule says nothing new: look for those by their single tokens
-    singles = rules.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("single"))
-    longer = rules.filter(F.size("tokens") > 1)
-    covered = longer.select("tokens", F.explode("tokens").alias("single")).join(singles, "single", "left_semi").select("tokens")
-    kept = rules.join(covered, "tokens", "left_anti")
-    freq = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    anchored = kept.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(freq, "token") \
-        .groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return scratch(anchored.withColumn("rule_id", F.xxhash64("tokens")), "url-index")
+    # a rule that holds a shorter rule says nothing new; each rule is looked for under its first item
+    shorter = rules.select(F.col("items").alias("_part"), F.col("items")[0].alias("item"))
+    covered = rules.select("items", F.explode("items").alias("item")).join(shorter, "item") \
+        .filter((F.size("_part") < F.size("items")) & (F.size(F.array_except("_part", "items")) == 0)).select("items")
+    kept = rules.join(covered, "items", "left_anti")
+    freq = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
+    tokens = items.groupBy("item").agg(F.collect_list("token").alias("_tokens"))
+    index = kept.withColumn("item", F.explode("items")).join(freq, "item").join(tokens, "item") \
+        .groupBy("items", "confidence", "n_bad", "n_urls").agg(
+            F.array_sort(F.flatten(F.collect_list("_tokens"))).alias("tokens"),
+            F.min_by("item", F.struct("freq", "item")).alias("anchor"))
+    return scratch(index.drop("items").withColumn("rule_id", F.xxhash64("tokens")), "url-index")
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -103,8 +149,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     ``labels`` gives (label_id, quality, toxic) for some ids; a URL is bad if
     its quality is 0 or toxic is 1. Defined cases: a null URL or one without
     ``://`` has empty host and path, no tokens, and is allowed; null labels
-    teach nothing; ids that repeat are judged row by row; an id with several
-    labels is bad if any is.
+    teach nothing; with fewer than ``MIN_COUNT`` bad URLs only the given rules
+    block; ids that repeat are judged row by row; an id with several labels is
+    bad if any is.
     """
     rows = pages.select(F.col(id_col), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("host"),
                         path_of(F.col(url_col)).alias("path"))
