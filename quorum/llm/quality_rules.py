@@ -1,20 +1,25 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
 Each rule rejects a text whose value lies beyond a cutoff. The cutoffs are not
-set by hand: for every stratum and rule, each cutoff of a fixed grid is tested
-on the labelled holdout. With k of the n good holdout texts rejected, the exact
-binomial tail P(X <= k | n, alpha / rules) is the p-value of "this cutoff
-rejects more than its share of good texts". The cutoffs of a stratum and rule
-are tested in a fixed sequence from loose to strict, each at the Bonferroni
-level delta / (strata x rules), up to the first that fails; the last one before
-it is used. A sequence certifies a wrong cutoff only if it passes the loosest
-wrong one, so the cutoffs need no further share of delta, and with probability
-1 - delta no stratum's rules together reject more than alpha of its good texts.
-A rule can be certified from ``least_holdout()`` good texts in a stratum on.
+set by hand: each stratum has a fixed sequence of joint vectors, from the
+loosest cutoff of every rule to the strictest of every rule, and each vector is
+tested on the labelled holdout. With k of the n good holdout texts rejected by
+any of its rules, the exact binomial tail P(X <= k | n, alpha) is the p-value of
+"these cutoffs together reject more than alpha of the good texts". The vectors
+are tested in order, each at the Bonferroni level delta / strata, up to the
+first that fails; the last one before it is used.
+
+Why that holds: what a vector rejects, every later one rejects as well, so the
+true shares of rejected good texts rise along the sequence. A stratum gets a
+vector of a share over alpha only if the first such vector passes its test,
+which happens with probability delta / strata at most. So the vectors need no
+further share of delta, nor the rules one of alpha, and with probability
+1 - delta no stratum loses more than alpha of its good texts to the rules. A
+vector can be certified from ``least_holdout()`` good texts in a stratum on.
 
 The strata are bands of text length, the holdout is the labelled rows that pass
-the fixed base rules. Counts per (stratum, rule, cutoff) form a table of a few
-hundred rows whatever the input; it is broadcast.
+the fixed base rules. Counts per (stratum, vector) form a table of some twenty rows
+whatever the input; the cutoffs, a row a stratum, are broadcast.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ ALPHA = 0.02
 DELTA = 0.05
 #: Lower ends of the bands of words that are the strata.
 BANDS = (0, 200, 800)
-#: Rule -> (its value of the base columns, cutoffs from strict to loose); a text above the cutoff is rejected.
+#: Rule -> (its value of the base columns, cutoffs from strict to loose, equally many); a text above the cutoff is rejected.
 RULES = {
     "symbols": ("n_symbols / n_words", (0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6)),
     "dup_lines": ("n_dup_lines / n_words", (0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.16)),
@@ -109,37 +114,37 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
 
 
 def least_holdout(alpha: float = ALPHA, delta: float = DELTA) -> int:
-    """The fewest good labelled texts of a stratum that certify a cutoff, if it rejects none of them."""
-    return ceil(log(delta / (len(BANDS) * len(RULES))) / log1p(-alpha / len(RULES)))
+    """The fewest good labelled texts of a stratum that certify cutoffs which reject none of them."""
+    return ceil(log(delta / len(BANDS)) / log1p(-alpha))
 
 
 def certify(holdout: DataFrame, spark: SparkSession, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, k, n, p_value): the strictest cutoff of each stratum and rule up to which all pass.
+    """(stratum, step, k, n, p_value, a cutoff for each rule): the strictest vector of each stratum up to which all pass.
 
-    ``holdout``: base counts of good labelled texts. A stratum without enough
-    of them gets no cutoff, and the rule rejects nothing there.
+    ``holdout``: base counts of good labelled texts. Step 0 is the loosest
+    vector. A stratum without enough of them, or whose loosest vector fails,
+    gets no row, and the rules reject nothing there.
     """
-    share, level = alpha / len(RULES), delta / (len(BANDS) * len(RULES))
+    steps = len(next(iter(RULES.values()))[1])
+
+    def beyond(step: int) -> str:
+        return " or ".join(f"{value} > {cuts[-1 - step]}" for value, cuts in RULES.values())
+
     counted = holdout.withColumn("stratum", stratum()).groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.sum(F.expr(f"cast({value} > {cut} as long)")).alias(f"{rule}_{i}")
-          for rule, (value, cuts) in RULES.items() for i, cut in enumerate(cuts)))
-    cells = ", ".join(f"named_struct('rule', '{rule}', 'cutoff', {cut}D, 'k', `{rule}_{i}`)"
-                      for rule, (_, cuts) in RULES.items() for i, cut in enumerate(cuts))
-    flat = counted.select("stratum", "n", F.expr(f"inline(array({cells}))"))
-    tested = flat.withColumn("p_value", binomial_tail("k", "n", share))
-    cells = F.sort_array(F.collect_list(F.struct("cutoff", "k", "n", "p_value")))
-    failed = F.coalesce(F.max(F.when(F.col("p_value") > level, F.col("cutoff"))), F.lit(float("-inf")))
-    sequences = tested.groupBy("stratum", "rule").agg(cells.alias("cells"), failed.alias("failed"))
-    best = F.get(F.filter("cells", lambda c: c["cutoff"] > F.col("failed")), F.lit(0))
-    return sequences.select("stratum", "rule", best.alias("best")).filter("best is not null") \
-        .select("stratum", "rule", "best.*")
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.expr(f"cast({beyond(i)} as long)")).alias(f"k{i}") for i in range(steps)))
+    cells = ", ".join(f"named_struct('step', {i}, 'k', k{i}, "
+                      + ", ".join(f"'{rule}', {cuts[-1 - i]}D" for rule, (_, cuts) in RULES.items()) + ")" for i in range(steps))
+    tested = counted.select("stratum", "n", F.expr(f"inline(array({cells}))")).withColumn("p_value", binomial_tail("k", "n", alpha))
+    vector = F.struct("step", "k", "n", "p_value", *RULES)
+    failed = F.coalesce(F.min(F.when(F.col("p_value") > delta / len(BANDS), F.col("step"))), F.lit(steps))
+    best = F.get(F.filter("cells", lambda c: c["step"] == F.col("failed") - 1), F.lit(0))
+    return tested.groupBy("stratum").agg(F.collect_list(vector).alias("cells"), failed.alias("failed")) \
+        .select("stratum", best.alias("best")).filter("best is not null").select("stratum", "best.*")
 
 
 def judge(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``counts`` with kept: the base rules pass and no certified cutoff of the text's stratum is exceeded."""
-    wide = cutoffs.groupBy("stratum").agg(
-        *(F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"_cut_{rule}") for rule in RULES))
+    wide = cutoffs.select("stratum", *(F.col(rule).alias(f"_cut_{rule}") for rule in RULES))
     rows = counts.withColumn("stratum", stratum()).join(F.broadcast(wide), "stratum", "left")
     beyond = F.lit(False)
     for rule, (value, _) in RULES.items():

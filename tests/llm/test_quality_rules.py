@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 from math import comb
@@ -9,6 +10,8 @@ from quorum.llm.catalog import QUERIES
 from quorum.llm.common import read, scratch
 from tests.llm.conftest import SF
 
+TEXTS_SF = "/root/testdata/sf0.1"  # every stratum holds enough labelled texts there
+
 
 def brute(text):
     t = text or ""
@@ -51,20 +54,61 @@ def holdout(spark, n, n_bad):
                                                "n_repeat_words long"), "test")
 
 
+def cutoffs(df, spark):
+    return {r.stratum: {rule: r[rule] for rule in op.RULES} for r in op.certify(df, spark).collect()}
+
+
+def at(i):
+    return {rule: cuts[i] for rule, (_, cuts) in op.RULES.items()}
+
+
 def test_cutoffs_follow_the_holdout(spark):
-    def cut(n, n_bad):
-        return {r.rule: r.cutoff for r in op.certify(holdout(spark, n, n_bad), spark).collect()}
-    assert cut(100, 0) == {}                      # too few texts to certify anything
-    assert cut(5000, 0)["symbols"] == 0.02        # nothing good is lost at the strictest cutoff
-    assert cut(5000, 500)["symbols"] == 0.2       # a tenth of the good texts has 60 symbols in 300 words
+    assert cutoffs(holdout(spark, 100, 0), spark) == {}             # too few texts to certify anything
+    assert cutoffs(holdout(spark, 5000, 0), spark) == {1: at(0)}    # nothing good is lost at the strictest vector
+    assert cutoffs(holdout(spark, 5000, 500), spark) == {1: at(3)}  # a tenth of the good texts has 60 symbols in 300 words
 
 
 def test_cutoffs_are_tested_from_loose_to_strict(spark):
-    assert op.least_holdout() == 1094
-    got = {n: op.certify(holdout(spark, n, 0), spark).collect() for n in (1093, 1094)}
-    assert got[1093] == [] and {r.rule: r.cutoff for r in got[1094]} == {rule: cuts[0] for rule, (_, cuts) in op.RULES.items()}
-    # 60 symbols in 300 words are above 0.1 in a sixth of the texts: that cutoff fails, and nothing stricter is tested
-    assert {r.rule: r.cutoff for r in op.certify(holdout(spark, 1200, 200), spark).collect()}["symbols"] == 0.2
+    assert op.least_holdout() == 203
+    got = {n: cutoffs(holdout(spark, n, 0), spark) for n in (202, 203)}
+    assert got == {202: {}, 203: {1: at(0)}}
+    # 60 symbols in 300 words are above 0.1 in a sixth of the texts: that vector fails, and nothing stricter is tested
+    assert cutoffs(holdout(spark, 1200, 200), spark) == {1: at(3)}
+
+
+def brute_sequence(rows):
+    """The certified vector of each stratum's good (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), by exact sums."""
+    out = {}
+    for s in range(len(op.BANDS)):
+        mine = [r for r in rows if sum(r[0] >= low for low in op.BANDS[1:]) == s]
+        n = len(mine)
+        for step in reversed(range(7)):
+            lost = 0
+            for n_words, chars, symbols, dup, repeats in mine:
+                values = {"symbols": symbols, "dup_lines": dup, "repeats": repeats, "long_words": chars}
+                lost += any(v / n_words > op.RULES[rule][1][step] for rule, v in values.items())
+            tail = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(op.ALPHA)
+                                      + (n - j) * math.log1p(-op.ALPHA)) for j in range(lost + 1))
+            if lost >= n * op.ALPHA or tail > op.DELTA / 3:
+                break
+            out[s] = at(step)
+    return out
+
+
+def test_sequence_and_verdicts_equal_brute_force(spark):
+    docs, labels = read(spark, TEXTS_SF, "documents"), read(spark, TEXTS_SF, "labels")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    counts = {r.doc_id: brute(r.text) for r in docs.select("doc_id", "text").collect()}
+    failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
+    want = brute_sequence([c for i, c in counts.items() if i in good and not failed[i]])
+    base = scratch(op.base_counts(docs.select("doc_id", "text")).drop("text"), "test")
+    holdout = base.filter("not base_failed").join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    assert cutoffs(holdout, spark) == want and len(want) == 3      # every stratum has its cutoffs
+    for r in op.quality_rules(docs, labels).collect():
+        n_words, chars, symbols, dup, repeats = counts[r.doc_id]
+        cut = want[sum(n_words >= low for low in op.BANDS[1:])]
+        values = {"symbols": symbols, "dup_lines": dup, "repeats": repeats, "long_words": chars}
+        assert r.kept == (not failed[r.doc_id] and not any(v / n_words > cut[rule] for rule, v in values.items()))
 
 
 def test_query_and_edges(spark, make):
