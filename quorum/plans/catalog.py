@@ -607,6 +607,17 @@ def a19_roc_curve(spark, sf_dir):
     return C.roc_curve(_score_long(spark, sf_dir))
 
 
+@register("a19r_roc_curve_reduced", S.with_(*_CURVE_CTES) + """
+SELECT model_name, score, CASE WHEN N > 0 THEN cum_neg / N ELSE 0.0::DOUBLE END AS fpr,
+       CASE WHEN P > 0 THEN cum_pos / P ELSE 0.0::DOUBLE END AS tpr
+FROM (SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, row_number() OVER w AS place
+      FROM cum WINDOW w AS (PARTITION BY model_name ORDER BY score DESC))
+WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+UNION ALL SELECT DISTINCT model_name, CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE FROM cum""")
+def a19r_roc_curve_reduced(spark, sf_dir):
+    return C.roc_curve_reduced(_score_long(spark, sf_dir))
+
+
 @register("a19b_roc_auc", S.with_(*_CURVE_CTES) + """
 SELECT model_name, CASE WHEN 2.0::DOUBLE * P * N > 0 THEN
          CAST(sum(CAST(neg AS HUGEINT) * (2 * cum_pos - pos)) AS DOUBLE) / (2.0::DOUBLE * P * N) END AS roc_auc

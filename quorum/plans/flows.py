@@ -139,7 +139,7 @@ def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: di
 
     Rules in one call see only runs stored before the call. A rule applied again
     replaces what it stored before. Both results are computed before anything is
-    written, from one evaluation of the rules.
+    written, from one evaluation of the rules, and all four datasets change in one commit.
     """
     enabled = [r for r in rules if r.enabled and r.columns]
     names = [r.name for r in enabled]
@@ -153,9 +153,7 @@ def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: di
     long = combined.join(labels, "id").select("model_name", "label", F.col("score").cast("int").alias("pred"))
     results = cut_lineage(E.decision_results(E.confusion_counts(long, ["model_name"], "label", "pred"), cfg.costs,
                                              cfg.n_splits, "combined"))
-    for name, rows in run_datasets(results).items():
-        store.replace_models(run_id, name, rows, names)
-    store.replace_models(run_id, "predictions", combined, names)
+    store.replace_models(run_id, run_datasets(results) | {"predictions": combined}, names)
     return store.load("model_metrics", run_id).filter(~others).drop("run_id")
 
 

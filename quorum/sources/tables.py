@@ -7,15 +7,17 @@ system calls), so the same code works on any Hadoop-compatible store.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from quorum.operators.prep import coerce_numeric
-from quorum.session import cut_lineage
 
 RESULTS_SCHEMA = ("model_name string, split string, threshold_type string, threshold double, precision double, "
                   "recall double, f1_score double, accuracy double, cost double, tp long, fp long, tn long, fn long, "
@@ -131,60 +133,138 @@ def scan_metrics_json(spark: SparkSession, path: str, dataset: str = "model_metr
                                              "cost_total"))
 
 
-class ResultsStore:
-    """Results of each run stored as Parquet partitioned by ``run_id``.
+MANIFEST_SCHEMA = "commit long, token string, run_id string, name string, version string, schema string"
+
 
-    Saving a run overwrites only that run's partition (dynamic partition
-    overwrite); ``clear`` drops every run of a dataset. The base folder must be
-    shared storage on a cluster.
+class ResultsStore:
+    """Results of runs, whose datasets change together or not at all.
+
+    Every save writes its datasets to new folders, one a version, and then
+    publishes them by one file of the manifest: a commit with all datasets of
+    the run. Readers take each run's newest commit, so a save that fails on the
+    way leaves the old run as it was. A replaced version is deleted one commit
+    later, so that frames loaded before a save can still be read after it;
+    ``vacuum`` deletes everything that no run's newest commit names, also what
+    failed saves left. Of two writers of one run the later commit stands, whole.
+    The base folder must be shared storage on a cluster.
     """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def save(self, run_id: str, datasets: dict[str, DataFrame]) -> None:
-        """Replace this run's partition of each dataset; other runs stay (dynamic overwrite)."""
+    def _manifest(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.base}/manifest")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)  # nothing is stored yet
+
+    def _current(self) -> DataFrame:
+        """(run_id, name, version, schema) of every run's newest commit."""
+        rows = self._manifest()
+        newest = rows.groupBy("run_id").agg(F.max(F.struct("commit", "token")).alias("_at")) \
+            .select("run_id", "_at.commit", "_at.token")
+        return rows.join(newest, ["run_id", "commit", "token"]).filter("name is not null").select("run_id", "name", "version", "schema")
+
+    def _path(self, name: str, version: str) -> str:
+        return f"{self.base}/data/{name}/{version}"
+
+    def _write(self, run_id: str, datasets: dict[str, DataFrame]) -> list[tuple]:
+        """Write new versions of the datasets; their entries (name, version, schema), which nobody sees yet."""
+        version, entries = uuid.uuid4().hex, []
         for name, df in datasets.items():
             out = df.withColumn("run_id", F.lit(run_id))
-            out.limit(0).write.mode("overwrite").parquet(f"{self.base}/_schemas/{name}")  # schema of the dataset
-            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("run_id").parquet(f"{self.base}/{name}"))
+            out.write.parquet(self._path(name, version))
+            entries.append((name, version, out.schema.json()))
+        return entries
+
+    def _publish(self, runs: dict[str, list[tuple]]) -> None:
+        """One commit: the entries of each run, written as one file, which appears as a whole."""
+        commit = (self._manifest().agg(F.max("commit")).first()[0] or 0) + 1
+        token = uuid.uuid4().hex
+        rows = [(commit, token, run_id, *entry) for run_id, entries in runs.items() for entry in entries or [(None, None, None)]]
+        self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.base}/manifest")
+        for run_id in runs:
+            self._drop_replaced(run_id)
+
+    def _drop_replaced(self, run_id: str) -> None:
+        """Delete the versions that the commit before the last one replaced."""
+        mine = self._manifest().filter(F.col("run_id") == run_id)
+        last = [r[0] for r in mine.select("commit").distinct().orderBy(F.col("commit").desc()).limit(3).collect()]
+        if len(last) == 3:
+            rows = mine.filter(F.col("commit").isin(last) & F.col("name").isNotNull()).collect()
+            live = {(r["name"], r["version"]) for r in rows if r["commit"] != last[2]}
+            for name, version in {(r["name"], r["version"]) for r in rows} - live:
+                self._delete(self._path(name, version))
+
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        folder, files = self._folder(path)
+        files.delete(folder, True)
+
+    def _children(self, path: str) -> list[str]:
+        folder, files = self._folder(path)
+        return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+    def save(self, run_id: str, datasets: dict[str, DataFrame]) -> None:
+        """Replace these datasets of the run, all of them or, if one fails, none; its other datasets and other runs stay."""
+        entries = self._write(run_id, datasets)
+        rest = self._current().filter((F.col("run_id") == run_id) & ~F.col("name").isin(list(datasets))).collect()
+        self._publish({run_id: entries + [(r["name"], r["version"], r["schema"]) for r in rest]})
 
     def load(self, name: str, run_id: str | None = None) -> DataFrame:
-        try:
-            df = self.spark.read.parquet(f"{self.base}/{name}")
-        except AnalysisException as e:
-            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            # every run was cleared: an empty frame with the dataset's schema
-            df = self.spark.read.parquet(f"{self.base}/_schemas/{name}")
-        return df.filter(F.col("run_id") == run_id) if run_id is not None else df
+        """A dataset of one run or of all; empty, with its last schema, if no such run holds it any more."""
+        rows = self._current().filter(F.col("name") == name)
+        if run_id is not None:
+            rows = rows.filter(F.col("run_id") == run_id)
+        paths = [self._path(name, r["version"]) for r in rows.select("version").distinct().collect()]
+        if paths:
+            return self.spark.read.option("mergeSchema", True).parquet(*paths)
+        last = self._manifest().filter(F.col("name") == name).agg(F.max_by("schema", "commit")).first()[0]
+        if last is None:
+            raise ValueError(f"the store holds no dataset {name}")
+        return self.spark.createDataFrame([], StructType.fromJson(json.loads(last)))
 
     def append(self, run_id: str, name: str, df: DataFrame) -> None:
-        out = df.withColumn("run_id", F.lit(run_id))
-        out.limit(0).write.mode("ignore").parquet(f"{self.base}/_schemas/{name}")
-        out.write.mode("append").partitionBy("run_id").parquet(f"{self.base}/{name}")
+        """Add rows to a dataset of the run."""
+        entries = self._write(run_id, {name: df})
+        rest = self._current().filter(F.col("run_id") == run_id).collect()
+        self._publish({run_id: entries + [(r["name"], r["version"], r["schema"]) for r in rest]})
 
     def save_results(self, run_id: str, results: DataFrame, **others: DataFrame) -> None:
         """Store a run: its results as ``run_datasets`` and other datasets (sweep, predictions, labels) by name."""
         self.save(run_id, run_datasets(results) | others)
 
-    def replace_models(self, run_id: str, name: str, df: DataFrame, models: Sequence[str]) -> None:
-        """Put ``df`` in the place of a run's rows of ``models``; doing it twice leaves the same rows."""
-        try:
-            rest = self.load(name, run_id).drop("run_id").filter(~F.col("model_name").isin(list(models)))
-            df = cut_lineage(rest.unionByName(df, allowMissingColumns=True))  # read before its folder is overwritten
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        self.save(run_id, {name: df})
+    def replace_models(self, run_id: str, datasets: dict[str, DataFrame], models: Sequence[str]) -> None:
+        """Put the rows of ``datasets`` in the place of a run's rows of ``models``, in all of them at once; doing it
+        twice leaves the same rows."""
+        held = {r["name"] for r in self._current().filter(F.col("run_id") == run_id).select("name").distinct().collect()}
+        others = ~F.col("model_name").isin(list(models))
+        self.save(run_id, {
+            name: self.load(name, run_id).drop("run_id").filter(others).unionByName(df, allowMissingColumns=True)
+            if name in held else df for name, df in datasets.items()})
 
     def clear(self, name: str) -> None:
-        """Drop every run of a dataset (a static overwrite with an empty frame of the same schema)."""
-        schema = self.spark.read.parquet(f"{self.base}/_schemas/{name}").schema
-        empty = self.spark.createDataFrame([], schema)
-        (empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("run_id").parquet(f"{self.base}/{name}"))
+        """Drop a dataset from every run, in one commit."""
+        runs: dict[str, list[tuple]] = {}
+        rows = self._current()
+        with_it = rows.filter(F.col("name") == name).select("run_id").distinct()
+        for r in rows.join(with_it, "run_id").collect():
+            runs.setdefault(r["run_id"], []).extend([(r["name"], r["version"], r["schema"])] if r["name"] != name else [])
+        if runs:
+            self._publish(runs)
+
+    def vacuum(self) -> None:
+        """Delete every version that no run's newest commit names; not while a save or an old frame is in use."""
+        live = {(r["name"], r["version"]) for r in self._current().select("name", "version").collect()}
+        for name in self._children(f"{self.base}/data"):
+            for version in self._children(f"{self.base}/data/{name}"):
+                if (name, version) not in live:
+                    self._delete(self._path(name, version))
 
 
 def feature_contract(df: DataFrame, features: Sequence[str], encoded: Sequence[str] = (),

@@ -1,6 +1,7 @@
 """kNN against brute force, SMOTE invariants, stores and file round trips."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quorum.operators.neighbours import knn_join, smote
@@ -103,6 +104,48 @@ def test_results_store_round_trip(spark, tmp_path):
     assert store.load("model_metrics").count() == 0
 
 
+def test_a_run_is_replaced_as_a_whole(spark, tmp_path):
+    from quorum.sources.tables import ResultsStore
+    store = ResultsStore(spark, str(tmp_path / "store"))
+
+    def frame(x):
+        return spark.createDataFrame([("m", float(x)), ("n", float(x))], "model_name string, cost double")
+
+    def held(run="r"):
+        return {n: sorted(r["cost"] for r in store.load(n, run).collect()) for n in ("model_metrics", "sweep")}
+
+    store.save("r", {"model_metrics": frame(1), "sweep": frame(1)})
+    store.save("other", {"model_metrics": frame(9)})
+    broken = frame(2).withColumn("cost", F.when(F.col("model_name") == "n", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("cost")))
+    for save in (lambda: store.save("r", {"model_metrics": frame(2), "sweep": broken}),
+                 lambda: store.replace_models("r", {"model_metrics": frame(2), "sweep": broken}, ["m", "n"])):
+        with pytest.raises(Exception, match="lost"):
+            save()
+        assert held() == {"model_metrics": [1, 1], "sweep": [1, 1]}
+    before = store.load("sweep", "r")
+    store.save("r", {"model_metrics": frame(3), "sweep": frame(3)})
+    assert held() == {"model_metrics": [3, 3], "sweep": [3, 3]} and before.count() == 2
+    store.replace_models("r", {"model_metrics": frame(4).limit(1), "sweep": frame(4).limit(1)}, ["m"])
+    assert held() == {"model_metrics": [3, 4], "sweep": [3, 4]}
+    store.append("r", "sweep", frame(5))
+    assert held() == {"model_metrics": [3, 4], "sweep": [3, 4, 5, 5]}
+    store.save("r", {"sweep": frame(6)})        # the run's other datasets stay
+    assert held() == {"model_metrics": [3, 4], "sweep": [6, 6]} and held("other")["model_metrics"] == [9, 9]
+    store.vacuum()
+    versions = {n: len(list((tmp_path / "store" / "data" / n).iterdir())) for n in ("model_metrics", "sweep")}
+    assert versions == {"model_metrics": 2, "sweep": 1} and held() == {"model_metrics": [3, 4], "sweep": [6, 6]}
+    with pytest.raises(ValueError, match="no dataset"):
+        store.load("unknown")
+
+
+def test_replaced_versions_are_deleted_a_commit_later(spark, tmp_path):
+    from quorum.sources.tables import ResultsStore
+    store = ResultsStore(spark, str(tmp_path / "store"))
+    for i in range(5):
+        store.save("r", {"sweep": spark.createDataFrame([("m", float(i))], "model_name string, cost double")})
+    assert len(list((tmp_path / "store" / "data" / "sweep").iterdir())) == 2 and store.load("sweep").first()["cost"] == 4
+
+
 def test_metrics_json_coercion_F16(spark, tmp_path):
     from quorum.sources.tables import scan_metrics_json
     p = tmp_path / "stored_run.json"
