@@ -74,6 +74,35 @@ def roc_curve(long: DataFrame, **kw) -> DataFrame:
     return pts.unionByName(origin)
 
 
+def roc_curve_reduced(long: DataFrame, range_rows: int = RANGE_ROWS, **kw) -> DataFrame:
+    """The points of ``roc_curve`` without those in the middle of two equal steps, which lie on a straight line.
+
+    A point goes if the step from the next higher score to it equals the step
+    from it to the next lower one, in both counts; the first and last points and
+    the origin stay, so the polyline and its area are unchanged. The next lower
+    score is found inside the point's range; the last point of a range takes the
+    first of the next range, of which there is one row a range.
+    """
+    c = score_label_counts(long, **kw)
+    n_ranges = max(1, -(-c.count() // range_rows))
+    ranged = cut_lineage(c.repartitionByRange(n_ranges, "model_name", "score").withColumn("_bk", F.spark_partition_id()))
+    head = F.struct("score", "pos", "neg")
+    heads = ranged.groupBy("model_name", "_bk").agg(F.max(head).alias("_head"))
+    by_head = Window.partitionBy("model_name").orderBy(F.col("_head.score").desc())
+    borders = heads.select("model_name", "_bk", F.lead("_head").over(by_head).alias("_below"),
+                           (F.row_number().over(by_head) == 1).alias("_top"))
+    inside = Window.partitionBy("model_name", "_bk").orderBy(F.col("score").desc())
+    rows = ranged.withColumn("_next", F.lead(head).over(inside)) \
+        .withColumn("_first", F.row_number().over(inside) == 1).join(borders, ["model_name", "_bk"]) \
+        .withColumn("_next", F.coalesce("_next", "_below"))
+    straight = (F.col("_next.pos") == F.col("pos")) & (F.col("_next.neg") == F.col("neg")) & ~(F.col("_first") & F.col("_top"))
+    kept = rows.filter(~F.coalesce(straight, F.lit(False)))
+    origin = c.select("model_name").distinct().select(
+        "model_name", F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return kept.select("model_name", "score", M.frac("cum_neg", "N").alias("fpr"),
+                       M.frac("cum_pos", "P").alias("tpr")).unionByName(origin)
+
+
 def roc_auc(long: DataFrame, **kw) -> DataFrame:
     """Trapezoid area under the ROC curve, exact integer numerator."""
     c = score_label_counts(long, **kw)

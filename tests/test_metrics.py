@@ -149,3 +149,31 @@ def test_confusion_layout_F11(spark):
 def test_apply_threshold_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (0.5,)], "s double")
     assert [r[0] for r in df.select(M.apply_threshold("s", 0.0)).collect()] == [0, 0, 1]
+
+
+def test_reduced_roc_curve_equals_brute_force(spark):
+    import random
+
+    from quorum.operators import curves
+    rng = random.Random(5)
+    rows = [(m, s / 64, int(rng.random() < (0.1 if s < 30 else 0.9 if s > 50 else 0.5)))
+            for m in ("a", "b") for s in range(64) for _ in range(rng.choice([1, 1, 1, 2]))]
+    rows += [("c", i / 100, 1) for i in range(40)] + [("one", 0.5, 1), ("gap", float("nan"), 1), ("gap", 0.2, 0)]
+    long = spark.createDataFrame(rows, "model_name string, score double, label int")
+    want = set()
+    for m in {r[0] for r in rows}:
+        steps = {}
+        for _, s, y in (r for r in rows if r[0] == m and r[1] == r[1]):
+            pos, neg = steps.get(s, (0, 0))
+            steps[s] = (pos + y, neg + 1 - y)
+        order = sorted(steps, reverse=True)
+        want |= {(m, s) for i, s in enumerate(order) if i in (0, len(order) - 1) or steps[s] != steps[order[i + 1]]} | {(m, None)}
+    full = {(r.model_name, r.score): (r.fpr, r.tpr) for r in curves.roc_curve(long).collect()}
+    for size in (5, 100_000):       # many ranges, so that borders cut straight lines, and one
+        got = {(r.model_name, r.score): (r.fpr, r.tpr) for r in curves.roc_curve_reduced(long, range_rows=size).collect()}
+        assert set(got) == want and all(full[k] == v for k, v in got.items()) and len(want) < len(full)
+        areas = []
+        for points in (full, got):
+            pts = sorted(v for (m, _), v in points.items() if m == "a")
+            areas.append(sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(pts, pts[1:])))
+        assert abs(areas[0] - areas[1]) < 1e-12
