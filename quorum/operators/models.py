@@ -31,6 +31,7 @@ from quorum.config import EvalConfig
 from quorum.functions.metrics import log_loss_expr
 from quorum.operators import evaluation as E
 from quorum.operators.folds import stratified_kfold
+from quorum.operators.forest import BaggedForest, fit_bagged
 from quorum.operators.neighbours import knn_join, smote
 from quorum.session import cut_lineage
 from quorum.sources.tables import contract_problems
@@ -161,7 +162,7 @@ class KnnModel:
 
 def save_model(model, path: str) -> None:
     """Persist a fitted model of any kind."""
-    if isinstance(model, KnnModel):
+    if isinstance(model, (KnnModel, BaggedForest)):
         model.save(path)
     else:
         model.write().overwrite().save(path)
@@ -169,7 +170,7 @@ def save_model(model, path: str) -> None:
 
 def load_model(spark, path: str):
     """A model saved by ``save_model``; ValueError if there is none."""
-    for load in (PipelineModel.load, lambda p: KnnModel.load(spark, p)):
+    for load in (PipelineModel.load, lambda p: KnnModel.load(spark, p), lambda p: BaggedForest.load(spark, p)):
         try:
             return load(path)
         except AnalysisException as e:
@@ -189,10 +190,21 @@ def estimator_stages(spec: ModelSpec, features: Sequence[str], weight_col: str |
     return [est, margin, platt]
 
 
+def is_bagged(spec: ModelSpec) -> bool:
+    """A forest that weighs classes in each bag or scores out of bag needs its bags as data; both need bags at all."""
+    return spec.name == "RandomForest" and bool(spec.params.get("bootstrap", True)) and (
+        spec.params.get("class_weight") == "balanced_subsample" or bool(spec.params.get("oob_score")))
+
+
 def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], weight_col: str | None = None, id_col: str = "id"):
-    """Fit a model of any kind: a pipeline of assembler and estimator, or the neighbour vote."""
+    """Fit a model of any kind: a pipeline of assembler and estimator, the neighbour vote, or a forest over explicit bags."""
     if spec.name == "KNN":
         return KnnModel(train, list(features), int(spec.params.get("n_neighbors", 5)), id_col)
+    if is_bagged(spec):
+        tree = build_estimator(spec, len(features))
+        # a weight that the call asks for replaces the model's own
+        return fit_bagged(train, features, tree, tree.getNumTrees(), spec.seed, balanced=weight_col is None
+                          and spec.params.get("class_weight") == "balanced_subsample", weight_col=weight_col, id_col=id_col)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     n_rows = train.count() if spec.name in ("LogisticRegression", "SVM") else None
     return Pipeline(stages=[asm, *estimator_stages(spec, features, weight_col, n_rows)]).fit(train)
@@ -201,7 +213,7 @@ def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], weight_col:
 def score(model, df: DataFrame) -> DataFrame:
     """P(class 1) as ``score`` and the 0/1 ``prediction``."""
     out = model.transform(df)
-    return out if isinstance(model, KnnModel) else _positive_prob(out)
+    return out if isinstance(model, (KnnModel, BaggedForest)) else _positive_prob(out)
 
 
 def knn_scores(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 5,
@@ -238,10 +250,16 @@ def train_and_score(spec: ModelSpec, train: DataFrame, splits: dict[str, DataFra
 
 
 def positive_weight_of(spec: ModelSpec) -> float | str | None:
-    """The class weight that a model's parameters ask for: a number for the positive class, 'balanced', or none."""
+    """The class weight of all training rows that a model's parameters ask for: a number for the positive class, 'balanced', or none.
+
+    'balanced_subsample' weighs each bag of a forest by itself (``fit``); without bags it is 'balanced'.
+    """
     if spec.params.get("scale_pos_weight") is not None:
         return float(spec.params["scale_pos_weight"])
-    return "balanced" if str(spec.params.get("class_weight") or "").startswith("balanced") else None
+    asked = spec.params.get("class_weight")
+    if asked not in (None, "balanced", "balanced_subsample"):
+        raise InvalidParameter(f"class_weight {asked!r}: give 'balanced', 'balanced_subsample' or nothing")
+    return "balanced" if asked and not (asked == "balanced_subsample" and is_bagged(spec)) else None
 
 
 def prepare_training(spec: ModelSpec, train: DataFrame, features: Sequence[str], id_col: str, use_smote: bool,

@@ -1079,6 +1079,7 @@ def m3_smote(spark, sf_dir):
 
 import uuid  # noqa: E402
 
+from quorum.operators import forest as FO  # noqa: E402
 from quorum.operators import models as ML  # noqa: E402
 from quorum.operators.importance import model_importance  # noqa: E402
 from quorum.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
@@ -1100,7 +1101,7 @@ def _events_folded(spark, sf_dir):
 # one specification of each kind of model, small enough to fit often
 _KINDS = {s.name: s for s in (
     ML.ModelSpec("XGBoost", {"n_estimators": 5, "max_depth": 3, "scale_pos_weight": 4.0}, CFG.seed),
-    ML.ModelSpec("RandomForest", {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced_subsample"}, CFG.seed),
+    ML.ModelSpec("RandomForest", {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced"}, CFG.seed),
     ML.ModelSpec("LogisticRegression", {"max_iter": 20, "C": 1.0}, CFG.seed),
     ML.ModelSpec("SVM", {"max_iter": 20, "C": 1.0}, CFG.seed),
     ML.ModelSpec("MLP", {"hidden_layer_sizes": [8], "max_iter": 20}, CFG.seed),
@@ -1147,6 +1148,34 @@ def m4_weights_of_models(spark, sf_dir):
     return RP.union_runs(*out)
 
 
+_N_BAGS = 10
+_BAGS_SQL = (V.EVENTS_X_SQL, f"""bags AS (
+  SELECT id, tree, label, {" + ".join(f"(h >= {c})::INT" for c in FO.bag_cuts())} AS n FROM (
+    SELECT id, tree, CASE WHEN gt_label = 'Bad' THEN 1 ELSE 0 END AS label,
+           ('0x' || substr(md5(concat_ws(':', id, '{CFG.seed}', tree)), 1, {FO.HASH_HEX}))::BIGINT AS h
+    FROM events_x, range({_N_BAGS}) t(tree)) x)""")
+
+
+@register("m4_bag_weights", S.with_(*_BAGS_SQL, "c AS (SELECT tree, label, sum(n) AS n_bag FROM bags GROUP BY ALL)") + """
+SELECT CAST(tree AS INTEGER) AS tree, label, CAST(n_bag AS BIGINT) AS n_bag, sum(n_bag) OVER w / (count(*) OVER w * CAST(n_bag AS DOUBLE)) AS weight
+FROM c WHERE n_bag > 0 WINDOW w AS (PARTITION BY tree)""")
+def m4_bag_weights(spark, sf_dir):
+    """Class weights of each bag of a forest."""
+    return FO.bag_weights(_encoded_events(spark, sf_dir), _N_BAGS, CFG.seed, V.ID)
+
+
+@register("m1_out_of_bag", S.with_(*_BAGS_SQL) + """
+SELECT id, label, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS n_out, count(*) FILTER (WHERE n = 0) > 0 AS scored
+FROM bags GROUP BY id, label""")
+def m1_out_of_bag(spark, sf_dir):
+    """How many trees of a fitted forest vote on each row out of bag, and whether their score is a share."""
+    spec = ML.ModelSpec("RandomForest", {"n_estimators": _N_BAGS, "max_depth": 5, "class_weight": "balanced_subsample",
+                                         "oob_score": True}, CFG.seed)
+    enc = cut_lineage(_encoded_events(spark, sf_dir).select(V.ID, "label", *_IMP_FEATS))
+    return ML.fit(spec, enc, _IMP_FEATS, id_col=V.ID).out_of_bag(enc).select(
+        V.ID, "label", "n_out", F.coalesce(F.col("oob_score").between(0, 1), F.lit(False)).alias("scored"))
+
+
 @register("m2_train_and_score", None)
 def m2_train_and_score(spark, sf_dir):
     enc = stratified_split(_encoded_events(spark, sf_dir), V.ID, "label", CFG.test_size, CFG.seed)
