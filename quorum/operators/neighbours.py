@@ -29,7 +29,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.operators.folds import hash_rank
@@ -239,8 +239,13 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, ratio: float
     """M3: synthetic minority rows x + lambda (neighbour - x), up to ``ratio`` x majority count.
 
     Returns only the synthetic rows (id, label, vector); union with the input
-    to get the balanced training frame.
+    to get the balanced training frame. Row n takes its base row, its neighbour and
+    lambda from the first 52 bits of ``md5(n:seed:i)`` for i = 0, 1 and 2.
     """
+    def draw(i: int) -> Column:
+        key = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(f"{seed}:{i}")))
+        return F.conv(F.substring(key, 1, 13), 16, 10).cast("long")
+
     sizes = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}
     n_min, n_maj = sizes.get(minority, 0), sum(v for c, v in sizes.items() if c != minority)
     n_needed = int(ratio * n_maj) - n_min
@@ -257,9 +262,8 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec_col: str, ratio: float
     small = F.broadcast if n_min <= BROADCAST_ROWS else (lambda frame: frame)
     synth = spark.range(n_needed).select(
         F.col("id").alias("sid"),
-        (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_min)) + 1).alias("idx"),
-        (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(1)), F.lit(max(k_eff, 1))) + 1).alias("nn_rank"),
-        (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(2)), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("lam"))
+        (draw(0) % n_min + 1).alias("idx"), (draw(1) % max(k_eff, 1) + 1).alias("nn_rank"),
+        (draw(2) / F.lit(float(1 << 52))).alias("lam"))
     base = synth.join(small(indexed), "idx")
     if k_eff == 0:
         out = base.select("sid", F.col("x").alias("new"))

@@ -1070,9 +1070,29 @@ def j8p_knn_join_pruned(spark, sf_dir):
     return knn_join(vec, vec, 5, V.ID, "embedding", exclude_self=True, tile_rows=256)
 
 
-@register("m3_smote", None)
+def _draw_sql(i: int) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', n, '{CFG.seed}', {i})), 1, 13))::BIGINT"
+
+
+@register("m3_smote", f"""
+WITH m AS (
+  SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS x,
+         row_number() OVER (ORDER BY md5(concat_ws(':', vec_id, '{CFG.seed}')), CAST(vec_id AS VARCHAR)) AS idx
+  FROM embeddings WHERE label = 0),
+s AS (SELECT count(*) FILTER (WHERE label = 0) AS n_min, count(*) FILTER (WHERE label <> 0) AS n_maj FROM embeddings),
+nn AS (
+  SELECT a.id, b.x AS nx, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS nn_rank
+  FROM m a JOIN m b ON a.id <> b.id),
+d AS (
+  SELECT n, {_draw_sql(0)} % n_min + 1 AS idx, {_draw_sql(1)} % least(5, n_min - 1) + 1 AS nn_rank, {_draw_sql(2)} / (1::BIGINT << 52)::DOUBLE AS lam
+  FROM s, LATERAL (SELECT unnest(range(greatest(0, CAST(floor(0.5::DOUBLE * n_maj) AS BIGINT) - n_min))) AS n) r),
+rows_of AS (SELECT n, x, nx, lam FROM d JOIN m USING (idx) JOIN nn ON nn.id = m.id AND nn.nn_rank = d.nn_rank)
+SELECT 'smote-' || n AS id, 1 AS label, place, x[place + 1] + lam * (nx[place + 1] - x[place + 1]) AS value
+FROM (SELECT *, unnest(range(len(x))) AS place FROM rows_of) t""")
 def m3_smote(spark, sf_dir):
-    return smote(V.vectors(spark, sf_dir), V.ID, "label", "embedding", ratio=0.5, k=5, seed=CFG.seed)
+    """Every synthetic row, one value of its vector a row."""
+    rows = smote(V.vectors(spark, sf_dir), V.ID, "label", "embedding", ratio=0.5, k=5, seed=CFG.seed)
+    return rows.select(V.ID, "label", F.posexplode("embedding").alias("place", "value")).withColumn("place", F.col("place").cast("long"))
 
 
 # --- M2, M4-M6, M9-M11, M16, S9, S10: models -----------------------------------------------------
