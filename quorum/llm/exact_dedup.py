@@ -15,7 +15,9 @@ let more unique rows through to the shuffle; the result stays exact.
 Groups are pre-aggregated per (text, id). Groups with more than ``1/HOT_SHARE``
 of the rows (there can be at most ``HOT_SHARE`` of them) are broadcast instead
 of joined by shuffle, so a text that makes up a third of the table lands in no
-single task.
+single task. Should the id that such a group keeps stand in several of its rows
+(for instance a null id in a third of the table), these rows are written with a
+number each, and the smallest number stays.
 """
 
 from __future__ import annotations
@@ -86,16 +88,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.max_by("n", F.struct(F.col("_id").isNotNull(), "_id")).alias("_at_keep"))
         .filter("group_size > 1"), "dedup-groups")
     # at most HOT_SHARE such groups can exist
-    hot_rule = (F.col("group_size") * HOT_SHARE > total) & (F.col("_at_keep") == 1)
-    hot = groups.filter(hot_rule).select("_sha", "keep_id", "group_size")
-    cold = groups.filter(~hot_rule).select("_sha", "keep_id", "group_size")
+    is_hot = F.col("group_size") * HOT_SHARE > total
+    hot = groups.filter(is_hot).withColumn("_single", F.col("_at_keep") == 1).drop("_at_keep")
+    cold = groups.filter(~is_hot).drop("_at_keep")
 
     base = flagged(rows).join(F.broadcast(hot), "_sha", "left")
-    settled = F.expr("not _repeat or group_size is not null")
-    passed = base.filter(settled)
-    rest = base.filter(~settled).drop("keep_id", "group_size").join(cold, "_sha", "left") \
+    in_hot = F.expr("not _repeat or group_size is not null")
+    among = F.expr("group_size is not null and not _single and _id <=> keep_id")
+    passed = base.filter(in_hot & ~F.coalesce(among, F.lit(False))).withColumn("_copy", F.lit(1))
+    rest = base.filter(~in_hot).drop("keep_id", "group_size").join(cold, "_sha", "left") \
         .withColumn("_copy", F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(1))))
-    both = passed.withColumn("_copy", F.lit(1)).unionByName(rest)
+    both = passed.unionByName(rest)
+    if not hot.filter("not _single").isEmpty():
+        copies = scratch(base.filter(among).withColumn("_no", F.monotonically_increasing_id()), "dedup-copies")
+        least = copies.groupBy("_sha").agg(F.min("_no").alias("_least"))
+        both = both.unionByName(copies.join(F.broadcast(least), "_sha")
+                                .withColumn("_copy", F.when(F.col("_no") == F.col("_least"), 1).otherwise(2)).drop("_no", "_least"))
     return both.select(
         "_row.*",
         F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),

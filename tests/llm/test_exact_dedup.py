@@ -50,3 +50,19 @@ def test_hot_group_and_full_filter(make, monkeypatch):
 
 def test_empty_table(make):
     assert op.exact_dedup(make(["x"]).limit(0)).count() == 0
+
+
+def test_hot_group_whose_id_repeats(make, monkeypatch):
+    """A third of the rows with a null id and no text: their copies are numbered in a table, not in one task."""
+    tags = []
+    write = op.scratch
+    monkeypatch.setattr(op, "scratch", lambda df, tag: tags.append(tag) or write(df, tag))
+    rows = [(None, "") if i % 3 == 0 else (i % 50, f"text {i // 2}") for i in range(6000)] + [(7, "Seven"), (7, "seven")] * 400
+    for columns in (None, ["doc_id"]):
+        df = op.exact_dedup(make(rows).repartition(5), columns=columns)
+        check(df, rows)
+        assert df.filter("kept").groupBy("text_sha256").count().filter("count <> 1").count() == 0
+    assert tags.count("dedup-copies") == 2
+    tags.clear()
+    check(op.exact_dedup(make(ROWS)), ROWS)
+    assert "dedup-copies" not in tags
