@@ -7,7 +7,10 @@ words around the place (winnowing): of any ``MAX_WORDS`` words in a row before
 its last word, it is cut after the one with the smallest hash, the last such if
 several are equal. So copies of a passage are cut alike whatever stands before
 and after them, but for at most ``MAX_WORDS`` words at either end, and copies of
-more than ``2 * MAX_WORDS + MIN_WORDS`` words always share a span. Every run of
+more than ``2 * MAX_WORDS + MIN_WORDS`` words always share a span. In a text with
+letters of a script that is written without spaces (Chinese, Japanese, Thai and
+their like), each such letter counts as a word, and the full stops of these
+scripts end a sentence whatever follows. Every run of
 ``RUN`` consecutive sentences, extended until it holds ``MIN_WORDS`` words, is
 hashed (96 bits, A-Z lower-cased, white space as one space). The hashes are
 grouped over all documents; of the places that share a hash the first, by
@@ -40,6 +43,11 @@ MAX_WORDS = 12
 #: A sentence ends at a mark that is a word's last character, or at a line end.
 _ENDS = re.compile(r"[.!?…。](?!\S)|\n\s*+|\Z")
 _WORD = re.compile(r"\S++")
+#: Letters of scripts without spaces: Thai and Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_UNSPACED_ENDS = re.compile(r"[.!?…](?!\S)|[。！？]|\n\s*+|\Z")
+_UNSPACED_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]++")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -48,13 +56,13 @@ def lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, list[str]]]:
+def _pieces(text: str, start: int, end: int, word_rule: re.Pattern) -> Iterator[tuple[int, list[str]]]:
     """(end of each piece, its words) of a long sentence."""
     words: list[str] = []  # since the last cut
     ends: list[int] = []
     keys: list[int] = []
     least = -1  # the hash at the last cut, none before the first
-    for m in _WORD.finditer(text, start, end):
+    for m in word_rule.finditer(text, start, end):
         # the window is the MAX_WORDS words before this one
         if len(words) == MAX_WORDS:  # all of them since the last cut
             least = min(keys)
@@ -75,14 +83,16 @@ def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, list[str]]]:
 def sentences(text: str) -> tuple[list[int], list[int], list[str]]:
     """(start of each sentence, its number of words, its normalised words) of a lower-cased text; they tile all of it."""
     starts, counts, norm = [], [], []
+    unspaced = not text.isascii() and _HAS_UNSPACED.search(text) is not None
+    ends, word_rule = (_UNSPACED_ENDS, _UNSPACED_WORD) if unspaced else (_ENDS, _WORD)
     at = 0
-    for m in _ENDS.finditer(text):
+    for m in ends.finditer(text):
         sentence = text[at:m.end()].rstrip()
-        words = sentence.split(None, MAX_WORDS)
+        words = word_rule.findall(sentence) if unspaced else sentence.split(None, MAX_WORDS)
         if not words:
             continue
         z = at + len(sentence)
-        for then, piece in [(z, words)] if len(words) <= MAX_WORDS else _pieces(text, at, z):
+        for then, piece in [(z, words)] if len(words) <= MAX_WORDS else _pieces(text, at, z, word_rule):
             starts.append(at)
             counts.append(len(piece))
             norm.append(" ".join(piece))

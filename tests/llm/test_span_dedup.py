@@ -99,3 +99,27 @@ def test_passages_that_start_in_mid_sentence(make):
         # what stays are words whose cuts the surroundings decide, and an end too short for a span
         assert len(kept & set(shared)) < 2 * op.MAX_WORDS + op.MIN_WORDS, (len(shared), texts)
         assert own <= kept
+
+
+def test_text_without_spaces(make):
+    rnd = random.Random(3)
+    letters = {"zh": range(0x4e00, 0x9fa0), "ja": range(0x3041, 0x3090), "th": range(0x0e01, 0x0e2f)}
+    for tag, span in letters.items():
+        def run(n, stop):
+            return "".join(chr(rnd.choice(span)) + stop * (rnd.random() < 0.05) for _ in range(n))
+        for stop in ("。", ""):
+            shared = run(120, stop)
+            rows = [(1, run(17, stop) + shared + run(40, stop)), (2, run(30, stop) + shared + run(25, stop)), (3, run(400, stop))]
+            df = op.span_dedup(make(rows))
+            check(df, rows)
+            got = {r.doc_id: r.text for r in df.collect()}
+            assert got[1] == rows[0][1] and got[3] == rows[2][1]
+            assert shared[40:80] not in got[2] and got[2].startswith(rows[1][1][:10]), (tag, stop)
+            # what stays of the passage are its ends
+            assert len(got[2]) < 30 + 25 + 2 * op.MAX_WORDS + op.MIN_WORDS + 10
+
+
+def test_spaces_beside_unspaced_letters():
+    words = [f"w{i}" for i in range(40)]
+    _, counts, norm = op.sentences("漢字。かな！ " + " ".join(words))
+    assert norm[:2] == ["漢 字 。", "か な ！"] and sum(counts) == 46 and " ".join(norm[2:]) == " ".join(words)
