@@ -101,6 +101,20 @@ def classify_models(predictions: DataFrame) -> DataFrame:
         F.when(has_data & F.bool_and(in01), F.lit("decision")).otherwise(F.lit("meta")).alias("model_kind"))
 
 
+def scores_by_id(predictions: DataFrame, models: Sequence[str], flag: str | None = None) -> DataFrame:
+    """One row per id with the score of every model, under the model's name; of several, one that isn't null.
+
+    ``flag`` names a boolean or number of the rows, whose largest value per model comes along as ``{m}__{flag}``.
+    One aggregate by id: rows of an id that meet in a task are merged there, and the shuffle
+    carries one row an id and task, not a row a model.
+    """
+    of = {m: F.col("model_name") == m for m in models}
+    cells = [F.first(F.when(is_of, F.col("score")), ignorenulls=True).alias(m) for m, is_of in of.items()]
+    if flag:
+        cells += [F.max(F.when(is_of, F.col(flag))).alias(f"{m}__{flag}") for m, is_of in of.items()]
+    return predictions.groupBy("id").agg(*cells)
+
+
 def rule_inputs(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
     """J3 + P19 + P20: one wide row per id with, per model, its picked score
     (``{m}__score``) and whether the model is a decision model (``{m}__dec``)."""
@@ -110,9 +124,9 @@ def rule_inputs(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
     long = picked.join(F.broadcast(kinds), "model_name").select(
         "id", "model_name", M.nan_to_null("score").alias("score"),
         (F.col("model_kind") == "decision").alias("dec"))
-    return (long.groupBy("id").pivot("model_name", list(models))
-            .agg(F.first("score").alias("score"), F.first("dec").alias("dec"))
-            .select("id", *[F.col(f"{m}_{a}").alias(f"{m}__{a}") for m in models for a in ("score", "dec")]))
+    wide = scores_by_id(long, models, "dec")
+    return wide.select("id", *[F.col(f"`{n}`").alias(f"{m}__{a}") for m in models
+                               for n, a in ((m, "score"), (f"{m}__dec", "dec"))])
 
 
 def decision_of(model: str, threshold: float) -> Column:

@@ -266,7 +266,7 @@ def j3_assemble_predictions(spark, sf_dir):
     df = V.scored(spark, sf_dir)
     preds = base_predictions(df, CFG, V.ID, _SC, _DC)
     models = [f"kfold_avg_{c}" for c in _SC] + _DC
-    wide = preds.groupBy("id").pivot("model_name", models).agg(F.first("score"))
+    wide = R.scores_by_id(preds, models)
     return labels_of(df, CFG, V.ID, V.TARGET).withColumnRenamed("label", "GT").join(wide, "id", "left")
 
 

@@ -111,22 +111,15 @@ def base_predictions(df: DataFrame, cfg: EvalConfig, id_col: str, score_cols: Se
     one test fold, the scattered out-of-fold series (J2) is the column itself,
     named ``kfold_avg_{col}`` with kind 'oof'. Decision columns become 0/1
     series of kind 'Full'.
+
+    All series come from one scan, and the rows of an id follow each other, so
+    that aggregates by id merge them before their shuffle and files compress them.
     """
-    parts = []
-    present = [c for c in score_cols if c in df.columns]
-    if present:
-        oof = df.select(id_col, *[F.col(c).cast("double").alias(f"{KFOLD_PREFIX}{c}") for c in present]) \
-            .unpivot([id_col], [f"{KFOLD_PREFIX}{c}" for c in present], "model_name", "score")
-        parts.append(oof.select("model_name", F.lit("oof").alias("kind"), F.col(id_col).alias("id"), "score"))
-    if decision_cols:
-        dec = df.select(id_col, *[encode_decision(c, cfg.good_tag, cfg.bad_tag).cast("double").alias(c)
-                                  for c in decision_cols]) \
-            .unpivot([id_col], list(decision_cols), "model_name", "score")
-        parts.append(dec.select("model_name", F.lit("Full").alias("kind"), F.col(id_col).alias("id"), "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    series = [(f"{KFOLD_PREFIX}{c}", "oof", F.col(c).cast("double")) for c in score_cols if c in df.columns]
+    series += [(c, "Full", encode_decision(c, cfg.good_tag, cfg.bad_tag).cast("double")) for c in decision_cols]
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(model).alias("model_name"), F.lit(kind).alias("kind"), F.col(id_col).alias("id"), score.alias("score"))
+        for model, kind, score in series])))
 
 
 def labels_of(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataFrame:
