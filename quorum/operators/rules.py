@@ -262,6 +262,9 @@ def combined_runs_wide(wide: DataFrame, label_col: str, model_cols: dict[str, st
     return results, preds
 
 
+_MASK_BITS = 62  # runs in one number of a mask
+
+
 def rule_problems(predictions: DataFrame, rule_columns: DataFrame) -> DataFrame:
     """B8 as data: (rule_name, problem, detail) for rules that cannot be evaluated.
 
@@ -274,11 +277,19 @@ def rule_problems(predictions: DataFrame, rule_columns: DataFrame) -> DataFrame:
         "rule_name", F.lit("unknown_model").alias("problem"), F.col("column_name").alias("detail"))
     facts = model_facts(predictions)
     spark = predictions.sparkSession
-    kinds = spark.createDataFrame([(m, f["kind"]) for m, f in facts.items()], "model_name string, kind string")
+    kinds = spark.createDataFrame([(m, f["kind"], *divmod(i, _MASK_BITS)) for i, (m, f) in enumerate(sorted(facts.items()))],
+                                  "model_name string, kind string, word int, bit int")
+    # the runs that cover an id are bits of a few numbers, so its rows merge into one whatever the number of rules
+    words = range(max(1, -(-len(facts) // _MASK_BITS)))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    masks = [F.coalesce(F.bit_or(F.when(F.col("word") == w, bit)), F.lit(0).cast("long")) for w in words]
     runs = resolved_columns(rule_columns, kinds).select("rule_name", F.col("run").alias("model_name")).distinct()
-    wanted = runs.groupBy("rule_name").agg(F.count(F.lit(1)).alias("n_runs"))
-    covered = predictions.join(F.broadcast(kinds), ["model_name", "kind"]).join(F.broadcast(runs), "model_name") \
-        .groupBy("rule_name", "id").agg(F.count_distinct("model_name").alias("n"))
-    uneven = covered.join(F.broadcast(wanted), "rule_name").filter("n < n_runs").groupBy("rule_name").agg(
-        F.lit("unequal_ids").alias("problem"), F.count(F.lit(1)).cast("string").alias("detail"))
+    wanted = runs.join(F.broadcast(kinds), "model_name").groupBy("rule_name").agg(*[m.alias(f"want{w}") for w, m in zip(words, masks)])
+    covered = predictions.join(F.broadcast(kinds), ["model_name", "kind"]) \
+        .groupBy("id").agg(*[m.alias(f"has{w}") for w, m in zip(words, masks)]) \
+        .groupBy(*[f"has{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))  # one row a set of runs that some id has
+    has, all_of = (reduce(lambda a, b: a + b, cols, F.lit(0)) for cols in (
+        [F.bit_count(F.col(f"has{w}").bitwiseAND(F.col(f"want{w}"))) for w in words], [F.bit_count(f"want{w}") for w in words]))
+    uneven = covered.crossJoin(F.broadcast(wanted)).filter((has > 0) & (has < all_of)).groupBy("rule_name").agg(
+        F.lit("unequal_ids").alias("problem"), F.sum("n").cast("string").alias("detail"))
     return unknown.unionByName(uneven)
