@@ -5,7 +5,7 @@ Inputs are normalised tables, not in-memory arrays:
   predictions(model_name, kind, id, score)   kind in {'oof', 'Full', ...}
   labels(id, label)
 All rules of a call are evaluated in ONE projection over one wide frame
-(``pivot`` with explicit model names), then unpivoted and counted in one
+(``scores_by_id`` with explicit model names), then unpivoted and counted in one
 aggregate. Per-model facts (kind, 0/1 test) are tiny tables broadcast with a
 bound equal to the number of models.
 """
@@ -152,39 +152,23 @@ def model_facts(predictions: DataFrame) -> dict[str, dict]:
     return out
 
 
-def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rule], costs: Costs,
-                  n_splits: int, model_thresholds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """B9 on long predictions: (results rows, combined predictions) for every enabled rule.
-
-    Two passes over the predictions: one small aggregate for the per-model facts
-    (P19/P20, also the list of runs), then one pivot by id with explicit model
-    names feeding a single projection of all rules, an unpivot and one count. The job
-    fails if a rule combines runs that don't cover the same ids.
-    Results: split 'Full', threshold_type 'combined', threshold NULL,
-    cost / n_splits, is_base_model True. Predictions: (model_name, kind='Full', id, score).
-    """
-    facts = model_facts(predictions)
+def ruled_ids(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rule],
+              model_thresholds: dict[str, float] | None = None, facts: dict[str, dict] | None = None) -> DataFrame:
+    """B9 on long predictions: (id, label, a column per enabled rule with its 0 / 1 decision, NULL where none of its runs
+    covers the id). The job fails if a rule combines runs that don't cover the same ids."""
+    facts = model_facts(predictions) if facts is None else facts
     rules = validate_rules(rules, list(facts))
-    if not rules:
-        empty_schema = ("model_name string, split string, threshold_type string, threshold double, "
-                        "precision double, recall double, f1_score double, accuracy double, cost double, "
-                        "tp long, fp long, tn long, fn long, is_base_model boolean, cost_total double")
-        spark = predictions.sparkSession
-        return (spark.createDataFrame([], empty_schema),
-                spark.createDataFrame([], "model_name string, kind string, id string, score double"))
     mapping = resolve_columns(rules, list(facts))
     models = list(dict.fromkeys(mapping[c] for r in rules for c in r.columns))
     thresholds = model_thresholds or {}
     picked = reduce(lambda a, b: a | b, [(F.col("model_name") == m) & (F.col("kind") == facts[m]["kind"])
                                          for m in models])
-    wide = (predictions.filter(picked).select("id", "model_name", M.nan_to_null("score").alias("score"))
-            .groupBy("id").pivot("model_name", models).agg(F.first("score").alias("score"), F.count(F.lit(1)).alias("rows"))
-            .select("id", *[F.col(f"`{m}_score`").alias(m) for m in models], *[(F.coalesce(f"`{m}_rows`", F.lit(0)) > 0)
-                                                                            .cast("int").alias(f"{m}__has") for m in models]))
+    wide = scores_by_id(predictions.filter(picked).select("id", "model_name", M.nan_to_null("score").alias("score"),
+                                                          F.lit(1).alias("has")), models, "has")
 
     def ruled_by(r: Rule) -> Column:
         """The rule's decision; NULL for ids that none of its runs covers, an error where only some do."""
-        has = reduce(lambda a, b: a + b, [F.col(f"`{mapping[c]}__has`") for c in r.columns])
+        has = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"`{mapping[c]}__has`"), F.lit(0)) for c in r.columns])
         return F.when(has == len(r.columns), combine(r.logic, [decision(c) for c in r.columns])).when(
             has > 0, F.raise_error(F.lit(f"rule {r.name}: its runs cover different ids")).cast("int"))
 
@@ -195,12 +179,43 @@ def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rul
         return M.apply_threshold(F.col(f"`{m}`"), thresholds.get(c, DEFAULT_RULE_THRESHOLD))
 
     combos = [ruled_by(r).alias(r.name) for r in rules]
-    ruled = wide.join(labels.select("id", "label"), "id").select("id", "label", *combos)
-    long = ruled.unpivot(["id", "label"], [r.name for r in rules], "model_name", "pred").filter("pred is not null")
+    return wide.join(labels.select("id", "label"), "id").select("id", "label", *combos)
+
+
+def ruled_long(ruled: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(id, label, model_name, pred) of the rules' decisions."""
+    return ruled.select("id", "label", *[F.col(f"`{n}`") for n in names]) \
+        .unpivot(["id", "label"], [F.col(f"`{n}`") for n in names], "model_name", "pred").filter("pred is not null")
+
+
+def ruled_predictions(long: DataFrame) -> DataFrame:
+    """The rules' decisions as predictions (model_name, kind='Full', id, score)."""
+    return long.select("model_name", F.lit("Full").alias("kind"), "id", F.col("pred").cast("double").alias("score"))
+
+
+def combined_runs(predictions: DataFrame, labels: DataFrame, rules: Sequence[Rule], costs: Costs,
+                  n_splits: int, model_thresholds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """B9 on long predictions: (results rows, combined predictions) for every enabled rule.
+
+    Two passes over the predictions: one small aggregate for the per-model facts
+    (P19/P20, also the list of runs), then one aggregate by id with explicit model
+    names feeding a single projection of all rules, an unpivot and one count. The job
+    fails if a rule combines runs that don't cover the same ids.
+    Results: split 'Full', threshold_type 'combined', threshold NULL,
+    cost / n_splits, is_base_model True. Predictions: (model_name, kind='Full', id, score).
+    """
+    facts = model_facts(predictions)
+    rules = validate_rules(rules, list(facts))
+    if not rules:
+        empty_schema = ("model_name string, split string, threshold_type string, threshold double, "
+                        "precision double, recall double, f1_score double, accuracy double, cost double, "
+                        "tp long, fp long, tn long, fn long, is_base_model boolean, cost_total double")
+        spark = predictions.sparkSession
+        return (spark.createDataFrame([], empty_schema),
+                spark.createDataFrame([], "model_name string, kind string, id string, score double"))
+    long = ruled_long(ruled_ids(predictions, labels, rules, model_thresholds, facts), [r.name for r in rules])
     counts = confusion_counts(long, ["model_name"], "label", "pred")
-    results = decision_results(counts, costs, n_splits, "combined")
-    preds = long.select("model_name", F.lit("Full").alias("kind"), "id", F.col("pred").cast("double").alias("score"))
-    return results, preds
+    return decision_results(counts, costs, n_splits, "combined"), ruled_predictions(long)
 
 
 def wide_model_kinds(wide: DataFrame, model_cols: dict[str, str]) -> dict[str, bool]:

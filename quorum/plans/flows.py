@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.config import KFOLD_PREFIX, EvalConfig
@@ -18,8 +18,8 @@ from quorum.operators.folds import check_unique_ids, stratified_kfold
 from quorum.operators.models import cv_evaluate, final_model
 from quorum.operators.prep import encode_decision, encode_target
 from quorum.operators.report import performance_report, union_runs
-from quorum.operators.rules import combined_runs
-from quorum.session import cut_lineage
+from quorum.operators.rules import combined_runs, ruled_ids, ruled_long, ruled_predictions
+from quorum.session import cut_lineage, written
 from quorum.sources.tables import run_datasets
 
 
@@ -131,8 +131,9 @@ def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: di
     metrics, confusion counts, summary and predictions; return the combined results.
 
     Rules in one call see only runs stored before the call. A rule applied again
-    replaces what it stored before. Both results are computed before anything is
-    written, from one evaluation of the rules, and all four datasets change in one commit.
+    replaces what it stored before. The rules are evaluated once, into a file of one row
+    an id that both results are read from before anything is stored, and all four datasets
+    change in one commit. Every prediction of an id counts with every label of it.
     """
     enabled = [r for r in rules if r.enabled and r.columns]
     names = [r.name for r in enabled]
@@ -141,12 +142,12 @@ def apply_rules(store, run_id: str, rules, cfg: EvalConfig, model_thresholds: di
     others = ~F.col("model_name").isin(names)
     preds = store.load("predictions", run_id).drop("run_id").filter(others)
     labels = store.load("labels", run_id).drop("run_id")
-    _, combined = combined_runs(preds, labels, enabled, cfg.costs, cfg.n_splits, model_thresholds)
-    combined = cut_lineage(combined)
-    long = combined.join(labels, "id").select("model_name", "label", F.col("score").cast("int").alias("pred"))
-    results = cut_lineage(E.decision_results(E.confusion_counts(long, ["model_name"], "label", "pred"), cfg.costs,
+    every = F.collect_list("label").over(Window.partitionBy("id"))  # in the order that the rules' join left the rows in
+    ruled = written(ruled_ids(preds, labels, enabled, model_thresholds).withColumn("labels", every), "ruled")
+    counted = ruled_long(ruled.withColumn("label", F.explode("labels")), names)
+    results = cut_lineage(E.decision_results(E.confusion_counts(counted, ["model_name"], "label", "pred"), cfg.costs,
                                              cfg.n_splits, "combined"))
-    store.replace_models(run_id, run_datasets(results) | {"predictions": combined}, names)
+    store.replace_models(run_id, run_datasets(results) | {"predictions": ruled_predictions(ruled_long(ruled, names))}, names)
     return store.load("model_metrics", run_id).filter(~others).drop("run_id")
 
 
