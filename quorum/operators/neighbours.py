@@ -8,7 +8,7 @@ inequality no row of it is nearer to a query than |d(query, pivot) - ring|, nor
 half of what the query is nearer to its own pivot. Every query is first scored
 against the tile of its smallest bound; its k-th distance there is what any other tile's
 bound must not exceed, and only those tiles get the query. Tiles and blocks of queries meet as co-grouped NumPy tasks that keep
-the k best, so rows are replicated, pairs are never emitted, and the per-query merge
+the k best (neighbouring small tiles in one task, with one copy of the query; large tiles are cut into boxes there), so rows are replicated, pairs are never emitted, and the per-query merge
 keeps k of k rows a tile. The result is exact for any data; ``probes`` bounds the
 tiles of a query instead, for an approximate join.
 
@@ -33,16 +33,135 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.operators.folds import hash_rank
-from quorum.session import cut_lineage
+from quorum.session import cut_lineage, written
 
 KNN_SCHEMA = "qid string, rid string, distance double"
 BROADCAST_ROWS = 20_000  # largest minority class that SMOTE broadcasts
+LEAF_ROWS = 256  # rows of a box within a tile
+BOX_DIMENSIONS = 16  # with more, one product over a whole tile is faster
+TASK_ROWS = 20_000  # rows of each side that a task of small tiles holds at a time
 _PAIRS = 250_000  # pairs of a tile scored exactly at a time
 MAX_PIVOTS = 512
 MAX_TILES = 100_000  # a larger reference set gets larger tiles
 
 
+def _direct(qv: np.ndarray, rv: np.ndarray, qids: np.ndarray, rids: np.ndarray, k: int, exclude_self: bool) -> tuple:
+    """(query, reference, distance) of the k nearest of every query, by positions; references are in the order of their ids."""
+    centre = rv.mean(axis=0)
+    qc, rc = qv - centre, rv - centre
+    qn, rn = (qc * qc).sum(axis=1), (rc * rc).sum(axis=1)
+    slack = 4 * (qv.shape[1] + 4) * np.finfo(np.float64).eps
+    # centring itself rounds by the size of the raw coordinates
+    raw = np.sqrt(max((rv * rv).sum(axis=1).max(), (qv * qv).sum(axis=1).max())) * np.finfo(np.float64).eps
+    step = max(1, int(4_000_000 // max(1, len(rids))))
+    parts = []
+    for s in range(0, len(qids), step):
+        a = slice(s, s + step)
+        d2 = qn[a, None] + rn[None, :] - 2.0 * (qc[a] @ rc.T)
+        if exclude_self:
+            d2[qids[a][:, None] == rids[None, :]] = np.inf
+        kth = np.partition(d2, min(k, len(rids)) - 1, axis=1)[:, min(k, len(rids)) - 1]
+        reach = np.sqrt(qn[a]) + np.sqrt(rn.max())
+        error = slack * reach ** 2 + 8 * raw * reach
+        near_q, near_r = np.nonzero(d2 <= np.where(np.isfinite(kth), kth + 2 * error, np.inf)[:, None])
+        exact = np.empty(len(near_q))
+        for t in range(0, len(near_q), _PAIRS):
+            b = slice(t, t + _PAIRS)
+            exact[b] = np.sqrt(((rv[near_r[b]] - qv[s + near_q[b]]) ** 2).sum(axis=1))
+        if exclude_self:
+            ok = qids[s + near_q] != rids[near_r]
+            near_q, near_r, exact = near_q[ok], near_r[ok], exact[ok]
+        parts.append(_nearest([(s + near_q, near_r, exact)], k))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+
+
+def _nearest(found: list[tuple], k: int) -> tuple:
+    """The k nearest of every query among (query, reference, distance) arrays; ties by the references' positions."""
+    q, r, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((r, d, q))
+    q, r, d = q[order], r[order], d[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[top], r[top], d[top]
+
+
+def _leaves(rv: np.ndarray) -> list[np.ndarray]:
+    """Positions of the rows in boxes of at most ``LEAF_ROWS``, by halving along the widest side; equal rows stay together."""
+    out, open_ = [], [np.arange(len(rv))]
+    while open_:
+        rows = open_.pop()
+        v = rv[rows]
+        width = np.ptp(v, axis=0)
+        side = int(width.argmax())
+        if len(rows) <= LEAF_ROWS or width[side] == 0:
+            out.append(rows)
+            continue
+        x = v[:, side]
+        low = x < np.median(x)
+        low = low if low.any() else x <= x.min()
+        open_ += [rows[low], rows[~low]]
+    return out
+
+
+def _block_topk(qv: np.ndarray, rv: np.ndarray, qids: np.ndarray, rids: np.ndarray, bound: np.ndarray, k: int,
+                exclude_self: bool) -> tuple:
+    """``_direct`` for the references within ``bound`` of each query (others may be left out), box by box.
+
+    The nearest box gives a first k-th distance; only boxes within that of a query are scored for it.
+    """
+    if len(rv) <= 2 * LEAF_ROWS or qv.shape[1] > BOX_DIMENSIONS or not (np.isfinite(qv).all() and np.isfinite(rv).all()):
+        return _direct(qv, rv, qids, rids, k, exclude_self)
+    boxes = _leaves(rv)
+    low, high = np.array([rv[b].min(axis=0) for b in boxes]), np.array([rv[b].max(axis=0) for b in boxes])
+    slack = 64 * np.finfo(np.float64).eps * np.sqrt(qv.shape[1] + 1) * max(np.abs(qv).max(), np.abs(rv).max(), 1e-300)
+    step = max(1, 1_000_000 // len(boxes))
+    out = []
+
+    def scored(queries: np.ndarray, box: int, to: list) -> None:
+        rows = np.sort(boxes[box])
+        q, r, d = _direct(qv[queries], rv[rows], qids[queries], rids[rows], k, exclude_self)
+        to.append((queries[q], rows[r], d))
+
+    for s in range(0, len(qv), step):
+        mine = np.arange(s, min(s + step, len(qv)))
+        gap = np.zeros((len(mine), len(boxes)))
+        for j in range(qv.shape[1]):
+            x = qv[mine, j][:, None]
+            gap += np.maximum(np.maximum(low[None, :, j] - x, x - high[None, :, j]), 0.0) ** 2
+        gap = np.sqrt(gap)
+        home, found = gap.argmin(axis=1), []
+        reach = gap[np.arange(len(mine)), home] <= bound[mine] + slack
+        for box in np.unique(home[reach]):
+            scored(mine[reach & (home == box)], box, found)
+        kth = bound[mine].copy()
+        if found:
+            q, _, d = _nearest(found, k)
+            last = np.append(q[1:] != q[:-1], True)
+            full = last & (np.arange(len(q)) - np.searchsorted(q, q, side="left") == k - 1)
+            kth[q[full] - s] = np.minimum(kth[q[full] - s], d[full])
+        wanted = gap <= (kth * (1 + 1e-12) + slack)[:, None]
+        wanted[np.arange(len(mine)), home] = False
+        # where boxes don't tell near from far, one product over all rows is faster
+        many = np.flatnonzero(wanted.sum(axis=1) * 8 > len(boxes))
+        if len(many):
+            wanted[many] = False
+            q, r, d = _direct(qv[mine[many]], rv, qids[mine[many]], rids, k, exclude_self)
+            found = [(f[0][keep], f[1][keep], f[2][keep]) for f in found for keep in [~np.isin(f[0], mine[many])]]
+            found.append((mine[many[q]], r, d))
+        for box in np.flatnonzero(wanted.any(axis=0)):
+            scored(mine[wanted[:, box]], box, found)
+            if sum(len(f[0]) for f in found) > 2_000_000:
+                found = [_nearest(found, k)]
+        if found:
+            out.append(_nearest(found, k))
+    return tuple(np.concatenate([p[i] for p in out]) for i in range(3)) if out else _NONE
+
+
+_NONE = (np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=float))
+
+
 def _tile_topk(k: int, exclude_self: bool):
+    """Nearest of the queries (qid, qvec) among the references (rid, rvec) of a task. With ``tiles``, a query is scored
+    against the references of these tiles only, and needs none beyond its distance ``kth``."""
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
             return pd.DataFrame({"qid": np.array([], dtype=object), "rid": np.array([], dtype=object), "distance": np.array([], dtype=float)})
@@ -51,37 +170,23 @@ def _tile_topk(k: int, exclude_self: bool):
         qids = q["qid"].astype(str).to_numpy()
         by_id = np.argsort(r["rid"].astype(str).to_numpy(), kind="stable")  # positions follow the order of rids
         rids, rv = r["rid"].astype(str).to_numpy()[by_id], rv[by_id]
-        centre = rv.mean(axis=0)
-        qc, rc = qv - centre, rv - centre
-        qn, rn = (qc * qc).sum(axis=1), (rc * rc).sum(axis=1)
-        slack = 4 * (qv.shape[1] + 4) * np.finfo(np.float64).eps
-        # centring itself rounds by the size of the raw coordinates
-        raw = np.sqrt(max((rv * rv).sum(axis=1).max(), (qv * qv).sum(axis=1).max())) * np.finfo(np.float64).eps
-        step = max(1, int(4_000_000 // max(1, len(rids))))
-        parts = []
-        for s in range(0, len(qids), step):
-            a = slice(s, s + step)
-            d2 = qn[a, None] + rn[None, :] - 2.0 * (qc[a] @ rc.T)
-            if exclude_self:
-                d2[qids[a][:, None] == rids[None, :]] = np.inf
-            kth = np.partition(d2, min(k, len(rids)) - 1, axis=1)[:, min(k, len(rids)) - 1]
-            reach = np.sqrt(qn[a]) + np.sqrt(rn.max())
-            error = slack * reach ** 2 + 8 * raw * reach
-            near_q, near_r = np.nonzero(d2 <= np.where(np.isfinite(kth), kth + 2 * error, np.inf)[:, None])
-            exact = np.empty(len(near_q))
-            for t in range(0, len(near_q), _PAIRS):
-                b = slice(t, t + _PAIRS)
-                exact[b] = np.sqrt(((rv[near_r[b]] - qv[s + near_q[b]]) ** 2).sum(axis=1))
-            if exclude_self:
-                ok = qids[s + near_q] != rids[near_r]
-                near_q, near_r, exact = near_q[ok], near_r[ok], exact[ok]
-            order = np.lexsort((near_r, exact, near_q))
-            near_q, near_r, exact = near_q[order], near_r[order], exact[order]
-            starts = np.searchsorted(near_q, near_q, side="left")
-            top = np.arange(len(near_q)) - starts < k
-            parts.append((qids[s + near_q[top]], rids[near_r[top]], exact[top]))
-        return pd.DataFrame({"qid": np.concatenate([p[0] for p in parts]), "rid": np.concatenate([p[1] for p in parts]),
-                             "distance": np.concatenate([p[2] for p in parts])})
+        bound = np.full(len(q), np.inf)
+        if "tiles" in q:
+            bound = np.where(np.isnan(kth := q["kth"].to_numpy(dtype=np.float64)), np.inf, kth)
+            tile = r["tile"].to_numpy(dtype=np.int64)[by_id]
+            owner, asked = np.repeat(np.arange(len(q)), q["tiles"].str.len()), np.concatenate(q["tiles"].to_numpy())
+        else:
+            tile, owner, asked = np.zeros(len(r), dtype=np.int64), np.arange(len(q)), np.zeros(len(q), dtype=np.int64)
+        found = []
+        for t in np.unique(tile):
+            mine, rows = owner[asked == t], np.flatnonzero(tile == t)
+            if len(mine):
+                a, b, d = _block_topk(qv[mine], rv[rows], qids[mine], rids[rows], bound[mine], k, exclude_self)
+                found.append((mine[a], rows[b], d))
+                if sum(len(f[0]) for f in found) > 2_000_000:
+                    found = [_nearest(found, k)]
+        a, b, d = _nearest(found, k) if found else _NONE
+        return pd.DataFrame({"qid": qids[a], "rid": rids[b], "distance": d})
     return run
 
 
@@ -123,7 +228,9 @@ class Tiles:
     def within(self, vectors: np.ndarray, kth: np.ndarray, k: int, home: np.ndarray, probes: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(query, tile) of every tile but the home that may hold one of the k nearest, given the k-th distance found at home."""
         low, high = self.bounds(vectors)
-        order = high.argsort(axis=1)
+        # every tile holds a row, so k tiles do
+        order = np.argpartition(high, k - 1, axis=1)[:, :k] if k < high.shape[1] else np.broadcast_to(np.arange(high.shape[1]), high.shape)
+        order = np.take_along_axis(order, np.take_along_axis(high, order, axis=1).argsort(axis=1), axis=1)
         enough = (self.rows[order].cumsum(axis=1) >= k).argmax(axis=1)  # the tiles that hold k rows for sure
         sure = high[np.arange(len(high)), order[np.arange(len(high)), enough]]
         if self.rows.sum() >= k:
@@ -173,34 +280,49 @@ def _tiled(reference: DataFrame, n_rows: int, tile_rows: int) -> tuple[DataFrame
                        np.repeat(rings["high"].to_numpy(), times), held)
 
 
+def _per_part(tile_rows: int) -> int:
+    """Neighbouring tiles that go to a task together, so that a query isn't copied for each of many small tiles."""
+    return max(1, TASK_ROWS // tile_rows)
+
+
 def _score(asked: DataFrame, rows: DataFrame, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
-    """The k best of every query (qid, qvec, tile) in the tile it goes to, as (qid, rid, distance)."""
-    # queries of one tile are dealt into blocks, for each of which the tile's rows are copied
-    blocks = asked.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("blocks"))
+    """The k best of every query (qid, qvec, kth, part, tiles) in the tiles of the part, as (qid, rid, distance)."""
+    # queries of one part are dealt into blocks, for each of which the part's rows are copied
+    size = max(tile_rows, TASK_ROWS)
+    blocks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
     blocks = blocks.filter("blocks > 1")
-    q = asked.join(blocks, "tile", "left").withColumn("block", F.expr("pmod(xxhash64(qid), coalesce(blocks, 1L))"))
-    r = rows.join(blocks, "tile", "left").withColumn("block", F.explode(F.expr("sequence(0L, coalesce(blocks, 1L) - 1)")))
-    return q.select("qid", "qvec", "tile", "block").groupBy("tile", "block").cogroup(
-        r.select("rid", "rvec", "tile", "block").groupBy("tile", "block")).applyInPandas(_tile_topk(k, exclude_self), KNN_SCHEMA)
+    q = asked.join(blocks, "part", "left").withColumn("block", F.expr("pmod(xxhash64(qid), coalesce(blocks, 1L))"))
+    r = rows.withColumn("part", F.expr(f"tile div {_per_part(tile_rows)}")).join(blocks, "part", "left") \
+        .withColumn("block", F.explode(F.expr("sequence(0L, coalesce(blocks, 1L) - 1)")))
+    return q.select("qid", "qvec", "kth", "tiles", "part", "block").groupBy("part", "block").cogroup(
+        r.select("rid", "rvec", "tile", "part", "block").groupBy("part", "block")).applyInPandas(_tile_topk(k, exclude_self), KNN_SCHEMA)
 
 
-def _ask(queries: DataFrame, tiles: Tiles, k: int, probes: int | None = None, others: bool = False) -> DataFrame:
-    """(qid, qvec, tile): the home tile of every query, or, for queries with ``kth``, the others that may matter."""
-    step = max(1, 4_000_000 // max(1, len(tiles.cell)))
+def _ask(queries: DataFrame, tiles: Tiles, k: int, tile_rows: int, probes: int | None = None, others: bool = False) -> DataFrame:
+    """(qid, qvec, kth, part, tiles): the home tile of every query, or, for queries with ``kth``, the others that may matter,
+    a row for each part of neighbouring tiles."""
+    step = max(1, 1_000_000 // max(1, len(tiles.cell)))
+    per_part = _per_part(tile_rows)
 
     def run(frames):
         for pdf in frames:
             ids, vectors = pdf["qid"].to_numpy(dtype=object), pdf["qvec"].to_numpy(dtype=object)
+            known = pdf["kth"].to_numpy(dtype=np.float64)
             for at in range(0, len(pdf), step):
                 v = np.stack(vectors[at:at + step]).astype(np.float64)
                 q, tile = np.arange(len(v)), tiles.home(v)
                 if others:
-                    kth = pdf["kth"].to_numpy(dtype=np.float64)[at:at + step]
+                    kth = known[at:at + step]
                     q, tile = tiles.within(v, np.where(np.isnan(kth), np.inf, kth), k, tile, probes)
-                if len(q):
-                    yield pd.DataFrame({"qid": ids[at + q], "qvec": vectors[at + q], "tile": tile})
+                part = tile // per_part
+                first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (part[1:] != part[:-1]))) if len(q) else q
+                lists = np.split(tile, first[1:])
+                for n in range(0, len(first), 2000):  # few rows at a time: each holds a copy of its query
+                    f = first[n:n + 2000]
+                    yield pd.DataFrame({"qid": ids[at + q[f]], "qvec": vectors[at + q[f]], "kth": known[at + q[f]],
+                                        "part": part[f], "tiles": lists[n:n + 2000]})
 
-    return queries.mapInPandas(run, f"qid string, qvec {queries.schema['qvec'].dataType.simpleString()}, tile long")
+    return queries.mapInPandas(run, f"qid string, qvec {queries.schema['qvec'].dataType.simpleString()}, kth double, part long, tiles array<long>")
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
@@ -221,16 +343,19 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "id
     r = reference.select(F.col(id_col).cast("string").alias("rid"), F.col(vec_col).alias("rvec"))
     n_rows = r.count()
     if n_rows <= tile_rows:
-        return _best(_score(q.withColumn("tile", F.lit(0)), r.withColumn("tile", F.lit(0)), k, exclude_self, tile_rows), k)
+        alone = q.select("qid", "qvec", F.lit(None).cast("double").alias("kth"), F.lit(0).cast("long").alias("part"),
+                         F.array(F.lit(0).cast("long")).alias("tiles"))
+        return _best(_score(alone, r.withColumn("tile", F.lit(0).cast("long")), k, exclude_self, tile_rows), k)
     rows, tiles = _tiled(r, n_rows, tile_rows)
-    near = cut_lineage(_score(_ask(q, tiles, k), rows, k, exclude_self, tile_rows))
+    home = _ask(q.withColumn("kth", F.lit(None).cast("double")), tiles, k, tile_rows)
+    near = cut_lineage(_score(home, rows, k, exclude_self, tile_rows))
     kth = near.groupBy("qid").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")) \
         .select("qid", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
     more = q.join(kth, "qid", "left")
-    asked = cut_lineage(_ask(more, tiles, k + exclude_self, probes, others=True))
+    asked = written(_ask(more, tiles, k + exclude_self, tile_rows, probes, others=True), "knn-asked")
     if tile_pairs is not None:
         n_queries = q.count()
-        tile_pairs.append((n_queries + asked.count(), n_queries * len(tiles.cell)))
+        tile_pairs.append((n_queries + asked.agg(F.coalesce(F.sum(F.size("tiles")), F.lit(0))).first()[0], n_queries * len(tiles.cell)))
     return _best(near.unionByName(_score(asked, rows, k, exclude_self, tile_rows)), k)
 
 
