@@ -120,3 +120,27 @@ def test_kept_columns_that_clash(make):
     model = {"w": np.zeros(len(op.FEATURES)), "shift": 0.0, "cut": 0.0, "unit": 1.0}
     got = op.score(docs, model, keep=["doc_id", "score", "predicted"])
     assert got.columns == ["doc_id", "score", "predicted"] and {r.score for r in got.collect()} == {0.5}
+
+
+def test_every_labelled_row_is_learned(spark, make, monkeypatch):
+    """Weights and cut come from all rows, however many: more than one block of them, of classes of very different sizes."""
+    ids = [i for i in range(18000) if crc32(str(i).encode()) % 3 != 1]
+    bad = {i for i in ids if i % 11 == 0}
+    rnd = np.random.default_rng(3)
+    sizes = {i: int(rnd.integers(1, 60) + (0 if i in bad else 12)) for i in ids}
+    docs = make([(i, " ".join(f"w{j}" for j in range(n))) for i, n in sizes.items()], extra=False)
+    labels = spark.createDataFrame([(i, int(i not in bad), None) for i in ids], "doc_id long, quality int, toxic int")
+    seen = []
+    fit_blocks = op.fit_blocks
+    monkeypatch.setattr(op, "fit_blocks", lambda blocks, *a: seen.append(blocks) or fit_blocks(blocks, *a))
+    model = op.learn(docs, labels)
+    assert len(ids) - len(bad) > 2 * op.BLOCK_ROWS > 5000
+    blocks = [r["block"] for r in seen[0].filter("label = 0").collect()]
+    assert seen[0].filter("label = 1").count() == len(ids) - len(bad) and set(blocks) == {0, 1, 2} and len(blocks) == 3 * len(bad)
+    x = {i: np.array(op.features(" ".join(f"w{j}" for j in range(n)))) for i, n in sizes.items()}
+    worth = {i: float(v @ model["w"] - model["shift"]) for i, v in x.items()}
+    # the cut leaves out as many rows as are bad, but for those that tie with it
+    assert sum(v < model["cut"] - 1e-9 for v in worth.values()) <= len(bad) <= sum(v <= model["cut"] + 1e-9 for v in worth.values())
+    monkeypatch.setattr(op, "_COLLECTED", 1)
+    again = op.learn(docs.repartition(5), labels.repartition(3))
+    assert np.allclose(again["w"], model["w"], rtol=1e-6, atol=1e-9) and abs(again["cut"] - model["cut"]) < 1e-9
