@@ -145,11 +145,11 @@ def _unescape(text: str) -> str:
     return html.unescape(_NUMBER.sub(short, text))
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of the blocks of a page that aren't boilerplate."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters outside links, number of the marked article or 0) of the blocks of a page that aren't boilerplate."""
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
-    plain = inside = links = 0
+    plain = inside = links = articles = 0
     skip, depth, firm = "", 0, False      # the element being left out, how often it is open, whether an article ends it
     bodies: list[list] = []               # open article containers: [tag, nested opens]
 
@@ -158,7 +158,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if text:
             line = " ".join(_unescape("".join(text)).split())
             if line:
-                out.append((line, plain, bool(inside)))
+                out.append((line, plain, articles if inside else 0))
             text.clear()
         plain = 0
 
@@ -205,6 +205,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag in ("article", "main") and not (parts | ids) & _COMMENT_NAMES or (whole | ids) & _BODY_NAMES:
             bodies.append([tag, 1])
+            articles += not inside
             inside += 1
             continue
         if tag in _ASIDE_TAGS or tag == "header" and not inside or block and _aside(tag, whole, parts, ids, bool(inside)):
@@ -219,19 +220,40 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def windows(weight: list[int]) -> list[int]:
+    """The sum of the ``WINDOW`` weights from each place on."""
+    return [sum(weight[i:i + WINDOW]) for i in range(len(weight))]
+
+
+def _article_lines(rows: list[tuple[str, int, int]]) -> list[str]:
+    """The lines of one marked part without its dives; all of them if every line is links."""
+    sums = windows([plain for _, plain, _ in rows])
+    empty = [total == 0 and i + WINDOW <= len(rows) for i, total in enumerate(sums)]
+    if not any(empty):
+        return [text for text, _, _ in rows]
+    dived = [any(empty[max(0, i - WINDOW + 1):i + 1]) for i in range(len(rows))]
+    return [text for (text, _, _), gone in zip(rows, dived) if not gone or all(dived)]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one whole page; empty if there is none."""
     rows = lines(page or "")
-    marked = any(inside for _, _, inside in rows)
-    weight = [len(t) if inside else 0 for t, _, inside in rows] if marked else [plain for _, plain, _ in rows]
-    sums = [sum(weight[i:i + WINDOW]) for i in range(len(weight))]
-    if not marked and (not sums or max(sums) <= SURGE):
+    parts: dict[int, list] = {}
+    for row in rows:
+        if row[2]:
+            parts.setdefault(row[2], []).append(row)
+    if parts:
+        surge = {k: max(windows([plain for _, plain, _ in part])) > SURGE for k, part in parts.items()}
+        return " ".join(t for k, part in parts.items() if surge[k] or not any(surge.values()) for t in _article_lines(part))
+    weight = [plain for _, plain, _ in rows]
+    sums = windows(weight)
+    if not sums or max(sums) <= SURGE:
         return " ".join(t for (t, _, _), w in zip(rows, weight) if w)  # a page of a few words
     kept, on = [], False
     for i, total in enumerate(sums):
-        if not on and weight[i] and total > (0 if marked else SURGE):
+        if not on and weight[i] and total > SURGE:
             on = True
-        elif on and not weight[i] and total <= (0 if marked else SURGE):
+        elif on and not weight[i] and total <= SURGE:
             on = False
         if on and weight[i]:
             kept.append(rows[i][0])

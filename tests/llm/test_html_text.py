@@ -56,6 +56,19 @@ def test_time_grows_with_the_page_alone():
         assert time.process_time() - start < 10, hostile
 
 
+def test_windows_decide_inside_marked_pages():
+    long = "A paragraph of the article that has a good number of words, so that its window of lines is a surge."
+    menu = "".join(f"<li><a href='/{i}'>Section number {i}</a></li>" for i in range(5))
+    teaser = "<article><h2><a href='/t'>Another story</a></h2><p>Short teaser.</p></article>"
+    assert main_text(f"{teaser}<article><h1>T</h1><ul>{menu}</ul><p>{long}</p><p>End.</p></article>{teaser}") == f"T {long} End."
+    # single lines of links are no dive, and without any surge or any line outside links nothing is left out
+    assert main_text(f"<article><h1><a>T</a></h1><p>{long}</p><p><a>Source</a></p></article>") == f"T {long} Source"
+    assert main_text(teaser + "<article><p>one</p></article>") == "Another story Short teaser. one"
+    assert main_text(f"<article>{menu}</article>") == " ".join(f"Section number {i}" for i in range(5))
+    # nested articles are parts of the outer one
+    assert main_text(f"<main><article><p>{long}</p></article><article><p>b</p></article></main>") == f"{long} b"
+
+
 def test_query_equals_the_marked_articles(spark):
     pages = {r.page_id: r.html for r in read(spark, SF, "pages").collect()}
     for r in QUERIES["op3_html_text"](spark, SF).collect():
