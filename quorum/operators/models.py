@@ -33,7 +33,7 @@ from quorum.operators import evaluation as E
 from quorum.operators.folds import stratified_kfold
 from quorum.operators.forest import BaggedForest, fit_bagged
 from quorum.operators.neighbours import knn_join, smote
-from quorum.session import cut_lineage
+from quorum.session import cut_lineage, written
 from quorum.sources.tables import contract_problems
 
 # Model names accepted by the registry (others are ignored).
@@ -282,9 +282,18 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
     ``search`` = {"spaces": {...}, "n_trials": int, "inner_folds": int} enables M5 inside
     each fold; the model's own name selects its space (the name, not the fold).
     ``positive_weight`` overrides the class weights of the models' parameters.
-    The folded frame is written to the shared folder once, for all fits and scores.
+    The folded frame is written to the shared folder once, for all fits and scores. So is the
+    oversampled training frame of each fold: it doesn't depend on the model, and a fit reads its frame several times.
     """
-    data = cut_lineage(folded.select(id_col, "label", "fold", *features))
+    data = written(folded.select(id_col, "label", "fold", *features), "folded")
+    parallelism = max(1, parallelism)
+
+    def balanced(k):
+        return written(oversample(data.filter(F.col("fold") != k), features, id_col, smote_ratio, cfg.seed), "oversampled")
+
+    folds = range(1, cfg.n_splits + 1)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        oversampled = dict(zip(folds, pool.map(balanced, folds))) if use_smote else {}
 
     def one(task):
         name, k = task
@@ -296,12 +305,12 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
             inner = stratified_kfold(tr.drop("fold"), id_col, "label", inner_k, cfg.seed)
             spec, _ = hyperparam_search(spec, inner, features, search.get("spaces", {}),
                                         int(search.get("n_trials", 25)), cfg.seed, n_folds=inner_k, id_col=id_col)
-        s = train_and_score(spec, tr, {"test": te}, features, id_col, use_smote, smote_ratio, cfg.seed, positive_weight)["test"]
+        s = train_and_score(spec, oversampled.get(k, tr), {"test": te}, features, id_col, positive_weight=positive_weight)["test"]
         return s.select(F.lit(name).alias("model_name"), F.lit(k).alias("fold"), id_col, "label", "score")
 
-    tasks = [(name, k) for name in specs for k in range(1, cfg.n_splits + 1)]
+    tasks = [(name, k) for name in specs for k in folds]
     # (model, fold) fits are independent Spark jobs: submit them concurrently from the driver
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
         scored = list(pool.map(one, tasks))
     # the scores feed the sweep, the merges and the stored predictions
     oof = cut_lineage(reduce(DataFrame.unionByName, [s.withColumn(id_col, F.col(id_col).cast("string"))

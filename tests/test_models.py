@@ -1,6 +1,7 @@
 """Model registry and training paths for every registered model kind."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quorum.config import EvalConfig
 from quorum.operators import models as ML
@@ -151,3 +152,12 @@ def test_cv_with_per_fold_search(spark, data):
     cv = ML.cv_evaluate(folded, {"LogisticRegression": spec}, ["a", "b"], cfg, "id",
                         search={"spaces": {"LogisticRegression": {"C": [1.0, 10.0]}}, "n_trials": 2, "inner_folds": 2})
     assert cv["results"].count() == 2
+
+
+def test_cv_oversamples_each_fold_once(spark, data, monkeypatch):
+    calls, oversample = [], ML.oversample
+    monkeypatch.setattr(ML, "oversample", lambda *a: calls.append(a) or oversample(*a))
+    specs = {n: ML.ModelSpec(n, p, 1) for n, p in (("LogisticRegression", {"max_iter": 5}), ("RandomForest", {"n_estimators": 2, "max_depth": 2}))}
+    out = ML.cv_evaluate(stratified_kfold(data, "id", "label", 2, 42), specs, ["a", "b"], EvalConfig(n_splits=2), use_smote=True)
+    assert len(calls) == 2 and out["predictions"].count() == 2 * data.count()
+    assert {r[0] for r in out["results"].select(F.expr("tp + fp + tn + fn")).collect()} == {data.count()}
