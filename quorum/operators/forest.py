@@ -38,11 +38,24 @@ def bag_cuts() -> list[int]:
     return cuts
 
 
+def _bag_hash(id_col: str, tree: int, seed: int) -> Column:
+    """The hash in hex digits, which compare like the numbers that they stand for."""
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"{seed}:{tree}")))
+    return F.substring(key, 1, HASH_HEX)
+
+
+def _reaches(id_col: str, tree: int, seed: int, cut: int) -> Column:
+    return _bag_hash(id_col, tree, seed) >= F.lit(f"{cut:0{HASH_HEX}x}")
+
+
+def in_bag(id_col: str, tree: int, seed: int) -> Column:
+    """Whether a row is in the bag of ``tree``: one hash, where a filter on ``bag_count`` takes one for each of its cuts."""
+    return _reaches(id_col, tree, seed, bag_cuts()[0])
+
+
 def bag_count(id_col: str, tree: int, seed: int) -> Column:
     """How often a row is in the bag of ``tree``; rows with the same id are in it equally often."""
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f"{seed}:{tree}")))
-    value = F.conv(F.substring(key, 1, HASH_HEX), 16, 10).cast("long")
-    return sum((F.when(value >= c, 1).otherwise(0) for c in bag_cuts()), F.lit(0))
+    return sum((F.when(_reaches(id_col, tree, seed, c), 1).otherwise(0) for c in bag_cuts()), F.lit(0))
 
 
 def bag_weights(train: DataFrame, n_trees: int, seed: int = 42, id_col: str = "id", label_col: str = "label") -> DataFrame:
@@ -85,7 +98,7 @@ class BaggedForest:
     def out_of_bag(self, train: DataFrame, label_col: str = "label") -> DataFrame:
         """(id, label, n_out, oob_score): the trees whose bags don't hold the row, and their mean P(1); null without any."""
         out, votes = self._votes(train)
-        is_out = {t: bag_count(self.id_col, t, self.seed) == 0 for t in votes}
+        is_out = {t: ~in_bag(self.id_col, t, self.seed) for t in votes}
         total = sum((F.when(is_out[t], p).otherwise(0.0) for t, p in votes.items()), F.lit(0.0))
         n_out = sum((is_out[t].cast("long") for t in votes), F.lit(0).cast("long"))
         return out.select(self.id_col, label_col, n_out.alias("n_out"), total.alias("_total")) \
@@ -144,8 +157,8 @@ def fit_bagged(train: DataFrame, features: Sequence[str], tree: RandomForestClas
         if t not in weights:
             return None
         by_class = F.coalesce(*[F.when(F.col(label_col) == k, F.lit(float(w))) for k, w in weights[t].items()], F.lit(0.0))
-        bag = rows.withColumn("_n", bag_count(id_col, t, seed)).filter("_n > 0") \
-            .withColumn("_w", F.col("_n") * by_class * (F.col(weight_col) if weight_col else F.lit(1.0)))
+        bag = rows.filter(in_bag(id_col, t, seed)) \
+            .withColumn("_w", bag_count(id_col, t, seed) * by_class * (F.col(weight_col) if weight_col else F.lit(1.0)))
         est = tree.copy().setNumTrees(1).setBootstrap(False).setSubsamplingRate(1.0).setSeed(seed + t) \
             .setFeaturesCol("_features").setLabelCol(label_col).setWeightCol("_w")
         return est.fit(bag)

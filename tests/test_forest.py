@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quorum.operators import forest as FO
 from quorum.operators import models as ML
@@ -94,3 +95,16 @@ def test_parameters(spark, data):
     assert {r.score for r in ML.score(few, data).collect()} == {0.0}
     two = ML.train_and_score(SPEC, data, {"t": data}, ["a", "b"], positive_weight=5.0)["t"]
     assert two.filter("score between 0 and 1").count() == 1500
+
+
+def test_rows_of_a_bag_take_one_hash(spark):
+    ids = spark.createDataFrame([(str(i),) for i in range(3000)] + [(None,)], "id string")
+    for t in (0, 3):
+        both = ids.select(F.col("id"), FO.in_bag("id", t, 42).alias("is_in"), FO.bag_count("id", t, 42).alias("n")).collect()
+        assert all(r.is_in == (r.n > 0) for r in both) and 0.6 < sum(r.is_in for r in both) / len(both) < 0.66
+        # how often a row is in a bag is what the hash says as a number
+        key = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce("id", F.lit("")), F.lit(f"42:{t}"))), 1, FO.HASH_HEX), 16, 10).cast("long")
+        want = {r.id: sum(r.h >= c for c in FO.bag_cuts()) for r in ids.select("id", key.alias("h")).collect()}
+        assert {r.id: r.n for r in both} == want
+    plan = ids.filter(FO.in_bag("id", 0, 42))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
