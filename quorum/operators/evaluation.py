@@ -191,17 +191,29 @@ def decision_results(counts: DataFrame, costs: Costs, n_splits: int, threshold_t
     )
 
 
+def fold_positions(df: DataFrame, id_col: str, seed: int, group_cols: Sequence[str] = ("fold",), bucket_hex: int | None = None,
+                   within: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``position``, the row's rank inside its fold in the canonical (md5) order, and ``_min_n``, the size of
+    the shortest fold (of those that share the ``within`` columns).
+
+    The ranking is two-phase (see folds.hash_rank), so no fold is sorted in one task.
+    """
+    from quorum.operators.folds import hash_rank
+
+    return hash_rank(df, list(group_cols), id_col, seed, bucket_hex, rank_col="position", smallest=("_min_n", list(within)))
+
+
 def positional_mean(scores: DataFrame, id_col: str, seed: int, model_col: str = "model_name",
                     fold_col: str = "fold", score_col: str = "score", bucket_hex: int | None = None) -> DataFrame:
     """Mean of the i-th score across folds, truncated to the shortest fold.
 
-    Position i is the row's rank inside its fold in the canonical (md5) order;
-    the ranking is two-phase (see folds.hash_rank), so no fold is sorted in one task.
+    Position i is the row's rank inside its fold (``fold_positions``). Where every model scores the same rows,
+    they may be ranked before they are unpivoted, once for all models: ``scores`` then has these columns already.
     """
-    from quorum.operators.folds import hash_rank
-
-    ranked = hash_rank(scores.select(model_col, fold_col, id_col, score_col), [model_col, fold_col],
-                       id_col, seed, bucket_hex, rank_col="position", smallest=("_min_n", [model_col]))
+    ranked = scores
+    if not {"position", "_min_n"} <= set(scores.columns):
+        ranked = fold_positions(scores.select(model_col, fold_col, id_col, score_col), id_col, seed, [model_col, fold_col],
+                                bucket_hex, [model_col])
     return (ranked.filter(F.col("position") <= F.col("_min_n"))
             .withColumn(score_col, M.nan_to_null(score_col))
             .groupBy(model_col, "position")

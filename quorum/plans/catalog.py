@@ -49,6 +49,7 @@ from quorum.operators import evaluation as E  # noqa: E402
 from quorum.operators import rules as R  # noqa: E402
 from quorum.operators.folds import auto_bucket_hex, stratified_kfold, stratified_split  # noqa: E402
 from quorum.operators.prep import encode_decision, encode_target, invalid_decisions  # noqa: E402
+from quorum.session import written  # noqa: E402
 from quorum.plans.flows import (  # noqa: E402
     apply_rules, base_predictions, decision_column_eval, decision_long, folded, labels_of, long_scores,
     run_end_to_end, score_column_sweeps)
@@ -116,11 +117,12 @@ SELECT r.model_name, r.position,
 FROM ranked r JOIN shortest s ON r.model_name = s.model_name AND r.position <= s.min_n
 GROUP BY r.model_name, r.position""")
 def a7_positional_mean(spark, sf_dir):
-    scored = V.scored(spark, sf_dir)
-    long = long_scores(folded(scored, CFG, V.ID, V.TARGET), V.ID, _SC)
-    # size the ranking slices from the base table (a metadata count), not from the folded frame
-    hexd = CFG.fold_bucket_hex or auto_bucket_hex(scored.count() * len(_SC), len(_SC) * CFG.n_splits)
-    return E.positional_mean(long, V.ID, CFG.seed, bucket_hex=hexd)
+    # both rankings read their rows twice, so the folds are written; all models score the same rows, which are ranked once
+    rows = written(folded(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET).select(V.ID, "label", "fold", *_SC), "folded")
+    hexd = CFG.fold_bucket_hex or auto_bucket_hex(rows.count(), CFG.n_splits)
+    ranked = E.fold_positions(rows, V.ID, CFG.seed, bucket_hex=hexd)
+    long = long_scores(ranked, V.ID, _SC, keep=("label", "fold", "position", "_min_n"))
+    return E.positional_mean(long, V.ID, CFG.seed)
 
 
 @register("m8_decision_column_eval", S.with_(*_DEC_CTES) + S.decision_results_select(CFG, "base"))

@@ -177,3 +177,13 @@ def test_reduced_roc_curve_equals_brute_force(spark):
             pts = sorted(v for (m, _), v in points.items() if m == "a")
             areas.append(sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(pts, pts[1:])))
         assert abs(areas[0] - areas[1]) < 1e-12
+
+
+def test_positional_mean_of_rows_ranked_before_the_unpivot(spark):
+    rows = [(f"r{i}", 1 + i % 3, i / 10, None if i % 7 == 0 else float("nan") if i % 5 == 0 else -i / 3) for i in range(100)]
+    wide = spark.createDataFrame(rows, "id string, fold int, a double, b double")
+    unpivot = lambda d: d.unpivot([c for c in d.columns if c not in ("a", "b")], ["a", "b"], "model_name", "score")
+    ranked = E.fold_positions(wide, "id", 42)
+    assert {(r["fold"], r["position"]) for r in ranked.collect()} == {(f, p) for f in (1, 2, 3) for p in range(1, 34 + (f == 1))}
+    got, want = (sorted(map(tuple, E.positional_mean(d, "id", 42).collect())) for d in (unpivot(ranked), unpivot(wide)))
+    assert got == want and len(got) == 2 * 33
