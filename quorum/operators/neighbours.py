@@ -33,13 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorum.operators.folds import hash_rank
-from quorum.session import cut_lineage, written
+from quorum.session import cut_lineage, spread, written
 
 KNN_SCHEMA = "qid string, rid string, distance double"
 BROADCAST_ROWS = 20_000  # largest minority class that SMOTE broadcasts
 LEAF_ROWS = 256  # rows of a box within a tile
 BOX_DIMENSIONS = 16  # with more, one product over a whole tile is faster
 TASK_ROWS = 20_000  # rows of each side that a task of small tiles holds at a time
+BLOCK_ROWS = 1000  # queries that a part's rows are copied for at least
 _PAIRS = 250_000  # pairs of a tile scored exactly at a time
 MAX_PIVOTS = 512
 MAX_TILES = 100_000  # a larger reference set gets larger tiles
@@ -191,14 +192,26 @@ def _tile_topk(k: int, exclude_self: bool):
 
 
 def pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """[row, pivot]: Euclidean distances by plain differences."""
-    out = np.empty((len(vectors), len(pivots)))
-    for j, pivot in enumerate(pivots):
-        d = vectors - pivot
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    """[row, pivot]: Euclidean distances as a matrix product of centred blocks; ``pivot_error`` bounds their rounding."""
+    centre = pivots.mean(axis=0)
+    x, p = vectors - centre, pivots - centre
+    out = x @ p.T
+    out *= -2.0
+    out += (x * x).sum(axis=1)[:, None]
+    out += (p * p).sum(axis=1)
+    np.sqrt(np.maximum(out, 0.0, out=out), out=out)
+    for i in np.flatnonzero(~np.isfinite(vectors).all(axis=1)):
+        out[i] = np.sqrt(((vectors[i] - pivots) ** 2).sum(axis=1))
     return out
 
 
+def pivot_error(reach: np.ndarray, raw: np.ndarray, dimensions: int) -> np.ndarray:
+    """What ``pivot_distances`` may be wrong by, for a row and a pivot of at most the norms' sum ``reach`` (centred) and
+    coordinates of at most ``raw``: the root of the product's error, and that of centring."""
+    eps = np.finfo(np.float64).eps
+    return np.sqrt(4 * (dimensions + 4) * eps) * reach + 8 * eps * np.sqrt(dimensions) * raw
+
+
 class Tiles:
     """The tiles of a reference set: ``cell`` (pivot), smallest and largest distance to it (``low``, ``high``) and ``rows`` of each.
 
@@ -208,16 +221,28 @@ class Tiles:
     def __init__(self, pivots: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray):
         self.pivots, self.cell, self.low, self.high, self.rows = pivots, cell, low, high, rows
         size = max(np.abs(pivots).max(initial=0.0), high.max(initial=0.0), 1e-300)
-        self.slack = 64 * np.finfo(np.float64).eps * size * np.sqrt(pivots.shape[1] + 1)
+        self.centre = pivots.mean(axis=0)
+        self.norm = np.sqrt(((pivots - self.centre) ** 2).sum(axis=1)).max(initial=0.0)
+        # a row is wrong by this much at most; twice, for the choice of its cell
+        self.slack = 64 * np.finfo(np.float64).eps * size * np.sqrt(pivots.shape[1] + 1) \
+            + 2 * pivot_error(high.max(initial=0.0) + 2 * self.norm, size, pivots.shape[1])
 
     def bounds(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[query, tile]: no row of the tile is nearer than the first, none is farther than the second; rounding is allowed for."""
         to_pivot = pivot_distances(vectors, self.pivots)
         own = to_pivot.min(axis=1, keepdims=True)
         d = to_pivot[:, self.cell]
-        slack = self.slack + 64 * np.finfo(np.float64).eps * np.abs(vectors).max(axis=1, initial=0.0, keepdims=True)
-        nearest = np.maximum(np.maximum(d - self.high, self.low - d), (d - own) / 2)
-        return np.maximum(nearest - slack, 0.0), d + self.high + slack
+        raw = np.abs(vectors).max(axis=1, initial=0.0, keepdims=True)
+        reach = np.sqrt(((vectors - self.centre) ** 2).sum(axis=1, keepdims=True)) + self.norm
+        slack = self.slack + 64 * np.finfo(np.float64).eps * raw + 2 * pivot_error(reach, raw, vectors.shape[1])
+        nearest = d - own
+        nearest /= 2
+        np.maximum(nearest, d - self.high, out=nearest)
+        np.maximum(nearest, self.low - d, out=nearest)
+        nearest -= slack
+        d += self.high
+        d += slack
+        return np.maximum(nearest, 0.0, out=nearest), d
 
     def home(self, vectors: np.ndarray) -> np.ndarray:
         """The tile of each query's smallest bound; of equal ones, that of the nearest pivot."""
@@ -260,7 +285,7 @@ def _tiled(reference: DataFrame, n_rows: int, tile_rows: int) -> tuple[DataFrame
                                     "d": d[np.arange(len(d)), cell]})
 
     kind = reference.schema["rvec"].dataType.simpleString()
-    near = cut_lineage(reference.mapInPandas(assign, f"rid string, rvec {kind}, cell int, d double"))
+    near = cut_lineage(spread(reference, "rid").mapInPandas(assign, f"rid string, rvec {kind}, cell int, d double"))
     cells = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")) \
         .withColumn("rings", F.ceil(F.col("n") / tile_rows))  # one row a pivot
     ring = F.expr("if(hi > lo, least(cast(floor((d - lo) / (hi - lo) * rings) as long), rings - 1), 0L)")
@@ -287,9 +312,11 @@ def _per_part(tile_rows: int) -> int:
 
 def _score(asked: DataFrame, rows: DataFrame, k: int, exclude_self: bool, tile_rows: int) -> DataFrame:
     """The k best of every query (qid, qvec, kth, part, tiles) in the tiles of the part, as (qid, rid, distance)."""
-    # queries of one part are dealt into blocks, for each of which the part's rows are copied
-    size = max(tile_rows, TASK_ROWS)
-    blocks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    # queries of one part are dealt into blocks, for each of which the part's rows are copied; where there are fewer
+    # parts than cores, into smaller ones, so that every core has some
+    tasks = 4 * asked.sparkSession.sparkContext.defaultParallelism
+    size = F.greatest(F.least(F.ceil(F.sum("n").over(Window.partitionBy()) / tasks), F.lit(max(tile_rows, TASK_ROWS))), F.lit(BLOCK_ROWS))
+    blocks = asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.ceil(F.col("n") / size).alias("blocks"))
     blocks = blocks.filter("blocks > 1")
     q = asked.join(blocks, "part", "left").withColumn("block", F.expr("pmod(xxhash64(qid), coalesce(blocks, 1L))"))
     r = rows.withColumn("part", F.expr(f"tile div {_per_part(tile_rows)}")).join(blocks, "part", "left") \
@@ -301,7 +328,7 @@ def _score(asked: DataFrame, rows: DataFrame, k: int, exclude_self: bool, tile_r
 def _ask(queries: DataFrame, tiles: Tiles, k: int, tile_rows: int, probes: int | None = None, others: bool = False) -> DataFrame:
     """(qid, qvec, kth, part, tiles): the home tile of every query, or, for queries with ``kth``, the others that may matter,
     a row for each part of neighbouring tiles."""
-    step = max(1, 1_000_000 // max(1, len(tiles.cell)))
+    step = max(1, 250_000 // max(1, len(tiles.cell)))
     per_part = _per_part(tile_rows)
 
     def run(frames):
@@ -347,7 +374,7 @@ def knn_join(queries: DataFrame, reference: DataFrame, k: int, id_col: str = "id
                          F.array(F.lit(0).cast("long")).alias("tiles"))
         return _best(_score(alone, r.withColumn("tile", F.lit(0).cast("long")), k, exclude_self, tile_rows), k)
     rows, tiles = _tiled(r, n_rows, tile_rows)
-    home = _ask(q.withColumn("kth", F.lit(None).cast("double")), tiles, k, tile_rows)
+    home = _ask(spread(q, "qid").withColumn("kth", F.lit(None).cast("double")), tiles, k, tile_rows)
     near = cut_lineage(_score(home, rows, k, exclude_self, tile_rows))
     kth = near.groupBy("qid").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")) \
         .select("qid", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))

@@ -1104,7 +1104,7 @@ import uuid  # noqa: E402
 from quorum.operators import forest as FO  # noqa: E402
 from quorum.operators import models as ML  # noqa: E402
 from quorum.operators.importance import model_importance  # noqa: E402
-from quorum.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from quorum.session import cut_lineage, ensure_checkpoint_dir, spread  # noqa: E402
 from quorum.sources import tables as IO  # noqa: E402
 
 _LR = ML.ModelSpec("LogisticRegression", {"max_iter": 50, "C": 10.0}, CFG.seed)
@@ -1471,7 +1471,7 @@ def j2_scatter_oof(spark, sf_dir):
     f"SELECT '{n}' AS model_name, count(*) AS n_rows, count(*) AS n_equal FROM events_x" for n in _KINDS))
 def s9_model_store(spark, sf_dir):
     """Save a fitted model of each kind, load it back and score with both: every score must be the same."""
-    enc = cut_lineage(_encoded_events(spark, sf_dir))
+    enc = cut_lineage(spread(_encoded_events(spark, sf_dir), V.ID))
     out = []
     for name, spec in _KINDS.items():
         model = ML.fit(spec, enc, _IMP_FEATS, id_col=V.ID)

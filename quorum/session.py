@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -71,5 +72,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` into the session's shuffle partitions: a table of few files or row groups is read by as few
+    tasks, and whatever follows without a shuffle of its own (task functions, fits of models) would run in them."""
+    return df.repartition(F.col(key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

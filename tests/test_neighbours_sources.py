@@ -1,6 +1,7 @@
 """kNN against brute force, SMOTE invariants, stores and file round trips."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,42 @@ def test_knn_with_a_hot_cell_of_ties(spark):
     assert _by_query(knn_join(df, few, 60, "id", "v", tile_rows=20)) == _brute(pts, pts[:50], 60, False)
 
 
+def test_queries_of_a_single_tile_are_dealt_to_many_tasks(spark, monkeypatch):
+    from quorum.operators import neighbours as N
+    sizes = lambda k, exclude: (lambda q, r: pd.DataFrame({"qid": [str(len(q))], "rid": [str(len(r))], "distance": [0.0]}))
+    monkeypatch.setattr(N, "_tile_topk", sizes)
+    rows = spark.range(6000).coalesce(1)
+    asked = rows.select(F.col("id").cast("string").alias("qid"), F.array(F.lit(0.0)).alias("qvec"), F.lit(None).cast("double").alias("kth"),
+                        F.lit(0).cast("long").alias("part"), F.array(F.lit(0).cast("long")).alias("tiles"))
+    held = rows.select(F.col("id").cast("string").alias("rid"), F.array(F.lit(0.0)).alias("rvec"), F.lit(0).cast("long").alias("tile"))
+    got = [(int(r["qid"]), int(r["rid"])) for r in N._score(asked, held, 1, False, 20000).collect()]
+    assert len(got) >= 3 and sum(n for n, _ in got) == 6000
+    assert all(n == 6000 for _, n in got)  # every block meets all references
+
+
+def test_pivot_distances_keep_within_their_error():
+    from quorum.operators.neighbours import Tiles, pivot_distances, pivot_error
+    rng = np.random.default_rng(5)
+    for origin, scale in ((0.0, 1.0), (1e6, 1.0), (0.0, 500.0), (1e8, 1e-3)):
+        rows = origin + scale * rng.normal(size=(400, 9))
+        rows[:50] = rows[0]
+        pivots = np.unique(rows[::8], axis=0)
+        exact = np.sqrt(((rows[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+        got = pivot_distances(rows, pivots)
+        centre = pivots.mean(axis=0)
+        norms = np.sqrt(((rows - centre) ** 2).sum(axis=1)), np.sqrt(((pivots - centre) ** 2).sum(axis=1)).max()
+        assert (np.abs(got - exact) <= pivot_error(norms[0] + norms[1], np.abs(rows).max(axis=1), 9)[:, None]).all()
+        cell = got.argmin(axis=1)
+        d = got[np.arange(len(rows)), cell]
+        held = np.unique(cell)
+        tiles = Tiles(pivots, held, np.array([d[cell == c].min() for c in held]), np.array([d[cell == c].max() for c in held]),
+                      np.array([(cell == c).sum() for c in held]))
+        low, high = tiles.bounds(rows)
+        apart = np.sqrt(((rows[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
+        for t, c in enumerate(held):
+            assert (low[:, t] <= apart[:, cell == c].min(axis=1)).all() and (apart[:, cell == c].max(axis=1) <= high[:, t]).all()
+
+
 def test_knn_by_probes_has_the_stated_recall(spark):
     rng = np.random.default_rng(3)
     pts = np.concatenate([c + rng.normal(size=(100, 6)) for c in rng.normal(scale=6, size=(8, 6))])
