@@ -217,9 +217,11 @@ def group_by_model(results: DataFrame) -> DataFrame:
 
 
 def store_summary(datasets: dict[str, DataFrame]) -> DataFrame:
-    """Row count and sorted distinct model names of each stored dataset."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"),
-                    F.array_sort(F.collect_set("model_name")).alias("models")).withColumn("dataset", F.lit(name))
+    """Row count and sorted distinct model names of each stored dataset. Rows are counted by name first, so that
+    names are collected from one row each."""
+    parts = [df.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("rows"),
+                  F.array_sort(F.collect_set("model_name")).alias("models")).withColumn("dataset", F.lit(name))
              for name, df in datasets.items()]
     return reduce(DataFrame.unionByName, parts).select("dataset", "rows", "models")
 
