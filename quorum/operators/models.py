@@ -273,7 +273,7 @@ def prepare_training(spec: ModelSpec, train: DataFrame, features: Sequence[str],
 def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequence[str], cfg: EvalConfig,
                 id_col: str = "id", use_smote: bool = False, smote_ratio: float = 0.5,
                 parallelism: int = 4, search: dict | None = None,
-                positive_weight: float | str | None = None) -> dict[str, DataFrame]:
+                positive_weight: float | str | None = None, stored: bool = False) -> dict[str, DataFrame]:
     """M6: per model and fold (optionally tune on the training folds), fit on the other
     folds, score the held-out fold; then ONE sweep over all (model, fold), best
     thresholds, exact fold merge. Returns results, fold_results, sweep_avg and
@@ -282,10 +282,11 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
     ``search`` = {"spaces": {...}, "n_trials": int, "inner_folds": int} enables M5 inside
     each fold; the model's own name selects its space (the name, not the fold).
     ``positive_weight`` overrides the class weights of the models' parameters.
-    The folded frame is written to the shared folder once, for all fits and scores. So is the
+    The folded frame is written to the shared folder once, for all fits and scores, unless it is ``stored`` already. So is the
     oversampled training frame of each fold: it doesn't depend on the model, and a fit reads its frame several times.
     """
-    data = written(folded.select(id_col, "label", "fold", *features), "folded")
+    data = folded.select(id_col, "label", "fold", *features)
+    data = data if stored else written(data, "folded")
     parallelism = max(1, parallelism)
 
     def balanced(k):

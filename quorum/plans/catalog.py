@@ -697,8 +697,8 @@ def results_table(spark, sf_dir) -> DataFrame:
 
 def all_results(spark, sf_dir) -> DataFrame:
     """U1 over this build's result families: k-fold averages, fold bests, decisions, combined rules.
-    The k-fold averages and the fold bests come from one sweep plan (shared exchanges)."""
-    m7 = score_column_eval(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, V.SCORE_COLUMNS)
+    The k-fold averages and the fold bests come from one sweep, written once: else each ranks all rows."""
+    m7 = score_column_eval(V.scored(spark, sf_dir), CFG, V.ID, V.TARGET, V.SCORE_COLUMNS).stored()
     return RP.union_runs(m7.results, m7.fold_results,
                          m8_decision_column_eval(spark, sf_dir), b9_combined_runs(spark, sf_dir)).select(*_RCOLS)
 

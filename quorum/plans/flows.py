@@ -43,18 +43,26 @@ def folded(df: DataFrame, cfg: EvalConfig, id_col: str, target: str) -> DataFram
 def score_column_sweeps(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
                         score_cols: Sequence[str]) -> DataFrame:
     """A3 per (score column, fold)."""
-    long = long_scores(folded(df, cfg, id_col, target), id_col, score_cols)
-    return E.threshold_sweep(long, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
+    return folded_sweeps(folded(df, cfg, id_col, target), cfg, id_col, score_cols)
+
+
+def folded_sweeps(rows: DataFrame, cfg: EvalConfig, id_col: str, score_cols: Sequence[str]) -> DataFrame:
+    """A3 per (score column, fold) of rows that have ``label`` and ``fold``."""
+    return E.threshold_sweep(long_scores(rows, id_col, score_cols), ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
 
 
 class ScoreColumnEval:
-    """M7 result families, built lazily on first access (each is one DataFrame plan)."""
+    """M7 result families of a sweep, built lazily on first access (each is one DataFrame plan)."""
 
-    def __init__(self, df: DataFrame, cfg: EvalConfig, id_col: str, target: str, score_cols: Sequence[str]):
+    def __init__(self, sweep: DataFrame, cfg: EvalConfig):
         self.cfg = cfg
-        self.sweep = score_column_sweeps(df, cfg, id_col, target, score_cols)
+        self.sweep = sweep
         self._best = None
 
+    def stored(self) -> ScoreColumnEval:
+        """The families read from the sweep's few rows, written once: for callers of several, each of which would rank all rows."""
+        return ScoreColumnEval(cut_lineage(self.sweep), self.cfg)
+
     @property
     def best(self) -> DataFrame:
         if self._best is None:
@@ -80,7 +88,7 @@ class ScoreColumnEval:
 def score_column_eval(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
                       score_cols: Sequence[str]) -> ScoreColumnEval:
     """M7: fold sweeps -> per-fold best -> k-fold average, for score columns already in the table."""
-    return ScoreColumnEval(df, cfg, id_col, target, score_cols)
+    return ScoreColumnEval(score_column_sweeps(df, cfg, id_col, target, score_cols), cfg)
 
 
 def decision_long(df: DataFrame, cfg: EvalConfig, id_col: str, target: str,
@@ -179,10 +187,14 @@ def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, spe
         features = [c for c in features if c in kept]
     folded_df = stratified_kfold(frame, id_col, "label", cfg.n_splits, cfg.seed, cfg.fold_bucket_hex,
                                  mode=cfg.fold_mode)
-    folded_df = cut_lineage(folded_df.select(id_col, "label", "fold", *features)) if specs else folded_df
+    scores = [c for c in score_cols if c in df.columns]
+    # the models and the score columns have the same folds, so the rows are ranked and written once for both
+    shared = bool(specs) and all(c in frame.columns and c not in (id_col, "label", "fold") for c in scores)
+    if specs:
+        folded_df = written(folded_df.select(id_col, "label", "fold", *dict.fromkeys([*features, *(scores if shared else [])])), "folded")
     parts, preds, sweeps, models = [], [], [], {}
     if specs:
-        cv = cv_evaluate(folded_df, specs, features, cfg, id_col, use_smote, smote_ratio, search=search)
+        cv = cv_evaluate(folded_df, specs, features, cfg, id_col, use_smote, smote_ratio, search=search, stored=True)
         parts.append(cv["results"])
         sweeps.append(cv["sweep_avg"])
         preds.append(cv["predictions"])
@@ -192,7 +204,8 @@ def run_end_to_end(df: DataFrame, cfg: EvalConfig, id_col: str, target: str, spe
                                                  f"{model_path}/{name}" if model_path else None)
                 parts.append(rows)
     if score_cols:
-        evaluated = score_column_eval(df, cfg, id_col, target, score_cols)
+        evaluated = ScoreColumnEval(folded_sweeps(folded_df, cfg, id_col, score_cols), cfg) if shared \
+            else score_column_eval(df, cfg, id_col, target, score_cols)
         parts.append(evaluated["results"])
         sweeps.append(evaluated["sweep_avg"])
     if decision_cols:
