@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quorum.llm import bpe, html_text, language_id, packing, periodic, quality, spelling, url_filter
-from quorum.llm.common import held_out, read
+from quorum.llm.common import held_out, plain_reads, read
 from quorum.llm.exact_dedup import exact_dedup
 from quorum.llm.near_dedup import near_dedup
 from quorum.llm.quality_rules import quality_rules
@@ -103,6 +103,7 @@ def op6_packing(spark, sf_dir):
 @_register("op9_span_dedup")
 def op9_span_dedup(spark, sf_dir):
     """Every document without the sentences that an earlier document or place holds in the same run."""
+    plain_reads(spark)
     return span_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -3,6 +3,7 @@ from itertools import pairwise
 
 from quorum.llm import span_dedup as op
 from quorum.llm.catalog import QUERIES
+from quorum.llm.common import ARROW_BYTES
 from tests.llm.conftest import SF
 
 
@@ -123,3 +124,19 @@ def test_spaces_beside_unspaced_letters():
     words = [f"w{i}" for i in range(40)]
     _, counts, norm = op.sentences("漢字。かな！ " + " ".join(words))
     assert norm[:2] == ["漢 字 。", "か な ！"] and sum(counts) == 46 and " ".join(norm[2:]) == " ".join(words)
+
+
+def test_query_sends_few_texts_at_a_time(spark, make, tmp_path, monkeypatch):
+    """A batch of 10 000 long texts would stand in the JVM and in Python several times for every running task."""
+    cut_small = op.small_batches
+
+    def bounded(batches, rows=500):
+        for batch in batches:
+            assert batch.nbytes < 10_000_000
+            yield from cut_small([batch], rows)
+
+    monkeypatch.setattr(op, "small_batches", bounded)
+    rows = [(i, f"word{i} " * 12_500) for i in range(200)]  # 20 MB
+    make(rows, extra=False).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.unset(ARROW_BYTES)
+    assert QUERIES["op9_span_dedup"](spark, str(tmp_path)).count() == 200
