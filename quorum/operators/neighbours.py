@@ -42,6 +42,8 @@ BOX_DIMENSIONS = 16  # with more, one product over a whole tile is faster
 TASK_ROWS = 20_000  # rows of each side that a task of small tiles holds at a time
 BLOCK_ROWS = 1000  # queries that a part's rows are copied for at least
 _PAIRS = 250_000  # pairs of a tile scored exactly at a time
+_BLOCK = 1_000_000  # pairs of a tile that the dot products are held of at a time
+_GROUP = 32  # references of which the nearest bounds a query's k-th distance
 MAX_PIVOTS = 512
 MAX_TILES = 100_000  # a larger reference set gets larger tiles
 
@@ -54,14 +56,21 @@ def _direct(qv: np.ndarray, rv: np.ndarray, qids: np.ndarray, rids: np.ndarray,
     slack = 4 * (qv.shape[1] + 4) * np.finfo(np.float64).eps
     # centring itself rounds by the size of the raw coordinates
     raw = np.sqrt(max((rv * rv).sum(axis=1).max(), (qv * qv).sum(axis=1).max())) * np.finfo(np.float64).eps
-    step = max(1, int(4_000_000 // max(1, len(rids))))
+    step = max(1, int(_BLOCK // max(1, len(rids))))
+    twice = -2.0 * rc.T
+    # the references with a query's own id stand side by side
+    first, end = (np.searchsorted(rids, qids, side=x) if exclude_self else np.zeros(len(qids), dtype=np.int64) for x in ("left", "right"))
     parts = []
     for s in range(0, len(qids), step):
         a = slice(s, s + step)
-        d2 = qn[a, None] + rn[None, :] - 2.0 * (qc[a] @ rc.T)
-        if exclude_self:
-            d2[qids[a][:, None] == rids[None, :]] = np.inf
-        kth = np.partition(d2, min(k, len(rids)) - 1, axis=1)[:, min(k, len(rids)) - 1]
+        d2 = qc[a] @ twice
+        d2 += rn
+        d2 += qn[a, None]
+        own = end[a] - first[a]
+        if own.any():
+            owner = np.repeat(np.arange(len(own)), own)
+            d2[owner, np.repeat(first[a] - (own.cumsum() - own), own) + np.arange(len(owner))] = np.inf
+        kth = _kth_bound(d2, min(k, len(rids)))
         reach = np.sqrt(qn[a]) + np.sqrt(rn.max())
         error = slack * reach ** 2 + 8 * raw * reach
         near_q, near_r = np.nonzero(d2 <= np.where(np.isfinite(kth), kth + 2 * error, np.inf)[:, None])
@@ -76,6 +85,15 @@ def _direct(qv: np.ndarray, rv: np.ndarray, qids: np.ndarray, rids: np.ndarray,
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
+def _kth_bound(d2: np.ndarray, k: int) -> np.ndarray:
+    """At least the k-th smallest value of each row: that of the least values of groups of columns, which is one pass, where
+    there are enough groups for few others to lie below it; NaN where there are fewer than k numbers."""
+    groups = d2.shape[1] // _GROUP
+    if groups >= 8 * k:
+        d2 = d2[:, :groups * _GROUP].reshape(len(d2), _GROUP, groups).min(axis=1)
+    return np.partition(d2, k - 1, axis=1)[:, k - 1]
+
+
 def _nearest(found: list[tuple], k: int) -> tuple:
     """The k nearest of every query among (query, reference, distance) arrays; ties by the references' positions."""
     q, r, d = (np.concatenate([f[i] for f in found]) for i in range(3))

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quorum.operators import neighbours as N
 from quorum.operators.neighbours import knn_join, smote
 
 
@@ -239,3 +240,38 @@ def test_boxes_of_a_tile_are_exact():
             assert all(np.array_equal(a, b) for a, b in zip(want, got))
             near = N._block_topk(rv[::7], rv, ids[::7], ids, want[2].reshape(-1, 5)[:, 4], 5, exclude)  # by the known k-th distance
             assert all(np.array_equal(a, b) for a, b in zip(want, near))
+
+
+class CountedId(str):
+    """A text that counts how often it is compared for equality."""
+    compared = 0
+    __hash__ = str.__hash__
+
+    def __eq__(self, other):
+        CountedId.compared += 1
+        return str.__eq__(self, other)
+
+    def __ne__(self, other):
+        CountedId.compared += 1
+        return str.__ne__(self, other)
+
+
+@pytest.mark.parametrize("n_ids, n_refs", [(900, 900), (300, 900), (900, 40), (1, 90)])
+def test_direct_compares_few_ids(n_ids, n_refs):
+    """Every pair's ids were compared as texts, which took more than all else; ids may repeat and rows may be equal."""
+    rng = np.random.default_rng(5)
+    rv = rng.integers(0, 3, (n_refs, 6)).astype(float)
+    rids = np.array(sorted(CountedId(i % n_ids) for i in range(n_refs)), dtype=object)
+    order = rng.permutation(n_refs)
+    qv, qids = rv[order], rids[order]
+    k = 5
+    want = []
+    for i, q in enumerate(qv):
+        d = np.sqrt(((rv - q) ** 2).sum(axis=1))
+        near = sorted((d[j], j) for j in range(n_refs) if str(rids[j]) != str(qids[i]))[:k]
+        want += [(i, j, x) for x, j in near]
+    CountedId.compared = 0
+    got = N._direct(qv, rv, qids, rids, k, True)
+    assert list(zip(*(g.tolist() for g in got))) == want
+    # a few candidates a query are compared, not every pair
+    assert n_ids < 300 or n_refs < 300 or CountedId.compared < n_refs * n_refs / 4
