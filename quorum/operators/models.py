@@ -24,6 +24,7 @@ from pyspark.ml.classification import (
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +119,11 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+def is_assembled(df: DataFrame) -> bool:
+    """The rows hold the vector of their features already; a model fitted on them scores such rows only."""
+    return "features" in df.columns and isinstance(df.schema["features"].dataType, VectorUDT)
+
+
 def class_weights(df: DataFrame, label_col: str = "label", positive_weight: float | str = "balanced",
                   weight_col: str = "weight") -> DataFrame:
     """M4: weight per row; a number for the positive class, or 'balanced' = n / (2 n_class)."""
@@ -207,7 +213,7 @@ def fit(spec: ModelSpec, train: DataFrame, features: Sequence[str], weight_col:
                           and spec.params.get("class_weight") == "balanced_subsample", weight_col=weight_col, id_col=id_col)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     n_rows = train.count() if spec.name in ("LogisticRegression", "SVM") else None
-    return Pipeline(stages=[asm, *estimator_stages(spec, features, weight_col, n_rows)]).fit(train)
+    return Pipeline(stages=[*([] if is_assembled(train) else [asm]), *estimator_stages(spec, features, weight_col, n_rows)]).fit(train)
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -282,11 +288,15 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
     ``search`` = {"spaces": {...}, "n_trials": int, "inner_folds": int} enables M5 inside
     each fold; the model's own name selects its space (the name, not the fold).
     ``positive_weight`` overrides the class weights of the models' parameters.
-    The folded frame is written to the shared folder once, for all fits and scores, unless it is ``stored`` already. So is the
+    The folded frame is written to the shared folder once, for all fits and scores, unless it is ``stored`` already; without
+    oversampling it holds the assembled feature vectors too. So is the
     oversampled training frame of each fold: it doesn't depend on the model, and a fit reads its frame several times.
     """
     data = folded.select(id_col, "label", "fold", *features)
-    data = data if stored else written(data, "folded")
+    if not stored:
+        # a fit reads its rows several times and each model scores its part: vectors that a model takes are assembled here once
+        vectors = not use_smote and "features" not in data.columns and any(s.name != "KNN" and not is_bagged(s) for s in specs.values())
+        data = written(assemble(data, features) if vectors else data, "folded")
     parallelism = max(1, parallelism)
 
     def balanced(k):
@@ -313,9 +323,9 @@ def cv_evaluate(folded: DataFrame, specs: dict[str, ModelSpec], features: Sequen
     # (model, fold) fits are independent Spark jobs: submit them concurrently from the driver
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         scored = list(pool.map(one, tasks))
-    # the scores feed the sweep, the merges and the stored predictions
-    oof = cut_lineage(reduce(DataFrame.unionByName, [s.withColumn(id_col, F.col(id_col).cast("string"))
-                                                     .withColumn("label", F.col("label").cast("int")) for s in scored]))
+    # the scores feed the sweep, the merges and the stored predictions; each reads few of their columns
+    oof = written(reduce(DataFrame.unionByName, [s.withColumn(id_col, F.col(id_col).cast("string"))
+                                                 .withColumn("label", F.col("label").cast("int")) for s in scored]), "scored")
     sweep = E.threshold_sweep(oof, ["model_name", "fold"], grid=cfg.grid, costs=cfg.costs)
     best = E.best_thresholds(sweep, ["model_name", "fold"])
     preds = oof.select(F.concat(F.lit("kfold_avg_"), "model_name").alias("model_name"), F.lit("oof").alias("kind"),

@@ -161,3 +161,29 @@ def test_cv_oversamples_each_fold_once(spark, data, monkeypatch):
     out = ML.cv_evaluate(stratified_kfold(data, "id", "label", 2, 42), specs, ["a", "b"], EvalConfig(n_splits=2), use_smote=True)
     assert len(calls) == 2 and out["predictions"].count() == 2 * data.count()
     assert {r[0] for r in out["results"].select(F.expr("tp + fp + tn + fn")).collect()} == {data.count()}
+
+
+def test_cv_assembles_vectors_once(spark, data, monkeypatch):
+    """Every fit and every scoring assembled the vectors again at each reading of its rows."""
+    folded = stratified_kfold(data, "id", "label", 2, 42)
+    specs = {"LogisticRegression": ML.ModelSpec("LogisticRegression", {"max_iter": 20}, 1),
+             "RandomForest": ML.ModelSpec("RandomForest", {"n_estimators": 3, "max_depth": 3, "bootstrap": False}, 1),
+             "Bagged": ML.ModelSpec("RandomForest", {"n_estimators": 3, "max_depth": 3, "oob_score": True}, 1)}
+    stages, fit = [], ML.fit
+
+    def seen(spec, *args):
+        model = fit(spec, *args)
+        stages.extend(type(s).__name__ for s in getattr(model, "stages", []))
+        return model
+
+    monkeypatch.setattr(ML, "fit", seen)
+    got = {(r.model_name, r.id): r.score for r in ML.cv_evaluate(folded, specs, ["a", "b"], EvalConfig(n_splits=2), "id")["predictions"].collect()}
+    assert len(stages) == 4 and "VectorAssembler" not in stages and len(got) == 3 * 400
+    monkeypatch.undo()
+    for name in ("LogisticRegression", "RandomForest"):
+        for k in (1, 2):
+            plain = ML.train_and_score(specs[name], folded.filter(F.col("fold") != k), {"t": folded.filter(F.col("fold") == k)}, ["a", "b"], "id")
+            for r in plain["t"].collect():
+                assert got[f"kfold_avg_{name}", r.id] == pytest.approx(r.score, nan_ok=True)
+    knn = ML.cv_evaluate(folded, {"KNN": ML.ModelSpec("KNN", {"n_neighbors": 3}, 1)}, ["a", "b"], EvalConfig(n_splits=2), "id")
+    assert knn["predictions"].count() == 400
