@@ -33,7 +33,7 @@ from quorum.functions.metrics import log_loss_expr
 from quorum.operators import evaluation as E
 from quorum.operators.folds import stratified_kfold
 from quorum.operators.forest import BaggedForest, fit_bagged
-from quorum.operators.neighbours import knn_join, smote
+from quorum.operators.neighbours import knn_lists, smote
 from quorum.session import cut_lineage, written
 from quorum.sources.tables import contract_problems
 
@@ -224,14 +224,26 @@ def score(model, df: DataFrame) -> DataFrame:
 
 def knn_scores(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 5,
                id_col: str = "id", label_col: str = "label") -> DataFrame:
-    """KNN model: P(1) = share of positives among the k nearest training rows."""
-    vec = lambda d: d.select(F.col(id_col).cast("string").alias(id_col),
-                             F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
-    nn = knn_join(vec(test), vec(train), k, id_col, "v")
-    labels = train.select(F.col(id_col).cast("string").alias("rid"), F.col(label_col).alias("_y"))
-    probs = nn.join(labels, "rid").groupBy("qid").agg(F.avg("_y").alias("score"))
-    return test.withColumn("_qid", F.col(id_col).cast("string")).join(
-        probs.withColumnRenamed("qid", "_qid"), "_qid", "left").drop("_qid")
+    """KNN model: P(1) = share of positives among the k nearest training rows.
+
+    Labels go along with the neighbours, so that no row is joined to its k labels afterwards. An id of several training rows
+    stands for all of their labels.
+    """
+    vec = lambda d, *more: d.select(F.col(id_col).cast("string").alias(id_col),
+                                    F.array(*[F.col(c).cast("double") for c in features]).alias("v"), *more)
+    rid, y = F.col(id_col).cast("string"), F.when(F.col(id_col).isNotNull(), F.col(label_col).cast("double"))
+    repeated = train.filter(F.col(id_col).isNotNull()).groupBy(rid.alias("_rid")).agg(F.count(F.lit(1)).alias("_rows"))
+    if repeated.filter("_rows > 1").isEmpty():
+        votes = train.withColumn("_sum", y).withColumn("_n", y.isNotNull().cast("long"))
+    else:
+        labels = train.groupBy(rid.alias("_rid")).agg(F.sum(y).alias("_sum"), F.count(y).alias("_n"))
+        votes = train.withColumn("_rid", rid).join(labels, "_rid", "left")
+    lists = knn_lists(vec(test), vec(votes, "_sum", "_n"), k, id_col, "v", kept=["_sum", "_n"])
+    total = F.aggregate("best", F.lit(0.0), lambda acc, b: acc + F.coalesce(b["_sum"], F.lit(0.0)))
+    n = F.aggregate("best", F.lit(0).cast("long"), lambda acc, b: acc + F.coalesce(b["_n"], F.lit(0).cast("long")))
+    probs = lists.select(F.col("qid").alias("_qid"), total.alias("_total"), n.alias("_votes")) \
+        .select("_qid", F.when(F.col("_votes") > 0, F.col("_total") / F.col("_votes")).alias("score"))
+    return test.join(probs, test[id_col].cast("string") == probs["_qid"], "left").drop("_qid")
 
 
 def oversample(train: DataFrame, features: Sequence[str], id_col: str, cfg_ratio: float, seed: int,

@@ -46,7 +46,7 @@ from quorum.session import spread, written
 KNN_SCHEMA = "qid string, rid string, distance double"
 BROADCAST_ROWS = 20_000  # largest minority class that SMOTE broadcasts
 LEAF_ROWS = 64  # rows of a box within a tile
-GROUP_ROWS = 64  # queries that are scored against the same boxes
+GROUP_ROWS = 128  # queries that are scored against the same boxes
 NEAR_BOXES = 4  # boxes that give a group of queries its first k-th distances
 BOX_DIMENSIONS = 16  # with more, one product over a whole tile is faster
 TASK_ROWS = 60_000  # rows of each side that a task of small tiles holds at a time

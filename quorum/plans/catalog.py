@@ -1471,7 +1471,8 @@ def j2_scatter_oof(spark, sf_dir):
     f"SELECT '{n}' AS model_name, count(*) AS n_rows, count(*) AS n_equal FROM events_x" for n in _KINDS))
 def s9_model_store(spark, sf_dir):
     """Save a fitted model of each kind, load it back and score with both: every score must be the same."""
-    enc = cut_lineage(spread(_encoded_events(spark, sf_dir), V.ID))
+    # dealt and sorted by id once, as the checkpoint keeps both: the joins of the scores need neither
+    enc = cut_lineage(spread(_encoded_events(spark, sf_dir).select(V.ID, "label", *_IMP_FEATS), V.ID).sortWithinPartitions(V.ID))
     out = []
     for name, spec in _KINDS.items():
         model = ML.fit(spec, enc, _IMP_FEATS, id_col=V.ID)
